@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelane.llm import language_id, ordinal_quality, suffix_tree_lm
 from tracelane.llm.byte_bpe import codec_digests
 from tracelane.llm.common import read_table
 from tracelane.llm.line_dedup import line_dedup
@@ -17,6 +18,19 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = language_id.learn(docs.where(language_id.fold("doc_id", 3) != 1))
+    out = language_id.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (language_id.fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", F.size("mixture").cast("long").alias("n_languages"))
+
+
+def op5_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = suffix_tree_lm.score(docs, docs.where(language_id.fold("doc_id", 5) != 1))
+    return out.withColumn("held_out", language_id.fold("doc_id", 5) == 1)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_totals(length_histogram(read_table(spark, sf_dir, "documents")))
 
@@ -26,10 +40,19 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ordinal_quality.learn(docs, read_table(spark, sf_dir, "labels"))
+    return ordinal_quality.grade(docs, model).select("doc_id", "expected_grade", "tail_prob", "keep")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_language_id": op3_language_id,
+    "op5_suffix_tree_lm": op5_suffix_tree_lm,
     "op6_token_counts": op6_token_counts,
     "op8_line_dedup": op8_line_dedup,
+    "op9_ordinal_quality": op9_ordinal_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
