@@ -1,0 +1 @@
+"""Process analytics over event logs as Spark plans."""
