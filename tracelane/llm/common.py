@@ -72,7 +72,8 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
 
     def run(batches):
         for batch in batches:
-            yield from fn(batch)
+            if batch.num_rows:
+                yield from fn(batch)
 
     return df.mapInArrow(run, schema)
 

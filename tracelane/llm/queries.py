@@ -11,6 +11,7 @@ from tracelane.llm import language_id, ordinal_quality, suffix_tree_lm
 from tracelane.llm.byte_bpe import codec_digests
 from tracelane.llm.common import read_table
 from tracelane.llm.line_dedup import line_dedup
+from tracelane.llm.suffix_dedup import suffix_dedup
 from tracelane.llm.token_counts import length_histogram, suffix_totals
 
 
@@ -46,6 +47,11 @@ def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal_quality.grade(docs, model).select("doc_id", "expected_grade", "tail_prob", "keep")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_language_id": op3_language_id,
@@ -53,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op8_line_dedup": op8_line_dedup,
     "op9_ordinal_quality": op9_ordinal_quality,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
