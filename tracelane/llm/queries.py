@@ -11,6 +11,7 @@ from tracelane.llm import language_id, ordinal_quality, suffix_tree_lm
 from tracelane.llm.byte_bpe import codec_digests
 from tracelane.llm.common import read_table
 from tracelane.llm.line_dedup import line_dedup
+from tracelane.llm.media import read_media, store_media
 from tracelane.llm.suffix_dedup import suffix_dedup
 from tracelane.llm.token_counts import length_histogram, suffix_totals
 
@@ -26,6 +27,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (language_id.fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", F.size("mixture").cast("long").alias("n_languages"))
 
 
+def op4_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = read_media(store_media(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return out.select(
+        "doc_id", "n_bytes", "payload_bytes", F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", "n_blocks",
+    )
+
+
 def op5_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = suffix_tree_lm.score(docs, docs.where(language_id.fold("doc_id", 5) != 1))
@@ -55,6 +64,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_language_id": op3_language_id,
+    "op4_flac_media": op4_flac_media,
     "op5_suffix_tree_lm": op5_suffix_tree_lm,
     "op6_token_counts": op6_token_counts,
     "op8_line_dedup": op8_line_dedup,
