@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracelane.llm import language_id, ordinal_quality, suffix_tree_lm
 from tracelane.llm.byte_bpe import codec_digests
 from tracelane.llm.common import read_table
+from tracelane.llm.decontaminate import find_items
 from tracelane.llm.line_dedup import line_dedup
 from tracelane.llm.media import read_media, store_media
 from tracelane.llm.suffix_dedup import suffix_dedup
@@ -45,6 +46,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_totals(length_histogram(read_table(spark, sf_dir, "documents")))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_flac_media": op4_flac_media,
     "op5_suffix_tree_lm": op5_suffix_tree_lm,
     "op6_token_counts": op6_token_counts,
+    "op7_decontaminate": op7_decontaminate,
     "op8_line_dedup": op8_line_dedup,
     "op9_ordinal_quality": op9_ordinal_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
