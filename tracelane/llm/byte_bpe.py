@@ -136,7 +136,8 @@ def encode_column(text: Column, ranks: str | None = None, pattern: str | None =
     def encode(texts: pa.Array) -> pa.Array:
         return _flat([x for group in text_groups(strings(texts)) for x in codec(ranks, pattern).encode(group)])
 
-    return encode(text.cast("string"))
+    # As if not deterministic: else what reads the identifiers, such as decoding, would be fused with a second encoding.
+    return encode.asNondeterministic()(text.cast("string"))
 
 
 def count_column(text: Column, ranks: str | None = None, pattern: str | None = None) -> Column:
