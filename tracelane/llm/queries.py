@@ -11,6 +11,7 @@ from tracelane.llm import language_id, ordinal_quality, suffix_tree_lm
 from tracelane.llm.byte_bpe import codec_digests
 from tracelane.llm.common import read_table
 from tracelane.llm.decontaminate import find_items
+from tracelane.llm.jaccard_join import jaccard_groups
 from tracelane.llm.line_dedup import line_dedup
 from tracelane.llm.media import read_media, store_media
 from tracelane.llm.suffix_dedup import suffix_dedup
@@ -21,6 +22,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(read_table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = language_id.learn(docs.where(language_id.fold("doc_id", 3) != 1))
@@ -68,6 +73,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_language_id": op3_language_id,
     "op4_flac_media": op4_flac_media,
     "op5_suffix_tree_lm": op5_suffix_tree_lm,
