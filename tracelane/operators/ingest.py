@@ -26,6 +26,7 @@ def parse_time(text: Column, zone: str = "UTC") -> Column:
     """
     s = strip(text)
     iso = F.regexp_replace(s, "[tT]", " ")
+    iso = F.regexp_replace(iso, r"^(\S+ \d{1,2}:\d{2})(|[zZ]|[+-]\d{2}:?\d{2})$", "$1:00$2")  # a cast wants seconds
     day = F.when(iso.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.concat(iso, F.lit(" 00:00:00"))).otherwise(iso)
     with_zone = s.rlike(_OFFSET) & s.rlike(":")
     local = F.coalesce(
