@@ -21,12 +21,15 @@ CHUNK_BYTES, CHUNK_ROWS_LOG2 = 4_000_000, 13
 NAME_BITS, CLASS_BITS = 46, 5
 #: Shingles in so many documents of a batch are counted, and the MOST frequent of them are known to all tasks.
 FREQUENT_HERE, MOST_FREQUENT = 3, 1 << 20
-#: Regions of at most so many sets are joined outright; larger ones around leaders, so many a round.
-REGION = 32
+#: Regions of at most SMALL sets are joined outright; larger ones around a leader, then around so many more a round.
+SMALL, REGION = 3, 32
+#: Buckets of the histogram of a set, whose difference is a lower bound of the symmetric difference of two sets.
+BUCKETS_LOG2 = 8
 _NAME_MASK = np.uint64((1 << NAME_BITS) - 1)
 _KEY_MASK = np.uint64((1 << (NAME_BITS + CLASS_BITS)) - 1)
-_KINDS = {"a": np.int64, "b": np.int64, "n": np.int32}
+_KINDS = {"a": np.int64, "b": np.int64, "n": np.int32, "h": np.uint8}
 _ENTRIES = {"a": np.uint32, "b": np.int64, "n": np.int32}
+_BUCKETS = 1 << BUCKETS_LOG2
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +103,12 @@ def set_ids(row: np.ndarray, key: np.ndarray, rows: int) -> tuple[np.ndarray, np
     return (mix(total * np.uint64(3) + cross) >> np.uint64(1)).astype(np.int64), size
 
 
+def histograms(row: np.ndarray, key: np.ndarray, rows: int) -> np.ndarray:
+    """[row, bucket] counts of each set's shingles, 255 at most."""
+    bucket = (mix(key & _NAME_MASK) >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64)
+    return np.minimum(np.bincount(row * _BUCKETS + bucket, minlength=rows * _BUCKETS), 255).astype(np.uint8).reshape(rows, _BUCKETS)
+
+
 def frequent_shingles(texts: DataFrame, most: int = MOST_FREQUENT) -> Frequent:
     """Counts over all texts of the shingles that several documents of some batch share."""
 
@@ -152,7 +161,7 @@ class JaccardJoin:
                 row, key = sets(data, offsets, shared.value)
                 own, size = set_ids(row, key, b - a)
                 docs.append(ids[a:b])
-                whole.append((own, size))
+                whole.append((own, size, histograms(row, key, b - a)))
                 new = np.zeros(b - a, bool)
                 for i in np.unique(own, return_index=True)[1].tolist():  # copies within the batch send their pivots once
                     if own[i] not in seen:
@@ -162,18 +171,20 @@ class JaccardJoin:
                 pivots = size - -(-percent * size // 100) + 1
                 some = new[row] & (place < pivots[row])
                 entries.append((mix(key[some] & _NAME_MASK), own[row[some]], size[row[some]]))
-            own, size = (np.concatenate(x) for x in zip(*whole, strict=True))
-            yield blobs.pack(np.full(len(own), -1), {"a": np.concatenate(docs), "b": own, "n": size}, _KINDS)
+            own, size, histogram = (np.concatenate(x) for x in zip(*whole, strict=True))
+            yield blobs.pack(np.full(len(own), -1), {"a": np.concatenate(docs), "b": own, "n": size, "h": histogram}, _KINDS)
             name, own, size = (np.concatenate(x) for x in zip(*entries, strict=True))
-            yield blobs.pack(blobs.part_of(name, ranges), {"a": (name & np.uint64(0xFFFFFFFF)).astype(np.uint32), "b": own, "n": size}, _ENTRIES)
+            sent = blobs.pack(blobs.part_of(name, ranges), {"a": (name & np.uint64(0xFFFFFFFF)).astype(np.uint32), "b": own, "n": size}, _ENTRIES)
+            yield pa.RecordBatch.from_arrays([*sent.columns, pa.nulls(sent.num_rows, pa.binary())], ["part", *_KINDS])
 
         packed = self.scratch.save(map_batches(self.docs, cut, blobs.schema(_KINDS)), "packed")
 
         def rows(batch: pa.RecordBatch):
             own = blobs.unpack(pa.Table.from_batches([batch]), _KINDS)
-            yield pa.RecordBatch.from_arrays([pa.array(own["a"]), pa.array(own["b"]), pa.array(own["n"].astype(np.int64))], ["doc", "set", "n"])
+            bodies = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_BUCKETS), len(own["a"]), [None, pa.py_buffer(own["h"])]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(own["a"]), pa.array(own["b"]), pa.array(own["n"].astype(np.int64)), bodies], ["doc", "set", "n", "histogram"])
 
-        members = self.scratch.save(map_batches(packed.where("part = -1"), rows, "doc long, set long, n long"), "members")
+        members = self.scratch.save(map_batches(packed.where("part = -1"), rows, "doc long, set long, n long, histogram binary"), "members")
 
         def meet(own: dict[str, np.ndarray]) -> pa.Table:
             """Candidate pairs of small regions; large regions: pairs with the leader, and the members (b null)."""
@@ -183,9 +194,9 @@ class JaccardJoin:
             name, set_, size = name[new], set_[new], size[new]
             start = np.flatnonzero(blobs.firsts(name)) if len(name) else np.zeros(0, np.int64)
             count = np.diff(np.append(start, len(name)))
-            small = (count > 1) & (count <= REGION)
+            small = (count > 1) & (count <= SMALL)
             a, b = _pairs_within(start[small], count[small])
-            large = count > REGION
+            large = count > SMALL
             lead = np.repeat(start[large], count[large])
             member = lead + np.arange(len(lead)) - np.repeat(np.cumsum(count[large]) - count[large], count[large])
             a, b = np.append(a, lead[member != lead]), np.append(b, member[member != lead])
@@ -199,7 +210,7 @@ class JaccardJoin:
                 "leader": pa.concat_arrays([none(n_pairs), pa.array(set_[lead])]),
             })
 
-        met = self.scratch.save(blobs.reduce_parts(packed.where("part >= 0"), meet, _ENTRIES, "a long, b long, region long, n long, leader long"), "met")
+        met = self.scratch.save(blobs.reduce_parts(packed.where("part >= 0").drop("h"), meet, _ENTRIES, "a long, b long, region long, n long, leader long"), "met")
         self.scratch.drop("packed")
         large = met.where("b IS NULL").select(F.xxhash64("region", "leader").alias("region"), F.col("a").alias("set"), "n")
         # Copies of one near-duplicate group meet in many regions of the same members: one of them is enough.
@@ -224,10 +235,19 @@ class JaccardJoin:
 
     def verified(self, members: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
         """(a, b) of the pairs that are linked, by their whole sets."""
-        pairs = self.scratch.save(pairs, f"pairs{label}")
+        percent = self.percent
+
+        @F.arrow_udf("boolean")
+        def near(left: pa.Array, right: pa.Array, sizes: pa.Array) -> pa.Array:
+            """Whether the histograms leave room for a link: the symmetric difference is at most (1 - t) / (1 + t) of both sizes."""
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, _BUCKETS).astype(np.int16) for c in (left, right))
+            return pa.array(np.abs(x - y).sum(axis=1) * (100 + percent) <= sizes.to_numpy() * (100 - percent), pa.bool_())
+
+        sketch = members.select("set", "n", "histogram").dropDuplicates(["set"])
+        drawn = pairs.join(sketch.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("histogram").alias("ha")), "a").join(sketch.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("histogram").alias("hb")), "b")
+        pairs = self.scratch.save(drawn.where(near("ha", "hb", F.col("na") + F.col("nb"))).select("a", "b"), f"pairs{label}")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
         bodies = self.scratch.save(self.bodies(members, wanted), f"bodies{label}")
-        percent = self.percent
 
         @F.arrow_udf("boolean")
         def linked(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -303,7 +323,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     join = JaccardJoin(docs, id_col, text_col, percent)
     members, labels = join.groups()
-    grouped = members.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
+    grouped = members.drop("histogram").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
     least = grouped.where("n > 0").groupBy("label").agg(F.min("doc").alias("least"))
     out = grouped.join(least, "label", "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias("component_id"))
