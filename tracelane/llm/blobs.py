@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text per hash range; the number of ranges grows with the input so that a range stays in a task's memory.
-RANGE_BYTES = 12_000_000
+RANGE_BYTES = 6_000_000
 LEAST_RANGES = 16
 
 
@@ -29,7 +29,7 @@ def pack(part: np.ndarray, columns: dict[str, np.ndarray], kinds: dict[str, type
     order = np.argsort(part, kind="stable")
     part = part[order]
     starts = np.flatnonzero(np.diff(part, prepend=-2))
-    ends = np.append(starts[1:], len(part))
+    ends = np.append(starts[1:], len(part))[: len(starts)]
     arrays: list[pa.Array] = [pa.array(part[starts].astype(np.int32), pa.int32())]
     for c, kind in kinds.items():
         own = np.ascontiguousarray(columns[c][order].astype(kind, copy=False))

@@ -13,6 +13,8 @@ from tracelane.llm.common import RangeHash, Scratch, byte_view, chunks, id_key,
 #: Bytes of a sampled gram. A string of ``width`` bytes has width - GRAM + 1 of them; its smallest is its sample.
 GRAM = 32
 CHUNK_BYTES = 2_000_000
+#: Bytes of text whose repeats are settled together before anything is sent.
+SLICE_BYTES = 8_000_000
 #: Low bits of a sort key that hold a position within a part; parts (single huge documents) beyond it are refused.
 _PLACE = np.uint64((1 << 28) - 1)
 _RUNS = {"name": np.uint32, "run": np.uint32, "doc": np.int64, "salt": np.int64, "start": np.int32, "size": np.uint8}
@@ -78,24 +80,27 @@ def repeated_spans(docs: DataFrame, width: int, id_col: str, text_col: str, scra
     keyed = docs.select(id_key(id_col).alias("doc"), F.xxhash64(F.col(text_col).cast("string")).alias("salt"), F.col(text_col).cast("binary").alias("body")).where(F.octet_length("body") >= width)
     ranges = blobs.text_ranges(docs, text_col)
 
-    def parts(batch: pa.RecordBatch):
+    def slices(batch: pa.RecordBatch):
+        """Slices of the batch, each as a list of parts."""
         ids, salts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         data, offsets = byte_view(batch.column(2))
-        for a, b in chunks(offsets, CHUNK_BYTES):
-            yield ids[a:b], salts[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], a
+        for low, high in chunks(offsets, SLICE_BYTES):
+            inner = [(low + a, low + b) for a, b in chunks(offsets[low : high + 1], CHUNK_BYTES)]
+            yield ((ids[a:b], salts[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], a) for a, b in inner)
 
     def map_runs(batch: pa.RecordBatch):
-        """Runs by range of their name; of equal runs of a batch only the first, the others are spans at once (part -1)."""
-        found = []
-        for ids, salts, data, offsets, _ in parts(batch):
-            row, start, size, name, run = sample_runs(RangeHash(data), offsets, width)
-            found.append((name, run, ids[row], salts[row], (start - offsets[row]).astype(np.int32), size.astype(np.uint8)))
-        name, run, doc, salt, start, size = (np.concatenate(c) for c in zip(*found, strict=True))
-        order = np.lexsort((start, salt, doc, run, name))
-        name, run, doc, salt, start, size = (c[order] for c in (name, run, doc, salt, start, size))
-        first = blobs.firsts(name, run)
-        own = {"name": (name & np.uint64(0xFFFFFFFF)).astype(np.uint32), "run": (run >> np.uint64(32)).astype(np.uint32), "doc": doc, "salt": salt, "start": start, "size": size}
-        yield blobs.pack(np.where(first, blobs.part_of(name, ranges), -1), own, _RUNS)
+        """Runs by range of their name; of equal runs of a slice only the first, the others are spans at once (part -1)."""
+        for parts in slices(batch):
+            found = []
+            for ids, salts, data, offsets, _ in parts:
+                row, start, size, name, run = sample_runs(RangeHash(data), offsets, width)
+                found.append((name, run, ids[row], salts[row], (start - offsets[row]).astype(np.int32), size.astype(np.uint8)))
+            name, run, doc, salt, start, size = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((start, salt, doc, run, name))
+            name, run, doc, salt, start, size = (c[order] for c in (name, run, doc, salt, start, size))
+            first = blobs.firsts(name, run)
+            own = {"name": (name & np.uint64(0xFFFFFFFF)).astype(np.uint32), "run": (run >> np.uint64(32)).astype(np.uint32), "doc": doc, "salt": salt, "start": start, "size": size}
+            yield blobs.pack(np.where(first, blobs.part_of(name, ranges), -1), own, _RUNS)
 
     runs = scratch.save(map_batches(keyed, map_runs, blobs.schema(_RUNS)), "runs")
 
@@ -127,23 +132,23 @@ def repeated_spans(docs: DataFrame, width: int, id_col: str, text_col: str, scra
     again = keyed.join(open_runs, ["doc", "salt"]).select("doc", "salt", "body", "starts", "ends")
 
     def map_windows(batch: pa.RecordBatch):
-        """Every string of the open runs by range of its hash; of equal ones of a batch only the first, the others are part -1."""
+        """Every string of the open runs by range of its hash; of equal ones of a slice only the first, the others are part -1."""
         starts_at, from_, to = (np.asarray(batch.column(3).offsets), batch.column(3).values.to_numpy(), batch.column(4).values.to_numpy()) if len(batch) else (np.zeros(1, int), np.zeros(0, int), np.zeros(0, int))
-        found = []
-        for ids, salts, data, offsets, a in parts(batch):
-            n = len(offsets) - 1
-            own = slice(starts_at[a], starts_at[a + n])
-            row = np.repeat(np.arange(n), np.diff(starts_at[a : a + n + 1]))
-            size = to[own] - from_[own] - width + 1
-            begin = np.repeat(from_[own] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(int(size.sum()))
-            row = np.repeat(row, size)
-            place = begin + offsets[row]
-            found.append((RangeHash(data).windows(width)[place], ids[row], salts[row], begin.astype(np.int32)))
-        name, doc, salt, start = (np.concatenate(c) for c in zip(*found, strict=True))
-        order = np.lexsort((start, salt, doc, name))
-        name, doc, salt, start = (c[order] for c in (name, doc, salt, start))
-        first = blobs.firsts(name)
-        yield blobs.pack(np.where(first, blobs.part_of(name, ranges), -1), {"name": (name & np.uint64(0xFFFFFFFF)).astype(np.uint32), "doc": doc, "salt": salt, "start": start}, _WINDOWS)
+        for parts in slices(batch):
+            found = []
+            for ids, salts, data, offsets, a in parts:
+                n = len(offsets) - 1
+                own = slice(starts_at[a], starts_at[a + n])
+                row = np.repeat(np.arange(n), np.diff(starts_at[a : a + n + 1]))
+                size = to[own] - from_[own] - width + 1
+                begin = np.repeat(from_[own] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(int(size.sum()))
+                row = np.repeat(row, size)
+                found.append((RangeHash(data).windows(width)[begin + offsets[row]], ids[row], salts[row], begin.astype(np.int32)))
+            name, doc, salt, start = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((start, salt, doc, name))
+            name, doc, salt, start = (c[order] for c in (name, doc, salt, start))
+            first = blobs.firsts(name)
+            yield blobs.pack(np.where(first, blobs.part_of(name, ranges), -1), {"name": (name & np.uint64(0xFFFFFFFF)).astype(np.uint32), "doc": doc, "salt": salt, "start": start}, _WINDOWS)
 
     windows = scratch.save(map_batches(again, map_windows, blobs.schema(_WINDOWS)), "windows")
 
@@ -174,8 +179,8 @@ def suffix_dedup(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text
 
     Plan: sampled grams that equal strings share by construction stand for the runs of strings around them. Runs are
     named and sorted by range of the name; equal runs are settled there, and only runs that share a name but differ are
-    looked at string by string, sorted and compared with their neighbours. Each batch first settles what repeats
-    within itself, so a passage in a third of all documents costs one record per batch.
+    looked at string by string, sorted and compared with their neighbours. Each slice of the input first settles what
+    repeats within itself, so a passage in a third of all documents costs one record per slice.
     """
     if width < GRAM + 1 or width - GRAM + 1 > 255:
         raise ValueError(f"width must be {GRAM + 1} to {GRAM + 254}")
