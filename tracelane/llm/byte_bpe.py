@@ -4,21 +4,19 @@ from __future__ import annotations
 
 import base64
 import functools
-import re
+import itertools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelane.llm.common import strings, with_columns_last
+from tracelane.llm.common import RangeHash, byte_view, chunks, list_array, strings, with_columns_last
 
-#: A cut before a lone space between two words. No match of the public pattern spans it, so the parts encode apart.
-_UNITS = re.compile(r"(?<=\S)(?= \S)")
-#: Encoded units remembered by a worker; the cache is emptied when full.
-CACHE_UNITS = 400_000
-#: Code units of text encoded before results are handed on.
-CHUNK_CHARS = 4_000_000
+#: Slots for encoded units in a worker, and tokens that they may hold before all are emptied.
+SLOTS_LOG2, POOL_TOKENS = 21, 8_000_000
+#: Bytes of text that are cut into units at a time.
+CHUNK_BYTES = 2_000_000
 
 
 def default_ranks() -> str:
@@ -40,23 +38,16 @@ def byte_characters() -> list[str]:
     return [chr(b if b in visible else next(spare)) for b in range(256)]
 
 
-class Codec:
-    """A rank file as a tokenizers-library BPE model, and its inverse byte table.
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
-    The rank file merges any two neighbours whose concatenation is a token, lowest rank first, so every split of a
-    token into two tokens is listed as a merge, in rank order; a piece that is a token is taken whole.
-    """
 
-    def __init__(self, path: str, pattern: str):
-        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+class ByteTable:
+    """The bytes of every token: what decoding needs."""
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        chars = byte_characters()
-        spell = lambda token: "".join(chars[b] for b in token)
-        merges = [(spell(t[:i]), spell(t[i:])) for t, _ in sorted(ranks.items(), key=lambda x: x[1]) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.tokenizer = Tokenizer(models.BPE(vocab={spell(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
-        self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    def __init__(self, path: str):
+        ranks = read_ranks(path)
         size = max(ranks.values()) + 1
         self.lengths = np.zeros(size, np.int64)
         for token, rank in ranks.items():
@@ -66,21 +57,6 @@ class Codec:
         for token, rank in ranks.items():
             table[self.starts[rank] : self.starts[rank] + len(token)] = token
         self.table = np.frombuffer(bytes(table), np.uint8)
-        self._cache: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Identifiers (int32) of each text."""
-        parts = [_UNITS.split(t) if t else [] for t in texts]
-        cache = self._cache
-        new = list({u for p in parts for u in p if u not in cache})
-        if len(cache) + len(new) > CACHE_UNITS:
-            cache.clear()
-            new = list({u for p in parts for u in p})
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for unit, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                cache[unit] = np.array(got.ids, np.int32).tobytes()
-        return [np.frombuffer(b"".join(map(cache.__getitem__, p)), np.int32) for p in parts]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of all tokens in order."""
@@ -92,6 +68,130 @@ class Codec:
         return self.table[np.arange(total) + shift].tobytes()
 
 
+_VISIBLE = np.zeros(256, bool)
+_VISIBLE[33:127] = True
+_LETTERS = np.zeros(256, bool)
+_LETTERS[[*range(65, 91), *range(97, 123)]] = True
+_STOPS = np.zeros(256, bool)
+_STOPS[list(b".,;:!?)(\"")] = True
+
+
+def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where texts can be cut so that the parts encode apart: before a lone space between two other characters, between an
+    ASCII letter and punctuation but the apostrophe, and around a lone line end.
+
+    No match of the pattern spans such a place. Next to characters of three bytes that begin like Unicode white space, and
+    to the white space of two bytes, nothing is cut, which only makes units longer.
+    """
+    n = len(data)
+    at = np.flatnonzero(data == 32)
+    at = at[(at > 0) & (at + 1 < n)]
+    before, after = data[at - 1], data[at + 1]
+    two, second = data[np.maximum(at - 2, 0)], data[np.minimum(at + 2, n - 1)]
+    blank = lambda x: (x == 0x85) | (x == 0xA0)
+    wide = lambda x: (x >= 0xE1) & (x <= 0xE3)
+    left = (before > 32) & ~((before >= 0x80) & ((two == 0xC2) & blank(before) | wide(data[np.maximum(at - 3, 0)])))
+    right = (after > 32) & ~((after == 0xC2) & blank(second) | wide(after))
+    cut = np.zeros(n + 1, bool)
+    cut[at[left & right]] = True
+    stop = np.flatnonzero(_STOPS[data[1:]]) + 1
+    cut[stop[_LETTERS[data[stop - 1]]]] = True
+    end = np.flatnonzero(data[1:-1] == 10) + 1 if n > 2 else stop[:0]
+    end = end[_VISIBLE[data[end - 1]]]
+    cut[end] = True
+    cut[end[_VISIBLE[data[end + 1]]] + 1] = True
+    cut[offsets[:-1]] = True
+    return np.flatnonzero(cut[:-1])
+
+
+class Codec(ByteTable):
+    """A rank file as a tokenizers-library BPE model, beside its inverse byte table.
+
+    The rank file merges any two neighbours whose concatenation is a token, lowest rank first, so every split of a
+    token into two tokens is listed as a merge, in rank order; a piece that is a token is taken whole.
+
+    Units that were encoded are remembered by the 64-bit hash of their bytes, one per slot, so a frequent word goes to the
+    library once.
+    """
+
+    def __init__(self, path: str, pattern: str):
+        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+
+        super().__init__(path)
+        ranks = read_ranks(path)
+        chars = byte_characters()
+        spell = lambda token: "".join(chars[b] for b in token)
+        merges = [(spell(t[:i]), spell(t[i:])) for t, _ in sorted(ranks.items(), key=lambda x: x[1]) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        self.tokenizer = Tokenizer(models.BPE(vocab={spell(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
+        self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self._reset()
+
+    def _reset(self) -> None:
+        self._hash = np.zeros(1 << SLOTS_LOG2, np.uint64)
+        self._start, self._size = np.zeros(1 << SLOTS_LOG2, np.int32), np.zeros(1 << SLOTS_LOG2, np.int32)
+        self._pool, self._used = np.zeros(1 << 16, np.int32), 0
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) in the pool of units newly encoded."""
+        body = data.tobytes()
+        units = [body[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        sizes, ids = [], []
+        for i in range(0, len(units), 20_000):
+            own = [got.ids for got in self.tokenizer.encode_batch_fast(units[i : i + 20_000], add_special_tokens=False)]
+            sizes += map(len, own)
+            ids += itertools.chain.from_iterable(own)
+        size = np.array(sizes, np.int32)
+        while self._used + len(ids) > len(self._pool):
+            self._pool = np.concatenate([self._pool, np.zeros_like(self._pool)])
+        self._pool[self._used : self._used + len(ids)] = ids
+        start = self._used + np.cumsum(size) - size
+        self._used += len(ids)
+        return start.astype(np.int32), size
+
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(identifiers (int32) of all texts, how many each has)."""
+        rows = len(offsets) - 1
+        starts = unit_starts(data, offsets)
+        if not len(starts):
+            return np.zeros(0, np.int32), np.zeros(rows, np.int64)
+        if self._used > POOL_TOKENS:
+            self._reset()
+        ends = np.append(starts[1:], len(data))
+        hashes = RangeHash(data).ranges(starts, ends) | np.uint64(1)
+        slot = (hashes >> np.uint64(64 - SLOTS_LOG2)).astype(np.int64)
+        begin, size = self._start[slot], self._size[slot]
+        missed = np.flatnonzero(self._hash[slot] != hashes)
+        if len(missed):
+            new, first, back = np.unique(hashes[missed], return_index=True, return_inverse=True)
+            own = missed[first]
+            at, n = self._learn(data, starts[own], ends[own])
+            begin[missed], size[missed] = at[back], n[back]
+            self._hash[slot[own]], self._start[slot[own]], self._size[slot[own]] = new, at, n
+        shift = np.repeat(begin - (np.cumsum(size) - size), size)
+        ids = self._pool[np.arange(int(size.sum())) + shift]
+        row = np.searchsorted(offsets, starts, "right") - 1
+        return ids, np.bincount(row, size, rows).astype(np.int64)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Identifiers (int32) of each text."""
+        ids, sizes = self.encode_column(pa.array(texts, pa.string()))
+        ends = np.cumsum(sizes)
+        return [ids[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, offsets = byte_view(texts)
+        parts = [self.encode_bytes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(offsets, CHUNK_BYTES)]
+        if not parts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        return tuple(map(np.concatenate, zip(*parts, strict=True)))  # type: ignore[return-value]
+
+
+@functools.lru_cache(maxsize=2)
+def byte_table(path: str) -> ByteTable:
+    """One per worker and vocabulary."""
+    return ByteTable(path)
+
+
 @functools.lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     """One per worker and vocabulary."""
@@ -109,19 +209,6 @@ def character_starts(text: str, codes: np.ndarray, lengths: np.ndarray) -> np.nd
     return character[np.cumsum(own) - own].astype(np.int32)
 
 
-def text_groups(texts: list[str]):
-    """Runs of texts of about CHUNK_CHARS; a text is never split."""
-    group, size = [], 0
-    for text in texts:
-        if group and size + len(text) > CHUNK_CHARS:
-            yield group
-            group, size = [], 0
-        group.append(text)
-        size += len(text)
-    if group:
-        yield group
-
-
 def _flat(rows: list[np.ndarray]) -> pa.Array:
     sizes = np.array([len(x) for x in rows], np.int64)
     values = np.concatenate(rows) if rows else np.zeros(0, np.int32)
@@ -134,7 +221,8 @@ def encode_column(text: Column, ranks: str | None = None, pattern: str | None =
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        return _flat([x for group in text_groups(strings(texts)) for x in codec(ranks, pattern).encode(group)])
+        ids, sizes = codec(ranks, pattern).encode_column(texts)
+        return list_array(ids, np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
 
     # As if not deterministic: else what reads the identifiers, such as decoding, would be fused with a second encoding.
     return encode.asNondeterministic()(text.cast("string"))
@@ -146,30 +234,30 @@ def count_column(text: Column, ranks: str | None = None, pattern: str | None = N
 
     @F.arrow_udf("bigint")
     def count(texts: pa.Array) -> pa.Array:
-        return pa.array([len(x) for group in text_groups(strings(texts)) for x in codec(ranks, pattern).encode(group)], pa.int64())
+        return pa.array(codec(ranks, pattern).encode_column(texts)[1], pa.int64())
 
     return count(text.cast("string"))
 
 
-def offsets_column(text: Column, ids: Column, ranks: str | None = None, pattern: str | None = None) -> Column:
+def offsets_column(text: Column, ids: Column, ranks: str | None = None) -> Column:
     """For each token the index of the character that holds its first byte, as array<int>."""
-    ranks, pattern = ranks or default_ranks(), pattern or default_pattern()
+    ranks = ranks or default_ranks()
 
     @F.arrow_udf("array<int>")
     def offsets(texts: pa.Array, codes: pa.Array) -> pa.Array:
-        lengths = codec(ranks, pattern).lengths
+        lengths = byte_table(ranks).lengths
         return _flat([character_starts(t, np.array(c or [], np.int64), lengths) if c else np.zeros(0, np.int32) for t, c in zip(strings(texts), codes.to_pylist(), strict=True)])
 
     return offsets(text.cast("string"), ids)
 
 
-def decode_column(ids: Column, ranks: str | None = None, pattern: str | None = None) -> Column:
+def decode_column(ids: Column, ranks: str | None = None) -> Column:
     """Bytes of the tokens ``ids``; they may begin or end inside a character."""
-    ranks, pattern = ranks or default_ranks(), pattern or default_pattern()
+    ranks = ranks or default_ranks()
 
     @F.arrow_udf("binary")
     def decode(codes: pa.Array) -> pa.Array:
-        own = codec(ranks, pattern)
+        own = byte_table(ranks)
         values = np.asarray(codes.flatten().fill_null(0))
         sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(codes), 0))
         ends = np.cumsum(sizes)
@@ -198,13 +286,13 @@ def encode_documents(docs: DataFrame, text_col: str = "text", offsets: bool = Fa
     new = {"token_ids": encode_column(F.col(text_col), ranks, pattern)}
     out = with_columns_last(docs, docs.columns, new)
     if offsets:
-        out = with_columns_last(out, out.columns, {"token_starts": offsets_column(F.col(text_col), F.col("token_ids"), ranks, pattern)})
+        out = with_columns_last(out, out.columns, {"token_starts": offsets_column(F.col(text_col), F.col("token_ids"), ranks)})
     return out
 
 
-def decode_documents(encoded: DataFrame, ids_col: str = "token_ids", as_text: bool = False, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+def decode_documents(encoded: DataFrame, ids_col: str = "token_ids", as_text: bool = False, ranks: str | None = None) -> DataFrame:
     """``encoded`` with ``decoded`` (binary) and, if asked for, ``decoded_text``; null or no identifiers give no bytes."""
-    out = with_columns_last(encoded, encoded.columns, {"decoded": decode_column(F.col(ids_col), ranks, pattern)})
+    out = with_columns_last(encoded, encoded.columns, {"decoded": decode_column(F.col(ids_col), ranks)})
     if as_text:
         out = with_columns_last(out, out.columns, {"decoded_text": decode_text_column(F.col("decoded"))})
     return out
