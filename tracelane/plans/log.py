@@ -47,14 +47,18 @@ class ProcessLog:
 
     @cached_property
     def deviations(self) -> DataFrame:
-        return self._kept(deviations.deviations(self.frame, self.cases, self.variants, self.dominant, self.completion, self.config))
+        return self._kept(deviations.deviations(self.frame, self.cases, self.aligned, self.dominant, self.completion, self.config))
 
     @cached_property
     def bottlenecks(self) -> DataFrame:
         return bottlenecks.score(bottlenecks.wait_stats(self.frame), self.config)
 
+    @cached_property
+    def aligned(self) -> DataFrame:
+        return self._kept(deviations.aligned_variants(self.variants, self.dominant, self.completion))
+
     def conformance(self) -> DataFrame:
-        return deviations.conformance(self.cases, deviations.aligned_variants(self.variants, self.dominant, self.completion), self.dominant)
+        return deviations.conformance(self.cases, self.aligned, self.dominant)
 
     def edges(self) -> DataFrame:
         return graph.edges(self.frame, self.cases)
@@ -80,7 +84,7 @@ class ProcessLog:
         return one
 
     def release(self) -> None:
-        for name in ("frame", "cases", "variants", "deviations"):
+        for name in ("frame", "cases", "variants", "aligned", "deviations"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()
 

@@ -29,12 +29,13 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, DIGITS).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
-def daily(spark, d, start=False) -> ProcessLog:
-    return ProcessLog(adapters.daily(spark, d, start))
+def daily(spark, d, start=False, keep=False) -> ProcessLog:
+    """``keep``: frame, cases and variants are persisted, for plans that read them several times."""
+    return ProcessLog(adapters.daily(spark, d, start), persist=keep)
 
 
-def conv(spark, d) -> ProcessLog:
-    return ProcessLog(adapters.conv(spark, d))
+def conv(spark, d, keep=False) -> ProcessLog:
+    return ProcessLog(adapters.conv(spark, d), persist=keep)
 
 
 def order(spark, d) -> ProcessLog:
@@ -68,11 +69,11 @@ def completion_activities(spark, d):
 
 
 def dominant_path_conv(spark, d):
-    return conv(spark, d).dominant.select(text.trace_text("trace").alias("trace_text"), "variant_id", "case_count")
+    return conv(spark, d, keep=True).dominant.select(text.trace_text("trace").alias("trace_text"), "variant_id", "case_count")
 
 
 def case_metrics(spark, d):
-    return rounded(daily(spark, d).case_metrics())
+    return rounded(daily(spark, d, keep=True).case_metrics())
 
 
 def dfg_edges(spark, d):
@@ -131,23 +132,23 @@ def rework(spark, d):
 
 
 def alignment_deviations(spark, d):
-    log = conv(spark, d)
+    log = conv(spark, d, keep=True)
     return log.deviations.select("case_id", "type", "activity", "ts_us", "description", "hours")
 
 
 def alignment_daily(spark, d):
-    log = daily(spark, d)
+    log = daily(spark, d, keep=True)
     return dv.aligned_variants(log.variants, log.dominant, log.completion).select(text.trace_text("trace").alias("trace_text"), "type", "activity", "position", "description")
 
 
 def path_coverage(spark, d):
-    log = conv(spark, d)
+    log = conv(spark, d, keep=True)
     found = dv.aligned_variants(log.variants, log.dominant, log.completion)
     return rounded(found.select(text.trace_text("trace").alias("trace_text"), "coverage").distinct())
 
 
 def case_outcomes(spark, d):
-    log = conv(spark, d)
+    log = conv(spark, d, keep=True)
     return dv.outcomes(log.cases, log.dominant, log.completion).select("case_id", "type", "activity", "ts_us")
 
 
@@ -156,22 +157,22 @@ def long_transitions(spark, d):
 
 
 def deviation_summary(spark, d):
-    log = conv(spark, d)
+    log = conv(spark, d, keep=True)
     return rounded(dv.summary(log.deviations, log.cases).select("ordinal", "type", "occurrences", "cases", "case_pct", F.array_join(F.transform("top_activities", lambda t: F.concat(t.activity, F.lit(":"), t.occurrences)), ", ").alias("top")))
 
 
 def deviation_summary_sql(spark, d):
-    log = conv(spark, d)
+    log = conv(spark, d, keep=True)
     s = dv.summary(log.deviations.where(F.col("type").isin("loop", "rework", "long_transition", "alternative_outcome", "incomplete_case")), log.cases)
     return rounded(s.select("type", "occurrences", "cases", "case_pct"))
 
 
 def conformance(spark, d):
-    return rounded(conv(spark, d).conformance())
+    return rounded(conv(spark, d, keep=True).conformance())
 
 
 def conformance_rate(spark, d):
-    return rounded(conv(spark, d).conformance().select("conformance_rate_pct"))
+    return rounded(conv(spark, d, keep=True).conformance().select("conformance_rate_pct"))
 
 
 def resources(spark, d):
@@ -221,12 +222,12 @@ def validation_report(spark, d):
 
 
 def count_cases_filters(spark, d):
-    log = conv(spark, d)
+    log = conv(spark, d, keep=True)
     return rounded(tools.count_cases(log, has_activity="assistant", deviation_type="rework", min_hours=2, max_hours=20))
 
 
 def variant_cases_page(spark, d):
-    rows = tools.variant_cases(daily(spark, d), "V1")
+    rows = tools.variant_cases(daily(spark, d, keep=True), "V1")
     return rounded(tools.page(rows, [F.desc("duration_h"), F.col("case_id")], 5, 20))
 
 
@@ -241,7 +242,7 @@ def case_detail(spark, d):
 
 
 def deviations_page(spark, d):
-    rows = tools.deviation_rows(conv(spark, d), type="rework")
+    rows = tools.deviation_rows(conv(spark, d, keep=True), type="rework")
     return tools.page(rows, [F.col("case_id"), F.col("ts_us").asc_nulls_last(), F.col("ordinal")], 10, 100).select("case_id", "type", "activity", "ts_us")
 
 
@@ -263,15 +264,15 @@ def causal_terms(spark, d):
 
 
 def fact_sheet(spark, d):
-    return rounded(tools.facts(conv(spark, d)))
+    return rounded(tools.facts(conv(spark, d, keep=True)))
 
 
 def overview(spark, d):
-    return rounded(daily(spark, d).overview())
+    return rounded(daily(spark, d, keep=True).overview())
 
 
 def overview_conv(spark, d):
-    o = conv(spark, d).overview()
+    o = conv(spark, d, keep=True).overview()
     return rounded(o.select("total_cases", "completed_cases", "total_events", "mean_duration_h", "median_duration_h", "unique_variants", "unique_activities", "top10_coverage_pct", "most_common", "singletons", "conformance_rate_pct"))
 
 
