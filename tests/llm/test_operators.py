@@ -133,7 +133,8 @@ def test_groups(spark, rows):
 
 def test_groups_of_large_regions(spark, monkeypatch):
     """A chain of near copies, each linked to its neighbours only, in regions larger than the bound; and copies by the dozen."""
-    monkeypatch.setattr(jaccard_join, "REGION", 4)
+    monkeypatch.setattr(jaccard_join, "LEADERS", 4)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 5)
     rnd = random.Random(5)
     base = [f"w{i}" for i in range(104)]
     chain = []

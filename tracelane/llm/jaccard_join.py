@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,13 +21,15 @@ CHUNK_BYTES, CHUNK_ROWS_LOG2 = 4_000_000, 13
 NAME_BITS, CLASS_BITS = 46, 5
 #: Shingles in so many documents of a batch are counted, and the MOST frequent of them are known to all tasks.
 FREQUENT_HERE, MOST_FREQUENT = 3, 1 << 20
-#: Regions of at most SMALL sets are joined outright; larger ones around a leader, then around so many more a round.
-SMALL, REGION = 3, 32
+#: Regions of at most SMALL sets are joined outright; larger ones around a leader, then around LEADERS more a round.
+SMALL, LEADERS = 3, 1024
+#: Members of a region that are compared with its leaders at a time.
+BLOCK = 4096
 #: Buckets of the histogram of a set, whose difference is a lower bound of the symmetric difference of two sets.
 BUCKETS_LOG2 = 8
 _NAME_MASK = np.uint64((1 << NAME_BITS) - 1)
 _KEY_MASK = np.uint64((1 << (NAME_BITS + CLASS_BITS)) - 1)
-_KINDS = {"a": np.int64, "b": np.int64, "n": np.int32, "h": np.uint8}
+_KINDS = {"a": np.int64, "b": np.int64, "n": np.int32}
 _ENTRIES = {"a": np.uint32, "b": np.int64, "n": np.int32}
 _BUCKETS = 1 << BUCKETS_LOG2
 
@@ -132,10 +134,6 @@ def _pairs_within(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.n
     return a, b
 
 
-def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-
 class JaccardJoin:
     """The steps of the join over one table; tables between them are written to the shared folder."""
 
@@ -161,7 +159,7 @@ class JaccardJoin:
                 row, key = sets(data, offsets, shared.value)
                 own, size = set_ids(row, key, b - a)
                 docs.append(ids[a:b])
-                whole.append((own, size, histograms(row, key, b - a)))
+                whole.append((own, size))
                 new = np.zeros(b - a, bool)
                 for i in np.unique(own, return_index=True)[1].tolist():  # copies within the batch send their pivots once
                     if own[i] not in seen:
@@ -171,20 +169,18 @@ class JaccardJoin:
                 pivots = size - -(-percent * size // 100) + 1
                 some = new[row] & (place < pivots[row])
                 entries.append((mix(key[some] & _NAME_MASK), own[row[some]], size[row[some]]))
-            own, size, histogram = (np.concatenate(x) for x in zip(*whole, strict=True))
-            yield blobs.pack(np.full(len(own), -1), {"a": np.concatenate(docs), "b": own, "n": size, "h": histogram}, _KINDS)
+            own, size = (np.concatenate(x) for x in zip(*whole, strict=True))
+            yield blobs.pack(np.full(len(own), -1), {"a": np.concatenate(docs), "b": own, "n": size}, _KINDS)
             name, own, size = (np.concatenate(x) for x in zip(*entries, strict=True))
-            sent = blobs.pack(blobs.part_of(name, ranges), {"a": (name & np.uint64(0xFFFFFFFF)).astype(np.uint32), "b": own, "n": size}, _ENTRIES)
-            yield pa.RecordBatch.from_arrays([*sent.columns, pa.nulls(sent.num_rows, pa.binary())], ["part", *_KINDS])
+            yield blobs.pack(blobs.part_of(name, ranges), {"a": (name & np.uint64(0xFFFFFFFF)).astype(np.uint32), "b": own, "n": size}, _ENTRIES)
 
         packed = self.scratch.save(map_batches(self.docs, cut, blobs.schema(_KINDS)), "packed")
 
         def rows(batch: pa.RecordBatch):
             own = blobs.unpack(pa.Table.from_batches([batch]), _KINDS)
-            bodies = pa.FixedSizeBinaryArray.from_buffers(pa.binary(_BUCKETS), len(own["a"]), [None, pa.py_buffer(own["h"])]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(own["a"]), pa.array(own["b"]), pa.array(own["n"].astype(np.int64)), bodies], ["doc", "set", "n", "histogram"])
+            yield pa.RecordBatch.from_arrays([pa.array(own["a"]), pa.array(own["b"]), pa.array(own["n"].astype(np.int64))], ["doc", "set", "n"])
 
-        members = self.scratch.save(map_batches(packed.where("part = -1"), rows, "doc long, set long, n long, histogram binary"), "members")
+        members = self.scratch.save(map_batches(packed.where("part = -1"), rows, "doc long, set long, n long"), "members")
 
         def meet(own: dict[str, np.ndarray]) -> pa.Table:
             """Candidate pairs of small regions; large regions: pairs with the leader, and the members (b null)."""
@@ -210,7 +206,7 @@ class JaccardJoin:
                 "leader": pa.concat_arrays([none(n_pairs), pa.array(set_[lead])]),
             })
 
-        met = self.scratch.save(blobs.reduce_parts(packed.where("part >= 0").drop("h"), meet, _ENTRIES, "a long, b long, region long, n long, leader long"), "met")
+        met = self.scratch.save(blobs.reduce_parts(packed.where("part >= 0"), meet, _ENTRIES, "a long, b long, region long, n long, leader long"), "met")
         self.scratch.drop("packed")
         large = met.where("b IS NULL").select(F.xxhash64("region", "leader").alias("region"), F.col("a").alias("set"), "n")
         # Copies of one near-duplicate group meet in many regions of the same members: one of them is enough.
@@ -219,7 +215,7 @@ class JaccardJoin:
         return members, met.where("b IS NOT NULL").select("a", "b").distinct(), large.join(one.select("region"), "region", "left_semi")
 
     def bodies(self, members: DataFrame, wanted: DataFrame) -> DataFrame:
-        """(set, size, keys) of the wanted sets, from one document of each."""
+        """(set, n, histogram, keys) of the wanted sets, from one document of each."""
         carriers = members.join(wanted, "set", "left_semi").groupBy("set").agg(F.min("doc").alias("doc"))
 
         def body(batch: pa.RecordBatch):
@@ -227,14 +223,16 @@ class JaccardJoin:
             for a, b, data, offsets in _parts(batch.column(1)):
                 row, key = sets(data, offsets)
                 own, size = set_ids(row, key, b - a)
-                ends = np.cumsum(size)
+                ends, histogram = np.cumsum(size), histograms(row, key, b - a)
                 keep = np.flatnonzero(own == wanted[a:b])  # another row of the same identifier may hold another text
-                yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array([key[ends[i] - size[i] : ends[i]].tobytes() for i in keep], pa.binary())], ["set", "keys"])
+                columns = [pa.array(own[keep]), pa.array(size[keep]), pa.array([histogram[i].tobytes() for i in keep], pa.binary()), pa.array([key[ends[i] - size[i] : ends[i]].tobytes() for i in keep], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["set", "n", "histogram", "keys"])
 
-        return map_batches(self.docs.join(carriers, "doc").select("set", "text"), body, "set long, keys binary").dropDuplicates(["set"])
+        found = map_batches(self.docs.join(carriers, "doc").select("set", "text"), body, "set long, n long, histogram binary, keys binary")
+        return self.scratch.save(found.dropDuplicates(["set"]), "bodies")
 
-    def verified(self, members: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
-        """(a, b) of the pairs that are linked, by their whole sets."""
+    def plausible(self, bodies: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The pairs whose histograms leave room for a link."""
         percent = self.percent
 
         @F.arrow_udf("boolean")
@@ -243,11 +241,43 @@ class JaccardJoin:
             x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, _BUCKETS).astype(np.int16) for c in (left, right))
             return pa.array(np.abs(x - y).sum(axis=1) * (100 + percent) <= sizes.to_numpy() * (100 - percent), pa.bool_())
 
-        sketch = members.select("set", "n", "histogram").dropDuplicates(["set"])
+        sketch = bodies.select("set", "n", "histogram")
         drawn = pairs.join(sketch.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("histogram").alias("ha")), "a").join(sketch.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("histogram").alias("hb")), "b")
-        pairs = self.scratch.save(drawn.where(near("ha", "hb", F.col("na") + F.col("nb"))).select("a", "b"), f"pairs{label}")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-        bodies = self.scratch.save(self.bodies(members, wanted), f"bodies{label}")
+        return drawn.where(near("ha", "hb", F.col("na") + F.col("nb"))).select("a", "b")
+
+    def compared(self, known: DataFrame, leaders: DataFrame) -> DataFrame:
+        """Plausible pairs of leaders with members of other groups of their region; members are taken in blocks.
+
+        A pair that meets in several regions is given by the first of them alone.
+        """
+        percent = self.percent
+
+        @F.arrow_udf("array<struct<a:bigint,b:bigint>>")
+        def near(region: pa.Array, sets: pa.Array, sizes: pa.Array, labels: pa.Array, bodies: pa.Array, regions: pa.Array, sets2: pa.Array, sizes2: pa.Array, labels2: pa.Array, bodies2: pa.Array, regions2: pa.Array) -> pa.Array:
+            out = []
+            for here, x, n, own, h, r, y, m, other, g, q in zip(region.to_pylist(), sets, sizes, labels, bodies, regions, sets2, sizes2, labels2, bodies2, regions2, strict=True):
+                r, q = ([frozenset(z) for z in c.as_py()] for c in (r, q))
+                x, n, own, y, m, other = (c.values.to_numpy() for c in (x, n, own, y, m, other))
+                h, g = (np.frombuffer(b"".join(c.values.to_pylist()), np.uint8).reshape(-1, _BUCKETS).astype(np.int16) for c in (h, g))
+                pairs: set[tuple[int, int]] = set()
+                for i in range(len(y)):
+                    some = np.flatnonzero((own != other[i]) & (np.minimum(n, m[i]) * 100 >= np.maximum(n, m[i]) * percent))
+                    some = some[np.abs(h[some] - g[i]).sum(axis=1) * (100 + percent) <= (n[some] + m[i]) * (100 - percent)]
+                    b = int(y[i])
+                    pairs.update((min(a, b), max(a, b)) for a, k in zip(x[some].tolist(), some.tolist(), strict=True) if min(r[k] & q[i]) == here)
+                out.append([{"a": a, "b": b} for a, b in sorted(pairs)])
+            return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+
+        columns = ("set", "n", "label", "histogram", "regions")
+        lists = lambda rows, keys, mark: rows.groupBy(*keys).agg(F.collect_list(F.struct(*columns)).alias("rows")).select(*keys, *[F.col(f"rows.{c}").alias(f"{c}{mark}") for c in columns])
+        blocks = lists(known.withColumn("block", F.pmod(F.xxhash64("set", F.lit(1)), F.ceil(F.col("c") / BLOCK))), ["region", "block"], "")
+        met = blocks.join(lists(leaders, ["region"], "2"), "region")
+        return met.select(F.explode(near("region", *columns, *[f"{c}2" for c in columns])).alias("p")).select("p.a", "p.b").distinct()
+
+    def verified(self, bodies: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
+        """(a, b) of the pairs that are linked, by their whole sets."""
+        percent = self.percent
+        pairs = self.scratch.save(pairs, f"pairs{label}")
 
         @F.arrow_udf("boolean")
         def linked(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -262,7 +292,6 @@ class JaccardJoin:
         one = pairs.join(bodies.select(F.col("set").alias("b"), F.col("keys").alias("right")), "b")
         two = one.join(bodies.select(F.col("set").alias("a"), F.col("keys").alias("left")), "a")
         links = self.scratch.save(two.where(linked("left", "right")).select("a", "b"), f"links{label}")
-        self.scratch.drop(f"bodies{label}")
         return links
 
     def labels(self, links: DataFrame, label: str) -> DataFrame:
@@ -285,28 +314,31 @@ class JaccardJoin:
         """(doc, set, n) and (set, label).
 
         In a large region every set was compared with a leader. What ended in the leader's group needs no more; of the
-        others up to REGION a round become leaders and are compared with all members of other groups, until none is
+        others up to LEADERS a round become leaders and are compared with all members of other groups, until none is
         left. So each pair of a region that its groups do not settle is compared.
         """
         members, pairs, large = self.regions()
-        links = self.verified(members, pairs, "0")
-        labels = self.labels(links, "0")
         large = self.scratch.save(large, "large-0")
+        bodies = self.bodies(members, pairs.select(F.explode(F.array("a", "b")).alias("set")).unionByName(large.select("set")).distinct())
+        links = self.verified(bodies, self.plausible(bodies, pairs), "0")
+        labels = self.labels(links, "0")
         turn = 0
         while not large.isEmpty():
             turn += 1
             known = large.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
             counts = known.groupBy("region", "label").agg(F.count("*").alias("c"))
-            main = counts.groupBy("region").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
-            known = self.scratch.save(known.join(main.select("region", "main"), "region"), f"known-{turn}")
+            main = counts.groupBy("region").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("kinds"), F.sum("c").alias("c")).where("kinds > 1")
+            open_ = self.scratch.save(known.join(main.select("region", "main", "c"), "region"), f"open-{turn}")
+            regions = open_.groupBy("set").agg(F.collect_list("region").alias("regions"))
+            drawn = open_.join(regions, "set").join(bodies.select("set", "histogram"), "set")
+            known = self.scratch.save(drawn, f"known-{turn}")
             rest = known.where("label <> main").withColumn("place", F.row_number().over(W.partitionBy("region").orderBy("set")))
-            leaders = rest.where(F.col("place") <= REGION).select("region", F.col("set").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-            meet = known.join(leaders, "region").where((F.col("label") != F.col("other")) & _sizes_fit(F.col("n"), F.col("m"), self.percent))
-            more = self.verified(members, meet.select(F.least("set", "b").alias("a"), F.greatest("set", "b").alias("b")).distinct(), str(turn))
+            leaders = rest.where(F.col("place") <= LEADERS)
+            more = self.verified(bodies, self.compared(known, leaders), str(turn))
             if not more.isEmpty():
                 links = links.unionByName(more)
                 labels = self.labels(links, str(turn))
-            large = self.scratch.save(known.join(leaders.select("region", F.col("b").alias("set")), ["region", "set"], "left_anti").select("region", "set", "n"), f"large-{turn}")
+            large = self.scratch.save(known.join(leaders.select("region", "set"), ["region", "set"], "left_anti").select("region", "set", "n"), f"large-{turn}")
         return members, labels
 
 
@@ -323,7 +355,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     join = JaccardJoin(docs, id_col, text_col, percent)
     members, labels = join.groups()
-    grouped = members.drop("histogram").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
+    grouped = members.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
     least = grouped.where("n > 0").groupBy("label").agg(F.min("doc").alias("least"))
     out = grouped.join(least, "label", "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias("component_id"))
