@@ -127,6 +127,8 @@ def repeated_spans(docs: DataFrame, width: int, id_col: str, text_col: str, scra
 
     sorted_ = scratch.save(blobs.reduce_parts(runs.where("part >= 0"), sort_runs, _RUNS, _SPAN_SCHEMA + ", open boolean"), "sorted")
     there = sorted_.where("NOT open").drop("open")
+    settled = scratch.save(here.unionByName(there), "settled")
+    scratch.drop("runs")
 
     open_runs = sorted_.where("open").groupBy("doc", "salt").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     again = keyed.join(open_runs, ["doc", "salt"]).select("doc", "salt", "body", "starts", "ends")
@@ -151,6 +153,7 @@ def repeated_spans(docs: DataFrame, width: int, id_col: str, text_col: str, scra
             yield blobs.pack(np.where(first, blobs.part_of(name, ranges), -1), {"name": (name & np.uint64(0xFFFFFFFF)).astype(np.uint32), "doc": doc, "salt": salt, "start": start}, _WINDOWS)
 
     windows = scratch.save(map_batches(again, map_windows, blobs.schema(_WINDOWS)), "windows")
+    scratch.drop("sorted")
 
     def local_windows(batch: pa.RecordBatch):
         own = blobs.unpack(pa.Table.from_batches([batch]), _WINDOWS)
@@ -163,7 +166,9 @@ def repeated_spans(docs: DataFrame, width: int, id_col: str, text_col: str, scra
 
     near = map_batches(windows.where("part = -1"), local_windows, _SPAN_SCHEMA)
     far = blobs.reduce_parts(windows.where("part >= 0"), sort_windows, _WINDOWS, _SPAN_SCHEMA)
-    return scratch.save(here.unionByName(there).unionByName(near).unionByName(far), "spans")
+    compared = scratch.save(near.unionByName(far), "compared")
+    scratch.drop("windows")
+    return settled.unionByName(compared)
 
 
 def suffix_dedup(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
