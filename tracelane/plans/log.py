@@ -37,13 +37,22 @@ class ProcessLog:
     def variants(self) -> DataFrame:
         return self._kept(variants.variants(self.cases))
 
+    def _literal(self, df: DataFrame) -> DataFrame:
+        """With ``persist`` a table of proven few rows is read once and stands in later plans as constants."""
+        if not self._persist or not (rows := df.collect()):
+            return df
+        values = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, df.schema, strict=True)]) for r in rows])
+        return df.sparkSession.sql("SELECT 1").select(F.inline(values))
+
     @cached_property
     def dominant(self) -> DataFrame:
-        return variants.dominant_path(self.variants, self.cases, self.config)
+        """At most one row."""
+        return self._literal(variants.dominant_path(self.variants, self.cases, self.config))
 
     @cached_property
     def completion(self) -> DataFrame:
-        return variants.completion(self.cases, self.variants, self.config)
+        """At most 1 / completion_share rows and one."""
+        return self._literal(variants.completion(self.cases, self.variants, self.config))
 
     @cached_property
     def deviations(self) -> DataFrame:
