@@ -16,11 +16,13 @@ from tracelane.llm.common import RangeHash, Scratch, byte_view, chunks, id_key,
 WORDS = 5
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 80
-CHUNK_BYTES, CHUNK_ROWS_LOG2 = 4_000_000, 13
+CHUNK_BYTES, CHUNK_ROWS_LOG2 = 2_000_000, 13
+#: Bytes of text whose results are sent together.
+SLICE_BYTES = 8_000_000
 #: Bits of a shingle's name, under the bits of its frequency class.
 NAME_BITS, CLASS_BITS = 46, 5
-#: Shingles in so many documents of a batch are counted, and the MOST frequent of them are known to all tasks.
-FREQUENT_HERE, MOST_FREQUENT = 3, 1 << 20
+#: Shingles in so many documents of a slice are counted, and the MOST frequent of them are known to all tasks.
+FREQUENT_HERE, MOST_FREQUENT = 2, 1 << 20
 #: Regions of at most SMALL sets are joined outright; larger ones around a leader, then around LEADERS more a round.
 SMALL, LEADERS = 3, 1024
 #: Members of a region that are compared with its leaders at a time.
@@ -29,7 +31,7 @@ BLOCK = 4096
 BUCKETS_LOG2 = 8
 _NAME_MASK = np.uint64((1 << NAME_BITS) - 1)
 _KEY_MASK = np.uint64((1 << (NAME_BITS + CLASS_BITS)) - 1)
-_KINDS = {"a": np.int64, "b": np.int64, "n": np.int32}
+_KINDS = {"a": np.int64, "b": np.int64, "n": np.int32, "h": np.uint8}
 _ENTRIES = {"a": np.uint32, "b": np.int64, "n": np.int32}
 _BUCKETS = 1 << BUCKETS_LOG2
 
@@ -84,12 +86,16 @@ def sets(data: np.ndarray, offsets: np.ndarray, frequent: Frequent | None = None
     return (packed >> np.uint64(NAME_BITS + CLASS_BITS)).astype(np.int64), packed & _KEY_MASK
 
 
-def _parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _slices(column: pa.Array) -> Iterator[list[tuple[int, int, np.ndarray, np.ndarray]]]:
+    """Slices of a column, each as parts (first row, end, bytes, offsets)."""
     data, offsets = byte_view(column)
-    for a, b in chunks(offsets, CHUNK_BYTES):
-        for c in range(a, b, 1 << CHUNK_ROWS_LOG2):
-            d = min(b, c + (1 << CHUNK_ROWS_LOG2))
-            yield c, d, data[offsets[c] : offsets[d]], offsets[c : d + 1] - offsets[c]
+    for low, high in chunks(offsets, SLICE_BYTES):
+        parts = []
+        for a, b in chunks(offsets[low : high + 1], CHUNK_BYTES):
+            for c in range(low + a, low + b, 1 << CHUNK_ROWS_LOG2):
+                d = min(low + b, c + (1 << CHUNK_ROWS_LOG2))
+                parts.append((c, d, data[offsets[c] : offsets[d]], offsets[c : d + 1] - offsets[c]))
+        yield parts
 
 
 def set_ids(row: np.ndarray, key: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,10 +121,12 @@ def frequent_shingles(texts: DataFrame, most: int = MOST_FREQUENT) -> Frequent:
     """Counts over all texts of the shingles that several documents of some batch share."""
 
     def count(batch: pa.RecordBatch):
-        names = [sets(data, offsets)[1] for _, _, data, offsets in _parts(batch.column(0))]
-        name, n = np.unique(np.concatenate(names), return_counts=True)
-        some = n >= FREQUENT_HERE
-        yield pa.RecordBatch.from_arrays([pa.array(name[some].view(np.int64)), pa.array(n[some], pa.int64())], ["name", "n"])
+        for parts in _slices(batch.column(0)):
+            name = np.sort(np.concatenate([sets(data, offsets)[1] for _, _, data, offsets in parts]))
+            first = np.flatnonzero(blobs.firsts(name)) if len(name) else np.zeros(0, np.int64)
+            n = np.diff(np.append(first, len(name)))
+            some = n >= FREQUENT_HERE
+            yield pa.RecordBatch.from_arrays([pa.array(name[first[some]].view(np.int64)), pa.array(n[some], pa.int64())], ["name", "n"])
 
     counted = map_batches(texts, count, "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
     table = counted.orderBy(F.desc("n"), "name").limit(most).toArrow()
@@ -154,33 +162,37 @@ class JaccardJoin:
 
         def cut(batch: pa.RecordBatch):
             ids = batch.column(0).to_numpy()
-            docs, whole, entries, seen = [], [], [], set()
-            for a, b, data, offsets in _parts(batch.column(1)):
-                row, key = sets(data, offsets, shared.value)
-                own, size = set_ids(row, key, b - a)
-                docs.append(ids[a:b])
-                whole.append((own, size))
-                new = np.zeros(b - a, bool)
-                for i in np.unique(own, return_index=True)[1].tolist():  # copies within the batch send their pivots once
-                    if own[i] not in seen:
-                        seen.add(own[i])
-                        new[i] = True
-                place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-                pivots = size - -(-percent * size // 100) + 1
-                some = new[row] & (place < pivots[row])
-                entries.append((mix(key[some] & _NAME_MASK), own[row[some]], size[row[some]]))
-            own, size = (np.concatenate(x) for x in zip(*whole, strict=True))
-            yield blobs.pack(np.full(len(own), -1), {"a": np.concatenate(docs), "b": own, "n": size}, _KINDS)
-            name, own, size = (np.concatenate(x) for x in zip(*entries, strict=True))
-            yield blobs.pack(blobs.part_of(name, ranges), {"a": (name & np.uint64(0xFFFFFFFF)).astype(np.uint32), "b": own, "n": size}, _ENTRIES)
+            seen: set[int] = set()
+            for parts in _slices(batch.column(1)):
+                docs, whole, entries = [], [], []
+                for a, b, data, offsets in parts:
+                    row, key = sets(data, offsets, shared.value)
+                    own, size = set_ids(row, key, b - a)
+                    docs.append(ids[a:b])
+                    whole.append((own, size, histograms(row, key, b - a)))
+                    new = np.zeros(b - a, bool)
+                    for i in np.unique(own, return_index=True)[1].tolist():  # copies within the batch send their pivots once
+                        if own[i] not in seen:
+                            seen.add(own[i])
+                            new[i] = True
+                    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                    pivots = size - -(-percent * size // 100) + 1
+                    some = new[row] & (place < pivots[row])
+                    entries.append((mix(key[some] & _NAME_MASK), own[row[some]], size[row[some]]))
+                own, size, histogram = (np.concatenate(x) for x in zip(*whole, strict=True))
+                yield blobs.pack(np.full(len(own), -1), {"a": np.concatenate(docs), "b": own, "n": size, "h": histogram}, _KINDS)
+                name, own, size = (np.concatenate(x) for x in zip(*entries, strict=True))
+                sent = blobs.pack(blobs.part_of(name, ranges), {"a": (name & np.uint64(0xFFFFFFFF)).astype(np.uint32), "b": own, "n": size}, _ENTRIES)
+                yield pa.RecordBatch.from_arrays([*sent.columns, pa.nulls(sent.num_rows, pa.binary())], ["part", *_KINDS])
 
         packed = self.scratch.save(map_batches(self.docs, cut, blobs.schema(_KINDS)), "packed")
 
         def rows(batch: pa.RecordBatch):
             own = blobs.unpack(pa.Table.from_batches([batch]), _KINDS)
-            yield pa.RecordBatch.from_arrays([pa.array(own["a"]), pa.array(own["b"]), pa.array(own["n"].astype(np.int64))], ["doc", "set", "n"])
+            drawn = [x.tobytes() for x in own["h"].reshape(-1, _BUCKETS)]
+            yield pa.RecordBatch.from_arrays([pa.array(own["a"]), pa.array(own["b"]), pa.array(own["n"].astype(np.int64)), pa.array(drawn, pa.binary())], ["doc", "set", "n", "histogram"])
 
-        members = self.scratch.save(map_batches(packed.where("part = -1"), rows, "doc long, set long, n long"), "members")
+        members = self.scratch.save(map_batches(packed.where("part = -1"), rows, "doc long, set long, n long, histogram binary"), "members")
 
         def meet(own: dict[str, np.ndarray]) -> pa.Table:
             """Candidate pairs of small regions; large regions: pairs with the leader, and the members (b null)."""
@@ -206,7 +218,7 @@ class JaccardJoin:
                 "leader": pa.concat_arrays([none(n_pairs), pa.array(set_[lead])]),
             })
 
-        met = self.scratch.save(blobs.reduce_parts(packed.where("part >= 0"), meet, _ENTRIES, "a long, b long, region long, n long, leader long"), "met")
+        met = self.scratch.save(blobs.reduce_parts(packed.where("part >= 0").drop("h"), meet, _ENTRIES, "a long, b long, region long, n long, leader long"), "met")
         self.scratch.drop("packed")
         large = met.where("b IS NULL").select(F.xxhash64("region", "leader").alias("region"), F.col("a").alias("set"), "n")
         # Copies of one near-duplicate group meet in many regions of the same members: one of them is enough.
@@ -215,23 +227,22 @@ class JaccardJoin:
         return members, met.where("b IS NOT NULL").select("a", "b").distinct(), large.join(one.select("region"), "region", "left_semi")
 
     def bodies(self, members: DataFrame, wanted: DataFrame) -> DataFrame:
-        """(set, n, histogram, keys) of the wanted sets, from one document of each."""
-        carriers = members.join(wanted, "set", "left_semi").groupBy("set").agg(F.min("doc").alias("doc"))
+        """(set, keys) of the wanted sets, from one document of each."""
+        carriers = members.select("doc", "set").join(wanted, "set", "left_semi").groupBy("set").agg(F.min("doc").alias("doc"))
 
         def body(batch: pa.RecordBatch):
             wanted = batch.column(0).to_numpy()
-            for a, b, data, offsets in _parts(batch.column(1)):
-                row, key = sets(data, offsets)
-                own, size = set_ids(row, key, b - a)
-                ends, histogram = np.cumsum(size), histograms(row, key, b - a)
-                keep = np.flatnonzero(own == wanted[a:b])  # another row of the same identifier may hold another text
-                columns = [pa.array(own[keep]), pa.array(size[keep]), pa.array([histogram[i].tobytes() for i in keep], pa.binary()), pa.array([key[ends[i] - size[i] : ends[i]].tobytes() for i in keep], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["set", "n", "histogram", "keys"])
-
-        found = map_batches(self.docs.join(carriers, "doc").select("set", "text"), body, "set long, n long, histogram binary, keys binary")
-        return self.scratch.save(found.dropDuplicates(["set"]), "bodies")
-
-    def plausible(self, bodies: DataFrame, pairs: DataFrame) -> DataFrame:
+            for parts in _slices(batch.column(1)):
+                for a, b, data, offsets in parts:
+                    row, key = sets(data, offsets)
+                    own, size = set_ids(row, key, b - a)
+                    ends = np.cumsum(size)
+                    keep = np.flatnonzero(own == wanted[a:b])  # another row of the same identifier may hold another text
+                    yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array([key[ends[i] - size[i] : ends[i]].tobytes() for i in keep], pa.binary())], ["set", "keys"])
+
+        return map_batches(self.docs.join(carriers, "doc").select("set", "text"), body, "set long, keys binary").dropDuplicates(["set"])
+
+    def plausible(self, sketch: DataFrame, pairs: DataFrame) -> DataFrame:
         """The pairs whose histograms leave room for a link."""
         percent = self.percent
 
@@ -241,7 +252,6 @@ class JaccardJoin:
             x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, _BUCKETS).astype(np.int16) for c in (left, right))
             return pa.array(np.abs(x - y).sum(axis=1) * (100 + percent) <= sizes.to_numpy() * (100 - percent), pa.bool_())
 
-        sketch = bodies.select("set", "n", "histogram")
         drawn = pairs.join(sketch.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("histogram").alias("ha")), "a").join(sketch.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("histogram").alias("hb")), "b")
         return drawn.where(near("ha", "hb", F.col("na") + F.col("nb"))).select("a", "b")
 
@@ -274,10 +284,13 @@ class JaccardJoin:
         met = blocks.join(lists(leaders, ["region"], "2"), "region")
         return met.select(F.explode(near("region", *columns, *[f"{c}2" for c in columns])).alias("p")).select("p.a", "p.b").distinct()
 
-    def verified(self, bodies: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
+    def verified(self, members: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
         """(a, b) of the pairs that are linked, by their whole sets."""
         percent = self.percent
         pairs = self.scratch.save(pairs, f"pairs{label}")
+        if pairs.isEmpty():
+            return pairs
+        bodies = self.scratch.save(self.bodies(members, pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()), f"bodies{label}")
 
         @F.arrow_udf("boolean")
         def linked(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -292,6 +305,7 @@ class JaccardJoin:
         one = pairs.join(bodies.select(F.col("set").alias("b"), F.col("keys").alias("right")), "b")
         two = one.join(bodies.select(F.col("set").alias("a"), F.col("keys").alias("left")), "a")
         links = self.scratch.save(two.where(linked("left", "right")).select("a", "b"), f"links{label}")
+        self.scratch.drop(f"bodies{label}")
         return links
 
     def labels(self, links: DataFrame, label: str) -> DataFrame:
@@ -319,8 +333,9 @@ class JaccardJoin:
         """
         members, pairs, large = self.regions()
         large = self.scratch.save(large, "large-0")
-        bodies = self.bodies(members, pairs.select(F.explode(F.array("a", "b")).alias("set")).unionByName(large.select("set")).distinct())
-        links = self.verified(bodies, self.plausible(bodies, pairs), "0")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).unionByName(large.select("set")).distinct()
+        sketch = self.scratch.save(members.select("set", "n", "histogram").join(wanted, "set", "left_semi").dropDuplicates(["set"]), "sketch")
+        links = self.verified(members, self.plausible(sketch, pairs), "0")
         labels = self.labels(links, "0")
         turn = 0
         while not large.isEmpty():
@@ -330,11 +345,11 @@ class JaccardJoin:
             main = counts.groupBy("region").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("kinds"), F.sum("c").alias("c")).where("kinds > 1")
             open_ = self.scratch.save(known.join(main.select("region", "main", "c"), "region"), f"open-{turn}")
             regions = open_.groupBy("set").agg(F.collect_list("region").alias("regions"))
-            drawn = open_.join(regions, "set").join(bodies.select("set", "histogram"), "set")
+            drawn = open_.join(regions, "set").join(sketch.select("set", "histogram"), "set")
             known = self.scratch.save(drawn, f"known-{turn}")
             rest = known.where("label <> main").withColumn("place", F.row_number().over(W.partitionBy("region").orderBy("set")))
             leaders = rest.where(F.col("place") <= LEADERS)
-            more = self.verified(bodies, self.compared(known, leaders), str(turn))
+            more = self.verified(members, self.compared(known, leaders), str(turn))
             if not more.isEmpty():
                 links = links.unionByName(more)
                 labels = self.labels(links, str(turn))
@@ -355,7 +370,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     join = JaccardJoin(docs, id_col, text_col, percent)
     members, labels = join.groups()
-    grouped = members.join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
+    grouped = members.drop("histogram").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
     least = grouped.where("n > 0").groupBy("label").agg(F.min("doc").alias("least"))
     out = grouped.join(least, "label", "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias("component_id"))
