@@ -39,7 +39,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token identifiers of each document, and the digests that show that decoding gives the text back."""
-    coded = byte_bpe.decode_documents(byte_bpe.encode_documents(docs.select("doc_id", "text")))
+    coded = byte_bpe.round_trip(docs.select("doc_id", "text"))
     return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text").cast("binary")).alias("lossless"), "token_ids")
 
 

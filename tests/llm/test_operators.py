@@ -90,6 +90,8 @@ def test_encoding_columns(spark, rows, tiktoken_encoding):
     for r in coded.collect():
         assert list(r.token_ids) == tiktoken_encoding.encode_ordinary(r.text or "") and bytes(r.decoded).decode() == r.decoded_text == (r.text or "")
         assert len(r.token_starts) == len(r.token_ids) and r.salt == 7
+    for r in byte_bpe.round_trip(clash(spark, rows)).collect():
+        assert list(r.token_ids) == tiktoken_encoding.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
     cut = spark.createDataFrame([([*tiktoken_encoding.encode_ordinary("🙂")][:-1],), (None,)], "token_ids array<int>")
     assert byte_bpe.decode_documents(cut, as_text=True).collect()[0].decoded_text.endswith("�")
     assert byte_bpe.encode_documents(empty(spark)).count() == 0

@@ -224,8 +224,7 @@ def encode_column(text: Column, ranks: str | None = None, pattern: str | None =
         ids, sizes = codec(ranks, pattern).encode_column(texts)
         return list_array(ids, np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
 
-    # As if not deterministic: else what reads the identifiers, such as decoding, would be fused with a second encoding.
-    return encode.asNondeterministic()(text.cast("string"))
+    return encode(text.cast("string"))
 
 
 def count_column(text: Column, ranks: str | None = None, pattern: str | None = None) -> Column:
@@ -266,6 +265,21 @@ def decode_column(ids: Column, ranks: str | None = None) -> Column:
     return decode(ids)
 
 
+def round_trip_column(text: Column, ranks: str | None = None, pattern: str | None = None) -> Column:
+    """struct(token_ids, decoded): the identifiers of ``text`` and the bytes that they decode to, in one pass."""
+    ranks, pattern = ranks or default_ranks(), pattern or default_pattern()
+
+    @F.arrow_udf("struct<token_ids:array<int>,decoded:binary>")
+    def both(texts: pa.Array) -> pa.Array:
+        own = codec(ranks, pattern)
+        ids, sizes = own.encode_column(texts)
+        ends = np.cumsum(sizes)
+        decoded = pa.array([own.decode(ids[e - n : e]) for e, n in zip(ends, sizes, strict=True)], pa.binary())
+        return pa.StructArray.from_arrays([list_array(ids, np.concatenate([[0], ends]), pa.int32()), decoded], names=["token_ids", "decoded"])
+
+    return both(text.cast("string"))
+
+
 def decode_text_column(decoded: Column) -> Column:
     """Decoded bytes as text. A character of which only a part is there, at either end, becomes U+FFFD."""
 
@@ -298,8 +312,14 @@ def decode_documents(encoded: DataFrame, ids_col: str = "token_ids", as_text: bo
     return out
 
 
+def round_trip(docs: DataFrame, text_col: str = "text", ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+    """``encode_documents`` and ``decode_documents`` in one pass over the texts, with the same results."""
+    new = {c: F.col(f"__codec.{c}") for c in ("token_ids", "decoded")}
+    return with_columns_last(docs.withColumn("__codec", round_trip_column(F.col(text_col), ranks, pattern)), [c for c in docs.columns if c not in new], new)
+
+
 def codec_digests(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes, lossless."""
-    coded = decode_documents(encode_documents(docs.select("doc_id", "text")))
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes."""
+    coded = round_trip(docs.select("doc_id", "text"))
     ids = F.array_join(F.transform("token_ids", lambda x: x.cast("string")), ",")
     return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.octet_length("decoded").cast("long").alias("n_bytes"))
