@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelane.llm import blobs
-from tracelane.llm.common import RangeHash, Scratch, byte_view, chunks, id_key, map_batches, with_columns_last
+from tracelane.llm.common import RangeHash, Scratch, byte_view, chunks, id_key, map_batches, mix, with_columns_last
 
 #: Bytes of a sampled gram. A string of ``width`` bytes has width - GRAM + 1 of them; its smallest is its sample.
 GRAM = 32
@@ -17,8 +17,9 @@ CHUNK_BYTES = 2_000_000
 SLICE_BYTES = 8_000_000
 #: Low bits of a sort key that hold a position within a part; parts (single huge documents) beyond it are refused.
 _PLACE = np.uint64((1 << 28) - 1)
-_RUNS = {"name": np.uint32, "run": np.uint32, "doc": np.int64, "salt": np.int64, "start": np.int32, "size": np.uint8}
-_WINDOWS = {"name": np.uint32, "doc": np.int64, "salt": np.int64, "start": np.int32}
+_RUNS = {"name": np.uint32, "run": np.uint32, "doc": np.int64, "salt": np.int32, "start": np.int32, "size": np.uint8}
+_WINDOWS = {"name": np.uint32, "doc": np.int64, "salt": np.int32, "start": np.int32}
+_MARKS = {"doc": np.int64, "salt": np.int32, "start": np.int32, "end": np.int32}
 _SPANS = {"starts": pa.int32(), "ends": pa.int32()}
 _SPAN_SCHEMA = "doc long, salt long, starts array<int>, ends array<int>"
 
@@ -67,17 +68,19 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray, limit: int) -> list[tuple[
     return list(zip(np.flatnonzero(inside == 1).tolist(), np.flatnonzero(inside == -1).tolist(), strict=True))
 
 
-def _starts_to_spans(doc: np.ndarray, salt: np.ndarray, start: np.ndarray, width: int) -> pa.Table:
+def _marks(doc: np.ndarray, salt: np.ndarray, start: np.ndarray, width: int, ranges: int) -> pa.Table:
+    """Spans of neighbouring starts, packed by range of the document."""
     order = np.lexsort((start, salt, doc))
     doc, salt, start = doc[order], salt[order], start[order]
     new = blobs.firsts(doc, salt) | (np.diff(start, prepend=-2) != 1)
     last = np.append(new[1:], True)[: len(new)]
-    return blobs.grouped_lists([doc[new], salt[new]], ["doc", "salt"], {"starts": start[new], "ends": start[last] + width}, _SPANS)
+    own = {"doc": doc[new], "salt": salt[new], "start": start[new], "end": start[last] + width}
+    return pa.Table.from_batches([blobs.pack(blobs.part_of(mix(own["doc"].view(np.uint64)), ranges), own, _MARKS)])
 
 
 def repeated_spans(docs: DataFrame, width: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """``doc``, ``salt``, ``starts``, ``ends``: byte spans to remove. ``salt`` tells apart texts that share an identifier."""
-    keyed = docs.select(id_key(id_col).alias("doc"), F.xxhash64(F.col(text_col).cast("string")).alias("salt"), F.col(text_col).cast("binary").alias("body")).where(F.octet_length("body") >= width)
+    keyed = docs.select(id_key(id_col).alias("doc"), F.hash(F.col(text_col).cast("string")).alias("salt"), F.col(text_col).cast("binary").alias("body")).where(F.octet_length("body") >= width)
     ranges = blobs.text_ranges(docs, text_col)
 
     def slices(batch: pa.RecordBatch):
@@ -157,18 +160,21 @@ def repeated_spans(docs: DataFrame, width: int, id_col: str, text_col: str, scra
 
     def local_windows(batch: pa.RecordBatch):
         own = blobs.unpack(pa.Table.from_batches([batch]), _WINDOWS)
-        yield from _starts_to_spans(own["doc"], own["salt"], own["start"], width).to_batches()
+        yield from _marks(own["doc"], own["salt"], own["start"], width, ranges).to_batches()
 
     def sort_windows(own: dict[str, np.ndarray]) -> pa.Table:
         order = np.lexsort((own["start"], own["salt"], own["doc"], own["name"]))
         later = order[~blobs.firsts(own["name"][order])]
-        return _starts_to_spans(own["doc"][later], own["salt"][later], own["start"][later], width)
+        return _marks(own["doc"][later], own["salt"][later], own["start"][later], width, ranges)
 
-    near = map_batches(windows.where("part = -1"), local_windows, _SPAN_SCHEMA)
-    far = blobs.reduce_parts(windows.where("part >= 0"), sort_windows, _WINDOWS, _SPAN_SCHEMA)
+    def to_lists(own: dict[str, np.ndarray]) -> pa.Table:
+        return blobs.grouped_lists([own["doc"], own["salt"]], ["doc", "salt"], {"starts": own["start"], "ends": own["end"]}, _SPANS)
+
+    near = map_batches(windows.where("part = -1"), local_windows, blobs.schema(_MARKS))
+    far = blobs.reduce_parts(windows.where("part >= 0"), sort_windows, _WINDOWS, blobs.schema(_MARKS))
     compared = scratch.save(near.unionByName(far), "compared")
     scratch.drop("windows")
-    return settled.unionByName(compared)
+    return settled.unionByName(blobs.reduce_parts(compared, to_lists, _MARKS, _SPAN_SCHEMA))
 
 
 def suffix_dedup(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,7 +214,7 @@ def suffix_dedup(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text
         return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, counts))], names=["kept", "n_bytes", "n_removed", "n_spans"])
 
     new = ["kept", "n_bytes", "n_removed", "n_spans"]
-    keyed = docs.withColumns({"__doc": id_key(id_col), "__salt": F.xxhash64(F.col(text_col).cast("string"))})
+    keyed = docs.withColumns({"__doc": id_key(id_col), "__salt": F.hash(F.col(text_col).cast("string"))})
     joined = keyed.join(per_doc.withColumnsRenamed({"doc": "__doc", "salt": "__salt"}), ["__doc", "__salt"], "left")
     joined = joined.withColumn("__cut", cut(F.col(text_col).cast("binary"), "__starts", "__ends"))
     return with_columns_last(joined, [c for c in docs.columns if c not in new], {c: F.col(f"__cut.{c}") for c in new})
