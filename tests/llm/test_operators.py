@@ -413,6 +413,31 @@ def test_repeated_strings_of_few_letters(spark):
     assert repeated(empty(spark)) == {}
 
 
+def test_repeated_strings_of_near_equal_names(spark):
+    """Different strings around one gram whose hashes agree in the upper 32 bits, or in the lower 32 and the range."""
+    rnd = np.random.default_rng(11)
+    grams = rnd.integers(97, 123, (20_000, 32), dtype=np.uint8)
+    names = np.array([suffix_dedup.RangeHash(g).windows(32)[0] for g in grams])
+    bodies, runs, windows = [], [], []
+    for _ in range(12):
+        some = rnd.integers(97, 123, (60_000, 100), dtype=np.uint8)
+        some[:, 34:66] = grams[names.argmin()]
+        hashes = suffix_dedup.RangeHash(some.ravel())
+        row, _, _, name, run = suffix_dedup.sample_runs(hashes, np.arange(60_001) * 100, 100)
+        own = name == names.min()
+        bodies.append(some[row[own]])
+        runs.append(run[own])
+        windows.append(hashes.windows(100)[row[own] * 100])
+    bodies, runs, windows = map(np.concatenate, (bodies, runs, windows))
+    ranges = suffix_dedup.blobs.LEAST_RANGES
+    for key in (runs >> np.uint64(32), (windows << np.uint64(32)) | suffix_dedup.blobs.part_of(windows, ranges).astype(np.uint64)):
+        order = np.argsort(key, kind="stable")
+        at = np.flatnonzero(key[order][1:] == key[order][:-1])
+        assert len(at)
+        rows = [(i, bodies[j].tobytes().decode()) for i, j in enumerate(order[at[0] : at[0] + 2])]
+        assert repeated(spark.createDataFrame(rows, SCHEMA)) == brute_suffixes(rows, 100)
+
+
 def test_repeated_strings_query_digest(spark, sf):
     got = {r.doc_id: r.kept_sha256 for r in queries.op10_suffix_dedup(spark, sf).collect()}
     want = brute_suffixes([tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()], 100)

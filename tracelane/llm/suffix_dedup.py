@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,8 +19,10 @@ CHUNK_BYTES = 2_000_000
 SLICE_BYTES = 8_000_000
 #: Low bits of a sort key that hold a position within a part; parts (single huge documents) beyond it are refused.
 _PLACE = np.uint64((1 << 28) - 1)
-_RUNS = {"name": np.uint32, "run": np.uint32, "doc": np.int64, "salt": np.int32, "start": np.int32, "size": np.uint8}
-_WINDOWS = {"name": np.uint32, "doc": np.int64, "salt": np.int32, "start": np.int32}
+#: Symbols of a second hash of a string that is independent of the first.
+_OTHER = mix(np.arange(1, 257, dtype=np.uint64))
+_RUNS = {"name": np.uint32, "run": np.uint64, "doc": np.int64, "salt": np.int32, "start": np.int32, "size": np.uint8}
+_WINDOWS = {"name": np.uint64, "check": np.uint32, "doc": np.int64, "salt": np.int32, "start": np.int32}
 _MARKS = {"doc": np.int64, "salt": np.int32, "start": np.int32, "end": np.int32}
 _SPANS = {"starts": pa.int32(), "ends": pa.int32()}
 _SPAN_SCHEMA = "doc long, salt long, starts array<int>, ends array<int>"
@@ -68,14 +72,26 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray, limit: int) -> list[tuple[
     return list(zip(np.flatnonzero(inside == 1).tolist(), np.flatnonzero(inside == -1).tolist(), strict=True))
 
 
-def _marks(doc: np.ndarray, salt: np.ndarray, start: np.ndarray, width: int, ranges: int) -> pa.Table:
-    """Spans of neighbouring starts, packed by range of the document."""
+def _joined(doc: np.ndarray, salt: np.ndarray, start: np.ndarray, width: int) -> dict[str, np.ndarray]:
+    """Spans of neighbouring starts."""
     order = np.lexsort((start, salt, doc))
     doc, salt, start = doc[order], salt[order], start[order]
     new = blobs.firsts(doc, salt) | (np.diff(start, prepend=-2) != 1)
     last = np.append(new[1:], True)[: len(new)]
-    own = {"doc": doc[new], "salt": salt[new], "start": start[new], "end": start[last] + width}
-    return pa.Table.from_batches([blobs.pack(blobs.part_of(mix(own["doc"].view(np.uint64)), ranges), own, _MARKS)])
+    return {"doc": doc[new], "salt": salt[new], "start": start[new], "end": start[last] + width}
+
+
+def _doc_part(doc: np.ndarray, ranges: int) -> np.ndarray:
+    return blobs.part_of(mix(doc.view(np.uint64)), ranges)
+
+
+def _by_part(packed: DataFrame, fn: Callable[[bool, dict[str, np.ndarray]], pa.Table], kinds: dict[str, type], ranges: int, out: str) -> DataFrame:
+    """``fn`` over all numbers of each part. Parts from ``ranges`` on are by document and hold what a slice has settled."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return fn(key[0].as_py() >= ranges, blobs.unpack(table, kinds))
+
+    return packed.groupBy("part").applyInArrow(run, out)
 
 
 def repeated_spans(docs: DataFrame, width: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
@@ -92,7 +108,7 @@ def repeated_spans(docs: DataFrame, width: int, id_col: str, text_col: str, scra
             yield ((ids[a:b], salts[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], a) for a, b in inner)
 
     def map_runs(batch: pa.RecordBatch):
-        """Runs by range of their name; of equal runs of a slice only the first, the others are spans at once (part -1)."""
+        """Runs by range of their name; of equal runs of a slice only the first, the others are spans at once."""
         for parts in slices(batch):
             found = []
             for ids, salts, data, offsets, _ in parts:
@@ -102,21 +118,17 @@ def repeated_spans(docs: DataFrame, width: int, id_col: str, text_col: str, scra
             order = np.lexsort((start, salt, doc, run, name))
             name, run, doc, salt, start, size = (c[order] for c in (name, run, doc, salt, start, size))
             first = blobs.firsts(name, run)
-            own = {"name": (name & np.uint64(0xFFFFFFFF)).astype(np.uint32), "run": (run >> np.uint64(32)).astype(np.uint32), "doc": doc, "salt": salt, "start": start, "size": size}
-            yield blobs.pack(np.where(first, blobs.part_of(name, ranges), -1), own, _RUNS)
-
-    runs = scratch.save(map_batches(keyed, map_runs, blobs.schema(_RUNS)), "runs")
+            own = {"name": (name & np.uint64(0xFFFFFFFF)).astype(np.uint32), "run": run, "doc": doc, "salt": salt, "start": start, "size": size}
+            yield blobs.pack(np.where(first, blobs.part_of(name, ranges), ranges + _doc_part(doc, ranges)), own, _RUNS)
 
     def to_spans(own: dict[str, np.ndarray]) -> pa.Table:
         return blobs.grouped_lists([own["doc"], own["salt"]], ["doc", "salt"], {"starts": own["start"], "ends": (own["start"] + own["size"] - 1 + width).astype(np.int32)}, _SPANS)
 
-    def local_spans(batch: pa.RecordBatch):
-        yield from to_spans(blobs.unpack(pa.Table.from_batches([batch]), _RUNS)).to_batches()
-
-    here = map_batches(runs.where("part = -1"), local_spans, _SPAN_SCHEMA)
-
-    def sort_runs(own: dict[str, np.ndarray]) -> pa.Table:
+    def sort_runs(settled: bool, own: dict[str, np.ndarray]) -> pa.Table:
         """Equal runs after the first are spans. Different runs of one name may still share strings: those are open."""
+        if settled:
+            closed = to_spans(own)
+            return closed.append_column("open", pa.array(np.zeros(len(closed), bool)))
         order = np.lexsort((own["start"], own["salt"], own["doc"], own["run"], own["name"]))
         own = {c: v[order] for c, v in own.items()}
         first = blobs.firsts(own["name"], own["run"])
@@ -128,16 +140,15 @@ def repeated_spans(docs: DataFrame, width: int, id_col: str, text_col: str, scra
         open_ = to_spans({c: v[again] for c, v in own.items()})
         return pa.concat_tables([closed.append_column("open", pa.array(np.zeros(len(closed), bool))), open_.append_column("open", pa.array(np.ones(len(open_), bool)))])
 
-    sorted_ = scratch.save(blobs.reduce_parts(runs.where("part >= 0"), sort_runs, _RUNS, _SPAN_SCHEMA + ", open boolean"), "sorted")
-    there = sorted_.where("NOT open").drop("open")
-    settled = scratch.save(here.unionByName(there), "settled")
-    scratch.drop("runs")
+    runs = map_batches(keyed, map_runs, blobs.schema(_RUNS))
+    sorted_ = scratch.save(_by_part(runs, sort_runs, _RUNS, ranges, _SPAN_SCHEMA + ", open boolean"), "sorted")
+    settled = sorted_.where("NOT open").drop("open")
 
     open_runs = sorted_.where("open").groupBy("doc", "salt").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     again = keyed.join(open_runs, ["doc", "salt"]).select("doc", "salt", "body", "starts", "ends")
 
     def map_windows(batch: pa.RecordBatch):
-        """Every string of the open runs by range of its hash; of equal ones of a slice only the first, the others are part -1."""
+        """Every string of the open runs by range of its hash; of equal ones of a slice only the first, the others are spans at once."""
         starts_at, from_, to = (np.asarray(batch.column(3).offsets), batch.column(3).values.to_numpy(), batch.column(4).values.to_numpy()) if len(batch) else (np.zeros(1, int), np.zeros(0, int), np.zeros(0, int))
         for parts in slices(batch):
             found = []
@@ -148,32 +159,33 @@ def repeated_spans(docs: DataFrame, width: int, id_col: str, text_col: str, scra
                 size = to[own] - from_[own] - width + 1
                 begin = np.repeat(from_[own] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(int(size.sum()))
                 row = np.repeat(row, size)
-                found.append((RangeHash(data).windows(width)[begin + offsets[row]], ids[row], salts[row], begin.astype(np.int32)))
-            name, doc, salt, start = (np.concatenate(c) for c in zip(*found, strict=True))
-            order = np.lexsort((start, salt, doc, name))
-            name, doc, salt, start = (c[order] for c in (name, doc, salt, start))
-            first = blobs.firsts(name)
-            yield blobs.pack(np.where(first, blobs.part_of(name, ranges), -1), {"name": (name & np.uint64(0xFFFFFFFF)).astype(np.uint32), "doc": doc, "salt": salt, "start": start}, _WINDOWS)
-
-    windows = scratch.save(map_batches(again, map_windows, blobs.schema(_WINDOWS)), "windows")
-    scratch.drop("sorted")
-
-    def local_windows(batch: pa.RecordBatch):
-        own = blobs.unpack(pa.Table.from_batches([batch]), _WINDOWS)
-        yield from _marks(own["doc"], own["salt"], own["start"], width, ranges).to_batches()
-
-    def sort_windows(own: dict[str, np.ndarray]) -> pa.Table:
-        order = np.lexsort((own["start"], own["salt"], own["doc"], own["name"]))
-        later = order[~blobs.firsts(own["name"][order])]
-        return _marks(own["doc"][later], own["salt"][later], own["start"][later], width, ranges)
+                at = begin + offsets[row]
+                check = (RangeHash(_OTHER[data]).windows(width)[at] >> np.uint64(32)).astype(np.uint32)
+                found.append((RangeHash(data).windows(width)[at], check, ids[row], salts[row], begin.astype(np.int32)))
+            name, check, doc, salt, start = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((start, salt, doc, check, name))
+            name, check, doc, salt, start = (c[order] for c in (name, check, doc, salt, start))
+            first = blobs.firsts(name, check)
+            yield blobs.pack(blobs.part_of(name[first], ranges), {"name": name[first], "check": check[first], "doc": doc[first], "salt": salt[first], "start": start[first]}, _WINDOWS)
+            own = _joined(doc[~first], salt[~first], start[~first], width)
+            yield blobs.pack(ranges + _doc_part(own["doc"], ranges), {**own, "name": np.zeros(len(own["doc"])), "check": own["end"] - own["start"]}, _WINDOWS)
+
+    def sort_windows(settled: bool, own: dict[str, np.ndarray]) -> pa.Table:
+        """Equal strings after the first are spans; of settled spans, ``check`` is the length."""
+        if settled:
+            return marks({**own, "end": own["start"] + own["check"].astype(np.int32)})
+        order = np.lexsort((own["start"], own["salt"], own["doc"], own["check"], own["name"]))
+        later = order[~blobs.firsts(own["name"][order], own["check"][order])]
+        return marks(_joined(own["doc"][later], own["salt"][later], own["start"][later], width))
+
+    def marks(own: dict[str, np.ndarray]) -> pa.Table:
+        return pa.Table.from_batches([blobs.pack(_doc_part(own["doc"], ranges), own, _MARKS)])
 
     def to_lists(own: dict[str, np.ndarray]) -> pa.Table:
         return blobs.grouped_lists([own["doc"], own["salt"]], ["doc", "salt"], {"starts": own["start"], "ends": own["end"]}, _SPANS)
 
-    near = map_batches(windows.where("part = -1"), local_windows, blobs.schema(_MARKS))
-    far = blobs.reduce_parts(windows.where("part >= 0"), sort_windows, _WINDOWS, blobs.schema(_MARKS))
-    compared = scratch.save(near.unionByName(far), "compared")
-    scratch.drop("windows")
+    windows = map_batches(again, map_windows, blobs.schema(_WINDOWS))
+    compared = scratch.save(_by_part(windows, sort_windows, _WINDOWS, ranges, blobs.schema(_MARKS)), "compared")
     return settled.unionByName(blobs.reduce_parts(compared, to_lists, _MARKS, _SPAN_SCHEMA))
 
 
@@ -186,7 +198,7 @@ def suffix_dedup(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text
     Null text counts as empty; texts shorter than ``width`` stay whole. A null identifier is the largest. Different texts
     of one identifier are documents in the order of their hash; equal rows are one document and get equal results. Input
     columns named like the new ones are replaced, others pass through. An empty table gives an empty table. Strings are
-    taken as equal if names of 70 bits or more are.
+    taken as equal if two independent hashes of them are, of 64 and 32 bits; runs around one gram if 64 bits are.
 
     Plan: sampled grams that equal strings share by construction stand for the runs of strings around them. Runs are
     named and sorted by range of the name; equal runs are settled there, and only runs that share a name but differ are
