@@ -246,6 +246,15 @@ def test_rare_words_are_joined(spark, rows, monkeypatch):
     assert some == pytest.approx(whole, abs=1e-6)
 
 
+def test_runs_are_counted_over_the_whole_corpus(spark, rows):
+    thin = spark.createDataFrame([(i, f"u{i} alpha beta v{i}") for i in range(16)], SCHEMA).repartition(16, "doc_id")
+    one = suffix_tree_lm.score(spark.createDataFrame([(1, "alpha beta")], SCHEMA), thin).first()
+    assert one.score > one.base_score + 0.5
+    docs = spark.createDataFrame(rows, SCHEMA)
+    whole, split = ({r.doc_id: r.score for r in suffix_tree_lm.score(docs, docs.repartition(n)).collect()} for n in (1, 30))
+    assert split == pytest.approx(whole, abs=1e-6)
+
+
 def test_next_token_distribution_sums_to_one(spark, rows):
     docs = spark.createDataFrame(rows, SCHEMA)
     counted = suffix_tree_lm.count_tokens(docs)
