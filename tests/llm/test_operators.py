@@ -327,6 +327,13 @@ def test_items_are_found(spark, sf):
         assert found[d, i] == distance(low(dict(items)[i]), low(text[d]))
 
 
+def test_rows_of_one_identifier_are_clean_each_by_its_text(spark):
+    item = "which of these four words is the right one"
+    rows = spark.createDataFrame([(5, f"so {item} then"), (5, "five"), (None, item), (None, "none"), (6, None), (6, item)], SCHEMA)
+    kept = decontaminate.clean(rows, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == [(5, "five"), (6, None), (None, "none")]
+
+
 def test_no_items_or_no_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_items(spark.createDataFrame([(1, "a b")], SCHEMA), none).count() == 0

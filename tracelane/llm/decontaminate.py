@@ -248,6 +248,10 @@ def find_items(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS,
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """Documents in which no item is found, with their columns as they are."""
-    hit = find_items(docs, items, id_col=id_col, text_col=text_col, **settings).select(F.col(id_col).alias("__hit")).distinct()
-    return docs.join(hit, id_key(id_col) == F.col("__hit"), "left_anti")
+    """Documents in which no item is found, with their columns as they are.
+
+    Rows that share an identifier, null ones too, stay or go each by its text; rows are told apart by 64-bit hashes of both.
+    """
+    row = F.xxhash64(id_key(id_col), F.col(text_col).cast("string"))
+    hit = find_items(docs.select(row.alias("__hit"), text_col), items, id_col="__hit", text_col=text_col, **settings).select("__hit").distinct()
+    return docs.join(hit, row == F.col("__hit"), "left_anti")

@@ -379,7 +379,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` without the documents that link, directly or through others, to one of a smaller identifier.
 
-    Of rows that share the kept identifier all stay.
+    Of rows that share the kept identifier all stay. Rows of different text that share an identifier, null ones too, go
+    together if one of them links to a smaller identifier.
     """
     groups = jaccard_groups(docs, id_col, text_col, percent)
     gone = groups.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()
