@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelane.llm.common import RangeHash, byte_view, chunks, list_array, strings, with_columns_last
+from tracelane.llm.common import RangeHash, byte_view, chunks, list_array, strings, with_columns_last, with_fields
 
-#: Slots for encoded units in a worker, and tokens that they may hold before all are emptied.
-SLOTS_LOG2, POOL_TOKENS = 21, 8_000_000
+#: Slots for encoded units in a worker, tokens that they may hold before all are emptied, and units encoded at a time.
+SLOTS_LOG2, POOL_TOKENS, UNITS = 19, 4_000_000, 5_000
 #: Bytes of text that are cut into units at a time.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def default_ranks() -> str:
@@ -46,8 +46,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class ByteTable:
     """The bytes of every token: what decoding needs."""
 
-    def __init__(self, path: str):
-        ranks = read_ranks(path)
+    def __init__(self, ranks: dict[bytes, int]):
         size = max(ranks.values()) + 1
         self.lengths = np.zeros(size, np.int64)
         for token, rank in ranks.items():
@@ -117,8 +116,8 @@ class Codec(ByteTable):
     def __init__(self, path: str, pattern: str):
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-        super().__init__(path)
         ranks = read_ranks(path)
+        super().__init__(ranks)
         chars = byte_characters()
         spell = lambda token: "".join(chars[b] for b in token)
         merges = [(spell(t[:i]), spell(t[i:])) for t, _ in sorted(ranks.items(), key=lambda x: x[1]) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
@@ -129,23 +128,23 @@ class Codec(ByteTable):
     def _reset(self) -> None:
         self._hash = np.zeros(1 << SLOTS_LOG2, np.uint64)
         self._start, self._size = np.zeros(1 << SLOTS_LOG2, np.int32), np.zeros(1 << SLOTS_LOG2, np.int32)
-        self._pool, self._used = np.zeros(1 << 16, np.int32), 0
+        self._pool, self._used = np.zeros(POOL_TOKENS, np.int32), 0
 
     def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, size) in the pool of units newly encoded."""
         body = data.tobytes()
         units = [body[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         sizes, ids = [], []
-        for i in range(0, len(units), 20_000):
-            own = [got.ids for got in self.tokenizer.encode_batch_fast(units[i : i + 20_000], add_special_tokens=False)]
+        for i in range(0, len(units), UNITS):
+            own = [got.ids for got in self.tokenizer.encode_batch_fast(units[i : i + UNITS], add_special_tokens=False)]
             sizes += map(len, own)
-            ids += itertools.chain.from_iterable(own)
-        size = np.array(sizes, np.int32)
-        while self._used + len(ids) > len(self._pool):
-            self._pool = np.concatenate([self._pool, np.zeros_like(self._pool)])
-        self._pool[self._used : self._used + len(ids)] = ids
+            ids.append(np.fromiter(itertools.chain.from_iterable(own), np.int32))
+        size, new = np.array(sizes, np.int32), np.concatenate(ids)
+        if self._used + len(new) > len(self._pool):  # one text may need more than the pool has left, until it is emptied
+            self._pool = np.concatenate([self._pool[: self._used], np.zeros(len(new), np.int32)])
+        self._pool[self._used : self._used + len(new)] = new
         start = self._used + np.cumsum(size) - size
-        self._used += len(ids)
+        self._used += len(new)
         return start.astype(np.int32), size
 
     def encode_bytes(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +153,7 @@ class Codec(ByteTable):
         starts = unit_starts(data, offsets)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(rows, np.int64)
-        if self._used > POOL_TOKENS:
+        if self._used > POOL_TOKENS // 2:
             self._reset()
         ends = np.append(starts[1:], len(data))
         hashes = RangeHash(data).ranges(starts, ends) | np.uint64(1)
@@ -189,7 +188,7 @@ class Codec(ByteTable):
 @functools.lru_cache(maxsize=2)
 def byte_table(path: str) -> ByteTable:
     """One per worker and vocabulary."""
-    return ByteTable(path)
+    return ByteTable(read_ranks(path))
 
 
 @functools.lru_cache(maxsize=2)
@@ -314,8 +313,7 @@ def decode_documents(encoded: DataFrame, ids_col: str = "token_ids", as_text: bo
 
 def round_trip(docs: DataFrame, text_col: str = "text", ranks: str | None = None, pattern: str | None = None) -> DataFrame:
     """``encode_documents`` and ``decode_documents`` in one pass over the texts, with the same results."""
-    new = {c: F.col(f"__codec.{c}") for c in ("token_ids", "decoded")}
-    return with_columns_last(docs.withColumn("__codec", round_trip_column(F.col(text_col), ranks, pattern)), [c for c in docs.columns if c not in new], new)
+    return with_fields(docs, round_trip_column(F.col(text_col), ranks, pattern), ("token_ids", "decoded"))
 
 
 def codec_digests(docs: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +23,6 @@ _SPACE_LUT = np.zeros(256, bool)
 _SPACE_LUT[list(SPACE_BYTES)] = True
 _LOWER_LUT = np.arange(256, dtype=np.uint8)
 _LOWER_LUT[65:91] += 32
-FALLBACK_CHECKPOINT_DIR = "/tmp/checkpoints"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,13 +32,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Scratch:
     """Tables written to the folder that driver and executors share, to cut lineage.
 
-    The folder is ``spark.checkpoint.dir`` of the session; one is chosen here only where that is unset. A table lives
-    until ``drop`` or, because results are lazy and may still read it, until the application ends.
+    The folder is ``spark.checkpoint.dir`` of the session. Only a session in one JVM (``local[n]``) may leave it unset,
+    since all its tasks see the driver's temporary folder; any other session without it is refused. A table lives until
+    ``drop`` or, because results are lazy and may still read it, until the application ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_CHECKPOINT_DIR
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            root = f"{tempfile.gettempdir()}/spark-checkpoints"
         self.folder = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path(self.folder)
@@ -122,28 +129,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_STRIDE_LOG2 = 16
+
+
+@functools.lru_cache(maxsize=4)
+def _low_powers(base: int) -> np.ndarray:
+    steps = np.full(1 << _STRIDE_LOG2, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo 2^64; only a table of 2^16 of them is kept."""
+    low = _low_powers(base)
+    high = np.full(-(-n >> _STRIDE_LOG2) if n > 0 else 0, pow(base, 1 << _STRIDE_LOG2, 2**64), np.uint64)
+    high[:1] = 1
+    return (np.cumprod(high)[:, None] * low[None, : min(n, len(low))]).ravel()[:n]
+
+
 class RangeHash:
     """Equal byte ranges get equal 64-bit values wherever they start; ranges may be of any length.
 
     A polynomial modulo 2^64 with an odd base, made independent of the start by the inverse power, then mixed.
     """
 
-    _powers = np.ones(1, np.uint64)
-    _inverses = np.ones(1, np.uint64)
-
     def __init__(self, data: np.ndarray):
         n = len(data)
-        if len(RangeHash._powers) < n + 1:
-            size = 1 << int(n + 1).bit_length()
-            for name, base in (("_powers", _BASE), ("_inverses", _INVERSE)):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                setattr(RangeHash, name, np.cumprod(steps))
         self._sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * RangeHash._powers[:n], out=self._sums[1:])
+        terms = data.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= _powers(_BASE, n)
+        np.cumsum(terms, out=self._sums[1:])
 
     def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = (self._sums[ends] - self._sums[starts]) * RangeHash._inverses[starts]
+        low = _low_powers(_INVERSE)
+        high = _powers(pow(_INVERSE, 1 << _STRIDE_LOG2, 2**64), (len(self._sums) >> _STRIDE_LOG2) + 1)
+        raw = (self._sums[ends] - self._sums[starts]) * low[starts & (len(low) - 1)] * high[starts >> _STRIDE_LOG2]
         return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def windows(self, width: int) -> np.ndarray:
@@ -151,7 +172,7 @@ class RangeHash:
         n = len(self._sums) - width
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mix((self._sums[width:] - self._sums[:-width]) * RangeHash._inverses[:n])
+        return mix((self._sums[width:] - self._sums[:-width]) * _powers(_INVERSE, n))
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,6 +194,21 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER_LUT[data]
 
 
+def fresh(taken: Iterable[str], name: str) -> str:
+    """``name``, made longer while a column is called so, in whatever case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def with_columns_last(df: DataFrame, names: list[str], new: dict[str, Column]) -> DataFrame:
-    """``names`` of ``df`` without those in ``new``, then ``new``."""
-    return df.select(*[F.col(f"`{x}`") for x in names if x not in new], *[c.alias(k) for k, c in new.items()])
+    """``names`` of ``df`` without those in ``new`` (in whatever case), then ``new``."""
+    gone = {c.lower() for c in new}
+    return df.select(*[F.col(f"`{x}`") for x in names if x.lower() not in gone], *[c.alias(k) for k, c in new.items()])
+
+
+def with_fields(df: DataFrame, struct: Column, fields: Iterable[str]) -> DataFrame:
+    """``df`` with ``fields`` of ``struct`` as its last columns, in place of input columns of these names."""
+    own = fresh(df.columns, "__fields")
+    return with_columns_last(df.withColumn(own, struct), df.columns, {c: F.col(f"`{own}`.`{c}`") for c in fields})
