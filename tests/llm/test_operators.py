@@ -327,6 +327,49 @@ def test_items_are_found(spark, sf):
         assert found[d, i] == distance(low(dict(items)[i]), low(text[d]))
 
 
+def edited(rnd, body, share, kinds):
+    """``body`` with that share of its bytes substituted, doubled or dropped."""
+    out = list(body)
+    for p in sorted(rnd.sample(range(len(out)), int(share * len(out))), reverse=True):
+        kind = rnd.choice(kinds)
+        if kind == "drop":
+            del out[p]
+        elif kind == "add":
+            out.insert(p, rnd.choice(body))
+        else:
+            out[p] = rnd.choice([c for c in range(97, 123) if c != out[p]])
+    return bytes(out)
+
+
+@pytest.mark.parametrize("kinds", [("other",), ("other", "add", "drop")])
+@pytest.mark.parametrize("share", [0.0, 0.05, 0.1, 0.15, 0.2])
+def test_recall_up_to_the_limit(share, kinds):
+    """Against all items, each planted once: no text without blanks, no edited word and no neighbour is needed."""
+    rnd = random.Random(12)
+    vocabulary = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 9))) for _ in range(400)]
+    said = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
+    items = [said(rnd.randint(14, 60)) for _ in range(120)]
+    index = decontaminate.ItemIndex(list(range(len(items))), items)
+    texts = [(said(150) + "x").encode() + edited(rnd, t.encode(), share, kinds) + ("y" + said(150)).encode() for t in items]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    found = {(r, i): d for r, i, d, _ in index.matches(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]), 0.2)}
+    hit = [i for i in range(len(items)) if (i, i) in found]
+    assert len(hit) >= (1 if share == 0 else 0.9) * len(items)
+    if share == 0:
+        assert all(found[i, i] == 0 for i in hit)
+
+
+def test_edits_in_every_other_word_and_text_without_blanks():
+    plain = "the quick brown foxes never jumped across those seven sleeping watchdogs before sunrise yesterday morning"
+    swapped = " ".join(w if k % 2 else "q" + w[1:] for k, w in enumerate(plain.split()))
+    dense = "漢字仮名交じり文を空白なしで書いた長い項目をここに置く"
+    index = decontaminate.ItemIndex([1, 2], [plain, dense])
+    texts = [f"so {swapped} then".encode(), f"前置き{dense}後書き".encode(), b"nothing of this kind is in here at all"]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    got = index.matches(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]), 0.2)
+    assert {(r, index.ids[i]) for r, i, _, _ in got} == {(0, 1), (1, 2)}
+
+
 def test_rows_of_one_identifier_are_clean_each_by_its_text(spark):
     item = "which of these four words is the right one"
     rows = spark.createDataFrame([(5, f"so {item} then"), (5, "five"), (None, item), (None, "none"), (6, None), (6, item)], SCHEMA)
