@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelane.llm.common import RangeHash, byte_view, chunks, list_array, strings, with_columns_last, with_fields
+from tracelane.llm.common import RangeHash, arrow_udf, byte_view, chunks, list_array, strings, with_columns_last, with_fields
 
 #: Slots for encoded units in a worker, tokens that they may hold before all are emptied, and units encoded at a time.
 SLOTS_LOG2, POOL_TOKENS, UNITS = 19, 4_000_000, 5_000
@@ -218,7 +218,7 @@ def encode_column(text: Column, ranks: str | None = None, pattern: str | None =
     """Token identifiers of ``text`` as array<int>."""
     ranks, pattern = ranks or default_ranks(), pattern or default_pattern()
 
-    @F.arrow_udf("array<int>")
+    @arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         ids, sizes = codec(ranks, pattern).encode_column(texts)
         return list_array(ids, np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
@@ -230,7 +230,7 @@ def count_column(text: Column, ranks: str | None = None, pattern: str | None = N
     """Number of tokens of ``text`` as long."""
     ranks, pattern = ranks or default_ranks(), pattern or default_pattern()
 
-    @F.arrow_udf("bigint")
+    @arrow_udf("bigint")
     def count(texts: pa.Array) -> pa.Array:
         return pa.array(codec(ranks, pattern).encode_column(texts)[1], pa.int64())
 
@@ -241,7 +241,7 @@ def offsets_column(text: Column, ids: Column, ranks: str | None = None) -> Colum
     """For each token the index of the character that holds its first byte, as array<int>."""
     ranks = ranks or default_ranks()
 
-    @F.arrow_udf("array<int>")
+    @arrow_udf("array<int>")
     def offsets(texts: pa.Array, codes: pa.Array) -> pa.Array:
         lengths = byte_table(ranks).lengths
         return _flat([character_starts(t, np.array(c or [], np.int64), lengths) if c else np.zeros(0, np.int32) for t, c in zip(strings(texts), codes.to_pylist(), strict=True)])
@@ -253,7 +253,7 @@ def decode_column(ids: Column, ranks: str | None = None) -> Column:
     """Bytes of the tokens ``ids``; they may begin or end inside a character."""
     ranks = ranks or default_ranks()
 
-    @F.arrow_udf("binary")
+    @arrow_udf("binary")
     def decode(codes: pa.Array) -> pa.Array:
         own = byte_table(ranks)
         values = np.asarray(codes.flatten().fill_null(0))
@@ -268,7 +268,7 @@ def round_trip_column(text: Column, ranks: str | None = None, pattern: str | Non
     """struct(token_ids, decoded): the identifiers of ``text`` and the bytes that they decode to, in one pass."""
     ranks, pattern = ranks or default_ranks(), pattern or default_pattern()
 
-    @F.arrow_udf("struct<token_ids:array<int>,decoded:binary>")
+    @arrow_udf("struct<token_ids:array<int>,decoded:binary>")
     def both(texts: pa.Array) -> pa.Array:
         own = codec(ranks, pattern)
         ids, sizes = own.encode_column(texts)
@@ -282,7 +282,7 @@ def round_trip_column(text: Column, ranks: str | None = None, pattern: str | Non
 def decode_text_column(decoded: Column) -> Column:
     """Decoded bytes as text. A character of which only a part is there, at either end, becomes U+FFFD."""
 
-    @F.arrow_udf("string")
+    @arrow_udf("string")
     def text(values: pa.Array) -> pa.Array:
         return pa.array([(x or b"").decode("utf-8", "replace") for x in values.to_pylist()], pa.string())
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import re
 import tempfile
@@ -74,6 +76,29 @@ def id_key(column: str) -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 
 
+def trim() -> None:
+    """Give what a worker has freed back to the system; else large arrays of one stage stay with the next ones."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library cannot
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def arrow_udf(kind: T.DataType | str) -> Callable:
+    """``F.arrow_udf`` whose worker is trimmed after each batch."""
+
+    def wrap(fn: Callable[..., pa.Array]):
+        @functools.wraps(fn)
+        def run(*columns):
+            try:
+                return fn(*columns)
+            finally:
+                trim()
+
+        return F.arrow_udf(run, kind)
+
+    return wrap
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """``fn`` over each Arrow batch of each partition."""
 
@@ -81,6 +106,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
         for batch in batches:
             if batch.num_rows:
                 yield from fn(batch)
+                trim()
 
     return df.mapInArrow(run, schema)
 

@@ -24,7 +24,7 @@ SYMBOLS = 3
 RECALL, AGREEMENT = 0.98, 0.3
 #: Items that are broadcast at a time, and bytes of an item's text that are looked at in one window.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32 << 20
-CHUNK_BYTES, WINDOWS = 4_000_000, 4_000
+CHUNK_BYTES, WINDOWS = 2_000_000, 4_000
 _BITMAP_LOG2 = 22
 _SPACE = np.arange(256, dtype=np.uint8)
 _SPACE[9:14] = 32

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelane.llm.common import chunks, map_batches, strings, with_columns_last
+from tracelane.llm.common import arrow_udf, chunks, map_batches, strings, with_columns_last
 
 #: Hashed character trigrams per language; the model is languages * BUCKETS float32, at most 512 * 2^16 * 4 = 134 MB.
 BUCKETS_LOG2 = 16
@@ -178,7 +178,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<lang_pred:string,score:double,mixture:map<string,double>>")
+    @arrow_udf("struct<lang_pred:string,score:double,mixture:map<string,double>>")
     def predict(column: pa.Array) -> pa.Array:
         texts, own = strings(column), shared.value
         names, scores, mixtures = [], [], []

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelane.llm.common import NULL_ID, SPACE_BYTES, Scratch, id_key, map_batches, strings, with_columns_last
+from tracelane.llm.common import NULL_ID, SPACE_BYTES, Scratch, arrow_udf, id_key, map_batches, strings, with_columns_last
 
 _SPACE = SPACE_BYTES.decode()
 
@@ -58,7 +58,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 2, min_chars: int = 10, id_col:
     losers = lines.join(repeated.select("line", "keeper"), "line").where("__doc > keeper")
     drops = losers.groupBy("__doc").agg(F.collect_set("line").alias("__drops"))  # at most a document's own lines
 
-    @F.arrow_udf("struct<text:string,n_lines:bigint,n_dropped:bigint>")
+    @arrow_udf("struct<text:string,n_lines:bigint,n_dropped:bigint>")
     def rebuild(texts: pa.Array, dropped: pa.Array) -> pa.Array:
         out, before, gone = [], [], []
         for text, drop in zip(strings(texts), dropped.to_pylist(), strict=True):

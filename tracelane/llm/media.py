@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelane.llm import flac
-from tracelane.llm.common import byte_view, chunks, map_batches, with_columns_last
+from tracelane.llm.common import arrow_udf, byte_view, chunks, map_batches, with_columns_last
 
 #: Bytes of payload that are coded together.
 CHUNK_BYTES = 1_500_000
@@ -29,7 +29,7 @@ def encode_column(body: Column) -> Column:
     The payload is the body with blanks (byte 32) up to a positive multiple of flac.BLOCK; null counts as empty.
     """
 
-    @F.arrow_udf(MEDIA)
+    @arrow_udf(MEDIA)
     def encode(bodies: pa.Array) -> pa.Array:
         media, sizes, padded = [], [], []
         for part in _parts(bodies):
@@ -54,7 +54,7 @@ def _bytes(samples: np.ndarray) -> bytes:
 def decode_column(media: Column) -> Column:
     """struct(payload, n_blocks, feature): the bytes of a stream of 8-bit samples. Raises where a checksum is wrong."""
 
-    @F.arrow_udf("struct<payload:binary,n_blocks:bigint,feature:string>")
+    @arrow_udf("struct<payload:binary,n_blocks:bigint,feature:string>")
     def decode(streams: pa.Array) -> pa.Array:
         payloads, blocks, features = [], [], []
         for part in _parts(streams):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelane.llm.common import id_key, strings, with_columns_last
+from tracelane.llm.common import arrow_udf, id_key, strings, with_columns_last
 
 FEATURES_LOG2 = 18
 #: Rated rows that the model is fitted on at most: those of the smallest hashes of their identifiers.
@@ -103,7 +103,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most ``rows`` rated documents; only their feature numbers reach the driver."""
     chosen = graded(labels, id_col).orderBy(F.xxhash64(id_col), id_col).limit(rows)
 
-    @F.arrow_udf("array<bigint>")
+    @arrow_udf("array<bigint>")
     def hashed(texts: pa.Array) -> pa.Array:
         return pa.array([features(t) for t in strings(texts)], pa.list_(pa.int64()))
 
@@ -121,7 +121,7 @@ def grade(docs: DataFrame, model: OrdinalModel, keep_from: int = GOOD, least: fl
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<expected_grade:double,tail_prob:double>")
+    @arrow_udf("struct<expected_grade:double,tail_prob:double>")
     def rate(texts: pa.Array) -> pa.Array:
         own = shared.value
         scores = np.array([own.weights[features(t)].sum() for t in strings(texts)], np.float64)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelane.llm import blobs
-from tracelane.llm.common import RangeHash, Scratch, byte_view, chunks, id_key, map_batches, mix, with_columns_last
+from tracelane.llm.common import RangeHash, Scratch, arrow_udf, byte_view, chunks, id_key, map_batches, mix, with_columns_last
 
 #: Bytes of a sampled gram. A string of ``width`` bytes has width - GRAM + 1 of them; its smallest is its sample.
 GRAM = 32
@@ -211,7 +211,7 @@ def suffix_dedup(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text
     spans = repeated_spans(docs, width, id_col, text_col, scratch)
     per_doc = spans.groupBy("doc", "salt").agg(F.flatten(F.collect_list("starts")).alias("__starts"), F.flatten(F.collect_list("ends")).alias("__ends"))
 
-    @F.arrow_udf("struct<kept:binary,n_bytes:bigint,n_removed:bigint,n_spans:bigint>")
+    @arrow_udf("struct<kept:binary,n_bytes:bigint,n_removed:bigint,n_spans:bigint>")
     def cut(bodies: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
         kept, sizes, removed, counts = [], [], [], []
         for body, a, b in zip(bodies, starts, ends, strict=True):
