@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelane.llm import blobs
-from tracelane.llm.common import RangeHash, Scratch, byte_view, chunks, id_key, lower_ascii, map_batches, mix, word_spans
+from tracelane.llm.common import RangeHash, Scratch, arrow_udf, byte_view, chunks, id_key, lower_ascii, map_batches, mix, word_spans
 
 WORDS = 5
 #: Linked if 100 * intersection >= PERCENT * union.
@@ -195,7 +195,7 @@ class JaccardJoin:
         members = self.scratch.save(map_batches(packed.where("part = -1"), rows, "doc long, set long, n long, histogram binary"), "members")
 
         def meet(own: dict[str, np.ndarray]) -> pa.Table:
-            """Candidate pairs of small regions; large regions: pairs with the leader, and the members (b null)."""
+            """Candidate pairs of small regions; large regions: the members (b null), their number, and the leader if its size fits."""
             order = np.lexsort((own["b"], own["a"]))
             name, set_, size = own["a"][order], own["b"][order], own["n"][order].astype(np.int64)
             new = blobs.firsts(name, set_)
@@ -207,24 +207,30 @@ class JaccardJoin:
             large = count > SMALL
             lead = np.repeat(start[large], count[large])
             member = lead + np.arange(len(lead)) - np.repeat(np.cumsum(count[large]) - count[large], count[large])
-            a, b = np.append(a, lead[member != lead]), np.append(b, member[member != lead])
-            fit = np.minimum(size[a], size[b]) * 100 >= np.maximum(size[a], size[b]) * percent
+            fits = lambda a, b: np.minimum(size[a], size[b]) * 100 >= np.maximum(size[a], size[b]) * percent
+            fit = fits(a, b)
             pair = np.unique(np.stack([set_[a[fit]], set_[b[fit]]], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
             n_pairs, n_members = len(pair), len(member)
             none = lambda n: pa.nulls(n, pa.int64())
             return pa.table({
                 "a": pa.concat_arrays([pa.array(pair[:, 0]), pa.array(set_[member])]), "b": pa.concat_arrays([pa.array(pair[:, 1]), none(n_members)]),
                 "region": pa.concat_arrays([none(n_pairs), pa.array(name[member].astype(np.int64))]), "n": pa.concat_arrays([none(n_pairs), pa.array(size[member])]),
-                "leader": pa.concat_arrays([none(n_pairs), pa.array(set_[lead])]),
+                "leader": pa.concat_arrays([none(n_pairs), pa.array(set_[lead], mask=(member == lead) | ~fits(member, lead))]),
+                "c": pa.concat_arrays([none(n_pairs), pa.array(np.repeat(count[large], count[large]))]),
             })
 
-        met = self.scratch.save(blobs.reduce_parts(packed.where("part >= 0").drop("h"), meet, _ENTRIES, "a long, b long, region long, n long, leader long"), "met")
+        met = self.scratch.save(blobs.reduce_parts(packed.where("part >= 0").drop("h"), meet, _ENTRIES, "a long, b long, region long, n long, leader long, c long"), "met")
         self.scratch.drop("packed")
-        large = met.where("b IS NULL").select(F.xxhash64("region", "leader").alias("region"), F.col("a").alias("set"), "n")
+        large = met.where("b IS NULL").select(F.xxhash64("region", "c").alias("region"), F.col("a").alias("set"), "n")
+        # A set is first compared with two leaders, those of its largest and its smallest region; what these links do not
+        # settle is compared region by region, so a group of many near copies costs two pairs a copy and not one a pivot.
+        led, place = met.where("b IS NULL AND leader IS NOT NULL").groupBy(F.col("a").alias("set")), F.struct("c", "region")
+        led = led.agg(F.array(F.max_by("leader", place), F.min_by("leader", place)).alias("leaders")).select("set", F.explode("leaders").alias("leader"))
+        pairs = met.where("b IS NOT NULL").select("a", "b").unionByName(led.select(F.least("set", "leader").alias("a"), F.greatest("set", "leader").alias("b")))
         # Copies of one near-duplicate group meet in many regions of the same members: one of them is enough.
         same = large.groupBy("region").agg(F.count("*").alias("c"), F.sum(F.xxhash64("set").cast("decimal(20,0)")).alias("h"))
         one = same.groupBy("c", "h").agg(F.min("region").alias("region"))
-        return members, met.where("b IS NOT NULL").select("a", "b").distinct(), large.join(one.select("region"), "region", "left_semi")
+        return members, pairs.distinct(), large.join(one.select("region"), "region", "left_semi")
 
     def bodies(self, members: DataFrame, wanted: DataFrame) -> DataFrame:
         """(set, keys) of the wanted sets, from one document of each."""
@@ -246,7 +252,7 @@ class JaccardJoin:
         """The pairs whose histograms leave room for a link."""
         percent = self.percent
 
-        @F.arrow_udf("boolean")
+        @arrow_udf("boolean")
         def near(left: pa.Array, right: pa.Array, sizes: pa.Array) -> pa.Array:
             """Whether the histograms leave room for a link: the symmetric difference is at most (1 - t) / (1 + t) of both sizes."""
             x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, _BUCKETS).astype(np.int16) for c in (left, right))
@@ -262,7 +268,7 @@ class JaccardJoin:
         """
         percent = self.percent
 
-        @F.arrow_udf("array<struct<a:bigint,b:bigint>>")
+        @arrow_udf("array<struct<a:bigint,b:bigint>>")
         def near(region: pa.Array, sets: pa.Array, sizes: pa.Array, labels: pa.Array, bodies: pa.Array, regions: pa.Array, sets2: pa.Array, sizes2: pa.Array, labels2: pa.Array, bodies2: pa.Array, regions2: pa.Array) -> pa.Array:
             out = []
             for here, x, n, own, h, r, y, m, other, g, q in zip(region.to_pylist(), sets, sizes, labels, bodies, regions, sets2, sizes2, labels2, bodies2, regions2, strict=True):
@@ -292,7 +298,7 @@ class JaccardJoin:
             return pairs
         bodies = self.scratch.save(self.bodies(members, pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()), f"bodies{label}")
 
-        @F.arrow_udf("boolean")
+        @arrow_udf("boolean")
         def linked(left: pa.Array, right: pa.Array) -> pa.Array:
             out = []
             for x, y in zip(left, right, strict=True):
@@ -327,7 +333,7 @@ class JaccardJoin:
     def groups(self) -> tuple[DataFrame, DataFrame]:
         """(doc, set, n) and (set, label).
 
-        In a large region every set was compared with a leader. What ended in the leader's group needs no more; of the
+        Sets of large regions were compared with two leaders. What ended in a region's main group needs no more; of the
         others up to LEADERS a round become leaders and are compared with all members of other groups, until none is
         left. So each pair of a region that its groups do not settle is compared.
         """
