@@ -261,10 +261,11 @@ class JaccardJoin:
         drawn = pairs.join(sketch.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("histogram").alias("ha")), "a").join(sketch.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("histogram").alias("hb")), "b")
         return drawn.where(near("ha", "hb", F.col("na") + F.col("nb"))).select("a", "b")
 
-    def compared(self, known: DataFrame, leaders: DataFrame) -> DataFrame:
+    def compared(self, known: DataFrame, leaders: DataFrame, nearest: bool) -> DataFrame:
         """Plausible pairs of leaders with members of other groups of their region; members are taken in blocks.
 
-        A pair that meets in several regions is given by the first of them alone.
+        A pair that meets in several regions is given by the first of them alone. ``nearest``: of each block only the member
+        whose histogram is nearest to the leader's, which is enough to find most groups that belong together.
         """
         percent = self.percent
 
@@ -278,8 +279,12 @@ class JaccardJoin:
                 pairs: set[tuple[int, int]] = set()
                 for i in range(len(y)):
                     some = np.flatnonzero((own != other[i]) & (np.minimum(n, m[i]) * 100 >= np.maximum(n, m[i]) * percent))
-                    some = some[np.abs(h[some] - g[i]).sum(axis=1) * (100 + percent) <= (n[some] + m[i]) * (100 - percent)]
-                    b = int(y[i])
+                    apart = np.abs(h[some] - g[i]).sum(axis=1) / (n[some] + m[i])
+                    near_by = apart * (100 + percent) <= 100 - percent
+                    some, apart, b = some[near_by], apart[near_by], int(y[i])
+                    if nearest:
+                        pairs.update((min(int(x[k]), b), max(int(x[k]), b)) for k in some[np.argsort(apart, kind="stable")[:1]].tolist())
+                        continue
                     pairs.update((min(a, b), max(a, b)) for a, k in zip(x[some].tolist(), some.tolist(), strict=True) if min(r[k] & q[i]) == here)
                 out.append([{"a": a, "b": b} for a, b in sorted(pairs)])
             return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
@@ -333,7 +338,8 @@ class JaccardJoin:
     def groups(self) -> tuple[DataFrame, DataFrame]:
         """(doc, set, n) and (set, label).
 
-        Sets of large regions were compared with two leaders. What ended in a region's main group needs no more; of the
+        Sets of large regions were compared with two leaders. What ended in a region's main group needs no more; the
+        others are compared with their nearest sets of other groups until no groups merge any more. Then, of the
         others up to LEADERS a round become leaders and are compared with all members of other groups, until none is
         left. So each pair of a region that its groups do not settle is compared.
         """
@@ -355,10 +361,15 @@ class JaccardJoin:
             known = self.scratch.save(drawn, f"known-{turn}")
             rest = known.where("label <> main").withColumn("place", F.row_number().over(W.partitionBy("region").orderBy("set")))
             leaders = rest.where(F.col("place") <= LEADERS)
-            more = self.verified(members, self.compared(known, leaders), str(turn))
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                labels = self.labels(links, str(turn))
+            found = False
+            for nearest in (True, False):
+                more = self.verified(members, self.compared(known, leaders, nearest), f"{turn}-{nearest}")
+                if not more.isEmpty():
+                    links, found = links.unionByName(more), True
+                    labels = self.labels(links, f"{turn}-{nearest}")
+                    break
+            if found and nearest:  # groups have merged: look again before all pairs are compared
+                continue
             large = self.scratch.save(known.join(leaders.select("region", "set"), ["region", "set"], "left_anti").select("region", "set", "n"), f"large-{turn}")
         return members, labels
 
