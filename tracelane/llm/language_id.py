@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelane.llm.common import arrow_udf, chunks, map_batches, strings, with_columns_last
+from tracelane.llm.common import arrow_udf, chunks, map_batches, strings, with_fields
 
-#: Hashed character trigrams per language; the model is languages * BUCKETS float32, at most 512 * 2^16 * 4 = 134 MB.
-BUCKETS_LOG2 = 16
-MAX_LANGUAGES = 512
+#: Hashed character trigrams per language, and the size of the model: with over 2^9 languages each has fewer buckets, so
+#: that it stays within 2^MODEL_LOG2 float32 (134 MB) for any number of them.
+BUCKETS_LOG2, MODEL_LOG2 = 16, 25
 SMOOTHING = 0.1
-#: Rounds of expectation-maximisation for each candidate language set.
-EM_ROUNDS = 8
+#: Expectation-maximisation ends when no share moves by more than EM_STEP, after EM_ROUNDS at the latest.
+EM_ROUNDS, EM_STEP = 50, 1e-3
 #: Price of one more language: this times ln(words).
 PENALTY = 1.5
 CHUNK_CHARS = 1_000_000
@@ -49,15 +49,20 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bucket, first, np.searchsorted(ends, at[first], "right")
 
 
-def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
-    yield from chunks(np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]), CHUNK_CHARS)
+def _groups(texts: list[str], languages: int = 8) -> Iterator[tuple[int, int]]:
+    """Row ranges of about CHUNK_CHARS characters, of fewer where each has more languages to weigh."""
+    yield from chunks(np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]), CHUNK_CHARS * 8 // max(8, languages))
+
+
+def buckets_log2(languages: int) -> int:
+    return min(BUCKETS_LOG2, MODEL_LOG2 - max(languages - 1, 0).bit_length())
 
 
 class LanguageModel:
     """Trigram log probabilities, one column per language, sorted by name."""
 
     def __init__(self, languages: list[str], counts: np.ndarray):
-        self.languages = languages
+        self.languages, self.shift = languages, BUCKETS_LOG2 - (len(counts) - 1).bit_length()
         total = counts.sum(axis=0, keepdims=True)
         self.logp = np.log((counts + SMOOTHING) / (total + SMOOTHING * len(counts))).astype(np.float32)
 
@@ -66,9 +71,11 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     """Trigram counts of each language over all rows of ``labelled``.
 
     Rows whose language or text is null teach nothing. Each task adds up its own counts, so the shuffle carries one row
-    per language, bucket and task; the summed table has at most MAX_LANGUAGES * 2^BUCKETS_LOG2 rows.
+    per language, bucket and task; the summed table has at most 2^MODEL_LOG2 rows, whatever the number of languages.
     """
-    size = 1 << BUCKETS_LOG2
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string"), F.col(lang_col).cast("string"))
+    bits = buckets_log2(rows.select(lang_col).distinct().count())
+    size, shift = 1 << bits, BUCKETS_LOG2 - bits
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -79,18 +86,15 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
                 spread = np.repeat(row, np.diff(np.append(first, len(bucket))))
                 own = langs[start:stop]
                 for lang in sorted(set(own)):
-                    mine = bucket[(own == lang)[spread]]
+                    mine = bucket[(own == lang)[spread]] >> shift
                     sums[lang] = sums.get(lang, 0) + np.bincount(mine, minlength=size)
         for lang, n in sums.items():
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], ["lang", "bucket", "n"])
 
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string"), F.col(lang_col).cast("string"))
     table = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     lang, bucket, n = (table.column(c).to_pylist() if c == "lang" else table.column(c).to_numpy() for c in ("lang", "bucket", "n"))
     languages = sorted(set(lang))
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; the model is bounded to {MAX_LANGUAGES}")
     counts = np.zeros((size, max(1, len(languages))))
     where = {x: i for i, x in enumerate(languages)}
     counts[bucket, [where[x] for x in lang]] = n
@@ -105,7 +109,9 @@ def _mixture(words: np.ndarray, row: np.ndarray, rows: int, n: np.ndarray) -> tu
     for _ in range(EM_ROUNDS):
         own = lik * share[row]
         own /= own.sum(axis=1, keepdims=True)
-        share = np.stack([np.bincount(row, own[:, j], rows) for j in range(own.shape[1])], axis=1) / n[:, None]
+        before, share = share, np.stack([np.bincount(row, own[:, j], rows) for j in range(own.shape[1])], axis=1) / n[:, None]
+        if np.abs(share - before).max(initial=0) < EM_STEP:
+            break
     seen = np.log((lik * share[row]).sum(axis=1)) + top[:, 0]
     return share, np.bincount(row, seen, rows)
 
@@ -113,9 +119,10 @@ def _mixture(words: np.ndarray, row: np.ndarray, rows: int, n: np.ndarray) -> tu
 def infer(model: LanguageModel, texts: list[str]) -> np.ndarray:
     """Proportions [text, language]; all zero for a text without letters.
 
-    The language set grows from the single best language. The next candidate is the one that would raise the sum of
-    word maxima most, which bounds the likelihood that it can add; the proportions of the larger set are fitted by
-    expectation-maximisation over words, and it is kept if its likelihood gains more than PENALTY * ln(words).
+    The language set grows from the single best language by the one that adds most likelihood, the proportions of each
+    larger set being fitted by expectation-maximisation over words; it is kept if that gains more than
+    PENALTY * ln(words). The sum of word maxima bounds what a language can add, so candidates are fitted in the order of
+    their bounds until no other can be better.
     """
     size = len(model.languages)
     out = np.zeros((len(texts), size))
@@ -124,7 +131,7 @@ def infer(model: LanguageModel, texts: list[str]) -> np.ndarray:
     bucket, first, row = trigrams(texts)
     if not len(bucket):
         return out
-    words = np.add.reduceat(model.logp[bucket], first, axis=0).astype(np.float64)
+    words = np.add.reduceat(model.logp[bucket >> model.shift], first, axis=0).astype(np.float64)
     rows = len(texts)
     n = np.bincount(row, minlength=rows)
     alone = np.stack([np.bincount(row, words[:, j], rows) for j in range(size)], axis=1)
@@ -147,25 +154,32 @@ def infer(model: LanguageModel, texts: list[str]) -> np.ndarray:
         held = np.take_along_axis(w, sets[r], axis=1).max(axis=1)
         bound = np.stack([np.bincount(r, np.maximum(held, w[:, j]), len(ids)) for j in range(size)], axis=1)
         np.put_along_axis(bound, sets, -np.inf, axis=1)
-        extra = bound.argmax(axis=1)
-        worth = bound[np.arange(len(ids)), extra] > likelihood[ids] + price[ids]
-        active[ids[~worth]] = False
-        if not worth.any():
+        order = np.argsort(-bound, axis=1, kind="stable")
+        least = likelihood[ids] + price[ids]  # what a candidate must exceed, later the best one so far
+        best, shares = np.full(len(ids), -1), np.zeros((len(ids), k + 1))
+        for extra in order.T:
+            own = np.flatnonzero(bound[np.arange(len(ids)), extra] > least)
+            if not len(own):
+                break
+            place = np.full(len(ids), -1)
+            place[own] = np.arange(len(own))
+            keep = place[r] >= 0
+            wider = np.column_stack([sets[own], extra[own]])
+            share, got = _mixture(np.take_along_axis(w[keep], wider[place[r[keep]]], axis=1), place[r[keep]], len(own), n[ids[own]])
+            better = got > least[own]
+            won = own[better]
+            best[won], least[won], shares[won] = extra[won], got[better], share[better]
+        active[ids[best < 0]] = False
+        grown = best >= 0
+        ids, sets = ids[grown], np.column_stack([sets, best])[grown]
+        if not len(ids):
             break
-        keep = worth[r]
-        back2 = np.cumsum(worth) - 1
-        sets, ids = np.column_stack([sets, extra])[worth], ids[worth]
-        r = back2[r[keep]]
-        share, got = _mixture(np.take_along_axis(w[keep], sets[r], axis=1), r, len(ids), n[ids])
-        better = got > likelihood[ids] + price[ids]
-        active[ids[~better]] = False
-        ids, sets = ids[better], sets[better]
-        likelihood[ids] = got[better]
+        likelihood[ids] = least[grown]
         out[ids] = 0
-        out[ids[:, None], sets] = share[better]
-        extra = np.zeros(rows, np.int64)
-        extra[ids] = sets[:, -1]
-        chosen.append(extra)
+        out[ids[:, None], sets] = shares[grown]
+        added = np.zeros(rows, np.int64)
+        added[ids] = sets[:, -1]
+        chosen.append(added)
     return out
 
 
@@ -182,7 +196,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     def predict(column: pa.Array) -> pa.Array:
         texts, own = strings(column), shared.value
         names, scores, mixtures = [], [], []
-        for start, stop in _groups(texts):
+        for start, stop in _groups(texts, len(own.languages)):
             for share in infer(own, texts[start:stop]):
                 top = int(share.argmax()) if len(share) else 0
                 found = len(share) > 0 and share[top] > 0
@@ -192,9 +206,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
         kinds = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(mixtures, pa.map_(pa.string(), pa.float64()))]
         return pa.StructArray.from_arrays(kinds, names=["lang_pred", "score", "mixture"])
 
-    new = {c: F.col(f"__lang.{c}") for c in ("lang_pred", "score", "mixture")}
-    names = [c for c in docs.columns if c not in new]
-    return with_columns_last(docs.withColumn("__lang", predict(F.col(text_col).cast("string"))), names, new)
+    return with_fields(docs, predict(F.col(text_col).cast("string")), ("lang_pred", "score", "mixture"))
 
 
 def fold(id_col: str, folds: int):
@@ -203,8 +215,10 @@ def fold(id_col: str, folds: int):
 
 
 def accept(identified: DataFrame, least: float = 0.5) -> DataFrame:
-    """Rows whose language is determined and has at least ``least`` of the words."""
-    return identified.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    """Rows whose language is determined and has at least ``least`` of the words.
 
+    Texts that are null, empty or without a letter are undetermined and go; equal rows stay or go together. An empty table
+    stays empty, and every column stays as it is.
+    """
+    return identified.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
 
-__all__ = ["accept", "fold", "identify", "infer", "learn", "map_batches"]
