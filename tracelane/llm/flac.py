@@ -210,30 +210,59 @@ class _Words:
         return self.at(bit).view(np.int64) >> np.int64(64 - width) if width else np.zeros(len(bit), np.int64)
 
 
-def frame_starts(data: np.ndarray) -> np.ndarray:
-    """Offsets of the frames of one stream, by sync code, header checksum and running number."""
+def stream_info(data: np.ndarray) -> tuple[int, int, bytes]:
+    """(where the first frame begins, samples, MD5 of the samples) by the metadata; 0 and zero bytes mean unknown."""
     if data[:4].tobytes() != b"fLaC":
         raise FlacError("not a FLAC stream")
-    at, last = 4, False
+    at, last, samples, digest = 4, False, 0, bytes(16)
     while not last:
-        if at + 4 > len(data):
+        size = int.from_bytes(data[at + 1 : at + 4].tobytes(), "big")
+        if at + 4 + size > len(data):
             raise FlacError("metadata is cut off")
-        last = bool(data[at] & 0x80)
-        at += 4 + int.from_bytes(data[at + 1 : at + 4].tobytes(), "big")
+        last, kind = bool(data[at] & 0x80), int(data[at] & 0x7F)
+        if kind == 0 and size >= 34:
+            samples = int.from_bytes(data[at + 14 : at + 22].tobytes(), "big") & ((1 << 36) - 1)
+            digest = data[at + 22 : at + 38].tobytes()
+        at += 4 + size
+    return at, samples, digest
+
+
+def _whole(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether the last two bytes of each range are its CRC-16."""
+    long = end - start > 6
+    out = np.zeros(len(start), bool)
+    begin, stop = start[long], end[long]
+    out[long] = crc16(data, begin, stop - 2) == ((data[stop - 2].astype(np.uint32) << 8) | data[stop - 1])
+    return out
+
+
+def frame_starts(data: np.ndarray) -> np.ndarray:
+    """Offsets of the frames of one stream: sync code, header checksum and running number, settled by the frames' CRC-16.
+
+    Samples may look like a header, so where neighbouring candidates do not fit, each frame is followed to the first
+    candidate at which its checksum is right.
+    """
+    at = stream_info(data)[0]
     body = data[at:]
     some = np.flatnonzero((body[:-6] == 0xFF) & (body[1:-5] == 0xF8)) + at if len(body) > 6 else np.zeros(0, np.int64)
     head = _headers(data, some)
-    good = head["ok"]
-    some, number = some[good], head["number"][good]
-    if len(some) and not np.array_equal(number, np.arange(len(some))):
-        kept = []
-        for place, n in zip(some, number, strict=True):
-            if n == len(kept):
-                kept.append(place)
-        some = np.array(kept)
+    some, number = some[head["ok"]], head["number"][head["ok"]]
     if not len(some) or some[0] != at:
         raise FlacError("no frame where the first one belongs")
-    return some
+    ends = np.append(some[1:], len(data))
+    if np.array_equal(number, np.arange(len(some))) and _whole(data, some, ends).all():
+        return some
+    kept, place = [0], 0
+    while True:
+        later = np.append(np.flatnonzero(number[place + 1 :] == len(kept)) + place + 1, len(some))
+        stops = np.append(some, len(data))[later]
+        right = next((i for i, stop in zip(later, stops, strict=True) if _whole(data, some[place : place + 1], np.array([stop]))[0]), None)
+        if right is None:
+            raise FlacError("a frame's checksum is wrong")
+        if right == len(some):
+            return some[np.array(kept)]
+        kept.append(int(right))
+        place = int(right)
 
 
 def _headers(data: np.ndarray, start: np.ndarray) -> dict[str, np.ndarray]:
@@ -280,11 +309,22 @@ def decode_frames(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[
 
 
 def _subframes(words: _Words, bit: np.ndarray, block: int, depth: int) -> np.ndarray:
-    """Samples [frame, block] of subframes that begin at ``bit``."""
+    """Samples [frame, block] of subframes that begin at ``bit``; low bits that all samples lack are put back."""
     kind = words.unsigned(bit, 8)
-    if (kind & 1).any() or (kind & 0x80).any():
-        raise FlacError("wasted bits are not read")
-    kind, bit = kind >> 1, bit + 8
+    if (kind & 0x80).any():
+        raise FlacError("a subframe begins with a set bit")
+    wasted = np.where(kind & 1, 65 - np.frexp(words.at(bit + 8).astype(np.float64))[1].astype(np.int64), 0)
+    if (wasted >= depth).any():
+        raise FlacError("a subframe has no bits left")
+    out = np.zeros((len(bit), block), np.int64)
+    for w in np.unique(wasted).tolist():
+        own = np.flatnonzero(wasted == w)
+        out[own] = _samples(words, kind[own] >> 1, bit[own] + 8 + w, block, depth - w) << w
+    return out
+
+
+def _samples(words: _Words, kind: np.ndarray, bit: np.ndarray, block: int, depth: int) -> np.ndarray:
+    """Samples [frame, block] of subframes of a kind whose content begins at ``bit``."""
     out = np.zeros((block, len(bit)), np.int64)
     constant, plain = kind == 0, kind == 1
     out[:, constant] = words.signed(bit[constant], depth)
@@ -331,6 +371,7 @@ def _subframes(words: _Words, bit: np.ndarray, block: int, depth: int) -> np.nda
     bit = bit + 6
     step = block >> parts  # samples per partition; the first one is without the warm-up
     k = np.zeros(lanes, np.uint64)
+    plain_bits = np.full(lanes, -1, np.int64)  # width of residuals that stand as they are, -1 where they are coded
     single = not parts.any()
     after = coefficients.any(axis=1)
     for i in range(block):
@@ -338,13 +379,19 @@ def _subframes(words: _Words, bit: np.ndarray, block: int, depth: int) -> np.nda
             new = np.flatnonzero(i % step == 0)
             if len(new):
                 k[new] = words.at(bit[new]) >> (np.uint64(64) - width[new])
-                if (k[new] == (np.uint64(1) << width[new]) - np.uint64(1)).any():
-                    raise FlacError("escaped residuals are not read")
                 bit[new] += width[new].astype(np.int64)
+                escaped = k[new] == (np.uint64(1) << width[new]) - np.uint64(1)
+                plain_bits[new] = -1
+                if escaped.any():
+                    own = new[escaped]
+                    plain_bits[own] = words.unsigned(bit[own], 5)
+                    k[own] = 0
+                    bit[own] += 5
         live = slice(None) if i >= most else np.flatnonzero(order <= i)
-        at, own_k = bit[live], k[live]
+        at, own_k = bit[live].copy(), k[live]
         word = words.at(at)
-        zeros = 32 - np.frexp((word >> np.uint64(32)).astype(np.float64))[1].astype(np.int64)
+        own_plain = plain_bits[live]
+        zeros = np.where(own_plain >= 0, 0, 32 - np.frexp((word >> np.uint64(32)).astype(np.float64))[1].astype(np.int64))
         if (long := np.flatnonzero(zeros > 24)).size:  # long unary parts are read in several steps
             total = np.zeros(len(long), np.int64)
             place, open_ = at[long].copy(), np.arange(len(long))
@@ -367,6 +414,11 @@ def _subframes(words: _Words, bit: np.ndarray, block: int, depth: int) -> np.nda
         u = (zeros.astype(np.uint64) << own_k) | low
         residual = (u >> np.uint64(1)).view(np.int64) ^ -(u & np.uint64(1)).view(np.int64)
         bit[live] = at + zeros + 1 + own_k.view(np.int64)
+        if (raw := np.flatnonzero(own_plain >= 0)).size:
+            wide = own_plain[raw]
+            value = words.at(at[raw]).view(np.int64) >> np.minimum(64 - wide, 63)
+            residual[raw] = np.where(wide > 0, value, 0)
+            bit[np.arange(lanes)[live][raw]] = at[raw] + wide
         if most:
             sum_ = np.zeros(lanes, np.int64)
             for j in range(min(most, i)):
@@ -379,7 +431,10 @@ def _subframes(words: _Words, bit: np.ndarray, block: int, depth: int) -> np.nda
 
 
 def decode(streams: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each stream its samples, and the sample offset of each of its frames."""
+    """For each stream its samples, and the sample offset of each of its frames.
+
+    Checksums of headers and frames, and the number of samples and their MD5 where the stream tells them, are verified.
+    """
     views = [np.frombuffer(s, np.uint8) for s in streams]
     starts = [frame_starts(v) for v in views]
     base = np.concatenate([[0], np.cumsum([len(v) for v in views])]).astype(np.int64)
@@ -387,10 +442,20 @@ def decode(streams: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     starts = [s + b for s, b in zip(starts, base[:-1], strict=True)]
     if not views:
         return []
-    frames = decode_frames(np.concatenate(views), np.concatenate(starts), np.concatenate(ends))
+    whole = np.concatenate(views)
+    first = np.concatenate(starts)
+    frames = decode_frames(whole, first, np.concatenate(ends))
+    depths = _headers(whole, first)["depth"]
     out, at = [], 0
-    for own in starts:
+    for own, view in zip(starts, views, strict=True):
         mine = frames[at : at + len(own)]
+        samples = np.concatenate(mine)
+        _, count, digest = stream_info(view)
+        if count and count != len(samples):
+            raise FlacError(f"the stream has {len(samples)} of {count} samples")
+        kind = np.int8 if depths[at] == 8 else np.dtype("<i2")
+        if any(digest) and hashlib.md5(samples.astype(kind).tobytes()).digest() != digest:
+            raise FlacError("the samples' MD5 is wrong")
         at += len(own)
-        out.append((np.concatenate(mine), np.concatenate([[0], np.cumsum([len(f) for f in mine])[:-1]])))
+        out.append((samples, np.concatenate([[0], np.cumsum([len(f) for f in mine])[:-1]])))
     return out

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelane.llm import flac
-from tracelane.llm.common import arrow_udf, byte_view, chunks, map_batches, with_columns_last
+from tracelane.llm.common import arrow_udf, byte_view, chunks, map_batches, with_fields
 
 #: Bytes of payload that are coded together.
 CHUNK_BYTES = 1_500_000
@@ -73,20 +73,20 @@ def store_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Null and empty text become one block of blanks. Whole texts are stored; equal texts give equal streams. Input columns of
     these names are replaced, others and repeated rows pass through; an empty table gives an empty table. No shuffle.
     """
-    new = {c: F.col(f"__media.{c}") for c in ("media", "n_bytes", "payload_bytes")}
-    return with_columns_last(docs.withColumn("__media", encode_column(F.col(text_col).cast("string"))), [c for c in docs.columns if c not in new], new)
+    return with_fields(docs, encode_column(F.col(text_col).cast("string")), ("media", "n_bytes", "payload_bytes"))
 
 
 def read_media(stored: DataFrame, media_col: str = "media") -> DataFrame:
-    """``stored`` with ``payload`` (bytes as read back), ``n_blocks`` and ``feature``; frame checksums are verified."""
-    new = {c: F.col(f"__read.{c}") for c in ("payload", "n_blocks", "feature")}
-    return with_columns_last(stored.withColumn("__read", decode_column(F.col(media_col))), [c for c in stored.columns if c not in new], new)
+    """``stored`` with ``payload`` (bytes as read back), ``n_blocks`` and ``feature``; all checksums are verified."""
+    return with_fields(stored, decode_column(F.col(media_col)), ("payload", "n_blocks", "feature"))
 
 
 def pcm_blocks(stored: DataFrame, id_col: str = "doc_id", media_col: str = "media", seek: tuple[int, int] | None = None) -> DataFrame:
     """A row per block of a stream: identifier, ``block``, ``sample_offset``, ``n_samples``, ``pcm`` (signed 8-bit).
 
-    ``seek`` = (first, end): only blocks that hold samples of that range; only their frames are decoded.
+    ``seek`` = (first, end): only blocks that hold samples of that range; only their frames are decoded, found by the frame
+    headers of the stream. Null media give no rows, an empty table none, repeated rows rows each; only the two columns
+    are read, so others cannot clash. Raises where a checksum is wrong.
     """
     kind = stored.schema[id_col].dataType.simpleString()
 
