@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelane.llm.common import arrow_udf, id_key, strings, with_columns_last
+from tracelane.llm.common import arrow_udf, id_key, strings, with_columns_last, with_fields
 
 FEATURES_LOG2 = 18
 #: Rated rows that the model is fitted on at most: those of the smallest hashes of their identifiers.
@@ -17,7 +17,7 @@ TRAINING_ROWS = 6000
 #: A feature must occur in so many training texts to get a weight.
 LEAST_TEXTS = 5
 ROUNDS = 150
-RIDGE = 1e-3
+RIDGE = 1e-2
 #: Letters; anything else that is not white space.
 _PARTS = re.compile(r"[^\W\d_]+|[^\w\s]+|\d+")
 #: Grades, lowest first.
@@ -48,7 +48,11 @@ def features(text: str) -> np.ndarray:
 
 
 def graded(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(identifier, grade): 0 toxic, 1 poor, 2 good. Rows of one identifier give it their lowest grade; unrated rows none."""
+    """(identifier, grade): 0 toxic, 1 poor, 2 good.
+
+    Rows of one identifier give it their lowest grade. Rows without an identifier, or with neither ``toxic`` = 1 nor a
+    ``quality``, give none; an empty table gives an empty table. Other columns are not read.
+    """
     grade = F.when(F.col("toxic") == 1, TOXIC).when(F.col("quality") == 0, POOR).when(F.col("quality") == 1, GOOD)
     return labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), grade.alias("grade")).where("grade IS NOT NULL").groupBy(id_col).agg(F.min("grade").alias("grade"))
 
@@ -78,20 +82,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int = 3) -> OrdinalM
     used, column = np.unique(column, return_inverse=True)
     p = np.concatenate([np.zeros(len(used)), [first], steps])
     m, v = np.zeros_like(p), np.zeros_like(p)
-    lower, above = grades - 1, grades  # thresholds below and above a grade
     for t in range(1, ROUNDS + 1):
-        cuts = np.concatenate([[p[len(used)]], np.exp(p[len(used) + 1 :])]).cumsum()
-        score = np.bincount(row, p[: len(used)][column], n)
-        edge = np.concatenate([[-np.inf], cuts, [np.inf]])
-        with np.errstate(over="ignore"):
-            at_low = 1 / (1 + np.exp(-(score - edge[lower + 1])))  # P(grade >= own)
-            at_high = 1 / (1 + np.exp(-(score - edge[above + 1])))  # P(grade > own)
-        own = np.maximum(at_low - at_high, 1e-9)
-        low_slope, high_slope = at_low * (1 - at_low), at_high * (1 - at_high)
-        g_score = -(low_slope - high_slope) / own / n
-        g_cut = np.bincount(lower + 1, low_slope / own / n, levels + 1) - np.bincount(above + 1, high_slope / own / n, levels + 1)
-        g_cut = g_cut[1:levels]
-        g = np.concatenate([np.bincount(column, g_score[row], len(used)) + RIDGE * p[: len(used)] / n * 10, [g_cut.sum()], [g_cut[k:].sum() * np.exp(p[len(used) + k]) for k in range(1, levels - 1)]])
+        _, g = loss(p, row, column, grades, levels)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     weights = np.zeros(size)
@@ -99,6 +91,22 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int = 3) -> OrdinalM
     return OrdinalModel(weights, np.concatenate([[p[len(used)]], np.exp(p[len(used) + 1 :])]).cumsum())
 
 
+def loss(p: np.ndarray, row: np.ndarray, column: np.ndarray, grades: np.ndarray, levels: int) -> tuple[float, np.ndarray]:
+    """(penalised negative log likelihood a row, its gradient). ``p``: weights, first threshold, logs of the steps to the next."""
+    n, size = len(grades), len(p) - (levels - 1)
+    weights, steps = p[:size], np.exp(p[size + 1 :])
+    edge = np.concatenate([[-np.inf], np.concatenate([[p[size]], steps]).cumsum(), [np.inf]])
+    score = np.bincount(row, weights[column], n)
+    with np.errstate(over="ignore"):
+        least, more = 1 / (1 + np.exp(edge[grades] - score)), 1 / (1 + np.exp(edge[grades + 1] - score))  # P(grade >= own), P(grade > own)
+    own = np.maximum(least - more, 1e-9)
+    down, up = least * (1 - least) / own / n, more * (1 - more) / own / n
+    by_edge = (np.bincount(grades, down, levels + 1) - np.bincount(grades + 1, up, levels + 1))[1:levels]
+    slope = np.bincount(column, (up - down)[row], size) + RIDGE * weights / n
+    value = -np.log(own).mean() + RIDGE * (weights**2).sum() / 2 / n
+    return value, np.concatenate([slope, [by_edge.sum()], [by_edge[k:].sum() * steps[k - 1] for k in range(1, levels - 1)]])
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAINING_ROWS) -> OrdinalModel:
     """Fit on at most ``rows`` rated documents; only their feature numbers reach the driver."""
     chosen = graded(labels, id_col).orderBy(F.xxhash64(id_col), id_col).limit(rows)
@@ -107,7 +115,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def hashed(texts: pa.Array) -> pa.Array:
         return pa.array([features(t) for t in strings(texts)], pa.list_(pa.int64()))
 
-    rated = docs.select(id_key(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(chosen), F.col("__doc") == F.col(id_col))
+    rated = docs.where(F.col(id_col).isNotNull()).select(id_key(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(chosen), F.col("__doc") == F.col(id_col))
     own = rated.orderBy("__doc", F.xxhash64("__text")).limit(rows).select(hashed("__text").alias("f"), "grade").toArrow()
     return fit([np.asarray(x, np.int64) for x in own.column("f").to_pylist()], np.array(own.column("grade").to_pylist(), np.int64))
 
@@ -128,6 +136,5 @@ def grade(docs: DataFrame, model: OrdinalModel, keep_from: int = GOOD, least: fl
         tails = own.tails(scores)
         return pa.StructArray.from_arrays([pa.array(tails.sum(axis=1)), pa.array(tails[:, keep_from - 1])], names=["expected_grade", "tail_prob"])
 
-    rated = docs.withColumn("__rate", rate(F.col(text_col).cast("string")))
-    new = {"expected_grade": F.col("__rate.expected_grade"), "tail_prob": F.col("__rate.tail_prob"), "keep": F.col("__rate.tail_prob") >= least}
-    return with_columns_last(rated, [c for c in docs.columns if c not in new], new)
+    rated = with_fields(docs, rate(F.col(text_col).cast("string")), ("expected_grade", "tail_prob"))
+    return with_columns_last(rated, rated.columns, {"keep": F.col("tail_prob") >= least})
