@@ -12,6 +12,7 @@ from tracelane.config import AnalysisConfig, Weights
 from tracelane.operators import bottlenecks, graph, normalize
 from tracelane.operators import deviations as dv
 from tracelane.operators.frame import cases, event_frame
+from tracelane.operators.quantiles import SHARES, quantiles
 from tracelane.plans import tools
 from tracelane.plans.log import ProcessLog, run
 
@@ -177,3 +178,64 @@ def test_config_key():
     assert AnalysisConfig().key() == AnalysisConfig().key() != AnalysisConfig(high=0.7).key()
     with pytest.raises(ValueError):
         Weights(-1)
+
+
+def test_quantiles_of_both_plans(spark):
+    """By ranks in cells and by one aggregate, against a plain sort."""
+    rnd = random.Random(8)
+    rows = [(rnd.choice("abc") if i % 5 else None, rnd.choice([0, 0, 5, rnd.randrange(10**9), rnd.randrange(10**12)])) for i in range(900)] + [("one", 7), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    want = {}
+    for k in {k for k, v in rows if v is not None}:
+        own = sorted(v for x, v in rows if x == k and v is not None)
+        at = [s * (len(own) - 1) for s in SHARES]
+        want[k] = [own[int(p)] + (own[min(int(p) + 1, len(own) - 1)] - own[int(p)]) * (p - int(p)) for p in at]
+    for size in (None, 10):
+        got = {r.k: r.q for r in quantiles(df, ["k"], "v", size=size).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert quantiles(df, [], "v", (0.5,)).first().q[0] == quantiles(df, [], "v", (0.5,), 10).first().q[0]
+
+
+def test_tools_find_close_names(log):
+    assert tools.activity_stats(log, " b").first().activity == "B" and tools.transition_stats(log, "b", "c").first().frequency == 10
+    with pytest.raises(LookupError):
+        tools.activity_stats(log, "nothing like it")
+    found = tools.bottleneck_report(log, 2)
+    assert found["activities"].count() == 2 and found["slow_transitions"].count() == 2
+    report = tools.deviation_report(log, "rework")
+    assert report["by_type"].count() == 1 and report["conformance"].first().conformance_rate_pct == 60.0 and report["rate"].first().deviation_rate_pct == 40.0
+    page = tools.variants_page(log, 1, 2)
+    assert [r.variant_id for r in page["items"].collect()] == ["V2", "V3"] and page["summary"].first().unique_variants == 4
+    with pytest.raises(ValueError):
+        tools.variants_page(log, 0, 201)
+    top = tools.metrics(log)["activities"].first()
+    assert (top.activity, top.frequency) == ("C", 12)
+    assert tools.event_records(log.frame.where("case_id = 'S1'")).orderBy("timestamp").first().timestamp == "2026-01-03T08:00:00+00:00"
+
+
+def test_overview_names_starts_and_ends(log):
+    o = log.overview().first()
+    assert [(r.activity, r.cases) for r in o.start_activities] == [("A", 10)] and o.completion_activities == ["D"] and o.dominant_path == "A → B → C → D"
+
+
+def plain_alignment(trace, dominant):
+    """Matching blocks by the textbook recursion: the longest common run, leftmost first, then both sides."""
+
+    def blocks(a1, a2, b1, b2):
+        best = (0, 0, 0)
+        for i in range(a1, a2):
+            for j in range(b1, b2):
+                n = 0
+                while i + n < a2 and j + n < b2 and dominant[i + n] == trace[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        return [] if not n else blocks(a1, i, b1, j) + [(i, j, n)] + blocks(i + n, a2, j + n, b2)
+
+    return sum(n for *_, n in blocks(0, len(dominant), 0, len(trace))) / len(dominant)
+
+
+def test_alignment_against_a_plain_matcher():
+    for trace in itertools.product("ABCX", repeat=5):
+        assert dv.alignment(list(trace), list("ABCAD"), {"D"})[0] == plain_alignment(list(trace), list("ABCAD"))

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelane.functions import text
-from tracelane.operators import ingest
+from tracelane.operators import ingest, normalize
+from tracelane.plans import tools
+from tracelane.plans.log import analyse
 from tracelane.sources import event_csv, sinks
 
 NOW = dt.datetime(2026, 12, 1, tzinfo=dt.timezone.utc)
@@ -74,3 +76,77 @@ def test_text_functions(spark):
     df = spark.createDataFrame([('=HYPERLINK("x")', "It took 1,234.50 h because of 7 and 12.34; results from it", "1234.5 and 12.3")], "a string, b string, c string")
     r = df.select(text.escape_formula("a"), text.numbers_in("b"), text.causal_terms("b"), text.unverified_numbers("b", "c"), text.unverified_numbers("c", "b"), text.activity_key(F.lit(" A_b--C "))).first()
     assert list(r) == ["'=HYPERLINK(\"x\")", ["12.34", "1234.5", "7"], ["because", "results from"], ["12.34"], [], "a b c"]
+
+
+def test_file_facts_and_quality(spark, tmp_path):
+    body = b"Case ID,Activity,Timestamp,start_time,amount,Shop\n\n1,a,2026-01-01,soon,1,x\n1,A,2026-01-02,,many,y\n\n2,B,2026-01-03,,2,\xe9\n"
+    (tmp_path / "a.csv").write_bytes(body)
+    facts = event_csv.file_facts(spark, str(tmp_path / "a.csv"))
+    f = facts.first()
+    assert f.columns_detected[0] == "Case ID" and f.optional_columns == ["start_timestamp", "amount"] and f.extra_columns == ["shop"]
+    assert (f.latin1, f.blank_lines, f.n_rows) == (True, 2, 3)
+    found = tools.data_quality(ingest.mark(event_csv.read_event_csv(spark, str(tmp_path / "a.csv")), ["row_key"], now=NOW), facts)
+    said = " ".join(r.warning for r in found["warnings"].collect())
+    assert all(x in said for x in ("Latin-1", "1 start_timestamp values", "1 amount values", "1 case(s)", "2 blank line(s)"))
+    assert [r.spellings for r in found["merges"].collect()] == [["A", "a"]] and found["columns"].count() == 1
+    assert found["counts"].first().valid_rows == 3
+
+
+def test_rejected_rows_for_people(spark, tmp_path):
+    marked = read(spark, tmp_path / "a.csv", VALID + ',A,2026-09-01 10:00,ann,7\n9,A,2099-01-01 00:00,,\n1,2\n1,A,2026-09-01 10:00,ann,"1,200.5"\n')
+    rows = ingest.rejected_export(marked).collect()
+    assert [(r.source_row, r.issue, r.resource, r.raw_fields) for r in rows] == [
+        (6, "missing_case_id", "ann", None), (7, "impossible_timestamp", "", None), (8, "malformed_row", None, "1 | 2"), (9, "duplicate", "ann", None),
+    ]
+    assert rows[1].detail == "Timestamp '2099-01-01 00:00' is in the future." and rows[0].asDict()["case_id"] == ""
+
+
+def test_rows_of_several_files_keep_their_order(spark, tmp_path):
+    head = "case_id,activity,timestamp\n"
+    (tmp_path / "a.csv").write_text(head + "1,A,2026-01-01\n1,B,2026-01-02\n")
+    (tmp_path / "b.csv").write_text(head + "1,B,2026-01-02\n")
+    marked = ingest.mark(event_csv.read_event_csv(spark, str(tmp_path / "*.csv")), ["row_key"], now=NOW)
+    assert [(r.file[-5:], r.source_row) for r in marked.where("issue = 'duplicate'").collect()] == [("b.csv", 2)]
+
+
+@pytest.mark.parametrize(("name", "kind", "size", "ok"), [("a.CSV", "text/csv; charset=utf-8", 5, True), ("a.xlsx", "", 5, False), ("a.csv", "image/png", 5, False), ("a.csv", "", 0, False), ("a.txt", "", 51 << 20, False)])
+def test_upload_gate(name, kind, size, ok):
+    if ok:
+        event_csv.check_upload(name, kind, size)
+    else:
+        with pytest.raises(event_csv.LogFileError):
+            event_csv.check_upload(name, kind, size)
+
+
+def test_row_limit_and_delimiters(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(VALID)
+    with pytest.raises(Exception, match="more than 2 rows"):
+        event_csv.read_event_csv(spark, str(tmp_path / "a.csv"), max_rows=2).count()
+    for sign in ",;\t|":
+        assert event_csv.delimiter(VALID.replace(",", sign) if sign != "," else VALID) == sign
+    assert event_csv.delimiter("alone\nhere\n") == ","
+
+
+def test_no_valid_event_fails_with_its_report(spark, tmp_path):
+    marked = read(spark, tmp_path / "a.csv", "case_id,activity,timestamp\n,A,2026-01-01\n")
+    with pytest.raises(event_csv.LogFileError) as failed:
+        analyse(marked)
+    assert failed.value.report["missing_case_id"] == 1
+
+
+def test_results_are_kept_by_data_set_and_configuration(spark, tmp_path):
+    path = str(tmp_path / "results")
+    for name, key, n in (("x", "k1", 1), ("x", "k2", 2), ("x", "k1", 3), ("y", "k1", 4)):
+        sinks.write_result(spark.range(n), path, name, key)
+    assert {(r.dataset_id, r.config_key): r["count"] for r in spark.read.parquet(path).groupBy("dataset_id", "config_key").count().collect()} == {("x", "k1"): 3, ("x", "k2"): 2, ("y", "k1"): 4}
+
+
+def test_labels_are_folded_not_lowered(spark):
+    events = spark.createDataFrame([(str(i), t) for i, t in enumerate(["Straße", "STRASSE", "straße", "Weg"])], "case_id string, original_activity string")
+    assert normalize.normalize(events).select("activity").distinct().count() == 2
+
+
+@pytest.mark.parametrize(("value", "want"), [("31/12/2026 08:00", "2026-12-31T08:00:00"), ("1/2/2026 3:05 PM", "2026-01-02T15:05:00"), ("September 3, 2026", "2026-09-03T00:00:00"), ("20260903", "2026-09-03T00:00:00"), ("3-Sep-2026", "2026-09-03T00:00:00"), ("2026.9.3", "2026-09-03T00:00:00")])
+def test_more_layouts(spark, value, want):
+    got = spark.createDataFrame([(value,)], "t string").select(F.unix_micros(ingest.parse_time(F.col("t"))).alias("us")).first().us
+    assert got == round(dt.datetime.fromisoformat(want + "+00:00").timestamp() * 1_000_000)

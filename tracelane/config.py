@@ -6,6 +6,9 @@ import hashlib
 import json
 from dataclasses import asdict, dataclass, field
 
+#: Of the results; raised when their meaning changes.
+ENGINE_VERSION = "2"
+
 
 @dataclass(frozen=True)
 class Weights:

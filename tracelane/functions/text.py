@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,9 +26,34 @@ def strip(x: Column | str) -> Column:
     return F.regexp_replace(_column(x), r"(?U)^\s+|\s+$", "")
 
 
+def casefold(x: Column | str) -> Column:
+    """Full Unicode case folding, which lower-casing is not (``ß`` and ``SS``). Meant for distinct labels, not for events."""
+
+    @F.arrow_udf("string")
+    def fold(values: pa.Array) -> pa.Array:
+        return pa.array([v if v is None else v.casefold() for v in values.to_pylist()], pa.string())
+
+    return fold(_column(x))
+
+
+def likeness(x: Column | str, wanted: str) -> Column:
+    """Ratcliff-Obershelp ratio of a text to ``wanted``, from 0 to 1. Meant for distinct labels."""
+
+    @F.arrow_udf("double")
+    def ratio(values: pa.Array) -> pa.Array:
+        matcher = difflib.SequenceMatcher(b=wanted)  # what it learns about the second text serves all first ones
+        out = []
+        for v in values.to_pylist():
+            matcher.set_seq1(v or "")
+            out.append(matcher.ratio())
+        return pa.array(out, pa.float64())
+
+    return ratio(_column(x))
+
+
 def activity_key(x: Column | str) -> Column:
-    """What spellings of one activity share: runs of white space, ``_`` and ``-`` are one blank, and case is dropped."""
-    return F.lower(strip(F.regexp_replace(_column(x), r"(?U)[\s_\-]+", " ")))
+    """What spellings of one activity share: runs of white space, ``_`` and ``-`` are one blank, and case is folded."""
+    return casefold(strip(F.regexp_replace(_column(x), r"(?U)[\s_\-]+", " ")))
 
 
 def tidy(x: Column | str) -> Column:
@@ -49,8 +77,18 @@ def causal_terms(x: Column | str) -> Column:
 
 
 def _plain(number: Column) -> Column:
-    """A number's text with two decimals at most and no trailing zeros."""
-    fixed = F.format_string("%.2f", F.expr("0D") + number.try_cast("double"))
+    """A number's text with two decimals at most and no trailing zeros, its binary value rounded correctly, ties to even.
+
+    Hundredths are taken from two halves of the fraction, of which each is exact; formatting would round what is printed.
+    """
+    x = F.expr("0D") + number.try_cast("double")
+    part = x - F.floor(x)
+    high = F.floor(part * 2.0**26) / 2.0**26
+    hundredths = F.floor(part * 100)
+    over = (high * 100 - hundredths - 0.5) + (part - high) * 100
+    cents = F.floor(x) * 100 + hundredths + F.when((over > 0) | ((over == 0) & (hundredths % 2 == 1)), 1).otherwise(0)
+    digits = F.lpad((cents % 100).cast("string"), 2, "0")
+    fixed = F.when(x < 1e15, F.concat(F.floor(cents / 100).cast("string"), F.lit("."), digits)).otherwise(F.format_string("%.2f", x))
     return F.regexp_replace(F.regexp_replace(fixed, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 

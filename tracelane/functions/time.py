@@ -24,13 +24,12 @@ def hours(us: Column | str) -> Column:
     return (F.col(us) if isinstance(us, str) else us) / F.lit(float(HOUR_US))
 
 
+def iso_time(us: str) -> Column:
+    """Microseconds since 1970 as ISO 8601 text in UTC, whatever the session's zone; a fraction only where there is one."""
+    utc = F.expr(f"TIMESTAMP_NTZ '1970-01-01' + make_dt_interval(0, 0, 0, CAST(`{us}` / 1000000BD AS DECIMAL(18, 6)))")
+    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col(us) % 1_000_000 != 0, F.date_format(utc, ".SSSSSS")).otherwise(""), F.lit("+00:00"))
+
+
 def mean_hours(us: str) -> Column:
     """Mean of a long column in hours, as an exact sum divided once."""
     return F.sum(us) / F.count(us) / F.lit(float(HOUR_US))
-
-
-def quantile_hours(us: str, *shares: float) -> Column:
-    """Exact quantile of a long column with linear interpolation, in hours; several shares give an array."""
-    if len(shares) == 1:
-        return F.percentile(us, F.lit(shares[0])) / F.lit(float(HOUR_US))
-    return F.transform(F.percentile(us, F.array(*map(F.lit, shares))), lambda x: x / F.lit(float(HOUR_US)))

@@ -9,26 +9,29 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelane.config import DEFAULT, AnalysisConfig
-from tracelane.functions.time import hours, mean_hours, quantile_hours
+from tracelane.functions.time import hours, mean_hours
+from tracelane.operators.quantiles import event_spread, micros, of_kind
 
 
-def wait_stats(frame: DataFrame) -> DataFrame:
+def wait_stats(frame: DataFrame, spread: DataFrame | None = None) -> DataFrame:
     """Per activity what the score is made of; scoring with other weights can start here.
 
     A wait counts as long beyond the P90 of all waits of the log; a case counts once per activity.
     """
     waits = frame.where("wait_us IS NOT NULL")
-    log_p90 = waits.agg(F.coalesce(F.percentile("wait_us", F.lit(0.9)), F.lit(0.0))).scalar()
+    spread = event_spread(frame, ["wait", "proc", "log"]) if spread is None else spread
+    log_p90 = spread.where("kind = 'log'").agg(F.coalesce(F.max(micros(F.col("q"), 0.9)), F.lit(0.0))).scalar()
     late = waits.where(F.col("wait_us") > log_p90).select("activity", "case_id").distinct().groupBy("activity").agg(F.count("*").alias("long_wait_cases"))
     found = frame.groupBy("activity").agg(
         F.count("*").alias("frequency"), F.count_if(F.col("occurrence") == 0).alias("affected_cases"),
-        mean_hours("wait_us").alias("mean_wait_h"), quantile_hours("wait_us", 0.5, 0.9, 0.95).alias("q"), F.sum("wait_us").alias("sum_us"),
-        mean_hours("proc_us").alias("mean_proc_h"), quantile_hours("proc_us", 0.5).alias("median_proc_h"), F.count_if(F.col("pos") == 0).alias("starts"),
+        mean_hours("wait_us").alias("mean_wait_h"), F.sum("wait_us").alias("sum_us"), mean_hours("proc_us").alias("mean_proc_h"), F.count_if(F.col("pos") == 0).alias("starts"),
     )
+    found = found.join(of_kind(spread, "wait", {"median_wait_h": 0.5, "p90_wait_h": 0.9, "p95_wait_h": 0.95}, "activity"), "activity", "left")
+    found = found.join(of_kind(spread, "proc", {"median_proc_h": 0.5}, "activity"), "activity", "left")
     every = W.partitionBy()
     return found.join(late, "activity", "left").select(
         "activity", "frequency", "affected_cases", F.coalesce("long_wait_cases", F.lit(0).cast("long")).alias("long_wait_cases"), "mean_wait_h",
-        F.col("q")[0].alias("median_wait_h"), F.col("q")[1].alias("p90_wait_h"), F.col("q")[2].alias("p95_wait_h"), "mean_proc_h", "median_proc_h",
+        "median_wait_h", "p90_wait_h", "p95_wait_h", "mean_proc_h", "median_proc_h",
         (F.col("affected_cases") / F.sum("starts").over(every)).alias("case_coverage"),
         (hours("sum_us") / _or_one(hours(F.coalesce(F.sum("sum_us").over(every), F.lit(0))))).alias("wait_share"),
     )
@@ -69,10 +72,12 @@ def ranked(scores: DataFrame) -> DataFrame:
     return scores.orderBy(F.desc_nulls_last("score"), "activity")
 
 
-def slow_transitions(frame: DataFrame, config: AnalysisConfig = DEFAULT, limit: int = 10) -> DataFrame:
+def slow_transitions(frame: DataFrame, config: AnalysisConfig = DEFAULT, limit: int = 10, spread: DataFrame | None = None) -> DataFrame:
     """The transitions of most median time, of those with enough events. Their share is of all waiting, so it may exceed 100."""
     total = _or_one(hours(F.coalesce(F.lit(frame.agg(F.sum("wait_us")).scalar()), F.lit(0))))
+    spread = event_spread(frame, ["pair"]) if spread is None else spread
     found = frame.where("prev_activity IS NOT NULL").groupBy(F.col("prev_activity").alias("source"), F.col("activity").alias("target"))
-    found = found.agg(F.count("*").alias("frequency"), quantile_hours("gap_us", 0.5, 0.9).alias("q"), F.sum("gap_us").alias("sum_us")).where(F.col("frequency") >= config.min_activity_support)
-    found = found.select("source", "target", "frequency", F.col("q")[0].alias("median_h"), F.col("q")[1].alias("p90_h"), (100 * hours("sum_us") / total).alias("wait_share_pct"))
+    found = found.agg(F.count("*").alias("frequency"), F.sum("gap_us").alias("sum_us")).where(F.col("frequency") >= config.min_activity_support)
+    found = found.join(of_kind(spread, "pair", {"median_h": 0.5, "p90_h": 0.9}, "source", "target"), ["source", "target"])
+    found = found.select("source", "target", "frequency", "median_h", "p90_h", (100 * hours("sum_us") / total).alias("wait_share_pct"))
     return found.orderBy(F.desc("median_h"), "source", "target").limit(limit)

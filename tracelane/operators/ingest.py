@@ -13,8 +13,20 @@ from tracelane.functions.text import strip
 #: The first that holds is a row's issue.
 ISSUES = ("malformed_row", "missing_case_id", "missing_activity", "invalid_timestamp", "impossible_timestamp", "duplicate")
 OPTIONAL = ("resource", "department", "status", "customer_id", "location", "priority")
-#: Layouts besides ISO 8601, month before day where both are numbers.
-LAYOUTS = ("M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d", "d MMM yyyy H:mm:ss", "d MMM yyyy H:mm", "d MMM yyyy", "MMM d, yyyy H:mm", "MMM d, yyyy", "M-d-yyyy H:mm:ss", "M-d-yyyy")
+#: Layouts besides ISO 8601 by the shape of a value, month before day where both can be meant. Only a value of the shape
+#: is tried.
+LAYOUTS = {
+    r"^\d{1,2}/\d{1,2}/\d{4}": ("M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "M/d/yyyy h:mm:ss a", "M/d/yyyy h:mm a", "d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy"),
+    r"^\d{4}/\d{1,2}/\d{1,2}": ("yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d"),
+    r"^\d{1,2}-\d{1,2}-\d{4}": ("M-d-yyyy H:mm:ss", "M-d-yyyy H:mm", "M-d-yyyy", "d-M-yyyy H:mm:ss", "d-M-yyyy H:mm", "d-M-yyyy"),
+    r"^\d{1,2}\.\d{1,2}\.\d{4} ": ("M.d.yyyy H:mm:ss", "M.d.yyyy H:mm", "d.M.yyyy H:mm:ss", "d.M.yyyy H:mm"),
+    r"^\d{4}\.\d{1,2}\.\d{1,2}": ("yyyy.M.d H:mm:ss", "yyyy.M.d H:mm", "yyyy.M.d"),
+    r"^\d{1,2}[ -]\p{L}{3}[ -]\d{4}": ("d MMM yyyy H:mm:ss", "d MMM yyyy H:mm", "d MMM yyyy", "d-MMM-yyyy H:mm:ss", "d-MMM-yyyy H:mm", "d-MMM-yyyy"),
+    r"^\d{1,2} \p{L}{4,} \d{4}": ("d MMMM yyyy H:mm:ss", "d MMMM yyyy H:mm", "d MMMM yyyy"),
+    r"^\p{L}{3} \d{1,2},? \d{4}": ("MMM d, yyyy H:mm:ss", "MMM d, yyyy H:mm", "MMM d, yyyy", "MMM d yyyy H:mm:ss", "MMM d yyyy"),
+    r"^\p{L}{4,} \d{1,2},? \d{4}": ("MMMM d, yyyy H:mm:ss", "MMMM d, yyyy H:mm", "MMMM d, yyyy", "MMMM d yyyy"),
+    r"^\d{8}$": ("yyyyMMdd",), r"^\d{8}[ T]\d{6}$": ("yyyyMMdd[ ]['T']HHmmss",),
+}
 _OFFSET = r"(?:[zZ]|[+-]\d{2}:?\d{2})$"
 
 
@@ -31,7 +43,7 @@ def parse_time(text: Column, zone: str = "UTC") -> Column:
     with_zone = s.rlike(_OFFSET) & s.rlike(":")
     local = F.coalesce(
         F.when(day.rlike(r"^\d{4}-\d"), F.concat(day, F.lit("Z")).try_cast("timestamp")),
-        *[F.try_to_timestamp(F.concat(s, F.lit(" +00:00")), F.lit(f"{layout} XXX")) for layout in LAYOUTS],
+        *[F.when(s.rlike(shape), F.coalesce(*[F.try_to_timestamp(F.concat(s, F.lit(" +00:00")), F.lit(f"{layout} XXX")) for layout in own])) for shape, own in LAYOUTS.items()],
     )
     if zone != "UTC":
         utc = F.to_utc_timestamp(local, zone)
@@ -45,8 +57,8 @@ def mark(raw: DataFrame, key: list[str], zone: str = "UTC", now: dt.datetime | N
     """``raw`` with its texts trimmed, ``parsed_timestamp``, ``parsed_start`` and ``issue``, null for an event.
 
     ``raw``: source_row, case_id, activity, timestamp as text, and if there start_timestamp and malformed (boolean).
-    ``key``: the columns that make a duplicate if all are equal; the first row in file order stays. Only rows without
-    another issue are compared. Timestamps before 1970 or over a day after ``now`` are impossible, as is a start after
+    ``key``: the columns that make a duplicate if all are equal; the first row in the order of files (``file``, if there is
+    one) and rows stays. Only rows without another issue are compared, by a 128-bit hash of the key. Timestamps before 1970 or over a day after ``now`` are impossible, as is a start after
     its end; a start that cannot be read is dropped and the event stays.
     """
     limit = now or dt.datetime.now(dt.timezone.utc)
@@ -61,15 +73,31 @@ def mark(raw: DataFrame, key: list[str], zone: str = "UTC", now: dt.datetime | N
         .when(ts.isNull(), "invalid_timestamp").when((F.unix_micros(ts) < 0) | (ts > latest) | F.coalesce(began > ts, F.lit(False)), "impossible_timestamp")
     )
     marked = text.withColumn("issue", issue)
-    copies = F.row_number().over(W.partitionBy("issue", *key).orderBy("source_row")) > 1
-    return marked.withColumn("issue", F.when(F.col("issue").isNull() & copies, "duplicate").otherwise(F.col("issue")))
+    order = [c for c in ("file", "source_row") if c in raw.columns]
+    alone = F.concat_ws(" ", F.lit("row"), *[F.col(c).cast("string") for c in order])
+    own = F.when(F.col("issue").isNull(), F.md5(F.to_json(F.struct(*key), {"ignoreNullFields": "false"}))).otherwise(alone)
+    copies = F.row_number().over(W.partitionBy("__key").orderBy(*order)) > 1
+    return marked.withColumn("__key", own).withColumn("issue", F.when(F.col("issue").isNull() & copies, "duplicate").otherwise(F.col("issue"))).drop("__key")
+
+
+def detail(zone: str = "UTC") -> Column:
+    """What is wrong with a marked row, in words; null for an event."""
+    return (
+        F.when(F.col("issue") == "malformed_row", F.lit("The row has another number of fields than the header."))
+        .when(F.col("issue") == "missing_case_id", "case_id is empty.").when(F.col("issue") == "missing_activity", "activity is empty.")
+        .when(F.col("issue") == "invalid_timestamp", F.format_string("Unable to parse timestamp '%s'.", F.coalesce("timestamp", F.lit(""))))
+        .when((F.col("issue") == "impossible_timestamp") & (F.col("parsed_start") > F.col("parsed_timestamp")), "start_timestamp is after timestamp (completion).")
+        .when((F.col("issue") == "impossible_timestamp") & (F.unix_micros("parsed_timestamp") < 0), F.format_string("Timestamp '%s' is before 1970.", F.col("timestamp")))
+        .when(F.col("issue") == "impossible_timestamp", F.format_string("Timestamp '%s' is in the future.", F.col("timestamp")))
+        .when(F.col("issue") == "duplicate", "Exact duplicate of an earlier row (all columns identical).")
+    )
 
 
 def events(marked: DataFrame) -> DataFrame:
     """The rows without issue in the schema of events."""
     have = set(marked.columns)
     optional = [F.nullif(strip(c), F.lit("")).alias(c) if c in have else F.lit(None).cast("string").alias(c) for c in OPTIONAL]
-    amount = F.replace(F.col("amount"), F.lit(","), F.lit("")).try_cast("double") if "amount" in have else F.lit(None).cast("double")
+    amount = number("amount") if "amount" in have else F.lit(None).cast("double")
     extra = F.col("extra") if "extra" in have else F.lit(None).cast("map<string,string>")
     return marked.where("issue IS NULL").select(
         F.col("source_row").cast("long").alias("source_row"), "case_id", F.col("activity").alias("original_activity"), F.col("parsed_timestamp").alias("timestamp"),
@@ -78,20 +106,60 @@ def events(marked: DataFrame) -> DataFrame:
 
 
 def rejected(marked: DataFrame, issue: str | None = None) -> DataFrame:
-    """Rows with an issue (or one of them), in file order."""
+    """Rows with an issue (or one of them) and its ``detail``, in the order of files and rows."""
     rows = marked.where("issue IS NOT NULL" if issue is None else F.col("issue") == issue)
-    return rows.orderBy("source_row")
+    return rows.withColumn("detail", detail()).orderBy(*[c for c in ("file", "source_row") if c in marked.columns])
+
+
+def rejected_export(marked: DataFrame) -> DataFrame:
+    """Rejected rows for people: source_row, issue, detail, a column for each raw column that any of them has, raw_fields.
+
+    ``marked`` may have ``raw`` (map of column to text); the columns come in the order in which rows first have them. Of
+    malformed rows only ``raw_fields`` is known. The names of all raw columns reach the driver, as column names must.
+    """
+    rows, order = rejected(marked), [c for c in ("file", "source_row") if c in marked.columns]
+    if "raw" not in marked.columns:
+        return rows.select(*order, "issue", "detail")
+    names = rows.select(F.struct(*order).alias("row"), F.posexplode(F.map_keys("raw")).alias("place", "name")).groupBy("name").agg(F.min(F.struct("row", "place")).alias("first"))
+    found = [r.name for r in names.where("name <> 'raw_fields'").orderBy("first").select("name").collect()]
+    taken = {c.lower() for c in (*order, "issue", "detail", "raw_fields")}
+    own = [F.col("raw")[n].alias(n if n.lower() not in taken else f"raw_{n}") for n in found]
+    return rows.select(*order, "issue", "detail", *own, F.col("raw")["raw_fields"].alias("raw_fields"))
 
 
 def report(marked: DataFrame) -> DataFrame:
-    """One row: total, valid and invalid rows, rows by issue, cases, and cases of one event."""
-    ok = F.col("issue").isNull()
+    """One row: total, valid and invalid rows, rows by issue, cases, cases of one event, and values that were left empty.
+
+    ``unreadable_starts``: events whose start could not be read; ``unreadable_amounts``: events whose amount is no number.
+    """
+    ok, zero = F.col("issue").isNull(), F.lit(0).cast("long")
+    lost = lambda text, read: F.count_if(ok & (F.coalesce(F.col(text), F.lit("")) != "") & read.isNull()) if text in marked.columns else zero
     per_case = marked.groupBy(F.when(ok, F.col("case_id")).alias("case_id")).agg(
-        F.count("*").alias("n"), F.count_if(ok).alias("valid"), *[F.count_if(F.col("issue") == x).alias(x) for x in ISSUES]
-    )
+        F.count("*").alias("n"), F.count_if(ok).alias("valid"), *[F.count_if(F.col("issue") == x).alias(x) for x in ISSUES],
+        (lost("start_timestamp", F.col("parsed_start"))).alias("unreadable_starts"), (lost("amount", number("amount"))).alias("unreadable_amounts"),
+    )
     own = F.col("case_id").isNotNull()
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
+    total = lambda c: F.coalesce(F.sum(c), zero)
     return per_case.agg(
         total("n").alias("total_rows"), total("valid").alias("valid_rows"), (total("n") - total("valid")).alias("invalid_rows"), *[total(x).alias(x) for x in ISSUES],
-        F.count_if(own).alias("total_cases"), F.count_if(own & (F.col("valid") == 1)).alias("single_event_cases"),
+        F.count_if(own).alias("total_cases"), F.count_if(own & (F.col("valid") == 1)).alias("single_event_cases"), total("unreadable_starts").alias("unreadable_starts"), total("unreadable_amounts").alias("unreadable_amounts"),
     )
+
+
+def number(name: str) -> Column:
+    """A number that may have thousands separators; null where it is none."""
+    return F.replace(F.col(name), F.lit(","), F.lit("")).try_cast("double")
+
+
+def warnings(facts: DataFrame | None, counts: DataFrame) -> DataFrame:
+    """``warning``: what a user should know besides the rejected rows. ``facts``: of ``event_csv.file_facts``; ``counts``: ``report``."""
+    said = [
+        ("unreadable_starts", "%d start_timestamp values could not be parsed; processing time is unavailable for those events."), ("unreadable_amounts", "%d amount values were not numeric and were left empty."),
+        ("single_event_cases", "%d case(s) contain only one event. They are kept, but contribute no transitions."),
+    ]
+    own = counts.select(F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.col(c).alias("n"), F.format_string(t, F.col(c)).alias("warning")) for i, (c, t) in enumerate(said, 1)])).alias("w")).select("w.*")
+    if facts is not None:
+        blank = facts.agg(F.coalesce(F.sum("blank_lines"), F.lit(0).cast("long")).alias("n"))
+        own = own.unionByName(facts.where("latin1").select(F.lit(0).alias("place"), F.lit(1).cast("long").alias("n"), F.format_string("%s is not valid UTF-8; decoded as Latin-1. Check special characters.", "file").alias("warning")))
+        own = own.unionByName(blank.select(F.lit(9).alias("place"), "n", F.format_string("%d blank line(s) were ignored.", "n").alias("warning")))
+    return own.where("n > 0").orderBy("place", "warning").select("warning")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracelane.functions.size import bounded
 from tracelane.functions.text import activity_key, tidy
 
 
@@ -19,9 +20,13 @@ def labels(events: DataFrame) -> DataFrame:
 
 
 def normalize(events: DataFrame) -> DataFrame:
-    """``events`` (with ``original_activity``) and the shared label as ``activity``; case ids become text without outer blanks."""
-    keyed = events.drop("activity").withColumns({"case_id": F.trim(F.col("case_id").cast("string")), "__key": activity_key("original_activity")})
-    return keyed.join(labels(events).select(F.col("key").alias("__key"), "activity"), "__key").drop("__key")
+    """``events`` (with ``original_activity``) and the shared label as ``activity``; case ids become text without outer blanks.
+
+    Spellings are folded once each. The map from spelling to label is a constant of the plan if it is small, so the log
+    is not shuffled by a handful of hot labels; else it is joined, and adaptive execution may split it.
+    """
+    spelled = bounded(labels(events).select("activity", F.explode("spellings").alias("original_activity")))
+    return events.drop("activity").withColumn("case_id", F.trim(F.col("case_id").cast("string"))).join(spelled, "original_activity")
 
 
 def merges(events: DataFrame) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelane.functions.time import mean_hours, quantile_hours
+from tracelane.functions.time import mean_hours
+from tracelane.operators.quantiles import event_spread, of_kind
 
 
-def resources(frame: DataFrame, cases: DataFrame) -> DataFrame:
+def resources(frame: DataFrame, cases: DataFrame, spread: DataFrame | None = None) -> DataFrame:
     """Per resource: events, cases, activities, waits, processing, mean duration of its cases, rework rate, top activities, department.
 
     Empty if no event has a resource. Ties of the top three and of the modal department go to the smaller name.
@@ -18,9 +19,11 @@ def resources(frame: DataFrame, cases: DataFrame) -> DataFrame:
         return frame.sparkSession.createDataFrame([], "resource string, events long")
     own = frame.where("resource IS NOT NULL")
     base = own.groupBy("resource").agg(
-        F.count("*").alias("events"), mean_hours("wait_us").alias("mean_wait_h"), quantile_hours("wait_us", 0.5).alias("median_wait_h"), mean_hours("proc_us").alias("mean_proc_h"),
+        F.count("*").alias("events"), mean_hours("wait_us").alias("mean_wait_h"), mean_hours("proc_us").alias("mean_proc_h"),
         (100 * F.count_if(F.col("occurrence") > 0) / F.count("*")).alias("rework_rate_pct"),
     )
+    spread = event_spread(frame, ["resource"]) if spread is None else spread
+    base = base.join(of_kind(spread, "resource", {"median_wait_h": 0.5}, "resource"), "resource", "left")
     joined = own.select("resource", "case_id").distinct().join(cases.select("case_id", "duration_us"), "case_id")
     per_case = joined.groupBy("resource").agg(F.count("*").alias("cases"), mean_hours("duration_us").alias("mean_case_duration_h"))
     steps = own.groupBy("resource", "activity").agg(F.count("*").alias("n"))

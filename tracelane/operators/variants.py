@@ -7,35 +7,40 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelane.config import DEFAULT, AnalysisConfig
-from tracelane.functions.time import HOUR_US, hours
+from tracelane.functions.time import hours
+from tracelane.operators.quantiles import quantiles
 
+#: Variants of equal count are ranked within cells of this mean duration.
+CELL_US = 60_000_000
 
-def variants(cases: DataFrame) -> DataFrame:
+
+def variants(cases: DataFrame, size: int | None = None) -> DataFrame:
     """``trace``, ``case_count``, mean and median duration, ``rank``, ``variant_id``, ``pct``, ``cum_pct``.
 
     V1 is the most frequent variant; ties go to the shorter mean duration, then to the smallest case_id.
 
-    Ranks are two-level: cells of equal count and equal whole hours of mean duration are ordered among themselves, and
-    variants within their cell, so no task sorts all variants.
+    Ranks are two-level: cells of equal count and equal whole minutes of mean duration are ordered among themselves, and
+    variants within their cell, so no task sorts all variants, even if each occurs once. ``size``: how many cases there are at
+    most, if that is known.
     """
     found = cases.groupBy("trace").agg(
         F.count("*").alias("case_count"), (F.sum("duration_us") / F.count("*")).alias("mean_us"),
-        F.percentile("duration_us", F.lit(0.5)).alias("median_us"), F.min("case_id").alias("least_case"), F.first("last_activity").alias("last_activity"),
+        F.min("case_id").alias("least_case"), F.first("last_activity").alias("last_activity"),
     )
-    found = found.withColumn("hour", F.floor(F.col("mean_us") / HOUR_US))
-    cells = found.groupBy("case_count", "hour").agg(F.count("*").alias("n"), F.sum("case_count").alias("n_cases"))
-    order = W.orderBy(F.desc("case_count"), "hour")
+    found = found.join(quantiles(cases, ["trace"], "duration_us", (0.5,), size), "trace").withColumn("cell", F.floor(F.col("mean_us") / CELL_US))
+    cells = found.groupBy("case_count", "cell").agg(F.count("*").alias("n"), F.sum("case_count").alias("n_cases"))
+    order = W.orderBy(F.desc("case_count"), "cell")
     above = order.rowsBetween(W.unboundedPreceding, -1)
     whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     zero = F.lit(0).cast("long")
     cells = cells.select(
-        "case_count", "hour", F.coalesce(F.sum("n").over(above), zero).alias("rank_above"),
+        "case_count", "cell", F.coalesce(F.sum("n").over(above), zero).alias("rank_above"),
         F.coalesce(F.sum("n_cases").over(above), zero).alias("cases_above"), F.sum("n_cases").over(whole).alias("total_cases"),
     )
-    inside = W.partitionBy("case_count", "hour").orderBy("mean_us", "least_case")
-    ranked = found.join(cells, ["case_count", "hour"]).withColumn("place", F.row_number().over(inside))
+    inside = W.partitionBy("case_count", "cell").orderBy("mean_us", "least_case")
+    ranked = found.join(cells, ["case_count", "cell"]).withColumn("place", F.row_number().over(inside))
     return ranked.select(
-        "trace", "last_activity", "case_count", hours("mean_us").alias("mean_duration_h"), hours("median_us").alias("median_duration_h"),
+        "trace", "last_activity", "case_count", hours("mean_us").alias("mean_duration_h"), hours(F.col("q")[0]).alias("median_duration_h"),
         (F.col("rank_above") + F.col("place")).alias("rank"), F.concat(F.lit("V"), F.col("rank_above") + F.col("place")).alias("variant_id"),
         (100 * F.col("case_count") / F.col("total_cases")).alias("pct"),
         (100 * (F.col("cases_above") + F.col("place") * F.col("case_count")) / F.col("total_cases")).alias("cum_pct"), "total_cases",

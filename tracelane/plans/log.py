@@ -8,15 +8,19 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelane.config import DEFAULT, AnalysisConfig
-from tracelane.operators import bottlenecks, deviations, graph, resources, variants
+from tracelane.config import DEFAULT, ENGINE_VERSION, AnalysisConfig
+from tracelane.functions.size import bounded
+from tracelane.operators import bottlenecks, deviations, graph, ingest, normalize, resources, variants
 from tracelane.operators.frame import cases, event_frame
+from tracelane.operators.quantiles import event_spread
+from tracelane.sources.event_csv import LogFileError
 
 
 class ProcessLog:
     """``events``: case_id, activity, timestamp, source_row, and if there start_timestamp, resource, department.
 
-    With ``persist`` the event frame and the cases are kept for several results; ``release`` gives them back.
+    With ``persist`` the event frame and the cases are kept for several results, and small tables that several of them
+    need (quantiles, dominant path, completion) are computed once, by jobs of their own; ``release`` gives all back.
     """
 
     def __init__(self, events: DataFrame, config: AnalysisConfig = DEFAULT, persist: bool = False):
@@ -25,6 +29,11 @@ class ProcessLog:
     def _kept(self, df: DataFrame) -> DataFrame:
         return df.persist(StorageLevel.MEMORY_AND_DISK) if self._persist else df
 
+    @cached_property
+    def size(self) -> int:
+        """Number of events, by a job that reads no column of a table; it tells which plan for quantiles is the better one."""
+        return self.events.count()
+
     @cached_property
     def frame(self) -> DataFrame:
         return self._kept(event_frame(self.events))
@@ -35,14 +44,19 @@ class ProcessLog:
 
     @cached_property
     def variants(self) -> DataFrame:
-        return self._kept(variants.variants(self.cases))
+        return self._kept(variants.variants(self.cases, self.size))
 
     def _literal(self, df: DataFrame) -> DataFrame:
-        """With ``persist`` a table of proven few rows is read once and stands in later plans as constants."""
-        if not self._persist or not (rows := df.collect()):
-            return df
-        values = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, df.schema, strict=True)]) for r in rows])
-        return df.sparkSession.sql("SELECT 1").select(F.inline(values))
+        """With ``persist`` a small table is read once and stands in later plans as constants."""
+        return bounded(df) if self._persist else df
+
+    @cached_property
+    def _every_spread(self) -> DataFrame:
+        return bounded(event_spread(self.frame, size=self.size))
+
+    def spread(self, *kinds: str) -> DataFrame:
+        """Quantiles of waits, gaps and processing by activity, transition and resource: all of them once, or the asked ones."""
+        return self._every_spread if self._persist else event_spread(self.frame, kinds, self.size)
 
     @cached_property
     def dominant(self) -> DataFrame:
@@ -56,41 +70,57 @@ class ProcessLog:
 
     @cached_property
     def deviations(self) -> DataFrame:
-        return self._kept(deviations.deviations(self.frame, self.cases, self.aligned, self.dominant, self.completion, self.config))
+        return self._kept(deviations.deviations(self.frame, self.cases, self.aligned, self.dominant, self.completion, self.config, self.spread("pair")))
 
     @cached_property
     def bottlenecks(self) -> DataFrame:
-        return bottlenecks.score(bottlenecks.wait_stats(self.frame), self.config)
+        return self._literal(bottlenecks.score(bottlenecks.wait_stats(self.frame, self.spread("wait", "proc", "log")), self.config))
 
     @cached_property
     def aligned(self) -> DataFrame:
         return self._kept(deviations.aligned_variants(self.variants, self.dominant, self.completion))
 
     def conformance(self) -> DataFrame:
-        return deviations.conformance(self.cases, self.aligned, self.dominant)
+        return deviations.conformance(self.aligned, self.dominant)
 
     def edges(self) -> DataFrame:
-        return graph.edges(self.frame, self.cases)
+        return graph.edges(self.frame, self.cases, self.spread("pair"))
 
     def nodes(self) -> DataFrame:
-        return graph.nodes(self.frame, self.cases)
+        return graph.nodes(self.frame, self.cases, self.spread("wait", "proc"))
 
     def resources(self) -> DataFrame:
-        return resources.resources(self.frame, self.cases)
+        return resources.resources(self.frame, self.cases, self.spread("resource") if "resource" in self.frame.columns else None)
 
     def case_metrics(self) -> DataFrame:
-        return graph.case_metrics(self.cases, self.completion)
+        return graph.case_metrics(self.cases, self.completion, self.size)
 
-    def overview(self) -> DataFrame:
-        """One row: case metrics, and what the log, its variants and their deviations come to."""
-        one = self.case_metrics()
+    def activities(self) -> DataFrame:
+        return graph.activity_metrics(self.frame, self.cases, self.spread("wait", "proc"))
+
+    def transitions(self) -> DataFrame:
+        return graph.transition_metrics(self.frame, self.spread("pair"))
+
+    def slow_transitions(self, limit: int = 10) -> DataFrame:
+        return bottlenecks.slow_transitions(self.frame, self.config, limit, self.spread("pair"))
+
+    def totals(self) -> DataFrame:
+        """One row: case metrics and what the log and its variants come to, without deviations.
+
+        ``start_activities`` and ``end_activities``: the five at which most cases start and end.
+        """
         found = variants.variant_summary(self.variants).select("unique_variants", "top10_coverage_pct", F.array_join("most_common", " → ").alias("most_common"), "singletons")
+        has = lambda c: F.max(F.col(c).isNotNull()) if c in self.frame.columns else F.lit(False)
+        steps = self.frame.agg(F.count_distinct("activity").alias("unique_activities"), F.coalesce(has("resource"), F.lit(False)).alias("resources_available"), F.coalesce(has("proc_us"), F.lit(False)).alias("processing_time_available"))
+        return side_by_side(self.case_metrics(), found, steps, graph.top_start_end(self.cases)).withColumn("engine_version", F.lit(ENGINE_VERSION))
+
+    def overview(self) -> DataFrame:
+        """One row: ``totals``, the dominant path and completion activities, deviations and conformance."""
+        path = self.dominant.agg(F.array_join(F.first("trace"), " → ").alias("dominant_path"))
+        ends = self.completion.agg(F.array_sort(F.collect_set("activity")).alias("completion_activities"))
         rate = deviations.deviation_rate(self.deviations, self.cases)
         fit = self.conformance().select("conformance_rate_pct", "mean_coverage_pct")
-        steps = self.frame.agg(F.count_distinct("activity").alias("unique_activities"))
-        for i, other in enumerate((found, rate, fit, steps)):  # one row each
-            one = one.withColumn(f"__{i}", other.select(F.struct("*")).scalar()).select("*", f"__{i}.*").drop(f"__{i}")
-        return one
+        return side_by_side(self.totals(), path, ends, rate, fit)
 
     def release(self) -> None:
         for name in ("frame", "cases", "variants", "aligned", "deviations"):
@@ -98,13 +128,33 @@ class ProcessLog:
                 self.__dict__[name].unpersist()
 
 
+def side_by_side(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Tables of one row side by side."""
+    beside = [other.select(F.struct("*")).scalar().alias(f"__{i}") for i, other in enumerate(others)]
+    return first.select("*", *beside).select(*first.columns, *[f"__{i}.*" for i in range(len(beside))])
+
+
+def by_frequency(rows: DataFrame, *names: str, count: str = "frequency") -> DataFrame:
+    """Most frequent first, ties by name: the order of every list of activities, transitions and resources."""
+    return rows.orderBy(F.desc(count), *names)
+
+
 def run(events: DataFrame, config: AnalysisConfig = DEFAULT) -> dict[str, DataFrame]:
     """All results by name, over persisted intermediate tables."""
-    if events.isEmpty():
-        raise ValueError("there are no valid events")
     log = ProcessLog(events, config, persist=True)
+    if not log.size:
+        raise LogFileError("There are no valid events.")
     return {
-        "overview": log.overview(), "nodes": log.nodes(), "edges": log.edges(), "activities": graph.activity_metrics(log.frame, log.cases), "transitions": graph.transition_metrics(log.frame),
-        "variants": log.variants, "bottlenecks": bottlenecks.ranked(log.bottlenecks), "slow_transitions": bottlenecks.slow_transitions(log.frame, config), "deviations": log.deviations,
-        "deviation_summary": deviations.summary(log.deviations, log.cases), "conformance": log.conformance(), "resources": log.resources(),
+        "overview": log.overview(), "nodes": by_frequency(log.nodes(), "activity"), "edges": by_frequency(log.edges(), "source", "target"), "activities": by_frequency(log.activities(), "activity"),
+        "transitions": by_frequency(log.transitions(), "source", "target"), "variants": log.variants.orderBy("rank"), "bottlenecks": bottlenecks.ranked(log.bottlenecks), "slow_transitions": log.slow_transitions(),
+        "deviations": log.deviations, "deviation_summary": deviations.summary(log.deviations, log.cases).orderBy("ordinal"), "conformance": log.conformance(),
+        "resources": by_frequency(log.resources(), "resource", count="events"),
     }
+
+
+def analyse(marked: DataFrame, config: AnalysisConfig = DEFAULT) -> dict[str, DataFrame]:
+    """``run`` over the events of a marked log. A log without a valid event is refused with its report."""
+    events = ingest.events(marked)
+    if events.isEmpty():
+        raise LogFileError("There are no valid events.", ingest.report(marked).first().asDict())
+    return run(normalize.normalize(events), config)

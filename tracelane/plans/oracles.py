@@ -85,6 +85,22 @@ _SPELLED = """s AS (SELECT activity, CASE source_row % 7 WHEN 0 THEN upper(activ
 _STEPS = """dv AS (SELECT case_id, 'loop' AS type FROM ev WHERE activity = prev_activity UNION ALL SELECT case_id, 'rework' FROM ev WHERE occurrence > 0 AND activity <> prev_activity
   UNION ALL SELECT case_id, 'long_transition' FROM slow UNION ALL SELECT case_id, type FROM out)"""
 
+_TOP5 = lambda column, name: f"(SELECT string_agg({column} || ':' || c, ', ' ORDER BY c DESC, {column}) FROM (SELECT {column}, count(*) AS c FROM cases GROUP BY 1 ORDER BY c DESC, {column} LIMIT 5)) AS {name}"
+_OVERVIEW = f"""(SELECT count(*) FROM v) AS unique_variants, (SELECT {R('sum(pct)', 'x')} FROM v WHERE rank <= 10) AS top10_coverage_pct, (SELECT trace_text FROM v WHERE rank = 1) AS most_common,
+      (SELECT count(*) FROM v WHERE case_count = 1) AS singletons, (SELECT count(DISTINCT activity) FROM log) AS unique_activities"""
+_RATE = "(SELECT 100.0 * count(*) FILTER (trace_text = (SELECT trace_text FROM dom)) / count(*) FROM cases)"
+_ISSUE_COUNTS = ", ".join(f"count(*) FILTER (issue = '{x}') AS {x}" for x in ("malformed_row", "missing_case_id", "missing_activity", "invalid_timestamp", "impossible_timestamp", "duplicate"))
+_QUALITY = """q AS (SELECT count(*) FILTER (source_row % 7 = 0) AS bad FROM m WHERE issue IS NULL), c AS (SELECT case_id, count(*) AS n FROM m WHERE issue IS NULL GROUP BY case_id), s1 AS (SELECT count(*) AS singles FROM c WHERE n = 1),
+  sp AS (SELECT upper(activity) AS k, CASE WHEN source_row % 5 = 0 THEN lower(activity) ELSE activity END AS spelling FROM m WHERE issue IS NULL),
+  lb AS (SELECT k, first(spelling ORDER BY n DESC, spelling) AS label FROM (SELECT k, spelling, count(*) AS n FROM sp GROUP BY k, spelling) GROUP BY k),
+  mg AS (SELECT k, string_agg(DISTINCT spelling, '/' ORDER BY spelling) AS s, count(DISTINCT spelling) AS kinds FROM sp GROUP BY k)"""
+_FACTS = f"""ov AS (SELECT {_CASE_METRICS}),
+  f AS (SELECT 'overview.total_cases' AS fact_id, total_cases AS value, 'cases' AS unit FROM ov UNION ALL SELECT 'overview.completed_cases', completed_cases, 'cases' FROM ov
+    UNION ALL SELECT 'overview.mean_duration_h', mean_duration_h, 'hours' FROM ov UNION ALL SELECT 'overview.median_duration_h', median_duration_h, 'hours' FROM ov UNION ALL SELECT 'overview.p95_duration_h', p95_duration_h, 'hours' FROM ov
+    UNION ALL SELECT 'overview.unique_variants', count(*), '' FROM v UNION ALL SELECT 'overview.conformance_rate_pct', {_RATE}, '%'
+    UNION ALL SELECT 'variant.V' || rank || '.case_count', case_count, 'cases' FROM v WHERE rank <= 8 UNION ALL SELECT 'variant.V' || rank || '.pct', pct, '%' FROM v WHERE rank <= 8
+    UNION ALL SELECT 'activity.' || activity || '.' || x, y, u FROM bt)"""
+
 ORACLE_SQL: dict[str, str] = {
     "event_frame_daily": _with(DAILY, EV) + _FRAME,
     "event_frame_start": _with(DAILY_START, EV) + _FRAME,
@@ -136,6 +152,36 @@ ORACLE_SQL: dict[str, str] = {
     "formula_escape": "SELECT conv_id, turn, CASE WHEN turn % 6 = 4 THEN '' ELSE '''' END || ['=', '+', '-', '@', 'x', chr(9)][turn % 6 + 1] || text AS safe FROM conversations",
     "causal_terms": "SELECT conv_id, turn, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text || CASE WHEN turn % 3 = 0 THEN ' Due to this, because of that.' ELSE ' It results from the LAZY way.' END), '"
     + "|".join(CAUSAL_TERMS) + "'))), '|') AS terms FROM conversations",
+    "overview": _with(DAILY, EV, CASES, VARIANTS, COMPLETION, f"cm AS (SELECT {_CASE_METRICS})") + f"""SELECT cm.*, {_OVERVIEW}, TRUE AS resources_available, FALSE AS processing_time_available,
+      {_TOP5('first_activity', 'start_activities')}, {_TOP5('last_activity', 'end_activities')} FROM cm""",
+    "conformance_sql": _with(DAILY, EV, CASES, VARIANTS, COMPLETION) + f"""SELECT {R(_RATE, 'conformance_rate_pct')}, (SELECT count(DISTINCT case_id) FROM ev WHERE occurrence > 0 AND activity <> prev_activity) AS cases_rework,
+      (SELECT count(DISTINCT case_id) FROM ev WHERE activity = prev_activity) AS cases_loop""",
+    "data_quality": _with(ORDER, _RAW, _QUALITY) + f"""SELECT count(*) AS total_rows, count(*) FILTER (issue IS NULL) AS valid_rows, count(issue) AS invalid_rows, {_ISSUE_COUNTS}, (SELECT count(*) FROM c) AS total_cases,
+      (SELECT singles FROM s1) AS single_event_cases, (SELECT bad FROM q) AS unreadable_amounts,
+      (SELECT string_agg(w, ' ' ORDER BY w) FROM (SELECT bad || ' amount values were not numeric and were left empty.' AS w FROM q WHERE bad > 0
+        UNION ALL SELECT singles || ' case(s) contain only one event. They are kept, but contribute no transitions.' FROM s1 WHERE singles > 0)) AS warnings,
+      (SELECT string_agg(label || '=' || s, ',' ORDER BY label || '=' || s) FROM mg JOIN lb USING (k) WHERE kinds > 1) AS merges FROM m""",
+    "rejected_export": _with(ORDER, _RAW) + """SELECT source_row, issue, CASE issue WHEN 'malformed_row' THEN 'The row has another number of fields than the header.' WHEN 'missing_case_id' THEN 'case_id is empty.'
+      WHEN 'missing_activity' THEN 'activity is empty.' WHEN 'invalid_timestamp' THEN 'Unable to parse timestamp ''not a date''.' WHEN 'duplicate' THEN 'Exact duplicate of an earlier row (all columns identical).'
+      ELSE CASE WHEN began > ts THEN 'start_timestamp is after timestamp (completion).' ELSE 'Timestamp ''' || strftime(ts, '%Y-%m-%d %H:%M:%S') || CASE WHEN ts < TIMESTAMP '1970-01-01' THEN ''' is before 1970.' ELSE ''' is in the future.' END END END AS detail,
+      CASE WHEN NOT malformed THEN case_id END AS case_id, CASE WHEN NOT malformed THEN CAST(k AS VARCHAR) END AS "Line", CASE WHEN malformed THEN case_id || ' | ' || k END AS raw_fields FROM m WHERE issue IS NOT NULL""",
+    "event_records": _with(DAILY_START.replace(" FROM events", ", value FROM events"), EV) + """SELECT case_id, activity, strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S') || CASE WHEN ts_us % 1000000 <> 0 THEN strftime(make_timestamp(ts_us), '.%f') ELSE '' END || '+00:00' AS timestamp,
+      prev_activity, round(wait_us / 3.6e9, 2) AS wait_h, round(gap_us / 3.6e9, 2) AS gap_h, resource, department, round(value, 2) AS amount, source_row FROM ev""",
+    "variants_page": _with(DAILY, CASES, VARIANTS) + f"SELECT 'V' || rank AS variant_id, trace_text, case_count, {R('pct', 'pct')} FROM v WHERE rank BETWEEN 6 AND 25",
+    "tool_activity_stats": f"SELECT activity, frequency, affected_cases AS cases, median_wait_h, p90_wait_h, score, indicator, long_wait_cases, wait_share FROM ({_bottlenecks(DAILY, (0.3, 0.2, 0.1, 0.2, 0.2), 0.6, 0.35, 10)}) WHERE activity = 'purchase'",
+    "tool_transition_stats": _with(DAILY, EV) + f"SELECT prev_activity AS source, activity AS target, count(*) AS frequency, {R(MEAN('gap_us'), 'mean_h')}, {R(Q('gap_us', 0.5), 'median_h')}, {R(Q('gap_us', 0.9), 'p90_h')} FROM ev WHERE prev_activity = 'view' AND activity = 'purchase' GROUP BY ALL",
+    "tool_bottlenecks": f"""SELECT * FROM (SELECT 'activity' AS kind, activity AS name, median_wait_h AS median_h, score FROM ({_bottlenecks(DAILY, (0.3, 0.2, 0.1, 0.2, 0.2), 0.6, 0.35, 10)}) WHERE score IS NOT NULL ORDER BY score DESC, activity LIMIT 3)
+      UNION ALL SELECT * FROM ({_with(DAILY, EV)} SELECT 'transition', prev_activity || '→' || activity, {R(Q('gap_us', 0.5), 'm')}, NULL FROM ev WHERE prev_activity IS NOT NULL GROUP BY prev_activity, activity HAVING count(*) >= 10
+        ORDER BY quantile_cont(gap_us, 0.5) DESC, prev_activity, activity LIMIT 5)""",
+    "tool_resource_stats": _with(DAILY, EV) + f"""SELECT resource, count(*) AS events, count(DISTINCT case_id) AS cases, count(DISTINCT activity) AS activities, {R(Q('wait_us', 0.5), 'median_wait_h')},
+      {R('100.0 * count(*) FILTER (occurrence > 0) / count(*)', 'rework_rate_pct')} FROM ev WHERE resource = 'R3' GROUP BY resource""",
+    "fact_sheet_sql": _with(CONV, EV, CASES, VARIANTS, COMPLETION, f"""bt AS (SELECT activity, unnest(['score', 'median_wait_h', 'long_wait_cases']) AS x, unnest([score, median_wait_h, long_wait_cases]) AS y, unnest(['', 'hours', 'cases']) AS u FROM
+      (SELECT * FROM ({_bottlenecks(CONV, (0.3, 0.2, 0.1, 0.2, 0.2), 0.6, 0.35, 10)}) WHERE score IS NOT NULL ORDER BY score DESC, activity LIMIT 8))""", _FACTS, f"""st AS (SELECT prev_activity || '→' || activity AS t, {R(Q('gap_us', 0.5), 'median_h')},
+      {R(Q('gap_us', 0.9), 'p90_h')} FROM ev WHERE prev_activity IS NOT NULL GROUP BY prev_activity, activity HAVING count(*) >= 10 ORDER BY quantile_cont(gap_us, 0.5) DESC, prev_activity, activity LIMIT 6)""")
+    + """SELECT fact_id, round(value, 4) AS value, unit FROM f UNION ALL SELECT 'transition.' || t || '.median_h', median_h, 'hours' FROM st UNION ALL SELECT 'transition.' || t || '.p90_h', p90_h, 'hours' FROM st""",
+    "numbers_in_text": r"""WITH n AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '(?:^|[^\w.])(\d[\d,]*(?:\.\d+)?)', 1)) AS x FROM documents),
+  p AS (SELECT DISTINCT doc_id, CASE WHEN f LIKE '%.00' THEN f[:-4] WHEN f LIKE '%.%0' THEN f[:-2] ELSE f END AS x FROM (SELECT doc_id, printf('%.2f', CAST(replace(x, ',', '') AS DOUBLE)) AS f FROM n))
+SELECT d.doc_id, coalesce(string_agg(x, '|' ORDER BY x), '') AS numbers FROM documents d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id""",
     "overview_conv": _with(CONV, CASES, VARIANTS, COMPLETION, f"cm AS (SELECT {_CASE_METRICS})") + f"""SELECT total_cases, completed_cases, total_events, mean_duration_h, median_duration_h, (SELECT count(*) FROM v) AS unique_variants,
       (SELECT count(DISTINCT activity) FROM log) AS unique_activities, (SELECT {R('sum(pct)', 'x')} FROM v WHERE rank <= 10) AS top10_coverage_pct, (SELECT trace_text FROM v WHERE rank = 1) AS most_common,
       (SELECT count(*) FROM v WHERE case_count = 1) AS singletons, (SELECT {R('100.0 * count(*) FILTER (trace_text = (SELECT trace_text FROM dom)) / count(*)', 'x')} FROM cases) AS conformance_rate_pct FROM cm""",

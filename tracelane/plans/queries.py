@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,6 @@ from pyspark.sql import functions as F
 from tracelane.config import AnalysisConfig, Weights
 from tracelane.functions import text
 from tracelane.functions.time import hours
-from tracelane.operators import bottlenecks as bn
 from tracelane.operators import deviations as dv
 from tracelane.operators import graph, ingest, normalize, variants
 from tracelane.operators.frame import event_frame
@@ -29,8 +29,14 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, DIGITS).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
+def held(df: DataFrame, log: ProcessLog) -> DataFrame:
+    """``df``, which keeps what the log has persisted until nobody holds ``df`` any more."""
+    weakref.finalize(df, log.release).atexit = False
+    return df
+
+
 def daily(spark, d, start=False, keep=False) -> ProcessLog:
-    """``keep``: frame, cases and variants are persisted, for plans that read them several times."""
+    """``keep``: frame, cases and variants are persisted, for plans that read them several times; see ``held``."""
     return ProcessLog(adapters.daily(spark, d, start), persist=keep)
 
 
@@ -69,11 +75,13 @@ def completion_activities(spark, d):
 
 
 def dominant_path_conv(spark, d):
-    return conv(spark, d, keep=True).dominant.select(text.trace_text("trace").alias("trace_text"), "variant_id", "case_count")
+    log = conv(spark, d, keep=True)
+    return held(log.dominant.select(text.trace_text("trace").alias("trace_text"), "variant_id", "case_count"), log)
 
 
 def case_metrics(spark, d):
-    return rounded(daily(spark, d, keep=True).case_metrics())
+    log = daily(spark, d, keep=True)
+    return held(rounded(log.case_metrics()), log)
 
 
 def dfg_edges(spark, d):
@@ -97,11 +105,11 @@ def dfg_filtered(spark, d):
 
 def activity_metrics(spark, d):
     log = ProcessLog(adapters.user(spark, d))
-    return rounded(graph.activity_metrics(log.frame, log.cases).drop("mean_proc_h", "median_proc_h"))
+    return rounded(log.activities().drop("mean_proc_h", "median_proc_h"))
 
 
 def transition_metrics(spark, d):
-    return rounded(graph.transition_metrics(ProcessLog(adapters.user(spark, d)).frame))
+    return rounded(ProcessLog(adapters.user(spark, d)).transitions())
 
 
 _SCORES = ["activity", "frequency", "affected_cases", "long_wait_cases", "mean_wait_h", "median_wait_h", "p90_wait_h", "p95_wait_h", "wait_share", "score", "indicator", "not_scored_reason"]
@@ -120,7 +128,7 @@ def bottlenecks_reweighted(spark, d):
 
 
 def slow_transitions(spark, d):
-    return rounded(bn.slow_transitions(daily(spark, d).frame))
+    return rounded(daily(spark, d).slow_transitions())
 
 
 def loops(spark, d):
@@ -133,46 +141,53 @@ def rework(spark, d):
 
 def alignment_deviations(spark, d):
     log = conv(spark, d, keep=True)
-    return log.deviations.select("case_id", "type", "activity", "ts_us", "description", "hours")
+    return held(log.deviations.select("case_id", "type", "activity", "ts_us", "description", "hours"), log)
 
 
 def alignment_daily(spark, d):
     log = daily(spark, d, keep=True)
-    return dv.aligned_variants(log.variants, log.dominant, log.completion).select(text.trace_text("trace").alias("trace_text"), "type", "activity", "position", "description")
+    return held(log.aligned.select(text.trace_text("trace").alias("trace_text"), "type", "activity", "position", "description"), log)
 
 
 def path_coverage(spark, d):
     log = conv(spark, d, keep=True)
-    found = dv.aligned_variants(log.variants, log.dominant, log.completion)
-    return rounded(found.select(text.trace_text("trace").alias("trace_text"), "coverage").distinct())
+    return held(rounded(log.aligned.select(text.trace_text("trace").alias("trace_text"), "coverage").distinct()), log)
 
 
 def case_outcomes(spark, d):
     log = conv(spark, d, keep=True)
-    return dv.outcomes(log.cases, log.dominant, log.completion).select("case_id", "type", "activity", "ts_us")
+    return held(dv.outcomes(log.cases, log.dominant, log.completion).select("case_id", "type", "activity", "ts_us"), log)
 
 
 def long_transitions(spark, d):
-    return rounded(dv.long_transitions(ProcessLog(adapters.user(spark, d)).frame).select("case_id", "activity", "ts_us", "hours"))
+    log = ProcessLog(adapters.user(spark, d))
+    return rounded(dv.long_transitions(log.frame, spread=log.spread("pair")).select("case_id", "activity", "ts_us", "hours"))
 
 
 def deviation_summary(spark, d):
     log = conv(spark, d, keep=True)
-    return rounded(dv.summary(log.deviations, log.cases).select("ordinal", "type", "occurrences", "cases", "case_pct", F.array_join(F.transform("top_activities", lambda t: F.concat(t.activity, F.lit(":"), t.occurrences)), ", ").alias("top")))
+    return held(rounded(dv.summary(log.deviations, log.cases).select("ordinal", "type", "occurrences", "cases", "case_pct", F.array_join(F.transform("top_activities", lambda t: F.concat(t.activity, F.lit(":"), t.occurrences)), ", ").alias("top"))), log)
 
 
 def deviation_summary_sql(spark, d):
     log = conv(spark, d, keep=True)
     s = dv.summary(log.deviations.where(F.col("type").isin("loop", "rework", "long_transition", "alternative_outcome", "incomplete_case")), log.cases)
-    return rounded(s.select("type", "occurrences", "cases", "case_pct"))
+    return held(rounded(s.select("type", "occurrences", "cases", "case_pct")), log)
 
 
 def conformance(spark, d):
-    return rounded(conv(spark, d, keep=True).conformance())
+    log = conv(spark, d, keep=True)
+    return held(rounded(log.conformance()), log)
 
 
 def conformance_rate(spark, d):
-    return rounded(conv(spark, d, keep=True).conformance().select("conformance_rate_pct"))
+    log = conv(spark, d, keep=True)
+    return held(rounded(log.conformance().select("conformance_rate_pct")), log)
+
+
+def conformance_sql(spark, d):
+    log = daily(spark, d, keep=True)
+    return held(rounded(log.conformance().select("conformance_rate_pct", "cases_rework", "cases_loop")), log)
 
 
 def resources(spark, d):
@@ -203,14 +218,15 @@ def label_merges(spark, d):
 def _marked(spark, d):
     """The lines as texts, with gaps and copies: every 13th row twice, some without case or activity, some with a bad time."""
     o = adapters.order(spark, d)
-    k = F.xxhash64("case_id") * 0 + F.col("case_id").cast("long") * 10 + F.col("source_row")
+    k = F.col("case_id").cast("long") * 10 + F.col("source_row")
     raw = o.select(
         (k * 2).alias("source_row"), F.when(k % 17 == 0, F.lit("  ")).otherwise(F.col("case_id")).alias("case_id"), F.when(k % 19 == 0, F.lit("")).otherwise(F.col("activity")).alias("activity"),
         F.when(k % 23 == 0, F.lit("not a date")).otherwise(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")).alias("timestamp"), F.date_format("start_timestamp", "yyyy-MM-dd HH:mm:ss").alias("start_timestamp"),
         F.col("resource"), (k % 29 == 0).alias("malformed"), k.cast("string").alias("line"),
     )
-    copies = raw.where(F.col("source_row") % 26 == 0).withColumn("source_row", F.col("source_row") + 1)
-    return ingest.mark(raw.unionByName(copies), ["case_id", "activity", "timestamp", "start_timestamp", "resource", "line"], now=NOW)
+    twice = F.when(F.col("source_row") % 26 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    raw = raw.withColumn("copy", F.explode(twice)).withColumn("source_row", F.col("source_row") + F.col("copy")).drop("copy")
+    return ingest.mark(raw, ["case_id", "activity", "timestamp", "start_timestamp", "resource", "line"], now=NOW)
 
 
 def reject_cascade(spark, d):
@@ -218,17 +234,63 @@ def reject_cascade(spark, d):
 
 
 def validation_report(spark, d):
-    return ingest.report(_marked(spark, d))
+    return ingest.report(_marked(spark, d)).drop("unreadable_starts", "unreadable_amounts")
+
+
+def data_quality(spark, d):
+    """Counts, and with them the warnings and how many labels stand for several spellings."""
+    o = _marked(spark, d).withColumn("amount", F.when(F.col("source_row") % 7 == 0, "n/a").otherwise(F.col("source_row").cast("string")))
+    o = o.withColumn("activity", F.when(F.col("source_row") % 5 == 0, F.lower("activity")).otherwise(F.col("activity")))
+    found = tools.data_quality(o)
+    said = found["warnings"].agg(F.array_join(F.array_sort(F.collect_list("warning")), " ").alias("warnings"))
+    merged = found["merges"].agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "activity", F.array_join("spellings", "/")))), ",").alias("merges"))
+    return found["counts"].drop("unreadable_starts").crossJoin(said).crossJoin(merged)  # one row each
+
+
+def rejected_export(spark, d):
+    m = _marked(spark, d)
+    raw = F.when(F.col("malformed"), F.create_map(F.lit("raw_fields"), F.concat_ws(" | ", "case_id", "line"))).otherwise(F.create_map(F.lit("case_id"), F.col("case_id"), F.lit("Line"), F.col("line")))
+    return ingest.rejected_export(m.withColumn("raw", raw))
+
+
+def event_records(spark, d):
+    return tools.event_records(daily(spark, d, True).frame)
+
+
+def variants_page(spark, d):
+    found = tools.variants_page(daily(spark, d), 5, 20)
+    return rounded(found["items"].select("variant_id", text.trace_text("trace").alias("trace_text"), "case_count", "pct"))
+
+
+def tool_activity_stats(spark, d):
+    log = daily(spark, d, keep=True)
+    return held(rounded(tools.activity_stats(log, "Purchas_").select("activity", "frequency", "cases", "median_wait_h", "p90_wait_h", "score", "indicator", "long_wait_cases", "wait_share")), log)
+
+
+def tool_transition_stats(spark, d):
+    log = daily(spark, d, keep=True)
+    return held(rounded(tools.transition_stats(log, "VIEW", "purchse")), log)
+
+
+def tool_bottlenecks(spark, d):
+    log = daily(spark, d, keep=True)
+    found = tools.bottleneck_report(log, 3)
+    own = found["activities"].select(F.lit("activity").alias("kind"), F.col("activity").alias("name"), F.col("median_wait_h").alias("median_h"), "score")
+    return held(rounded(own.unionByName(found["slow_transitions"].select(F.lit("transition").alias("kind"), F.concat("source", F.lit("→"), "target").alias("name"), "median_h", F.lit(None).cast("double").alias("score")))), log)
+
+
+def tool_resource_stats(spark, d):
+    return rounded(tools.resource_stats(daily(spark, d), "r33").select("resource", "events", "cases", "activities", "median_wait_h", "rework_rate_pct"))
 
 
 def count_cases_filters(spark, d):
     log = conv(spark, d, keep=True)
-    return rounded(tools.count_cases(log, has_activity="assistant", deviation_type="rework", min_hours=2, max_hours=20))
+    return held(rounded(tools.count_cases(log, has_activity="assistant", deviation_type="rework", min_hours=2, max_hours=20)), log)
 
 
 def variant_cases_page(spark, d):
-    rows = tools.variant_cases(daily(spark, d, keep=True), "V1")
-    return rounded(tools.page(rows, [F.desc("duration_h"), F.col("case_id")], 5, 20))
+    log = daily(spark, d, keep=True)
+    return held(rounded(tools.page(tools.variant_cases(log, "V1"), [F.desc("duration_h"), F.col("case_id")], 5, 20)), log)
 
 
 def events_drilldown(spark, d):
@@ -242,8 +304,9 @@ def case_detail(spark, d):
 
 
 def deviations_page(spark, d):
-    rows = tools.deviation_rows(conv(spark, d, keep=True), type="rework")
-    return tools.page(rows, [F.col("case_id"), F.col("ts_us").asc_nulls_last(), F.col("ordinal")], 10, 100).select("case_id", "type", "activity", "ts_us")
+    log = conv(spark, d, keep=True)
+    rows = tools.deviation_rows(log, type="rework")
+    return held(tools.page(rows, [F.col("case_id"), F.col("ts_us").asc_nulls_last(), F.col("ordinal")], 10, 100).select("case_id", "type", "activity", "ts_us"), log)
 
 
 def formula_escape(spark, d):
@@ -264,16 +327,39 @@ def causal_terms(spark, d):
 
 
 def fact_sheet(spark, d):
-    return rounded(tools.facts(conv(spark, d, keep=True)))
+    log = conv(spark, d, keep=True)
+    return held(rounded(tools.facts(log)), log)
+
+
+def fact_sheet_sql(spark, d):
+    """The figures that need no alignment with the dominant path."""
+    log = conv(spark, d, keep=True)
+    sheet = tools.facts(log).where(~F.col("fact_id").startswith("deviation.") & (F.col("fact_id") != "overview.deviation_rate_pct"))
+    return held(rounded(sheet.select("fact_id", "value", "unit")), log)
+
+
+def _named(column: str):
+    return F.array_join(F.transform(column, lambda x: F.concat_ws(":", x.activity, x.cases.cast("string"))), ", ").alias(column)
 
 
 def overview(spark, d):
-    return rounded(daily(spark, d, keep=True).overview())
+    """What SQL can say too: totals, start and end activities, the dominant path and completion activities."""
+    log = daily(spark, d, keep=True)
+    rest = [c for c in log.totals().columns if c not in ("start_activities", "end_activities", "engine_version")]
+    return held(rounded(log.totals().select(*rest, _named("start_activities"), _named("end_activities"))), log)
+
+
+def overview_full(spark, d):
+    log = daily(spark, d, keep=True)
+    o = log.overview()
+    rest = [c for c in o.columns if c not in ("start_activities", "end_activities", "completion_activities")]
+    return held(rounded(o.select(*rest, _named("start_activities"), _named("end_activities"), F.array_join("completion_activities", ", ").alias("completion_activities"))), log)
 
 
 def overview_conv(spark, d):
-    o = conv(spark, d, keep=True).overview()
-    return rounded(o.select("total_cases", "completed_cases", "total_events", "mean_duration_h", "median_duration_h", "unique_variants", "unique_activities", "top10_coverage_pct", "most_common", "singletons", "conformance_rate_pct"))
+    log = conv(spark, d, keep=True)
+    o = log.overview()
+    return held(rounded(o.select("total_cases", "completed_cases", "total_events", "mean_duration_h", "median_duration_h", "unique_variants", "unique_activities", "top10_coverage_pct", "most_common", "singletons", "conformance_rate_pct")), log)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -285,6 +371,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         event_frame_order, traces_daily, variants_daily, variant_coverage, completion_activities, dominant_path_conv, case_metrics, dfg_edges, dfg_nodes, dfg_start_end, dfg_filtered, activity_metrics,
         transition_metrics, bottlenecks, bottlenecks_start, bottlenecks_reweighted, slow_transitions, loops, rework, alignment_deviations, alignment_daily, path_coverage, case_outcomes, long_transitions,
         deviation_summary, deviation_summary_sql, conformance, conformance_rate, resources, resource_top_activities, normalize_labels, label_merges, reject_cascade, validation_report, count_cases_filters,
-        variant_cases_page, events_drilldown, case_detail, deviations_page, formula_escape, numbers_in_text, causal_terms, fact_sheet, overview, overview_conv,
+        variant_cases_page, events_drilldown, case_detail, deviations_page, formula_escape, numbers_in_text, causal_terms, fact_sheet, fact_sheet_sql, overview, overview_full, overview_conv, conformance_sql,
+        data_quality, rejected_export, event_records, variants_page, tool_activity_stats, tool_transition_stats, tool_bottlenecks, tool_resource_stats,
     )
 }

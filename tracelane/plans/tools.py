@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import difflib
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelane.functions.text import activity_key
-from tracelane.functions.time import hours
-from tracelane.operators import bottlenecks, deviations, graph
-from tracelane.plans.log import ProcessLog
+from tracelane.functions.text import activity_key, casefold, likeness
+from tracelane.functions.time import hours, iso_time
+from tracelane.operators import bottlenecks, deviations, ingest, normalize
+from tracelane.operators.variants import variant_summary
+from tracelane.plans.log import ProcessLog, by_frequency
 
-MAX_PAGE = 1000
+MAX_PAGE, MAX_VARIANTS = 1000, 200
 
 
 def page(rows: DataFrame, order: list[Column], offset: int = 0, limit: int = 100) -> DataFrame:
@@ -22,13 +21,23 @@ def page(rows: DataFrame, order: list[Column], offset: int = 0, limit: int = 100
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+def closest(names: DataFrame, wanted: str, cutoff: float) -> str | None:
+    """Of ``name``, ``key`` the name whose key is or comes nearest to ``wanted`` and is at least ``cutoff`` like it."""
+    rated = names.withColumn("like", F.when(F.col("key") == wanted, 2.0).otherwise(likeness("key", wanted)))
+    best = rated.where(F.col("like") >= cutoff).orderBy(F.desc("like"), F.desc("key"), "name").select("name").first()
+    return best.name if best else None
+
+
 def resolve_activity(log: ProcessLog, name: str, cutoff: float = 0.75) -> str | None:
-    """The activity of that key, else the closest spelling by Ratcliff-Obershelp ratio. Only distinct activities reach the driver."""
-    names = log.frame.select("activity").distinct().select("activity", activity_key("activity").alias("key"))
-    wanted = log.events.sparkSession.range(1).select(activity_key(F.lit(name)).alias("key")).first().key
-    by_key = {r.key: r.activity for r in names.orderBy("activity").collect()}
-    close = [wanted] if wanted in by_key else difflib.get_close_matches(wanted, list(by_key), n=1, cutoff=cutoff)
-    return by_key[close[0]] if close else None
+    """The activity of that key, else the closest spelling by Ratcliff-Obershelp ratio; the distinct names are rated in tasks."""
+    names = log.frame.select(F.col("activity").alias("name")).distinct().withColumn("key", activity_key("name"))
+    return closest(names, log.events.sparkSession.range(1).select(activity_key(F.lit(name)).alias("key")).first().key, cutoff)
+
+
+def resolve_resource(log: ProcessLog, name: str, cutoff: float = 0.6) -> str | None:
+    """The resource of that name in any case, else the closest spelling."""
+    names = log.frame.where("resource IS NOT NULL").select(F.col("resource").alias("name")).distinct().withColumn("key", casefold("name"))
+    return closest(names, name.casefold(), cutoff)
 
 
 def variant_cases(log: ProcessLog, variant_id: str) -> DataFrame:
@@ -92,28 +101,79 @@ def case_detail(log: ProcessLog, case_id: str) -> dict[str, DataFrame]:
     }
 
 
+def _known(log: ProcessLog, name: str) -> str:
+    found = resolve_activity(log, name)
+    if found is None:
+        raise LookupError(f"No activity is like '{name}'.")
+    return found
+
+
 def activity_stats(log: ProcessLog, activity: str) -> DataFrame:
-    own = graph.activity_metrics(log.frame, log.cases).where(F.col("activity") == activity)
-    return own.join(log.bottlenecks.select("activity", "score", "indicator", "long_wait_cases", "wait_share"), "activity")
+    """Metrics and bottleneck score of the activity of that name or the closest one."""
+    own = log.activities().where(F.col("activity") == _known(log, activity))
+    return own.join(log.bottlenecks.select("activity", "score", "indicator", "long_wait_cases", "wait_share"), "activity", "left")
 
 
 def transition_stats(log: ProcessLog, source: str, target: str) -> DataFrame:
-    return graph.transition_metrics(log.frame).where((F.col("source") == source) & (F.col("target") == target))
+    """Metrics of the transition between the activities of these names or the closest ones; no row if there is none."""
+    return log.transitions().where((F.col("source") == _known(log, source)) & (F.col("target") == _known(log, target)))
 
 
 def top_bottlenecks(log: ProcessLog, limit: int = 5) -> DataFrame:
     return bottlenecks.ranked(log.bottlenecks.where("score IS NOT NULL")).limit(max(1, min(limit, 20)))
 
 
+def bottleneck_report(log: ProcessLog, limit: int = 5) -> dict[str, DataFrame]:
+    """Scored activities, ``limit`` from 1 to 20 of them, and the five slowest transitions."""
+    return {"activities": top_bottlenecks(log, limit), "slow_transitions": log.slow_transitions(5)}
+
+
 def top_variants(log: ProcessLog, limit: int = 5) -> DataFrame:
     return log.variants.where(F.col("rank") <= max(1, min(limit, 20))).orderBy("rank")
 
 
+def variants_page(log: ProcessLog, offset: int = 0, limit: int = 50) -> dict[str, DataFrame]:
+    """``summary`` of all variants and a page of 1 to 200 of them by rank; ranks need no sort to be paged."""
+    if offset < 0 or not 1 <= limit <= MAX_VARIANTS:
+        raise ValueError(f"offset must not be negative, and limit must be 1 to {MAX_VARIANTS}")
+    return {"summary": variant_summary(log.variants), "items": log.variants.where(F.col("rank").between(offset + 1, offset + limit)).orderBy("rank")}
+
+
+def metrics(log: ProcessLog) -> dict[str, DataFrame]:
+    """Cases, activities, transitions and the summary of variants."""
+    return {"cases": log.overview(), "activities": by_frequency(log.activities(), "activity"), "transitions": by_frequency(log.transitions(), "source", "target"), "variants": variant_summary(log.variants)}
+
+
+def deviation_report(log: ProcessLog, type: str | None = None) -> dict[str, DataFrame]:
+    """``by_type`` (or one type), the deviation ``rate`` of all cases, and ``conformance``."""
+    found = deviations.summary(log.deviations, log.cases)
+    return {"by_type": (found if type is None else found.where(F.col("type") == type)).orderBy("ordinal"), "rate": deviations.deviation_rate(log.deviations, log.cases), "conformance": log.conformance()}
+
+
 def resource_stats(log: ProcessLog, resource: str | None = None, limit: int = 10) -> DataFrame:
+    """Resources by events, or the one of that name or the closest to it; none if the log has no resources."""
     rows = log.resources()
-    if resource is not None:
-        rows = rows.where(F.col("resource") == resource)
-    return rows.orderBy(F.desc("events"), "resource").limit(max(1, min(limit, 50)))
+    if resource is not None and "resource" in log.frame.columns:
+        rows = rows.where(F.col("resource") == F.lit(resolve_resource(log, resource)))
+    return by_frequency(rows, "resource", count="events").limit(max(1, min(limit, 50)))
+
+
+def data_quality(marked: DataFrame, file_facts: DataFrame | None = None) -> dict[str, DataFrame]:
+    """``counts`` of rows by issue, ``columns`` of each file, ``warnings``, and ``merges`` of spellings of one activity."""
+    counts = ingest.report(marked)
+    out = {"counts": counts, "warnings": ingest.warnings(file_facts, counts), "merges": normalize.merges(ingest.events(marked))}
+    return out if file_facts is None else out | {"columns": file_facts}
+
+
+def event_records(rows: DataFrame) -> DataFrame:
+    """Event rows as text for people: the known fields that are there, times in ISO 8601 (UTC), figures to two decimals."""
+    wanted = {
+        "case_id": F.col("case_id"), "activity": F.col("activity"), "original_activity": F.col("original_activity") if "original_activity" in rows.columns else None, "timestamp": iso_time("ts_us"), "prev_activity": F.col("prev_activity"),
+        "wait_h": F.round(hours("wait_us"), 2), "gap_h": F.round(hours("gap_us"), 2), **{c: F.col(c) for c in ("resource", "department")}, "amount": F.round("amount", 2) if "amount" in rows.columns else None,
+        **{c: F.col(c) for c in ("priority", "location", "source_row")},
+    }
+    derived = {"timestamp", "wait_h", "gap_h"}
+    return rows.select(*[c.alias(k) for k, c in wanted.items() if c is not None and (k in derived or k in rows.columns)])
 
 
 def facts(log: ProcessLog) -> DataFrame:
@@ -127,7 +187,7 @@ def facts(log: ProcessLog) -> DataFrame:
     sheet = long(o, [[lit(f"overview.{k}")] for k, _ in totals], [[lit(k.replace("_", " "))] for k, _ in totals], [(col(k), u) for k, u in totals])
     parts = [
         (top_bottlenecks(log, 8), "activity", [col("activity")], [("score", ""), ("median_wait_h", "hours"), ("long_wait_cases", "cases")]),
-        (bottlenecks.slow_transitions(log.frame, log.config, 6), "transition", [col("source"), lit("→"), col("target")], [("median_h", "hours"), ("p90_h", "hours")]),
+        (log.slow_transitions(6), "transition", [col("source"), lit("→"), col("target")], [("median_h", "hours"), ("p90_h", "hours")]),
         (log.variants.where("rank <= 8"), "variant", [col("variant_id")], [("case_count", "cases"), ("pct", "%")]),
         (resource_stats(log, limit=10), "resource", [col("resource")], [("cases", "cases"), ("median_wait_h", "hours")]),
         (deviations.summary(log.deviations, log.cases), "deviation", [col("type")], [("cases", "cases"), ("case_pct", "%")]),
