@@ -27,6 +27,10 @@ FREQUENT_HERE, MOST_FREQUENT = 2, 1 << 20
 SMALL, LEADERS = 3, 1024
 #: Members of a region that are compared with its leaders at a time.
 BLOCK = 4096
+#: Documents whose identifiers are broadcast to fetch their sets: 2^21 * 8 bytes. More are fetched by a shuffle join.
+MOST_CARRIERS = 1 << 21
+#: Near sets are linked first as long as this share of the leaders finds a link.
+STILL_MERGING = 0.05
 #: Buckets of the histogram of a set, whose difference is a lower bound of the symmetric difference of two sets.
 BUCKETS_LOG2 = 8
 _NAME_MASK = np.uint64((1 << NAME_BITS) - 1)
@@ -232,9 +236,11 @@ class JaccardJoin:
         one = same.groupBy("c", "h").agg(F.min("region").alias("region"))
         return members, pairs.distinct(), large.join(one.select("region"), "region", "left_semi")
 
-    def bodies(self, members: DataFrame, wanted: DataFrame) -> DataFrame:
-        """(set, keys) of the wanted sets, from one document of each."""
-        carriers = members.select("doc", "set").join(wanted, "set", "left_semi").groupBy("set").agg(F.min("doc").alias("doc"))
+    def bodies(self, members: DataFrame, wanted: DataFrame, label: str) -> DataFrame:
+        """(set, keys) of the wanted sets, from one document of each; the texts are not shuffled unless very many are wanted."""
+        carriers = self.scratch.save(members.select("doc", "set").join(wanted, "set", "left_semi").groupBy("set").agg(F.min("doc").alias("doc")), f"carriers{label}")
+        if carriers.count() <= MOST_CARRIERS:
+            carriers = F.broadcast(carriers)
 
         def body(batch: pa.RecordBatch):
             wanted = batch.column(0).to_numpy()
@@ -301,7 +307,7 @@ class JaccardJoin:
         pairs = self.scratch.save(pairs, f"pairs{label}")
         if pairs.isEmpty():
             return pairs
-        bodies = self.scratch.save(self.bodies(members, pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()), f"bodies{label}")
+        bodies = self.scratch.save(self.bodies(members, pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), label), f"bodies{label}")
 
         @arrow_udf("boolean")
         def linked(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -356,19 +362,24 @@ class JaccardJoin:
             counts = known.groupBy("region", "label").agg(F.count("*").alias("c"))
             main = counts.groupBy("region").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("kinds"), F.sum("c").alias("c")).where("kinds > 1")
             open_ = self.scratch.save(known.join(main.select("region", "main", "c"), "region"), f"open-{turn}")
+            if open_.isEmpty():
+                break
             regions = open_.groupBy("set").agg(F.collect_list("region").alias("regions"))
             drawn = open_.join(regions, "set").join(sketch.select("set", "histogram"), "set")
             known = self.scratch.save(drawn, f"known-{turn}")
             rest = known.where("label <> main").withColumn("place", F.row_number().over(W.partitionBy("region").orderBy("set")))
             leaders = rest.where(F.col("place") <= LEADERS)
-            found = False
+            merging = False
             for nearest in (True, False):
                 more = self.verified(members, self.compared(known, leaders, nearest), f"{turn}-{nearest}")
-                if not more.isEmpty():
-                    links, found = links.unionByName(more), True
+                n = more.count()
+                if n:
+                    links = links.unionByName(more)
                     labels = self.labels(links, f"{turn}-{nearest}")
+                merging = nearest and n > STILL_MERGING * leaders.select("set").distinct().count()
+                if merging:  # look again with the merged groups before all pairs are compared
                     break
-            if found and nearest:  # groups have merged: look again before all pairs are compared
+            if merging:
                 continue
             large = self.scratch.save(known.join(leaders.select("region", "set"), ["region", "set"], "left_anti").select("region", "set", "n"), f"large-{turn}")
         return members, labels
