@@ -62,7 +62,7 @@ def docs(spark, rows):
 
 def clash(spark, rows):
     """With extra columns named as the operators name theirs."""
-    extra = {c: F.lit(7) for c in ("doc", "salt", "set", "n", "a", "b", "kept", "n_bytes", "media", "token_ids", "score", "lang_pred", "label", "line", "part", "n_lines")}
+    extra = {c: F.lit(7) for c in ("doc", "salt", "set", "n", "a", "b", "kept", "n_bytes", "media", "token_ids", "score", "lang_pred", "label", "line", "part", "n_lines", "__doc", "__salt", "__drops", "__starts", "__fields", "__hit", "__gone", "__new", "MIXTURE", "Payload", "KEPT_text")}
     return spark.createDataFrame(rows, SCHEMA).withColumns(extra)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelane.llm import blobs
-from tracelane.llm.common import RangeHash, Scratch, arrow_udf, byte_view, chunks, id_key, lower_ascii, map_batches, mix, word_spans
+from tracelane.llm.common import RangeHash, Scratch, arrow_udf, byte_view, chunks, fresh, id_key, lower_ascii, map_batches, mix, word_spans
 
 WORDS = 5
 #: Linked if 100 * intersection >= PERCENT * union.
@@ -411,7 +411,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     together if one of them links to a smaller identifier.
     """
     groups = jaccard_groups(docs, id_col, text_col, percent)
-    gone = groups.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, id_key(id_col) == F.col("__gone"), "left_anti")
+    own = fresh(docs.columns, "__gone")
+    gone = groups.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias(own)).distinct()
+    return docs.join(gone, id_key(id_col) == F.col(own), "left_anti")
 
 

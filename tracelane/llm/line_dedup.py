@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelane.llm.common import NULL_ID, SPACE_BYTES, Scratch, arrow_udf, id_key, map_batches, strings, with_columns_last
+from tracelane.llm.common import NULL_ID, SPACE_BYTES, Scratch, arrow_udf, fresh, id_key, map_batches, strings
 
 _SPACE = SPACE_BYTES.decode()
 
@@ -40,7 +40,8 @@ def line_dedup(docs: DataFrame, min_docs: int = 2, min_chars: int = 10, id_col:
         raise ValueError("min_docs must be 2 or more")
     spark = docs.sparkSession
     scratch = Scratch(spark, "line_dedup")
-    keyed = docs.withColumn("__doc", id_key(id_col))
+    doc, own_drops = fresh(docs.columns, "__doc"), fresh(docs.columns, "__drops")
+    keyed = docs.withColumn(doc, id_key(id_col))
 
     def explode(batch: pa.RecordBatch):
         ids, keys = [], []
@@ -50,13 +51,13 @@ def line_dedup(docs: DataFrame, min_docs: int = 2, min_chars: int = 10, id_col:
             keys += own
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["line", "__doc"])
 
-    lines = scratch.save(map_batches(keyed.select("__doc", F.col(text_col).cast("string")), explode, "line binary, __doc long"), "lines")
+    lines = scratch.save(map_batches(keyed.select(F.col(doc).alias("__doc"), F.col(text_col).cast("string")), explode, "line binary, __doc long"), "lines")
     if min_docs == 2:  # two documents hold it if its smallest and largest identifiers differ
         repeated = lines.groupBy("line").agg(F.min("__doc").alias("keeper"), F.max("__doc").alias("other")).where("keeper < other")
     else:
         repeated = lines.distinct().groupBy("line").agg(F.min("__doc").alias("keeper"), F.count("*").alias("docs")).where(F.col("docs") >= min_docs)
     losers = lines.join(repeated.select("line", "keeper"), "line").where("__doc > keeper")
-    drops = losers.groupBy("__doc").agg(F.collect_set("line").alias("__drops"))  # at most a document's own lines
+    drops = losers.groupBy(F.col("__doc").alias(doc)).agg(F.collect_set("line").alias(own_drops))  # at most a document's own lines
 
     @arrow_udf("struct<text:string,n_lines:bigint,n_dropped:bigint>")
     def rebuild(texts: pa.Array, dropped: pa.Array) -> pa.Array:
@@ -73,10 +74,10 @@ def line_dedup(docs: DataFrame, min_docs: int = 2, min_chars: int = 10, id_col:
             gone.append(len(parts) - len(kept))
         return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(before, pa.int64()), pa.array(gone, pa.int64())], names=["text", "n_lines", "n_dropped"])
 
-    joined = keyed.join(drops, "__doc", "left").withColumn("__new", rebuild(F.col(text_col).cast("string"), F.col("__drops")))
-    order = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    new = {text_col: F.col("__new.text"), "n_lines": F.col("__new.n_lines"), "n_dropped": F.col("__new.n_dropped")}
-    return with_columns_last(joined, order, new).select(*[f"`{c}`" for c in order], "n_lines", "n_dropped")
+    own = fresh(docs.columns, "__new")
+    joined = keyed.join(drops, doc, "left").withColumn(own, rebuild(F.col(text_col).cast("string"), F.col(own_drops)))
+    old = [F.col(f"`{own}`.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    return joined.select(*old, F.col(f"`{own}`.n_lines").alias("n_lines"), F.col(f"`{own}`.n_dropped").alias("n_dropped"))
 
 
 __all__ = ["NULL_ID", "line_dedup", "line_keys"]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelane.llm import blobs
-from tracelane.llm.common import RangeHash, Scratch, arrow_udf, byte_view, chunks, id_key, map_batches, mix, with_columns_last
+from tracelane.llm.common import RangeHash, Scratch, arrow_udf, byte_view, chunks, fresh, id_key, map_batches, mix, with_fields
 
 #: Bytes of a sampled gram. A string of ``width`` bytes has width - GRAM + 1 of them; its smallest is its sample.
 GRAM = 32
@@ -197,7 +197,7 @@ def suffix_dedup(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text
 
     Null text counts as empty; texts shorter than ``width`` stay whole. A null identifier is the largest. Different texts
     of one identifier are documents in the order of their hash; equal rows are one document and get equal results. Input
-    columns named like the new ones are replaced, others pass through. An empty table gives an empty table. Strings are
+    columns named like the new ones are replaced, others pass through. A text of more than 2^28 bytes (268 MB) is refused. An empty table gives an empty table. Strings are
     taken as equal if two independent hashes of them are, of 64 and 32 bits; runs around one gram if 64 bits are.
 
     Plan: sampled grams that equal strings share by construction stand for the runs of strings around them. Runs are
@@ -225,9 +225,8 @@ def suffix_dedup(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text
             counts.append(len(spans))
         return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, counts))], names=["kept", "n_bytes", "n_removed", "n_spans"])
 
-    new = ["kept", "n_bytes", "n_removed", "n_spans"]
-    keyed = docs.withColumns({"__doc": id_key(id_col), "__salt": F.hash(F.col(text_col).cast("string"))})
-    joined = keyed.join(per_doc.withColumnsRenamed({"doc": "__doc", "salt": "__salt"}), ["__doc", "__salt"], "left")
-    joined = joined.withColumn("__cut", cut(F.col(text_col).cast("binary"), "__starts", "__ends"))
-    return with_columns_last(joined, [c for c in docs.columns if c not in new], {c: F.col(f"__cut.{c}") for c in new})
-
+    doc, salt, starts, ends = (fresh(docs.columns, c) for c in ("__doc", "__salt", "__starts", "__ends"))
+    keyed = docs.withColumns({doc: id_key(id_col), salt: F.hash(F.col(text_col).cast("string"))})
+    joined = keyed.join(per_doc.toDF(doc, salt, starts, ends), [doc, salt], "left")
+    out = with_fields(joined, cut(F.col(text_col).cast("binary"), F.col(starts), F.col(ends)), ("kept", "n_bytes", "n_removed", "n_spans"))
+    return out.drop(doc, salt, starts, ends)
