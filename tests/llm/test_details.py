@@ -2,12 +2,13 @@
 
 import hashlib
 import itertools
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracelane.llm import flac, language_id, ordinal_quality
+from tracelane.llm import byte_bpe, flac, language_id, line_dedup, media, ordinal_quality, suffix_dedup, suffix_tree_lm
 
 
 # ---- 3: language sets against all subsets -----------------------------------------------------------------------
@@ -192,3 +193,66 @@ def test_held_out_grades(spark, sf):
     by = {g: [r.expected_grade for r in got if r.grade == g] for g in (0, 2)}
     right = np.mean([a < b for a in by[0] for b in by[2]])
     assert len(by[0]) >= 3 and len(by[2]) >= 10 and right > 0.7
+
+
+# ---- odd rows: null and shared identifiers, equal rows, a text larger than what tasks take at a time, no rows -------
+
+
+def odd_rows():
+    rnd = random.Random(4)
+    vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8))) for _ in range(5000)]
+    big = " ".join(rnd.choice(vocabulary) for _ in range(480_000))
+    return big, [(1, "first text of one"), (1, "second text of one"), (None, "no identifier"), (None, ""), (2, None), (3, big), (4, big), (4, big)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    big, rows = odd_rows()
+    assert len(big) > 2_500_000
+    return big, spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([], "doc_id long, text string")
+
+
+def test_odd_rows_encode(odd, tiktoken_encoding):
+    big, docs, empty = odd
+    want = {t: tiktoken_encoding.encode_ordinary(t or "") for t in (big, "no identifier", None)}
+    for r in byte_bpe.round_trip(docs).collect():
+        assert bytes(r.decoded) == (r.text or "").encode() and (r.text not in want or list(r.token_ids) == want[r.text])
+    assert byte_bpe.round_trip(empty).count() == 0
+
+
+def test_odd_rows_of_language_and_quality(odd, spark):
+    _, docs, empty = odd
+    model = language_id.learn(docs.withColumn("lang", F.lit("xx")))
+    got = language_id.identify(docs, model).select("doc_id", F.length("text").alias("n"), "lang_pred").collect()
+    assert len(got) == 8 and {r.lang_pred for r in got if not r.n} == {"und"} and {r.lang_pred for r in got if r.n} == {"xx"}
+    assert language_id.identify(empty, model).count() == 0
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    assert [tuple(r) for r in ordinal_quality.graded(labels).collect()] == [(1, 1)]
+    fitted = ordinal_quality.learn(docs, labels)
+    assert ordinal_quality.grade(docs, fitted).count() == 8 and ordinal_quality.grade(empty, fitted).count() == 0
+
+
+def test_odd_rows_of_media(odd):
+    _, docs, _ = odd
+    for r in media.read_media(media.store_media(docs)).select("text", "payload", "n_bytes").collect():
+        assert bytes(r.payload)[: r.n_bytes] == (r.text or "").encode()
+
+
+def test_odd_rows_of_the_language_model(odd):
+    _, docs, empty = odd
+    by = {}
+    for parts in (1, 7):
+        rows = suffix_tree_lm.score(docs.repartition(parts), docs).collect()
+        assert len(rows) == 8 and all(np.isfinite(r.score) for r in rows)
+        by[parts] = sorted((r.n_tokens, round(r.score, 6), round(r.base_score, 6)) for r in rows)
+        assert len({r.score for r in rows if r.n_tokens > 1000}) == 1
+    assert by[1] == by[7] and suffix_tree_lm.score(empty, docs).count() == 0
+
+
+def test_odd_rows_of_line_and_suffix_dedup(odd):
+    big, docs, empty = odd
+    lines = line_dedup.line_dedup(docs).select("doc_id", F.length("text").alias("n"), "n_dropped").collect()
+    assert sorted((r.doc_id or 9, r.n, r.n_dropped) for r in lines if r.n_dropped) == [(4, 0, 1), (4, 0, 1)] and len(lines) == 8
+    cut = suffix_dedup.suffix_dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans").collect()
+    assert sorted((r.doc_id or 9, r.n_removed, r.n_spans) for r in cut if r.n_removed) == [(4, len(big), 1)] * 2 and len(cut) == 8
+    assert line_dedup.line_dedup(empty).count() == 0 and suffix_dedup.suffix_dedup(empty).count() == 0
