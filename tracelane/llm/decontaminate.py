@@ -24,7 +24,7 @@ SYMBOLS = 3
 RECALL, AGREEMENT = 0.98, 0.3
 #: Items that are broadcast at a time, and bytes of an item's text that are looked at in one window.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32 << 20
-CHUNK_BYTES, WINDOWS = 2_000_000, 4_000
+CHUNK_BYTES, WINDOWS = 500_000, 1_500
 _BITMAP_LOG2 = 22
 _SPACE = np.arange(256, dtype=np.uint8)
 _SPACE[9:14] = 32
@@ -200,8 +200,8 @@ class ItemIndex:
         begin, stop = np.maximum(offsets[row], start - slack), np.minimum(offsets[row + 1], start + size + slack)
         best: dict[tuple[int, int], tuple[int, int]] = {}
         order = np.argsort(size, kind="stable")
-        for a in range(0, len(order), 2000):
-            own = order[a : a + 2000]
+        for a in range(0, len(order), 500):
+            own = order[a : a + 500]
             distance, end = best_distances(self.bodies, item[own], [data[i:j].tobytes() for i, j in zip(begin[own], stop[own], strict=True)])
             for n in np.flatnonzero(distance <= slack[own]):
                 k = own[n]

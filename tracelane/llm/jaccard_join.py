@@ -16,7 +16,7 @@ from tracelane.llm.common import RangeHash, Scratch, arrow_udf, byte_view, chunk
 WORDS = 5
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 80
-CHUNK_BYTES, CHUNK_ROWS_LOG2 = 2_000_000, 13
+CHUNK_BYTES, CHUNK_ROWS_LOG2 = 1_000_000, 13
 #: Bytes of text whose results are sent together.
 SLICE_BYTES = 8_000_000
 #: Bits of a shingle's name, under the bits of its frequency class.

@@ -20,7 +20,7 @@ SMOOTHING = 0.1
 EM_ROUNDS, EM_STEP = 50, 1e-3
 #: Price of one more language: this times ln(words).
 PENALTY = 1.5
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 400_000
 UNDETERMINED = "und"
 
 
