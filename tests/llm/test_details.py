@@ -256,3 +256,14 @@ def test_odd_rows_of_line_and_suffix_dedup(odd):
     cut = suffix_dedup.suffix_dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans").collect()
     assert sorted((r.doc_id or 9, r.n_removed, r.n_spans) for r in cut if r.n_removed) == [(4, len(big), 1)] * 2 and len(cut) == 8
     assert line_dedup.line_dedup(empty).count() == 0 and suffix_dedup.suffix_dedup(empty).count() == 0
+
+
+@pytest.mark.parametrize("n", range(7))
+def test_jaccard_of_tables_of_few_words(spark, n):
+    """Parts with fewer words than a shingle, alone or at the end of a batch."""
+    from tracelane.llm.jaccard_join import jaccard_groups
+
+    rows = [(i, f"w{i}") for i in range(n)] + [(100, " ".join(f"v{i}" for i in range(n)))]
+    for parts in (1, n + 1):
+        out = jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == sorted([*((i, 1, i) for i in range(n)), (100, max(1, n - 4) if n else 0, 100 if n != 1 else 100)])

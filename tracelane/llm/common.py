@@ -201,9 +201,9 @@ class RangeHash:
         return mix((self._sums[width:] - self._sums[:-width]) * _powers(_INVERSE, n))
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, row) of all words ``[^\\x20\\x09-\\x0D]+``; a row's end also ends a word."""
-    inside = ~_SPACE_LUT[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE_LUT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, row) of all words ``[^\\x20\\x09-\\x0D]+`` (or of other ``space``, a flag per byte); a row's end also ends a word."""
+    inside = ~space[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets[:-1]] = True
     first = first[:-1]

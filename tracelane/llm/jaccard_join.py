@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelane.llm import blobs
+from tracelane.llm.components import reach
 from tracelane.llm.common import RangeHash, Scratch, arrow_udf, byte_view, chunks, fresh, id_key, lower_ascii, map_batches, mix, word_spans
 
 WORDS = 5
@@ -53,7 +54,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     left = np.cumsum(counts)[row] - np.arange(len(row))  # words from here to the end of the text
     for i in range(WORDS):
         following = np.zeros(len(word), np.uint64)
-        following[: len(word) - i] = word[i:]
+        rest = max(len(word) - i, 0)  # a part may have fewer words than a shingle
+        following[:rest] = word[i:]
         name = name * step + np.where(left > i, following, 0).astype(np.uint64)
     first = left == counts[row]
     own = (left >= WORDS) | (first & (left < WORDS))
@@ -327,19 +329,7 @@ class JaccardJoin:
 
     def labels(self, links: DataFrame, label: str) -> DataFrame:
         """(set, label) of the sets that have links: the smallest set that their links reach."""
-        both = self.scratch.save(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"both{label}")
-        now = both.groupBy(F.col("a").alias("set")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
-        now, turn = self.scratch.save(now, f"labels{label}-0"), 0
-        while True:
-            turn += 1
-            near = both.join(now.withColumnRenamed("set", "b"), "b").groupBy(F.col("a").alias("set")).agg(F.min("label").alias("near"))
-            step = now.join(near, "set").select("set", F.col("label").alias("before"), F.least("label", "near").alias("label"))
-            jump = now.select(F.col("set").alias("label"), F.col("label").alias("next"))
-            step = self.scratch.save(step.join(jump, "label").select("set", "before", F.least("label", "next").alias("label")), f"labels{label}-{turn}")
-            moved = step.where("label <> before").isEmpty()
-            now = step.select("set", "label")
-            if moved:
-                return now
+        return reach(links, self.scratch, label)
 
     def groups(self) -> tuple[DataFrame, DataFrame]:
         """(doc, set, n) and (set, label).

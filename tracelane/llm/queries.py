@@ -14,6 +14,7 @@ from tracelane.llm.decontaminate import find_items
 from tracelane.llm.jaccard_join import jaccard_groups
 from tracelane.llm.line_dedup import line_dedup
 from tracelane.llm.media import read_media, store_media
+from tracelane.llm.minhash_dedup import near_duplicates
 from tracelane.llm.suffix_dedup import suffix_dedup
 from tracelane.llm.token_counts import length_histogram, suffix_totals
 
@@ -71,6 +72,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents; null and empty texts have no shingle and stay, an empty table gives no row."""
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_jaccard_join": op2_jaccard_join,
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_ordinal_quality": op9_ordinal_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_minhash_dedup": op12_minhash_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
