@@ -69,13 +69,15 @@ def test_chain_in_one_bucket_is_followed_by_blocks(spark, monkeypatch):
     assert collected(near_duplicates(df)) == brute(rows)
 
 
-def test_apart_finds_every_link_without_stars(spark, monkeypatch):
-    """One bucket of all sets and no link yet: block pairs alone must give the groups, but for the center."""
+@pytest.mark.parametrize("most", [0, 1 << 24])
+def test_apart_finds_every_link_without_stars(spark, monkeypatch, most):
+    """By buckets and by whole groups. One bucket of all sets and no link yet: block pairs alone must give the groups, but for the center."""
     from pyspark.sql import functions as F
 
     from tracelane.llm.components import reach
 
     monkeypatch.setattr(minhash_dedup, "BLOCK_SETS", 4)
+    monkeypatch.setattr(minhash_dedup, "MOST_PAIRS", most)
     rows = near_copies(11, 6, 8, 50, 0.12)
     dedup = minhash_dedup.MinHashDedup(spark.createDataFrame([*rows, (-1, "alone here")], "doc_id long, text string"), "doc_id", "text", 80)
     center = dedup.sets.where("doc = -1").first().set

@@ -26,6 +26,8 @@ _BIN_BITS = np.uint64(64 - BINS.bit_length() + 1)
 MOST_CARRIERS = 1 << 20
 #: Members of a bucket, and their shingles, that one task compares with as many others.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 20
+#: Groups that meet in some bucket are compared as wholes up to so many pairs of sets, else bucket by bucket.
+MOST_PAIRS = 1 << 24
 
 #: For each bin the place of every bin in a random order of its own; its own place comes first.
 RANK = np.random.default_rng(20240229).permuted(np.tile(np.arange(1, BINS + 1, dtype=np.int16), (BINS, 1)), axis=1)
@@ -153,18 +155,30 @@ class MinHashDedup:
     def apart(self, met: DataFrame, labels: DataFrame) -> DataFrame:
         """Links between members of one bucket that are still in different groups; neither is the bucket's center.
 
-        Buckets whose members are one group are done, and of buckets of the same members one is enough. Members of a
-        bucket's largest group are not compared with each other. The others meet them and each other in blocks of bounded
-        size, a pair of blocks a task, which compares whole sets and returns only links that join two groups: fewer than
-        it has members. Centers were compared with all members before.
+        Buckets whose members are one group are done. In each other one, a largest group meets the groups beside it. Groups
+        that meet share many buckets, so they are compared once as wholes, unless that is more than MOST_PAIRS pairs: then
+        only what is in one bucket is. The sets of the largest group are not compared with each other. The others meet
+        them and each other in blocks of bounded size, a pair of blocks a task, which compares whole sets and returns
+        only links that join two groups: fewer than it has members. Centers were compared with all members before.
         """
         percent = self.percent
         large = met.where("c > 2").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
         kinds = large.groupBy("bucket", "label").agg(F.count("*").alias("k"), F.sum(F.xxhash64("set").cast("decimal(20,0)")).alias("h"))
-        kinds = kinds.groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("groups"), F.sum("k").alias("k"), F.sum("h").alias("h")).where("groups > 1")
-        one = kinds.groupBy("k", "h").agg(F.min_by(F.struct("bucket", "main"), "bucket").alias("b")).select("b.*")
-        open_ = large.join(one, "bucket").where("set <> center").join(self.sets.select("set", "n"), "set")
-        open_ = self.scratch.save(open_.select("bucket", "set", "label", "n", (F.col("label") == F.col("main")).alias("inner")), "open")
+        kinds = self.scratch.save(kinds, "kinds")
+        mixed = kinds.groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("groups"), F.sum("k").alias("k"), F.sum("h").alias("h")).where("groups > 1")
+        one = self.scratch.save(mixed.groupBy("k", "h").agg(F.min_by(F.struct("bucket", "main"), "bucket").alias("b")).select("b.*"), "one")  # of buckets of the same members
+        beside = self.scratch.save(kinds.join(one, "bucket").where("label <> main").select("main", "label").distinct(), "beside")
+
+        labelled = self.sets.select("set", "n").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
+        members = labelled.groupBy("label").agg(F.count("*").alias("size"))
+        areas = beside.join(members, "label").groupBy("main").agg(F.sum("size").alias("others")).join(members.withColumnRenamed("label", "main"), "main")
+        areas = self.scratch.save(areas.withColumn("whole", F.col("others").cast("double") * (F.col("others") + F.col("size")) <= MOST_PAIRS), "areas")
+        whole = areas.where("whole").select("main")
+        others = labelled.join(beside.join(whole, "main", "left_semi"), "label").select(F.col("main").alias("bucket"), "set", "label", "n", F.lit(False).alias("inner"))
+        inner = labelled.join(whole, F.col("label") == F.col("main")).select(F.col("main").alias("bucket"), "set", "label", "n", F.lit(True).alias("inner"))
+        rest = large.join(one.join(whole, "main", "left_anti"), "bucket").where("set <> center").join(self.sets.select("set", "n"), "set")
+        rest = rest.select("bucket", "set", "label", "n", (F.col("label") == F.col("main")).alias("inner"))
+        open_ = self.scratch.save(others.unionByName(inner).unionByName(rest), "open")
         if open_.isEmpty():
             return open_.select(F.col("set").alias("a"), F.col("set").alias("b"))
         sizes = open_.groupBy("bucket").agg(*[
