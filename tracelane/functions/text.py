@@ -92,6 +92,15 @@ def _plain(number: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(fixed, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
+def fact_value(value: Column | str, unit: Column | str) -> Column:
+    """A figure for people: thousands separators, two decimals at most without trailing zeros, then its unit; ``%`` without a blank."""
+    x, u = _column(value), F.coalesce(_column(unit), F.lit(""))
+    plain = _plain(F.abs(x).cast("string"))
+    whole = F.regexp_replace(F.regexp_extract(plain, r"^\d+", 0), r"(?<=\d)(?=(\d{3})+$)", ",")
+    shown = F.concat(F.when((x < 0) & (plain != "0"), F.lit("-")).otherwise(F.lit("")), whole, F.regexp_extract(plain, r"\..*$", 0))
+    return F.concat(shown, F.when(u.isin("", "%"), u).otherwise(F.concat(F.lit(" "), u)))
+
+
 def numbers_in(x: Column | str) -> Column:
     """Sorted distinct numbers of a text without thousands separators, with two decimals at most."""
     found = F.regexp_extract_all(F.coalesce(_column(x), F.lit("")), F.lit(NUMBER), F.lit(0))

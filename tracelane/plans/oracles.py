@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tracelane.functions.text import CAUSAL_TERMS
+from tracelane.operators.mentions import STOP_WORDS
 
 _KEY = "concat(user_id, '-', strftime(ts, '%Y-%m-%d'))"
 _K = "CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT)"
@@ -12,6 +13,9 @@ DAILY_START = DAILY.replace("CAST(NULL AS BIGINT) AS start_us", "epoch_us(ts) -
 USER = "log AS (SELECT event_id AS source_row, CAST(user_id AS VARCHAR) AS case_id, event_type AS activity, epoch_us(ts) AS ts_us, CAST(NULL AS BIGINT) AS start_us FROM events)"
 CONV = """log AS (SELECT turn AS source_row, CAST(conv_id AS VARCHAR) AS case_id, role AS activity, epoch_us(TIMESTAMP '2024-01-01') + turn * 3600000000 AS ts_us, CAST(NULL AS BIGINT) AS start_us
   FROM conversations)"""
+TOPICS = r"""log AS (SELECT turn AS source_row, CAST(conv_id AS VARCHAR) AS case_id, CASE WHEN role = 'user' AND regexp_matches(text, '^[^\p{L}]*(\p{L}+)[^\p{L}]+(\p{L}+)')
+    THEN regexp_extract(text, '^[^\p{L}]*(\p{L}+)[^\p{L}]+(\p{L}+)', 1) || '_' || regexp_extract(text, '^[^\p{L}]*(\p{L}+)[^\p{L}]+(\p{L}+)', 2) ELSE role END AS activity,
+    epoch_us(TIMESTAMP '2024-01-01') + turn * 3600000000 AS ts_us, CAST(NULL AS BIGINT) AS start_us FROM conversations)"""
 ORDER = """log AS (SELECT row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey) AS source_row, CAST(l_orderkey AS VARCHAR) AS case_id, l_returnflag AS activity,
   epoch_us(l_shipdate) AS ts_us, epoch_us(o_orderdate) AS start_us, CAST(l_suppkey AS VARCHAR) AS resource, l_shipdate, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 EV = """ev0 AS (SELECT *, row_number() OVER c - 1 AS pos, lag(activity) OVER c AS prev_activity, lag(ts_us) OVER c AS prev_us,
@@ -101,7 +105,37 @@ _FACTS = f"""ov AS (SELECT {_CASE_METRICS}),
     UNION ALL SELECT 'variant.V' || rank || '.case_count', case_count, 'cases' FROM v WHERE rank <= 8 UNION ALL SELECT 'variant.V' || rank || '.pct', pct, '%' FROM v WHERE rank <= 8
     UNION ALL SELECT 'activity.' || activity || '.' || x, y, u FROM bt)"""
 
+_FOLD = lambda x: rf"trim(regexp_replace(replace(lower({x}), 'ß', 'ss'), '[\s_\-]+', ' ', 'g'))"
+_LABELS = f"lb AS (SELECT max(activity) AS activity, {_FOLD('activity')} AS key FROM log GROUP BY 2 HAVING {_FOLD('activity')} <> '')"
+_TURNS = rf"""tx AS (SELECT conv_id, turn, {_FOLD(r"regexp_replace(text, '[^\p{L}\p{N}_\s-]', ' ', 'g')")} AS key FROM conversations)"""
+_TELLING = lambda: f"length(word) >= 4 AND word NOT IN ({', '.join(repr(w) for w in STOP_WORDS)})"
+_SHEET = lambda log: f"""bs AS ({_bottlenecks(log, (0.3, 0.2, 0.1, 0.2, 0.2), 0.6, 0.35, 10)}),
+  bt AS (SELECT activity, unnest(['score', 'median_wait_h', 'long_wait_cases']) AS x, unnest([score, median_wait_h, long_wait_cases]) AS y, unnest(['', 'hours', 'cases']) AS u FROM
+      (SELECT * FROM bs WHERE score IS NOT NULL ORDER BY score DESC, activity LIMIT 8)), {_FACTS}"""
+
 ORACLE_SQL: dict[str, str] = {
+    "activity_mentions_exact": _with(TOPICS, _LABELS, _TURNS) + """SELECT conv_id, turn, activity FROM tx JOIN lb ON contains(' ' || tx.key || ' ', ' ' || lb.key || ' ')
+      QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(activity) DESC, activity) = 1""",
+    "activity_candidates": _with(TOPICS, _LABELS, _TURNS, f"bs AS ({_bottlenecks(TOPICS, (0.3, 0.2, 0.1, 0.2, 0.2), 0.6, 0.35, 1)})",
+      "lw AS (SELECT DISTINCT activity, unnest(string_split(key, ' ')) AS word FROM lb)", "tw AS (SELECT DISTINCT conv_id, turn, unnest(string_split(key, ' ')) AS word FROM tx)",
+      f"sh AS (SELECT DISTINCT conv_id, turn, activity FROM tw JOIN lw USING (word) WHERE {_TELLING()})")
+    + """SELECT conv_id, turn, activity, coalesce(score, 0) AS score, CAST(row_number() OVER p AS INTEGER) AS place FROM sh LEFT JOIN bs USING (activity)
+      WINDOW p AS (PARTITION BY conv_id, turn ORDER BY coalesce(score, 0) DESC, activity) QUALIFY row_number() OVER p <= 3""",
+    "report_findings_sql": _with(DAILY, EV, CASES, VARIANTS, COMPLETION, _SHEET(DAILY), """b3 AS (SELECT * FROM bs WHERE score IS NOT NULL ORDER BY score DESC, activity LIMIT 3)""",
+      """fd AS (SELECT 'bottleneck.' || activity AS finding, lower(indicator) AS severity, ['activity.' || activity || '.score', 'activity.' || activity || '.median_wait_h', 'activity.' || activity || '.long_wait_cases'] AS ids,
+        'activity' AS kind, activity AS first FROM b3 WHERE indicator IN ('HIGH', 'MEDIUM') UNION ALL SELECT 'variants', 'low', ['overview.conformance_rate_pct', 'overview.unique_variants', 'variant.V1.pct'], 'variant', 'V1'
+        WHERE (SELECT count(*) FROM f WHERE fact_id = 'overview.conformance_rate_pct' AND value IS NOT NULL) > 0)""")
+    + "SELECT finding, severity, (SELECT string_agg(x, ' ' ORDER BY i) FROM (SELECT unnest(ids) AS x, unnest(range(len(ids))) AS i) WHERE x IN (SELECT fact_id FROM f WHERE value IS NOT NULL)) AS evidence, kind, first, CAST(NULL AS VARCHAR) AS second FROM fd",
+    "evidence_resolution": _with(CONV, EV, CASES, VARIANTS, COMPLETION, _SHEET(CONV), """c AS (SELECT conv_id || '-' || turn AS finding, turn, text, ['variant.V' || turn || '.pct', 'activity.' || text[1:2] || '.score', 'activity.assistant.score', 'overview.total_cases'] AS ids
+        FROM conversations WHERE role = 'assistant')""",
+      "e AS (SELECT finding, turn, text, CASE WHEN turn % 4 = 1 THEN ids[2:2] WHEN turn % 4 = 3 THEN list_reverse(ids) ELSE ids END AS ids FROM c)",
+      "p AS (SELECT finding, unnest(ids) AS id, unnest(range(len(ids))) AS place FROM e)",
+      "k AS (SELECT p.*, f.fact_id IS NOT NULL AS known FROM p LEFT JOIN (SELECT fact_id FROM f WHERE value IS NOT NULL) f ON f.fact_id = p.id)",
+      "g AS (SELECT finding, string_agg(id, ', ' ORDER BY place) FILTER (known) AS kept, string_agg(id, ', ' ORDER BY place) FILTER (NOT known) AS lost FROM k GROUP BY finding)",
+      rf"""w AS (SELECT finding, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text || CASE WHEN turn % 3 = 0 THEN ' Caused by delay.' ELSE '' END), '{"|".join(CAUSAL_TERMS)}'))), ', ') AS said FROM e)""")
+    + """SELECT finding, 'kept' AS flag, kept AS detail FROM g WHERE kept IS NOT NULL UNION ALL SELECT finding, 'unknown_evidence', lost FROM g WHERE lost IS NOT NULL
+      UNION ALL SELECT finding, 'dropped', '' FROM g WHERE kept IS NULL UNION ALL SELECT finding, 'causal_wording', said FROM w JOIN g USING (finding) WHERE kept IS NOT NULL AND said <> ''""",
+
     "event_frame_daily": _with(DAILY, EV) + _FRAME,
     "event_frame_start": _with(DAILY_START, EV) + _FRAME,
     "event_frame_order": _with(ORDER, EV) + "SELECT case_id, source_row, activity, pos, prev_activity, gap_us, wait_us, occurrence FROM ev",

@@ -13,7 +13,7 @@ from tracelane.config import AnalysisConfig, Weights
 from tracelane.functions import text
 from tracelane.functions.time import hours
 from tracelane.operators import deviations as dv
-from tracelane.operators import graph, ingest, normalize, variants
+from tracelane.operators import findings, graph, ingest, mentions, normalize, variants
 from tracelane.operators.frame import event_frame
 from tracelane.plans import tools
 from tracelane.plans.log import ProcessLog
@@ -362,6 +362,63 @@ def overview_conv(spark, d):
     return held(rounded(o.select("total_cases", "completed_cases", "total_events", "mean_duration_h", "median_duration_h", "unique_variants", "unique_activities", "top10_coverage_pct", "most_common", "singletons", "conformance_rate_pct")), log)
 
 
+def _topics(spark, d) -> ProcessLog:
+    """Each label is scored, however rare."""
+    return ProcessLog(adapters.topics(spark, d), AnalysisConfig(min_activity_support=1), persist=True)
+
+
+def _turns(spark, d):
+    return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "text")
+
+
+def activity_mentions(spark, d):
+    """The one activity that each turn of a conversation mentions, word for word or nearly so."""
+    known = mentions.labels(adapters.topics(spark, d))
+    return rounded(_turns(spark, d).select("conv_id", "turn", mentions.mention(F.col("text"), known).alias("m")).select("conv_id", "turn", "m.*"))
+
+
+def activity_mentions_exact(spark, d):
+    return activity_mentions(spark, d).where("how = 'exact'").select("conv_id", "turn", "activity")
+
+
+def activity_candidates(spark, d):
+    """The activities that share a telling word with a turn, by bottleneck score."""
+    log = _topics(spark, d)
+    return held(mentions.candidates(_turns(spark, d), ["conv_id", "turn"], mentions.labels(log.events), log.bottlenecks), log)
+
+
+def activities_mentioned(spark, d):
+    log = _topics(spark, d)
+    return held(tools.mentioned(log, _turns(spark, d), ["conv_id", "turn"]), log)
+
+
+def report_findings(spark, d):
+    log = daily(spark, d, keep=True)
+    return held(tools.report_findings(log).select("finding", "severity", "title", F.array_join("evidence", " ").alias("evidence"), "drilldown.*"), log)
+
+
+def report_findings_sql(spark, d):
+    """Findings from the facts that need no alignment with the dominant path."""
+    log = daily(spark, d, keep=True)
+    sheet = tools.facts(log).where(~F.col("fact_id").startswith("deviation.") & (F.col("fact_id") != "overview.deviation_rate_pct"))
+    found = findings.resolved(findings.findings(sheet, tools.levels(log)), sheet)
+    return held(found.select("finding", "severity", F.array_join("evidence", " ").alias("evidence"), "drilldown.*"), log)
+
+
+def evidence_resolution(spark, d):
+    """The assistant's turns as written findings: what is left of their evidence, and what is flagged."""
+    log = conv(spark, d, keep=True)
+    sheet = tools.facts(log).where(~F.col("fact_id").startswith("deviation."))
+    t = spark.read.parquet(f"{d}/conversations.parquet").where("role = 'assistant'")
+    ids = F.array(F.concat(F.lit("variant.V"), F.col("turn"), F.lit(".pct")), F.concat(F.lit("activity."), F.substring("text", 1, 2), F.lit(".score")), F.lit("activity.assistant.score"), F.lit("overview.total_cases"))
+    said = t.select(
+        F.concat_ws("-", "conv_id", "turn").alias("finding"), F.when(F.col("turn") % 4 == 1, F.slice(ids, 2, 1)).when(F.col("turn") % 4 == 3, F.reverse(ids)).otherwise(ids).alias("evidence"),
+        F.concat("text", F.when(F.col("turn") % 3 == 0, " Caused by delay.").otherwise("")).alias("description"),
+    )
+    kept = findings.resolved(said, sheet).select("finding", F.lit("kept").alias("flag"), F.array_join("evidence", ", ").alias("detail"))
+    return held(kept.unionByName(findings.flags(said, sheet)), log)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "event_frame_daily": lambda s, d: _frame(daily(s, d)),
     "event_frame_start": lambda s, d: _frame(daily(s, d, True)),
@@ -373,5 +430,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         deviation_summary, deviation_summary_sql, conformance, conformance_rate, resources, resource_top_activities, normalize_labels, label_merges, reject_cascade, validation_report, count_cases_filters,
         variant_cases_page, events_drilldown, case_detail, deviations_page, formula_escape, numbers_in_text, causal_terms, fact_sheet, fact_sheet_sql, overview, overview_full, overview_conv, conformance_sql,
         data_quality, rejected_export, event_records, variants_page, tool_activity_stats, tool_transition_stats, tool_bottlenecks, tool_resource_stats,
+        activity_mentions, activity_mentions_exact, activity_candidates, activities_mentioned, report_findings, report_findings_sql, evidence_resolution,
     )
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelane.functions.text import activity_key, casefold, likeness
 from tracelane.functions.time import hours, iso_time
-from tracelane.operators import bottlenecks, deviations, ingest, normalize
+from tracelane.operators import bottlenecks, deviations, findings, ingest, mentions, normalize
 from tracelane.operators.variants import variant_summary
 from tracelane.plans.log import ProcessLog, by_frequency
 
@@ -198,3 +198,17 @@ def facts(log: ProcessLog) -> DataFrame:
     return sheet.where("value IS NOT NULL")
 
 
+def levels(log: ProcessLog) -> DataFrame:
+    """``fact_id``, ``level``: whether a bottleneck score is HIGH, MEDIUM or LOW, which the exact score tells."""
+    return log.bottlenecks.where("score IS NOT NULL").select(F.concat(F.lit("activity."), "activity", F.lit(".score")).alias("fact_id"), F.col("indicator").alias("level"))
+
+
+def report_findings(log: ProcessLog) -> DataFrame:
+    """Findings of a log whose evidence resolves to its facts, with what to look at."""
+    sheet = facts(log)
+    return findings.resolved(findings.findings(sheet, levels(log)), sheet)
+
+
+def mentioned(log: ProcessLog, texts: DataFrame, ids: list[str], text_col: str = "text", limit: int = 3) -> DataFrame:
+    """The activity of the log that each text mentions, else those that share a telling word with it."""
+    return mentions.activities_mentioned(texts, ids, mentions.labels(log.events), log.bottlenecks, text_col, limit)

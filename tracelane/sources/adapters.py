@@ -38,6 +38,19 @@ def conv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("turn").alias("source_row"), F.col("conv_id").cast("string").alias("case_id"), F.col("role").alias("activity"), at.alias("timestamp"))
 
 
+#: The first two words of a text.
+OPENING = r"^[^\p{L}]*(\p{L}+)[^\p{L}]+(\p{L}+)"
+
+
+def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations``: a turn is an event, one hour after the turn before; a user's turn is named by its first two words."""
+    c = _table(spark, sf_dir, "conversations")
+    at = F.expr("TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(0, CAST(turn AS INT), 0, 0)")
+    words = [F.regexp_extract("text", OPENING, i) for i in (1, 2)]
+    activity = F.when((F.col("role") == "user") & (words[1] != ""), F.concat_ws("_", *words)).otherwise(F.col("role"))
+    return c.select(F.col("turn").alias("source_row"), F.col("conv_id").cast("string").alias("case_id"), activity.alias("activity"), at.alias("timestamp"))
+
+
 def order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` and ``orders``: a line is an event of its order, started at the order's date."""
     line = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate")
