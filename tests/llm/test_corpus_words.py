@@ -147,9 +147,10 @@ def test_collocations_equal_plain_code(spark, seed, least, parts):
     assert mined(spark, rows, least, 3, parts, 90) == plain_collocations(rows, least, 3, 90)
 
 
-def test_prefixes_cut_over_tasks_are_added_up(spark, monkeypatch):
-    """Few windows a task, small buffers, and words beyond the list: the same phrases."""
+def test_prefixes_in_several_cuts_give_the_same_phrases(spark, monkeypatch):
+    """Few windows a task and a row, small buffers, and words beyond the list."""
     monkeypatch.setattr(own_collocations, "TASK_WINDOWS", 5)
+    monkeypatch.setattr(own_collocations, "ROW_WINDOWS", 3)
     monkeypatch.setattr(own_collocations, "BUFFER", 50)
     monkeypatch.setattr(own_collocations, "MOST_WORDS", 3)
     rows = phrase_rows(3, 120)

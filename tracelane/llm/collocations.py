@@ -1,4 +1,4 @@
-"""Phrases that occur more often than their parts suggest, by contiguous pattern growth over sorted occurrence windows."""
+"""Phrases that occur more often than their parts suggest, by contiguous pattern growth over projected occurrences."""
 
 from __future__ import annotations
 
@@ -25,8 +25,10 @@ MOST_WORDS = 1 << 22
 #: Bits of the filter of frequent pairs (16 MB); when many pairs share bits, more windows are kept than are needed.
 FILTER_BITS = 1 << 27
 SLICE_BYTES = 8_000_000
-#: Windows that a task collects before it counts equal ones, and windows that a task grows.
-BUFFER, TASK_WINDOWS = 1 << 21, 1 << 20
+#: Windows that a task collects before it counts equal ones, and windows of one row.
+BUFFER, ROW_WINDOWS = 1 << 20, 1 << 14
+#: A first word with more occurrences than a task should grow is cut by its second and third word.
+TASK_WINDOWS = 1 << 20
 KEY = [f"w{i + 1}" for i in range(LONGEST)]
 _KINDS = ", ".join(f"{c} long" for c in KEY)
 
@@ -61,6 +63,11 @@ def counted(columns: list[np.ndarray], weights: np.ndarray) -> tuple[list[np.nda
     return [c[at] for c in columns], np.add.reduceat(weights[order], at) if len(at) else weights[:0]
 
 
+def merged(parts: list[tuple[list[np.ndarray], np.ndarray]], most: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of several ``counted`` tables of ``most`` columns."""
+    return counted([np.concatenate([x[0][i] for x in parts]) for i in range(most)], np.concatenate([x[1] for x in parts]))
+
+
 class Numbers:
     """Numbers of words by name: 1, 2, ... for the words of the list, then none (0), or if the list is not whole, large ones."""
 
@@ -117,9 +124,9 @@ class Collocations:
         self.totals = self.scratch.save(found.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
         return self.scratch.save(found.where(F.col("f") >= self.least).withColumn("name", name("lang", "word")), "frequent")
 
-    def _rows(self, make: Callable, label: str, most: int) -> DataFrame:
-        """Distinct windows of ``make(numbers, together)`` over all texts as (w1, ..., c); equal ones are counted in each task first."""
-        shared, keys = self.shared, KEY[:most]
+    def _counted(self, make: Callable, most: int, rows: Callable, schema: str) -> DataFrame:
+        """``rows(columns, c)`` of the distinct windows that ``make(numbers, together)`` finds; equal ones are counted in each task first."""
+        shared = self.shared
 
         def run(batches):
             held, size = [], 0
@@ -131,17 +138,13 @@ class Collocations:
                         held.append(counted(columns, np.ones(len(columns[0]), np.int64)))
                         size += len(held[-1][1])
                     if size >= BUFFER:
-                        yield from flushed(held)
+                        yield rows(*merged(held, most))
                         held, size = [], 0
                 trim()
-            yield from flushed(held)
-
-        def flushed(held):
             if held:
-                columns, c = counted([np.concatenate([x[0][i] for x in held]) for i in range(most)], np.concatenate([x[1] for x in held]))
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(c)], [*keys, "c"])
+                yield rows(*merged(held, most))
 
-        return self.docs.mapInArrow(run, ", ".join(f"{c} long" for c in [*keys, "c"]))
+        return self.docs.mapInArrow(run, schema)
 
     def pairs(self) -> DataFrame:
         """(w1, w2, a) of the frequent pairs, counted exactly."""
@@ -150,13 +153,18 @@ class Collocations:
             at = np.flatnonzero(together[:-1] & (number[:-1] > 0) & (number[1:] > 0))
             return [number[at], number[at + 1]]
 
-        counts = self._rows(make, "pairs", 2).groupBy("w1", "w2").agg(F.sum("c").alias("a"))
+        def rows(columns: list[np.ndarray], c: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(c)], ["w1", "w2", "c"])
+
+        counts = self._counted(make, 2, rows, "w1 long, w2 long, c long").groupBy("w1", "w2").agg(F.sum("c").alias("a"))
         return self.scratch.save(counts.where(F.col("a") >= self.least), "pairs")
 
     def windows(self, pairs: DataFrame) -> DataFrame:
-        """(w1, ..., w5, c): each place where two frequent pairs follow each other, with up to three words more while pairs are frequent.
+        """(w1, cut, windows): for each first word the places where two frequent pairs follow each other.
 
-        The pairs are known by a filter of FILTER_BITS bits, whatever their number; a pair that is in it by chance only
+        A window has the second to fifth word, as far as pairs are frequent (then 0), and how often it occurs. A word with
+        more than TASK_WINDOWS occurrences has several cuts, dealt by its second and third word, so all windows of three
+        words are in one cut. The pairs are known by a filter of FILTER_BITS bits, whatever their number; a pair that is in it by chance only
         makes a window longer than need be.
         """
         bits = FILTER_BITS
@@ -165,13 +173,16 @@ class Collocations:
         flags = np.zeros(bits // 8, np.uint8)
         for part, own in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist(), strict=True):
             flags[(part - 1) * 4096 : part * 4096] = np.frombuffer(own, np.uint8)[: len(flags) - (part - 1) * 4096]
-        known = self.spark.sparkContext.broadcast(flags)
+        hot = pairs.groupBy("w1").agg(F.sum("a").alias("a")).where((F.col("a") > TASK_WINDOWS) & (F.col("w1") <= MOST_WORDS)).toArrow()
+        cuts = np.ones(int(max([0, *hot.column(0).to_pylist()])) + 1, np.int64)
+        cuts[hot.column(0).to_numpy()] = -(-hot.column(1).to_numpy() // TASK_WINDOWS)
+        known = self.spark.sparkContext.broadcast((flags, cuts))
 
         def make(number: np.ndarray, together: np.ndarray) -> list[np.ndarray]:
             at = np.flatnonzero(together[:-1] & (number[:-1] > 0) & (number[1:] > 0))
             bit = spark_hash(number[at], number[at + 1]) % bits
             linked = np.zeros(len(number) + LONGEST, bool)
-            linked[at] = known.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1
+            linked[at] = known.value[0][bit >> 3] >> (bit & 7).astype(np.uint8) & 1
             padded = np.concatenate([number, np.zeros(LONGEST, np.int64)])
             at = np.flatnonzero(linked[:-1] & linked[1:])
             columns, more = [padded[at], padded[at + 1], padded[at + 2]], np.ones(len(at), bool)
@@ -180,50 +191,67 @@ class Collocations:
                 columns.append(np.where(more, padded[at + i], 0))
             return columns
 
-        return self.scratch.save(self._rows(make, "windows", LONGEST), "windows")
-
-    def grown(self, windows: DataFrame) -> DataFrame:
+        def rows(columns: list[np.ndarray], c: np.ndarray) -> pa.RecordBatch:
+            first, cuts = columns[0], known.value[1]
+            parts = np.where(first < len(cuts), cuts[np.minimum(first, len(cuts) - 1)], 1)
+            cut = ((mix(columns[1].view(np.uint64) * np.uint64(0x9FB21C651E98DF25) + columns[2].view(np.uint64)) >> np.uint64(1)) % parts.astype(np.uint64)).astype(np.int64)
+            order = np.lexsort((cut, first))
+            first, cut = first[order], cut[order]
+            new = np.flatnonzero(firsts(first, cut))
+            place = np.arange(len(first)) - np.repeat(new, np.diff(np.append(new, len(first))))
+            at = np.flatnonzero(place % ROW_WINDOWS == 0)
+            flat = np.stack([x[order] for x in (*columns[1:], c)], axis=1).ravel()
+            ends = (np.append(at, len(first)) * LONGEST).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(first[at]), pa.array(cut[at]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["w1", "cut", "windows"])
+
+        return self._counted(make, LONGEST, rows, "w1 long, cut long, windows array<long>")
+
+    def grown(self, pairs: DataFrame) -> DataFrame:
         """(w1, ..., w5, a): frequent phrases of three words and more.
 
-        Windows are dealt by ranges of all their words, so that a prefix's occurrences lie together and a prefix with
-        very many is cut. A task extends each prefix to the right, depth first, over the windows that have it. A phrase
-        that holds a task's first or last window may go on in the next task and is told whatever its count; Spark adds up.
+        A first word's windows, or a cut of them, meet in one task, which merges equal ones as they come and extends the
+        prefix to the right, depth first, over the windows that have it, as long as they are frequent.
         """
-        least = self.least
-        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-windows.count() // TASK_WINDOWS))
+        least, windows = self.least, self.windows(pairs)
+        total = pairs.agg(F.coalesce(F.sum("a"), F.lit(0))).first()[0]
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_WINDOWS))
 
         def grow(batches):
-            columns = [[] for _ in range(LONGEST + 1)]
+            held, size = [], 0
             for batch in batches:
-                for own, c in zip(columns, batch.columns, strict=True):
-                    own.append(c.to_numpy())
-            if not columns[0]:
+                lists = batch.column(2)
+                flat = lists.flatten().to_numpy().reshape(-1, LONGEST)
+                first = np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()) // LONGEST)
+                held.append(([first, *(np.ascontiguousarray(flat[:, i]) for i in range(LONGEST - 1))], np.ascontiguousarray(flat[:, -1])))
+                size += len(first)
+                if size >= BUFFER:
+                    held = [merged(held, LONGEST)]
+                    size = 0
+            if not held:
                 return
-            *word, c = (np.concatenate(x) for x in columns)
+            word, c = merged(held, LONGEST)
             order = np.lexsort(word[::-1])
             word, total = [w[order] for w in word], np.concatenate([[0], np.cumsum(c[order])])
-            rows, out = len(order), []
+            out = []
 
             def extend(prefix: tuple[int, ...], low: int, high: int) -> None:
                 depth = len(prefix)
                 own = word[depth][low:high]
                 edges = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), high - low]
                 for a, b in zip(edges, edges[1:], strict=False):
-                    step, a, b = int(own[a]), low + a, low + b
-                    n = int(total[b] - total[a])
-                    if step and (n >= least or a == 0 or b == rows):
+                    step, n = int(own[a]), int(total[low + b] - total[low + a])
+                    if step and n >= least:
                         longer = (*prefix, step)
                         if depth >= 2:
                             out.append((*longer, *[0] * (LONGEST - depth - 1), n))
                         if depth + 1 < LONGEST:
-                            extend(longer, a, b)
+                            extend(longer, low + a, low + b)
 
-            extend((), 0, rows)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(LONGEST + 1)], [*KEY, "c"])
+            extend((), 0, len(order))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(LONGEST + 1)], [*KEY, "a"])
             trim()
 
-        found = windows.repartitionByRange(tasks, *KEY).mapInArrow(grow, f"{_KINDS}, c long").groupBy(*KEY).agg(F.sum("c").alias("a"))
-        return found.where(F.col("a") >= least)
+        return windows.repartition(tasks, "w1", "cut").mapInArrow(grow, f"{_KINDS}, a long")
 
     def phrases(self) -> tuple[DataFrame, DataFrame]:
         """(w1, ..., w5, k, a, phrase number) of all candidates, and (number, lang, word, f) of their words."""
@@ -237,7 +265,7 @@ class Collocations:
 
         numbered = self.scratch.save(frequent.withColumn("number", number("name")).drop("name"), "numbered")
         pairs = self.pairs()
-        longer = self.grown(self.windows(pairs))
+        longer = self.grown(pairs)
         none = [F.lit(0).cast("long").alias(c) for c in KEY[2:]]
         every = pairs.select("w1", "w2", *none, "a").unionByName(longer)
         size = sum(((F.col(c) > 0).cast("int") for c in KEY), F.lit(0))
@@ -263,8 +291,9 @@ def collocations(docs: DataFrame, least: int = 100, top: int = 2000, absorb_perc
     others cannot clash. An empty table gives an empty table.
 
     Plan: words, then pairs of frequent words are counted exactly; only places where two frequent pairs meet become
-    windows, counted in each task, dealt by range and grown there (``Collocations.grown``). Nothing but the names of the
-    most frequent words and a filter of fixed size is broadcast; a word beyond them has a number made of its hash.
+    windows, counted in each task and projected to their first word, a hot one in several cuts; a task per word grows its
+    phrases (``Collocations.grown``). Nothing but the names of the most frequent words, a filter of fixed size and the cuts
+    is broadcast; a word beyond them has a number made of its hash.
     """
     run = Collocations(docs, lang_col, text_col, least)
     phrases, numbered = run.phrases()
