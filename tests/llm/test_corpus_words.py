@@ -77,8 +77,9 @@ def test_divergence_equals_plain_code(spark):
     assert divergence(spark, rows, 5, 50, 1) == plain_divergence(rows, 5, 50)
 
 
-def test_divergence_in_several_passes_with_early_flushes(spark, monkeypatch):
-    monkeypatch.setattr(own_divergence, "PASS_TERMS", 25)
+@pytest.mark.parametrize("passes", [25, 90])
+def test_divergence_in_several_passes_with_early_flushes(spark, monkeypatch, passes):
+    monkeypatch.setattr(own_divergence, "PASS_TERMS", passes)
     monkeypatch.setattr(own_divergence, "HELD", 10)
     rows = made_rows(2, 200)
     assert divergence(spark, rows, 10, 9) == plain_divergence(rows, 10, 9)

@@ -94,23 +94,26 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 def term_counts(docs: DataFrame, kept: DataFrame, scratch: Scratch) -> DataFrame:
     """(lang, source, term, n) of the kept terms (lang, term): occurrences by passes of an automaton over the texts.
 
-    A pass knows at most PASS_TERMS terms of at most PASS_BYTES bytes in all, which are broadcast. Terms are dealt to
-    passes by hash, so a larger vocabulary takes more passes, each over the languages that have terms in it.
+    A pass knows at most PASS_TERMS terms of at most PASS_BYTES bytes in all, which are broadcast. It has whole languages
+    and reads their texts alone, so a text is read once; the terms of a language with more than half of that are dealt by
+    hash to passes of its own.
     """
     spark = docs.sparkSession
-    n, size = kept.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term") + 2), F.lit(0))).first()
-    passes = max(1, -(-n // (PASS_TERMS * 4 // 5)), -(-size // (PASS_BYTES * 4 // 5)))
-    if passes == 1:
-        dealt = kept.withColumn("pass", F.lit(0))
-    else:
-        dealt = scratch.save(kept.withColumn("pass", F.pmod(F.xxhash64("lang", "term"), F.lit(passes)).cast("int")), "passes")
+    sizes = kept.groupBy("lang").agg((F.greatest(F.count("*") / PASS_TERMS, F.sum(F.octet_length("term") + 2) / PASS_BYTES) * 2).alias("weight"))
+    before = F.sum(F.when(F.col("weight") <= 1, F.col("weight")).otherwise(0)).over(W.orderBy("lang").rowsBetween(W.unboundedPreceding, -1))
+    sizes = sizes.withColumns({"bin": F.floor(F.coalesce(before, F.lit(0.0))), "parts": F.ceil("weight")})
+    own = F.concat_ws("#", F.lit("own"), "lang", F.pmod(F.xxhash64("term"), F.col("parts")).cast("string"))
+    dealt = kept.join(sizes, "lang").withColumn("pass", F.when(F.col("weight") > 1, own).otherwise(F.concat(F.lit("bin#"), F.col("bin").cast("string"))))
+    dealt = scratch.save(dealt.select("lang", "term", "pass"), "passes")
     out = None
-    for turn in range(passes):
-        own = dealt.where(F.col("pass") == turn).groupBy("lang").agg(F.array_sort(F.collect_list("term")).alias("terms")).toArrow().to_pylist()
-        shared = spark.sparkContext.broadcast({r["lang"]: r["terms"] for r in own})
-        found = docs.where(F.col("lang").isin([r["lang"] for r in own])) if passes > 1 else docs
+    for turn, (key,) in enumerate(dealt.select("pass").distinct().orderBy("pass").collect()):
+        terms = dealt.where(F.col("pass") == key).groupBy("lang").agg(F.array_sort(F.collect_list("term")).alias("terms")).toArrow().to_pylist()
+        shared = spark.sparkContext.broadcast({r["lang"]: r["terms"] for r in terms})
+        found = docs.where(F.col("lang").isin([r["lang"] for r in terms]))
         counts = found.select("lang", "source", "text").mapInArrow(_recount(shared, f"{scratch.folder}/{turn}"), "lang string, source string, term string, n long")
         out = counts if out is None else out.unionByName(counts)
+    if out is None:
+        return spark.createDataFrame([], "lang string, source string, term string, n long")
     return out.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
 
 
