@@ -7,6 +7,7 @@ from collections import Counter
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -155,16 +156,27 @@ def _pair_sums(postings: DataFrame) -> DataFrame:
     def run(batches):
         sums: dict[tuple[str, str, str], int] = {}
         for batch in batches:
-            for lang, posts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = sorted((x["source"], x["p"], x["p0"]) for x in posts)  # each pair in one order
-                for i, (g, p, p0) in enumerate(own):
-                    for h, q, q0 in own[:i]:
-                        d = abs(p - q) - abs(p - q0) - abs(p0 - q) + abs(p0 - q0)
-                        if d:
-                            sums[lang, g, h] = sums.get((lang, g, h), 0) + d
-                if len(sums) >= HELD:
-                    yield rows(sums)
-                    sums = {}
+            lists, coded = batch.column(1), batch.column(0).dictionary_encode()
+            source, p, p0 = lists.flatten().flatten()
+            sources = source.dictionary_encode()
+            code, p, p0 = (c.to_numpy().astype(np.int64) for c in (sources.indices, p, p0))
+            term = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            lang, n = coded.indices.to_numpy().astype(np.int64)[term], len(sources.dictionary)
+            langs, named, own = coded.dictionary.to_pylist(), sources.dictionary.to_pylist(), Counter()
+            for step in range(1, int(np.diff(lists.offsets.to_numpy()).max(initial=0))):  # each posting with the one so many places on
+                i = np.flatnonzero(term[step:] == term[:-step])
+                j = i + step
+                d = np.abs(p[i] - p[j]) - np.abs(p[i] - p0[j]) - np.abs(p0[i] - p[j]) + np.abs(p0[i] - p0[j])
+                key, at = np.unique((lang[i] * n + np.maximum(code[i], code[j])) * n + np.minimum(code[i], code[j]), return_inverse=True)
+                total = np.zeros(len(key), np.int64)
+                np.add.at(total, at, d)
+                own.update(dict(zip(key.tolist(), total.tolist(), strict=True)))
+            for k, d in own.items():
+                g, h = sorted((named[k // n % n], named[k % n]))  # each pair in one order
+                sums[langs[k // n // n], g, h] = sums.get((langs[k // n // n], g, h), 0) + d
+            if len(sums) >= HELD:
+                yield rows(sums)
+                sums = {}
         if sums:
             yield rows(sums)
 
