@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tracelane.config import DEFAULT, ENGINE_VERSION, AnalysisConfig
 from tracelane.functions.size import bounded
 from tracelane.operators import bottlenecks, deviations, graph, ingest, normalize, resources, variants
-from tracelane.operators.frame import cases, event_frame
+from tracelane.operators.frame import cases, event_frame, segmented_frame
 from tracelane.operators.quantiles import event_spread
 from tracelane.sources.event_csv import LogFileError
 
@@ -21,14 +21,20 @@ class ProcessLog:
 
     With ``persist`` the event frame and the cases are kept for several results, and small tables that several of them
     need (quantiles, dominant path, completion) are computed once, by jobs of their own; ``release`` gives all back.
+    ``long_cases``: cases with very many events are cut over tasks while the frame is made (``frame.segmented_frame``).
     """
 
-    def __init__(self, events: DataFrame, config: AnalysisConfig = DEFAULT, persist: bool = False):
-        self.events, self.config, self._persist = events, config, persist
+    def __init__(self, events: DataFrame, config: AnalysisConfig = DEFAULT, persist: bool = False, long_cases: bool = False):
+        self.events, self.config, self._persist, self._long_cases, self._more = events, config, persist, long_cases, []
 
     def _kept(self, df: DataFrame) -> DataFrame:
         return df.persist(StorageLevel.MEMORY_AND_DISK) if self._persist else df
 
+    def _held(self, df: DataFrame) -> DataFrame:
+        """A table within a plan that is kept until ``release``."""
+        self._more.append(self._kept(df))
+        return self._more[-1]
+
     @cached_property
     def size(self) -> int:
         """Number of events, by a job that reads no column of a table; it tells which plan for quantiles is the better one."""
@@ -36,7 +42,7 @@ class ProcessLog:
 
     @cached_property
     def frame(self) -> DataFrame:
-        return self._kept(event_frame(self.events))
+        return self._kept(segmented_frame(self.events) if self._long_cases else event_frame(self.events))
 
     @cached_property
     def cases(self) -> DataFrame:
@@ -44,7 +50,7 @@ class ProcessLog:
 
     @cached_property
     def variants(self) -> DataFrame:
-        return self._kept(variants.variants(self.cases, self.size))
+        return self._kept(variants.variants(self.cases, self.size, self._held if self._persist else None))
 
     def _literal(self, df: DataFrame) -> DataFrame:
         """With ``persist`` a small table is read once and stands in later plans as constants."""
@@ -126,6 +132,8 @@ class ProcessLog:
         for name in ("frame", "cases", "variants", "aligned", "deviations"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()
+        for df in self._more:
+            df.unpersist()
 
 
 def side_by_side(first: DataFrame, *others: DataFrame) -> DataFrame:

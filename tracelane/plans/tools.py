@@ -42,8 +42,8 @@ def resolve_resource(log: ProcessLog, name: str, cutoff: float = 0.6) -> str | N
 
 def variant_cases(log: ProcessLog, variant_id: str) -> DataFrame:
     """Cases of a variant; page them by duration descending, then case_id."""
-    one = log.variants.where(F.col("variant_id") == variant_id).select("trace", "variant_id")
-    return log.cases.join(one, "trace").select("case_id", "variant_id", hours("duration_us").alias("duration_h"), "n_events")
+    one = log.variants.where(F.col("variant_id") == variant_id).select("trace_id", "variant_id")
+    return log.cases.join(one, "trace_id").select("case_id", "variant_id", hours("duration_us").alias("duration_h"), "n_events")
 
 
 def events_at(log: ProcessLog, activity: str | None = None, source: str | None = None, target: str | None = None, resource: str | None = None) -> DataFrame:
@@ -87,7 +87,7 @@ def count_cases(
     if deviation_type is not None or deviation_activity is not None:
         rows = rows.join(deviation_rows(log, deviation_type, deviation_activity).select("case_id"), "case_id", "left_semi")
     if variant_id is not None:
-        rows = rows.join(log.variants.where(F.col("variant_id") == variant_id).select("trace"), "trace", "left_semi")
+        rows = rows.join(log.variants.where(F.col("variant_id") == variant_id).select("trace_id"), "trace_id", "left_semi")
     return rows.agg(F.count("*").alias("count")).withColumns({"total_cases": total, "pct": F.try_divide(100 * F.col("count"), total)})
 
 
@@ -96,7 +96,7 @@ def case_detail(log: ProcessLog, case_id: str) -> dict[str, DataFrame]:
     one = log.cases.where(F.col("case_id") == case_id)
     return {
         "events": log.frame.where(F.col("case_id") == case_id).orderBy("pos"),
-        "case": one.join(log.variants.select("trace", "variant_id"), "trace"),
+        "case": one.join(log.variants.select("trace_id", "variant_id"), "trace_id"),
         "deviations": deviation_rows(log, case_id=case_id),
     }
 
