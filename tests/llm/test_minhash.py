@@ -64,20 +64,21 @@ def test_groups_equal_all_pairs(spark, bases, copies, length, edits):
 def test_chain_in_one_bucket_is_followed_by_blocks(spark, monkeypatch):
     """Members that link with each other but not with their center, in blocks of three."""
     monkeypatch.setattr(minhash_dedup, "BLOCK_SETS", 3)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_PAIRS", 9)
     rows = near_copies(7, 2, 90, 80, 0.25)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert collected(near_duplicates(df)) == brute(rows)
 
 
-@pytest.mark.parametrize("most", [0, 1 << 24])
-def test_apart_finds_every_link_without_stars(spark, monkeypatch, most):
-    """By buckets and by whole groups. One bucket of all sets and no link yet: block pairs alone must give the groups, but for the center."""
+@pytest.mark.parametrize(("sets", "pairs"), [(512, 1 << 18), (4, 12), (1, 1)])
+def test_apart_finds_every_link_without_stars(spark, monkeypatch, sets, pairs):
+    """In one task and in many. One bucket of all sets and no link yet: block pairs alone must give the groups, but for the center."""
     from pyspark.sql import functions as F
 
     from tracelane.llm.components import reach
 
-    monkeypatch.setattr(minhash_dedup, "BLOCK_SETS", 4)
-    monkeypatch.setattr(minhash_dedup, "MOST_PAIRS", most)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_SETS", sets)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_PAIRS", pairs)
     rows = near_copies(11, 6, 8, 50, 0.12)
     dedup = minhash_dedup.MinHashDedup(spark.createDataFrame([*rows, (-1, "alone here")], "doc_id long, text string"), "doc_id", "text", 80)
     center = dedup.sets.where("doc = -1").first().set

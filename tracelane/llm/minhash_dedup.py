@@ -24,10 +24,8 @@ BINS = ROWS * BANDS
 _BIN_BITS = np.uint64(64 - BINS.bit_length() + 1)
 #: Sets whose documents are broadcast (40 bytes each) to fetch their texts' shingles; more are fetched by a shuffle join.
 MOST_CARRIERS = 1 << 20
-#: Members of a bucket, and their shingles, that one task compares with as many others.
-BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 20
-#: Groups that meet in some bucket are compared as wholes up to so many pairs of sets, else bucket by bucket.
-MOST_PAIRS = 1 << 24
+#: Members of a bucket beside its largest group that one task takes, pairs that it compares, and shingles of either side.
+BLOCK_SETS, BLOCK_PAIRS, BLOCK_SHINGLES = 512, 1 << 18, 1 << 20
 
 #: For each bin the place of every bin in a random order of its own; its own place comes first.
 RANK = np.random.default_rng(20240229).permuted(np.tile(np.arange(1, BINS + 1, dtype=np.int16), (BINS, 1)), axis=1)
@@ -155,43 +153,34 @@ class MinHashDedup:
     def apart(self, met: DataFrame, labels: DataFrame) -> DataFrame:
         """Links between members of one bucket that are still in different groups; neither is the bucket's center.
 
-        Buckets whose members are one group are done. In each other one, a largest group meets the groups beside it. Groups
-        that meet share many buckets, so they are compared once as wholes, unless that is more than MOST_PAIRS pairs: then
-        only what is in one bucket is. The sets of the largest group are not compared with each other. The others meet
-        them and each other in blocks of bounded size, a pair of blocks a task, which compares whole sets and returns
-        only links that join two groups: fewer than it has members. Centers were compared with all members before.
+        Centers were compared with all members before, so buckets whose other members are one group are done, and of
+        buckets of the same members one is enough. Members of a bucket's largest group are not compared with each other.
+        The others meet them and each other, by whole sets, in tasks of bounded size: one if the bucket is not large, else
+        one for each pair of blocks. A task returns only links that join two groups, fewer than it has members.
         """
         percent = self.percent
-        large = met.where("c > 2").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
+        large = met.where("c > 2 AND set <> center").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
         kinds = large.groupBy("bucket", "label").agg(F.count("*").alias("k"), F.sum(F.xxhash64("set").cast("decimal(20,0)")).alias("h"))
-        kinds = self.scratch.save(kinds, "kinds")
-        mixed = kinds.groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("groups"), F.sum("k").alias("k"), F.sum("h").alias("h")).where("groups > 1")
-        one = self.scratch.save(mixed.groupBy("k", "h").agg(F.min_by(F.struct("bucket", "main"), "bucket").alias("b")).select("b.*"), "one")  # of buckets of the same members
-        beside = self.scratch.save(kinds.join(one, "bucket").where("label <> main").select("main", "label").distinct(), "beside")
-
-        labelled = self.sets.select("set", "n").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
-        members = labelled.groupBy("label").agg(F.count("*").alias("size"))
-        areas = beside.join(members, "label").groupBy("main").agg(F.sum("size").alias("others")).join(members.withColumnRenamed("label", "main"), "main")
-        areas = self.scratch.save(areas.withColumn("whole", F.col("others").cast("double") * (F.col("others") + F.col("size")) <= MOST_PAIRS), "areas")
-        whole = areas.where("whole").select("main")
-        others = labelled.join(beside.join(whole, "main", "left_semi"), "label").select(F.col("main").alias("bucket"), "set", "label", "n", F.lit(False).alias("inner"))
-        inner = labelled.join(whole, F.col("label") == F.col("main")).select(F.col("main").alias("bucket"), "set", "label", "n", F.lit(True).alias("inner"))
-        rest = large.join(one.join(whole, "main", "left_anti"), "bucket").where("set <> center").join(self.sets.select("set", "n"), "set")
-        rest = rest.select("bucket", "set", "label", "n", (F.col("label") == F.col("main")).alias("inner"))
-        open_ = self.scratch.save(others.unionByName(inner).unionByName(rest), "open")
+        kinds = kinds.groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("groups"), F.sum("k").alias("k"), F.sum("h").alias("h")).where("groups > 1")
+        one = kinds.groupBy("k", "h").agg(F.min_by(F.struct("bucket", "main"), "bucket").alias("b")).select("b.*")
+        open_ = large.join(one, "bucket").join(self.sets.select("set", "n"), "set")
+        open_ = self.scratch.save(open_.select("bucket", "set", "label", "n", (F.col("label") == F.col("main")).alias("inner")), "open")
         if open_.isEmpty():
             return open_.select(F.col("set").alias("a"), F.col("set").alias("b"))
-        sizes = open_.groupBy("bucket").agg(*[
-            F.greatest(F.ceil(F.count_if(own) / BLOCK_SETS), F.ceil(F.sum(F.when(own, F.col("n"))) / BLOCK_SHINGLES)).alias(c) for c, own in (("inner_blocks", F.col("inner")), ("other_blocks", ~F.col("inner")))
-        ])
-        # Blocks of others are 0, 1, ..., blocks of the main group -1, -2, ...; a pair (i, j) has i of the others, i >= j.
-        block = lambda c: F.pmod(F.xxhash64("set"), F.greatest(F.col(c), F.lit(1).cast("long")))
+        inner, other = F.col("inner"), ~F.col("inner")
+        shingles = lambda own: F.coalesce(F.ceil(F.sum(F.when(own, F.col("n"))) / BLOCK_SHINGLES), F.lit(1))
+        others = F.greatest(F.lit(1), F.ceil(F.count_if(other) / BLOCK_SETS), shingles(other))
+        inners = F.greatest(F.lit(1), F.ceil(F.count_if(inner) * F.least(F.count_if(other), F.lit(BLOCK_SETS)) / BLOCK_PAIRS), shingles(inner))
+        sizes = open_.groupBy("bucket").agg(inners.alias("inner_blocks"), others.alias("other_blocks"))
+        # Blocks of the others are 0, 1, ..., those of the largest group -1, -2, ...; a task (i, j) has i of the others and
+        # j < i. Task (i, -1) also compares block i with itself.
+        block = lambda c: F.pmod(F.xxhash64("set"), F.col(c))
         dealt = open_.join(sizes, "bucket").withColumn("own", F.when(F.col("inner"), -1 - block("inner_blocks")).otherwise(block("other_blocks")))
-        some = lambda a, b: F.sequence(a, b)
-        zero, last = F.lit(0).cast("long"), F.col("other_blocks") - 1
-        as_right = F.transform(some(F.greatest(F.col("own"), zero), last), lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))
-        as_left = F.transform(some(-F.greatest(F.col("inner_blocks"), F.lit(1).cast("long")), F.col("own")), lambda j: F.struct(F.col("own").alias("i"), j.alias("j")))
-        at = F.when(F.col("other_blocks") < 1, F.array().cast("array<struct<i:bigint,j:bigint>>")).when(F.col("inner"), as_right).otherwise(F.array_union(as_left, as_right))
+        after = F.greatest(F.col("own") + 1, F.lit(0).cast("long"))
+        as_right = F.when(after < F.col("other_blocks"), F.transform(F.sequence(after, F.col("other_blocks") - 1), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"))))
+        as_left = F.transform(F.sequence(-F.col("inner_blocks"), F.col("own") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j")))
+        none = F.array().cast("array<struct<i:bigint,j:bigint>>")
+        at = F.concat(F.when(F.col("inner"), none).otherwise(as_left), F.coalesce(as_right, none))
         bodies = self.bodies(open_.select("set").distinct(), "apart")
         placed = dealt.select("bucket", "set", "label", "own", F.explode(at).alias("at")).join(bodies, "set")
 
@@ -199,7 +188,7 @@ class MinHashDedup:
             i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
             own, label, sets_ = (table.column(c).to_numpy() for c in ("own", "label", "set"))
             keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")]
-            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            left, right = np.flatnonzero(own == i).tolist(), np.flatnonzero(own == j).tolist()
             group = {x: x for x in label.tolist()}
 
             def root(x: int) -> int:
@@ -208,8 +197,8 @@ class MinHashDedup:
                 return x
 
             out = []
-            for y in right.tolist():
-                for x in left.tolist():
+            for place, x in enumerate(left):
+                for y in [*right, *(left[:place] if j == -1 else ())]:
                     a, b = root(int(label[x])), root(int(label[y]))
                     if a != b and similar(keys[x], keys[y], percent):
                         group[max(a, b)] = min(a, b)
