@@ -142,3 +142,26 @@ def test_blocks_of_long_traces():
         ours += time.perf_counter() - began
     assert ours < plain
     assert matching_blocks(a, a) == [(0, 0, 3000)] and matching_blocks(a, []) == [] == matching_blocks([], a)
+
+
+def test_pages_by_key_join_to_the_whole(spark):
+    """Ties, unknown values and both directions; a page far behind sorts no more than a page."""
+    draw = random.Random(8)
+    rows = [(draw.choice([None, 1, 2, 3]), draw.choice("ab"), i) for i in range(57)]
+    df = spark.createDataFrame(rows, "wait_us long, case_id string, pos long").repartition(4)
+    keys = [tools.Key("wait_us", True), tools.Key("case_id"), tools.Key("pos", True)]
+    after, got = None, []
+    while True:
+        page = tools.page_after(df, keys, after, 10)
+        if after is not None:
+            assert "TakeOrderedAndProject" in page._jdf.queryExecution().executedPlan().toString()
+        own = [tuple(r) for r in page.collect()]
+        if not own:
+            break
+        got += own
+        after = tools.key_of(page, keys)
+    assert got == sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1], -r[2])) and after == got[-1]
+    assert tools.key_of(df.limit(0), keys) is None
+    for bad in ({"limit": 0}, {"limit": 1001}, {"after": (1,)}):
+        with pytest.raises(ValueError, match="limit"):
+            tools.page_after(df, keys, **bad)

@@ -22,8 +22,10 @@ def _column(x: Column | str) -> Column:
 
 
 def strip(x: Column | str) -> Column:
-    """Without Unicode white space at both ends."""
-    return F.regexp_replace(_column(x), r"(?U)^\s+|\s+$", "")
+    """Without Unicode white space at both ends; a text that begins and ends with plain letters or signs is not searched."""
+    c = _column(x)
+    plain = lambda at: F.ascii(F.substring(c, at, 1)).between(33, 126)
+    return F.when(plain(1) & plain(-1), c).otherwise(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
 
 
 def casefold(x: Column | str) -> Column:

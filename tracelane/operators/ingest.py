@@ -9,48 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelane.functions.text import strip
+from tracelane.functions.timestamps import parse_stripped
 
 #: The first that holds is a row's issue.
 ISSUES = ("malformed_row", "missing_case_id", "missing_activity", "invalid_timestamp", "impossible_timestamp", "duplicate")
 OPTIONAL = ("resource", "department", "status", "customer_id", "location", "priority")
-#: Layouts besides ISO 8601 by the shape of a value, month before day where both can be meant. Only a value of the shape
-#: is tried.
-LAYOUTS = {
-    r"^\d{1,2}/\d{1,2}/\d{4}": ("M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "M/d/yyyy h:mm:ss a", "M/d/yyyy h:mm a", "d/M/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy"),
-    r"^\d{4}/\d{1,2}/\d{1,2}": ("yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d"),
-    r"^\d{1,2}-\d{1,2}-\d{4}": ("M-d-yyyy H:mm:ss", "M-d-yyyy H:mm", "M-d-yyyy", "d-M-yyyy H:mm:ss", "d-M-yyyy H:mm", "d-M-yyyy"),
-    r"^\d{1,2}\.\d{1,2}\.\d{4} ": ("M.d.yyyy H:mm:ss", "M.d.yyyy H:mm", "d.M.yyyy H:mm:ss", "d.M.yyyy H:mm"),
-    r"^\d{4}\.\d{1,2}\.\d{1,2}": ("yyyy.M.d H:mm:ss", "yyyy.M.d H:mm", "yyyy.M.d"),
-    r"^\d{1,2}[ -]\p{L}{3}[ -]\d{4}": ("d MMM yyyy H:mm:ss", "d MMM yyyy H:mm", "d MMM yyyy", "d-MMM-yyyy H:mm:ss", "d-MMM-yyyy H:mm", "d-MMM-yyyy"),
-    r"^\d{1,2} \p{L}{4,} \d{4}": ("d MMMM yyyy H:mm:ss", "d MMMM yyyy H:mm", "d MMMM yyyy"),
-    r"^\p{L}{3} \d{1,2},? \d{4}": ("MMM d, yyyy H:mm:ss", "MMM d, yyyy H:mm", "MMM d, yyyy", "MMM d yyyy H:mm:ss", "MMM d yyyy"),
-    r"^\p{L}{4,} \d{1,2},? \d{4}": ("MMMM d, yyyy H:mm:ss", "MMMM d, yyyy H:mm", "MMMM d, yyyy", "MMMM d yyyy"),
-    r"^\d{8}$": ("yyyyMMdd",), r"^\d{8}[ T]\d{6}$": ("yyyyMMdd[ ]['T']HHmmss",),
-}
-_OFFSET = r"(?:[zZ]|[+-]\d{2}:?\d{2})$"
-
-
-def parse_time(text: Column, zone: str = "UTC") -> Column:
-    """A timestamp written in ISO 8601 or one of LAYOUTS; null where it cannot be read.
-
-    A value without an offset is wall-clock time of ``zone``; where that time does not exist or exists twice, null. The
-    session's zone plays no part.
-    """
-    s = strip(text)
-    iso = F.regexp_replace(s, "[tT]", " ")
-    iso = F.regexp_replace(iso, r"^(\S+ \d{1,2}:\d{2})(|[zZ]|[+-]\d{2}:?\d{2})$", "$1:00$2")  # a cast wants seconds
-    day = F.when(iso.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.concat(iso, F.lit(" 00:00:00"))).otherwise(iso)
-    with_zone = s.rlike(_OFFSET) & s.rlike(":")
-    local = F.coalesce(
-        F.when(day.rlike(r"^\d{4}-\d"), F.concat(day, F.lit("Z")).try_cast("timestamp")),
-        *[F.when(s.rlike(shape), F.coalesce(*[F.try_to_timestamp(F.concat(s, F.lit(" +00:00")), F.lit(f"{layout} XXX")) for layout in own])) for shape, own in LAYOUTS.items()],
-    )
-    if zone != "UTC":
-        utc = F.to_utc_timestamp(local, zone)
-        back = lambda t: F.from_utc_timestamp(t, zone)
-        hour = F.expr("INTERVAL 1 HOUR")
-        local = F.when((back(utc) == local) & (back(utc + hour) != local) & (back(utc - hour) != local), utc)
-    return F.when(with_zone, F.regexp_replace(iso, r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp")).otherwise(local)
 
 
 def mark(raw: DataFrame, key: list[str], zone: str = "UTC", now: dt.datetime | None = None) -> DataFrame:
@@ -58,13 +21,14 @@ def mark(raw: DataFrame, key: list[str], zone: str = "UTC", now: dt.datetime | N
 
     ``raw``: source_row, case_id, activity, timestamp as text, and if there start_timestamp and malformed (boolean).
     ``key``: the columns that make a duplicate if all are equal; the first row in the order of files (``file``, if there is
-    one) and rows stays. Only rows without another issue are compared, by a 128-bit hash of the key. Timestamps before 1970 or over a day after ``now`` are impossible, as is a start after
+    one) and rows stays. Only rows without another issue are compared: by a hash of the key first, then by the key itself, and
+    all others are dealt by a hash of their place, so rejected rows are never a hot group. Timestamps before 1970 or over a day after ``now`` are impossible, as is a start after
     its end; a start that cannot be read is dropped and the event stays.
     """
     limit = now or dt.datetime.now(dt.timezone.utc)
     text = raw.withColumns({c: strip(c) for c in ("case_id", "activity", "timestamp", "start_timestamp") if c in raw.columns})
-    start = parse_time(F.col("start_timestamp"), zone) if "start_timestamp" in raw.columns else F.lit(None).cast("timestamp")
-    text = text.withColumns({"parsed_timestamp": parse_time(F.col("timestamp"), zone), "parsed_start": start})
+    start = parse_stripped(F.col("start_timestamp"), zone) if "start_timestamp" in raw.columns else F.lit(None).cast("timestamp")
+    text = text.withColumns({"parsed_timestamp": parse_stripped(F.col("timestamp"), zone), "parsed_start": start})
     ts, began = F.col("parsed_timestamp"), F.col("parsed_start")
     latest = F.timestamp_micros(F.lit(int(limit.timestamp() * 1_000_000) + 86_400_000_000))
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
@@ -74,22 +38,23 @@ def mark(raw: DataFrame, key: list[str], zone: str = "UTC", now: dt.datetime | N
     )
     marked = text.withColumn("issue", issue)
     order = [c for c in ("file", "source_row") if c in raw.columns]
-    alone = F.concat_ws(" ", F.lit("row"), *[F.col(c).cast("string") for c in order])
-    own = F.when(F.col("issue").isNull(), F.md5(F.to_json(F.struct(*key), {"ignoreNullFields": "false"}))).otherwise(alone)
-    copies = F.row_number().over(W.partitionBy("__key").orderBy(*order)) > 1
-    return marked.withColumn("__key", own).withColumn("issue", F.when(F.col("issue").isNull() & copies, "duplicate").otherwise(F.col("issue"))).drop("__key")
+    ok, names = F.col("issue").isNull(), [f"__key{i}" for i in range(len(key))]
+    flat = [x for c in key for x in (F.coalesce(F.col(c).cast("string"), F.lit("")), F.col(c).isNull())]  # a hash passes over nulls
+    keyed = marked.withColumns({"__hash": F.when(ok, F.xxhash64(*flat)).otherwise(F.xxhash64(*order)), **{n: F.when(ok, F.col(c)) for n, c in zip(names, key, strict=True)}})
+    copies = F.row_number().over(W.partitionBy("__hash", *names).orderBy(*order)) > 1
+    return keyed.withColumn("issue", F.when(ok & copies, "duplicate").otherwise(F.col("issue"))).drop("__hash", *names)
 
 
 def detail(zone: str = "UTC") -> Column:
     """What is wrong with a marked row, in words; null for an event."""
     return (
         F.when(F.col("issue") == "malformed_row", F.lit("The row has another number of fields than the header."))
-        .when(F.col("issue") == "missing_case_id", "case_id is empty.").when(F.col("issue") == "missing_activity", "activity is empty.")
-        .when(F.col("issue") == "invalid_timestamp", F.format_string("Unable to parse timestamp '%s'.", F.coalesce("timestamp", F.lit(""))))
-        .when((F.col("issue") == "impossible_timestamp") & (F.col("parsed_start") > F.col("parsed_timestamp")), "start_timestamp is after timestamp (completion).")
-        .when((F.col("issue") == "impossible_timestamp") & (F.unix_micros("parsed_timestamp") < 0), F.format_string("Timestamp '%s' is before 1970.", F.col("timestamp")))
-        .when(F.col("issue") == "impossible_timestamp", F.format_string("Timestamp '%s' is in the future.", F.col("timestamp")))
-        .when(F.col("issue") == "duplicate", "Exact duplicate of an earlier row (all columns identical).")
+        .when(F.col("issue") == "missing_case_id", "No case is named.").when(F.col("issue") == "missing_activity", "No activity is named.")
+        .when(F.col("issue") == "invalid_timestamp", F.format_string("No time can be read from '%s'.", F.coalesce("timestamp", F.lit(""))))
+        .when((F.col("issue") == "impossible_timestamp") & (F.col("parsed_start") > F.col("parsed_timestamp")), "It starts after its end.")
+        .when((F.col("issue") == "impossible_timestamp") & (F.unix_micros("parsed_timestamp") < 0), F.format_string("'%s' lies before 1970.", F.col("timestamp")))
+        .when(F.col("issue") == "impossible_timestamp", F.format_string("'%s' has not come yet.", F.col("timestamp")))
+        .when(F.col("issue") == "duplicate", "An earlier row has the same values.")
     )
 
 
@@ -154,12 +119,12 @@ def number(name: str) -> Column:
 def warnings(facts: DataFrame | None, counts: DataFrame) -> DataFrame:
     """``warning``: what a user should know besides the rejected rows. ``facts``: of ``event_csv.file_facts``; ``counts``: ``report``."""
     said = [
-        ("unreadable_starts", "%d start_timestamp values could not be parsed; processing time is unavailable for those events."), ("unreadable_amounts", "%d amount values were not numeric and were left empty."),
-        ("single_event_cases", "%d case(s) contain only one event. They are kept, but contribute no transitions."),
+        ("unreadable_starts", "%d events have a start that is no time; their processing time is unknown."), ("unreadable_amounts", "%d amounts are no numbers and count as missing."),
+        ("single_event_cases", "%d cases have a single event and so no transition."),
     ]
     own = counts.select(F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.col(c).alias("n"), F.format_string(t, F.col(c)).alias("warning")) for i, (c, t) in enumerate(said, 1)])).alias("w")).select("w.*")
     if facts is not None:
         blank = facts.agg(F.coalesce(F.sum("blank_lines"), F.lit(0).cast("long")).alias("n"))
-        own = own.unionByName(facts.where("latin1").select(F.lit(0).alias("place"), F.lit(1).cast("long").alias("n"), F.format_string("%s is not valid UTF-8; decoded as Latin-1. Check special characters.", "file").alias("warning")))
-        own = own.unionByName(blank.select(F.lit(9).alias("place"), "n", F.format_string("%d blank line(s) were ignored.", "n").alias("warning")))
+        own = own.unionByName(facts.where("latin1").select(F.lit(0).alias("place"), F.lit(1).cast("long").alias("n"), F.format_string("%s was read as Latin-1, since it is no UTF-8; letters with accents may be wrong.", "file").alias("warning")))
+        own = own.unionByName(blank.select(F.lit(9).alias("place"), "n", F.format_string("%d lines are blank and were passed over.", "n").alias("warning")))
     return own.where("n > 0").orderBy("place", "warning").select("warning")

@@ -161,8 +161,11 @@ def run(events: DataFrame, config: AnalysisConfig = DEFAULT) -> dict[str, DataFr
 
 
 def analyse(marked: DataFrame, config: AnalysisConfig = DEFAULT) -> dict[str, DataFrame]:
-    """``run`` over the events of a marked log. A log without a valid event is refused with its report."""
-    events = ingest.events(marked)
+    """``run`` over the events of a marked log. A log without a valid event is refused with its report.
+
+    The file is parsed once: its events are kept, like the tables of ``run``, until the session's cache is cleared.
+    """
+    events = ingest.events(marked).persist(StorageLevel.MEMORY_AND_DISK)
     if events.isEmpty():
         raise LogFileError("There are no valid events.", ingest.report(marked).first().asDict())
     return run(normalize.normalize(events), config)

@@ -121,6 +121,7 @@ ORACLE_SQL: dict[str, str] = {
       f"sh AS (SELECT DISTINCT conv_id, turn, activity FROM tw JOIN lw USING (word) WHERE {_TELLING()})")
     + """SELECT conv_id, turn, activity, coalesce(score, 0) AS score, CAST(row_number() OVER p AS INTEGER) AS place FROM sh LEFT JOIN bs USING (activity)
       WINDOW p AS (PARTITION BY conv_id, turn ORDER BY coalesce(score, 0) DESC, activity) QUALIFY row_number() OVER p <= 3""",
+    "events_page_after": _with(DAILY, EV) + "SELECT case_id, pos, wait_us FROM ev WHERE activity = 'view' ORDER BY wait_us DESC NULLS LAST, case_id, pos LIMIT 40 OFFSET 80",
     "report_findings_sql": _with(DAILY, EV, CASES, VARIANTS, COMPLETION, _SHEET(DAILY), """b3 AS (SELECT * FROM bs WHERE score IS NOT NULL ORDER BY score DESC, activity LIMIT 3)""",
       """fd AS (SELECT 'bottleneck.' || activity AS finding, lower(indicator) AS severity, ['activity.' || activity || '.score', 'activity.' || activity || '.median_wait_h', 'activity.' || activity || '.long_wait_cases'] AS ids,
         'activity' AS kind, activity AS first FROM b3 WHERE indicator IN ('HIGH', 'MEDIUM') UNION ALL SELECT 'variants', 'low', ['overview.conformance_rate_pct', 'overview.unique_variants', 'variant.V1.pct'], 'variant', 'V1'
@@ -192,12 +193,12 @@ ORACLE_SQL: dict[str, str] = {
       (SELECT count(DISTINCT case_id) FROM ev WHERE activity = prev_activity) AS cases_loop""",
     "data_quality": _with(ORDER, _RAW, _QUALITY) + f"""SELECT count(*) AS total_rows, count(*) FILTER (issue IS NULL) AS valid_rows, count(issue) AS invalid_rows, {_ISSUE_COUNTS}, (SELECT count(*) FROM c) AS total_cases,
       (SELECT singles FROM s1) AS single_event_cases, (SELECT bad FROM q) AS unreadable_amounts,
-      (SELECT string_agg(w, ' ' ORDER BY w) FROM (SELECT bad || ' amount values were not numeric and were left empty.' AS w FROM q WHERE bad > 0
-        UNION ALL SELECT singles || ' case(s) contain only one event. They are kept, but contribute no transitions.' FROM s1 WHERE singles > 0)) AS warnings,
+      (SELECT string_agg(w, ' ' ORDER BY w) FROM (SELECT bad || ' amounts are no numbers and count as missing.' AS w FROM q WHERE bad > 0
+        UNION ALL SELECT singles || ' cases have a single event and so no transition.' FROM s1 WHERE singles > 0)) AS warnings,
       (SELECT string_agg(label || '=' || s, ',' ORDER BY label || '=' || s) FROM mg JOIN lb USING (k) WHERE kinds > 1) AS merges FROM m""",
-    "rejected_export": _with(ORDER, _RAW) + """SELECT source_row, issue, CASE issue WHEN 'malformed_row' THEN 'The row has another number of fields than the header.' WHEN 'missing_case_id' THEN 'case_id is empty.'
-      WHEN 'missing_activity' THEN 'activity is empty.' WHEN 'invalid_timestamp' THEN 'Unable to parse timestamp ''not a date''.' WHEN 'duplicate' THEN 'Exact duplicate of an earlier row (all columns identical).'
-      ELSE CASE WHEN began > ts THEN 'start_timestamp is after timestamp (completion).' ELSE 'Timestamp ''' || strftime(ts, '%Y-%m-%d %H:%M:%S') || CASE WHEN ts < TIMESTAMP '1970-01-01' THEN ''' is before 1970.' ELSE ''' is in the future.' END END END AS detail,
+    "rejected_export": _with(ORDER, _RAW) + """SELECT source_row, issue, CASE issue WHEN 'malformed_row' THEN 'The row has another number of fields than the header.' WHEN 'missing_case_id' THEN 'No case is named.'
+      WHEN 'missing_activity' THEN 'No activity is named.' WHEN 'invalid_timestamp' THEN 'No time can be read from ''not a date''.' WHEN 'duplicate' THEN 'An earlier row has the same values.'
+      ELSE CASE WHEN began > ts THEN 'It starts after its end.' ELSE '''' || strftime(ts, '%Y-%m-%d %H:%M:%S') || CASE WHEN ts < TIMESTAMP '1970-01-01' THEN ''' lies before 1970.' ELSE ''' has not come yet.' END END END AS detail,
       CASE WHEN NOT malformed THEN case_id END AS case_id, CASE WHEN NOT malformed THEN CAST(k AS VARCHAR) END AS "Line", CASE WHEN malformed THEN case_id || ' | ' || k END AS raw_fields FROM m WHERE issue IS NOT NULL""",
     "event_records": _with(DAILY_START.replace(" FROM events", ", value FROM events"), EV) + """SELECT case_id, activity, strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S') || CASE WHEN ts_us % 1000000 <> 0 THEN strftime(make_timestamp(ts_us), '.%f') ELSE '' END || '+00:00' AS timestamp,
       prev_activity, round(wait_us / 3.6e9, 2) AS wait_h, round(gap_us / 3.6e9, 2) AS gap_h, resource, department, round(value, 2) AS amount, source_row FROM ev""",

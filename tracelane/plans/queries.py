@@ -298,6 +298,14 @@ def events_drilldown(spark, d):
     return rounded(tools.page(rows, tools.by_wait(rows), 0, 50).select("case_id", "pos", hours("wait_us").alias("wait_h")))
 
 
+def events_page_after(spark, d):
+    """The third page of a drill-down, each page found from the last row of the one before."""
+    rows, after = tools.events_at(daily(spark, d), activity="view").select("case_id", "pos", "wait_us"), None
+    for _ in range(2):
+        after = tools.key_of(tools.page_after(rows, tools.BY_WAIT, after, 40), tools.BY_WAIT)
+    return tools.page_after(rows, tools.BY_WAIT, after, 40)
+
+
 def case_detail(spark, d):
     log = conv(spark, d)
     return tools.case_detail(log, "7")["events"].select("case_id", "pos", "activity", "ts_us", "prev_activity", "wait_us")
@@ -430,6 +438,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         deviation_summary, deviation_summary_sql, conformance, conformance_rate, resources, resource_top_activities, normalize_labels, label_merges, reject_cascade, validation_report, count_cases_filters,
         variant_cases_page, events_drilldown, case_detail, deviations_page, formula_escape, numbers_in_text, causal_terms, fact_sheet, fact_sheet_sql, overview, overview_full, overview_conv, conformance_sql,
         data_quality, rejected_export, event_records, variants_page, tool_activity_stats, tool_transition_stats, tool_bottlenecks, tool_resource_stats,
-        activity_mentions, activity_mentions_exact, activity_candidates, activities_mentioned, report_findings, report_findings_sql, evidence_resolution,
+        activity_mentions, activity_mentions_exact, activity_candidates, activities_mentioned, report_findings, report_findings_sql, evidence_resolution, events_page_after,
     )
 }

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +25,52 @@ def page(rows: DataFrame, order: list[Column], offset: int = 0, limit: int = 100
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+@dataclass(frozen=True)
+class Key:
+    """A column of a total order; unknown values come last either way."""
+
+    column: str
+    descending: bool = False
+
+    def order(self) -> Column:
+        return F.desc_nulls_last(self.column) if self.descending else F.asc_nulls_last(self.column)
+
+    def same(self, value: object) -> Column:
+        return F.col(self.column).isNull() if value is None else F.col(self.column) == F.lit(value)
+
+    def beyond(self, value: object) -> Column:
+        if value is None:  # nothing comes after the unknown ones
+            return F.lit(False)
+        c = F.col(self.column)
+        return c.isNull() | (c < F.lit(value) if self.descending else c > F.lit(value))
+
+
+def page_after(rows: DataFrame, keys: list[Key], after: tuple | None = None, limit: int = 100) -> DataFrame:
+    """The ``limit`` rows that follow the row whose keys are ``after``, or the first ones; keys must tell all rows apart.
+
+    Where ``page`` sorts and skips what came before, this filters it: a page far behind costs what the first one does, each
+    task keeps ``limit`` rows, and rows that were added meanwhile do not shift later pages. ``key_of`` gives the next ``after``.
+    """
+    if not 1 <= limit <= MAX_PAGE or (after is not None and len(after) != len(keys)):
+        raise ValueError(f"limit must be 1 to {MAX_PAGE}, and after must have a value for each key")
+    if after is not None:
+        ways, so_far = [], F.lit(True)
+        for key, value in zip(keys, after, strict=True):
+            ways.append(so_far & key.beyond(value))
+            so_far = so_far & key.same(value)
+        rows = rows.where(reduce(or_, ways))
+    return rows.orderBy(*[k.order() for k in keys]).limit(limit)
+
+
+def key_of(page: DataFrame, keys: list[Key]) -> tuple | None:
+    """The keys of a page's last row, None if it has no row."""
+    last = page.select(*[F.col(k.column) for k in keys]).tail(1)
+    return tuple(last[0]) if last else None
+
+
+BY_WAIT = [Key("wait_us", True), Key("case_id"), Key("pos")]
+
+
 def closest(names: DataFrame, wanted: str, cutoff: float) -> str | None:
     """Of ``name``, ``key`` the name whose key is or comes nearest to ``wanted`` and is at least ``cutoff`` like it."""
     rated = names.withColumn("like", F.when(F.col("key") == wanted, 2.0).otherwise(likeness("key", wanted)))
