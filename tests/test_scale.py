@@ -15,6 +15,7 @@ from tracelane.operators import variants as vs
 from tracelane.operators.frame import cases, event_frame, segmented_frame
 from tracelane.plans import tools
 from tracelane.plans.log import ProcessLog
+from tracelane.sources import sinks
 
 SCHEMA = "case_id string, activity string, timestamp timestamp_ntz, start_timestamp timestamp_ntz, source_row long"
 
@@ -165,3 +166,24 @@ def test_pages_by_key_join_to_the_whole(spark):
     for bad in ({"limit": 0}, {"limit": 1001}, {"after": (1,)}):
         with pytest.raises(ValueError, match="limit"):
             tools.page_after(df, keys, **bad)
+
+
+def test_stored_events_are_framed_without_an_exchange(spark):
+    """A bucketed table: equal frames and cases, no shuffle, and a data set is replaced alone."""
+    logs = {name: made_log(spark, sizes, seed).persist() for name, sizes, seed in (("x", [5, 40, 1], 1), ("y", [30, 2], 2), ("x2", [7] * 9, 3))}
+    spark.sql("DROP TABLE IF EXISTS test_events")
+    for name, own in (("x", "x"), ("y", "y"), ("x", "x2")):  # the second x takes the place of the first
+        sinks.write_event_table(logs[own], "test_events", name, buckets=4)
+    for name, own in (("x", "x2"), ("y", "y")):
+        stored = sinks.read_event_table(spark, "test_events", name)
+        assert sorted(stored.columns) == sorted(logs[own].columns)
+        stored = stored.select(*logs[own].columns)
+        frame = event_frame(stored)
+        for df in (frame, cases(frame)):
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        same_rows(frame, event_frame(logs[own]))
+        same_rows(cases(frame), cases(event_frame(logs[own])))
+    assert spark.table("test_events").count() == 63 + 32
+    spark.sql("DROP TABLE test_events")
+    for df in logs.values():
+        df.unpersist()

@@ -214,6 +214,13 @@ ORACLE_SQL: dict[str, str] = {
       (SELECT * FROM ({_bottlenecks(CONV, (0.3, 0.2, 0.1, 0.2, 0.2), 0.6, 0.35, 10)}) WHERE score IS NOT NULL ORDER BY score DESC, activity LIMIT 8))""", _FACTS, f"""st AS (SELECT prev_activity || '→' || activity AS t, {R(Q('gap_us', 0.5), 'median_h')},
       {R(Q('gap_us', 0.9), 'p90_h')} FROM ev WHERE prev_activity IS NOT NULL GROUP BY prev_activity, activity HAVING count(*) >= 10 ORDER BY quantile_cont(gap_us, 0.5) DESC, prev_activity, activity LIMIT 6)""")
     + """SELECT fact_id, round(value, 4) AS value, unit FROM f UNION ALL SELECT 'transition.' || t || '.median_h', median_h, 'hours' FROM st UNION ALL SELECT 'transition.' || t || '.p90_h', p90_h, 'hours' FROM st""",
+    "facts_shown": _with(CONV, EV, CASES, VARIANTS, COMPLETION, f"""bt AS (SELECT activity, unnest(['score', 'median_wait_h', 'long_wait_cases']) AS x, unnest([score, median_wait_h, long_wait_cases]) AS y, unnest(['', 'hours', 'cases']) AS u FROM
+      (SELECT * FROM ({_bottlenecks(CONV, (0.3, 0.2, 0.1, 0.2, 0.2), 0.6, 0.35, 10)}) WHERE score IS NOT NULL ORDER BY score DESC, activity LIMIT 8))""", _FACTS, f"""st AS (SELECT prev_activity || '→' || activity AS t, {R(Q('gap_us', 0.5), 'median_h')},
+      {R(Q('gap_us', 0.9), 'p90_h')} FROM ev WHERE prev_activity IS NOT NULL GROUP BY prev_activity, activity HAVING count(*) >= 10 ORDER BY quantile_cont(gap_us, 0.5) DESC, prev_activity, activity LIMIT 6)""")
+    + r"""SELECT fact_id, regexp_replace(regexp_replace(format('{:,.2f}', value), '(\.\d*?)0+$', '\1'), '\.$', '') || CASE WHEN unit IN ('', '%') THEN unit ELSE ' ' || unit END AS shown,
+      regexp_extract(fact_id, '^[^.]+') AS kind, CASE WHEN fact_id LIKE 'overview.%' THEN NULL ELSE split_part(regexp_extract(fact_id, '^[^.]+\.(.*)\.[^.]+$', 1), '→', 1) END AS first,
+      CASE WHEN fact_id LIKE 'transition.%' THEN split_part(regexp_extract(fact_id, '^[^.]+\.(.*)\.[^.]+$', 1), '→', 2) END AS second
+      FROM (SELECT fact_id, round(value, 4) AS value, unit FROM f UNION ALL SELECT 'transition.' || t || '.median_h', median_h, 'hours' FROM st UNION ALL SELECT 'transition.' || t || '.p90_h', p90_h, 'hours' FROM st)""",
     "numbers_in_text": r"""WITH n AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '(?:^|[^\w.])(\d[\d,]*(?:\.\d+)?)', 1)) AS x FROM documents),
   p AS (SELECT DISTINCT doc_id, CASE WHEN f LIKE '%.00' THEN f[:-4] WHEN f LIKE '%.%0' THEN f[:-2] ELSE f END AS x FROM (SELECT doc_id, printf('%.2f', CAST(replace(x, ',', '') AS DOUBLE)) AS f FROM n))
 SELECT d.doc_id, coalesce(string_agg(x, '|' ORDER BY x), '') AS numbers FROM documents d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id""",

@@ -346,6 +346,13 @@ def fact_sheet_sql(spark, d):
     return held(rounded(sheet.select("fact_id", "value", "unit")), log)
 
 
+def facts_shown(spark, d):
+    """The figures as people read them, and what to look at for each."""
+    log = conv(spark, d, keep=True)
+    sheet = tools.facts(log).where(~F.col("fact_id").startswith("deviation.") & (F.col("fact_id") != "overview.deviation_rate_pct"))
+    return held(rounded(sheet).select("fact_id", text.fact_value("value", "unit").alias("shown"), findings.drilldown().alias("d")).select("fact_id", "shown", "d.*"), log)
+
+
 def _named(column: str):
     return F.array_join(F.transform(column, lambda x: F.concat_ws(":", x.activity, x.cases.cast("string"))), ", ").alias(column)
 
@@ -438,6 +445,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         deviation_summary, deviation_summary_sql, conformance, conformance_rate, resources, resource_top_activities, normalize_labels, label_merges, reject_cascade, validation_report, count_cases_filters,
         variant_cases_page, events_drilldown, case_detail, deviations_page, formula_escape, numbers_in_text, causal_terms, fact_sheet, fact_sheet_sql, overview, overview_full, overview_conv, conformance_sql,
         data_quality, rejected_export, event_records, variants_page, tool_activity_stats, tool_transition_stats, tool_bottlenecks, tool_resource_stats,
-        activity_mentions, activity_mentions_exact, activity_candidates, activities_mentioned, report_findings, report_findings_sql, evidence_resolution, events_page_after,
+        activity_mentions, activity_mentions_exact, activity_candidates, activities_mentioned, report_findings, report_findings_sql, evidence_resolution, events_page_after, facts_shown,
     )
 }
