@@ -267,3 +267,17 @@ def test_jaccard_of_tables_of_few_words(spark, n):
     for parts in (1, n + 1):
         out = jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
         assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == sorted([*((i, 1, i) for i in range(n)), (100, max(1, n - 4) if n else 0, 100 if n != 1 else 100)])
+
+
+def test_texts_of_one_identifier_with_equal_short_hashes_stay_apart(spark):
+    """Texts whose 32-bit hashes meet, under a null and under a given identifier: none loses bytes to the other's repeats."""
+    from pyspark.sql import Window as W
+
+    made = spark.range(260_000).select(F.concat(F.sha2(F.col("id").cast("string"), 256), F.sha2((-F.col("id") - 1).cast("string"), 256), F.sha2((F.col("id") + 10**9).cast("string"), 256)).alias("t"))
+    met = made.withColumn("h", F.hash("t")).withColumn("n", F.count("*").over(W.partitionBy("h"))).where("n > 1").orderBy("h", "t").limit(2).collect()
+    a, b = met[0].t, met[1].t
+    assert met[0].h == met[1].h and a != b
+    for own in (None, 7):
+        out = suffix_dedup.suffix_dedup(spark.createDataFrame([(1, a), (own, a), (own, b)], "doc_id long, text string"))
+        got = {(r.doc_id, r.text): r.n_removed for r in out.collect()}
+        assert got == {(1, a): 0, (own, a): len(a), (own, b): 0}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelane.llm import blobs
@@ -21,9 +21,9 @@ SLICE_BYTES = 8_000_000
 _PLACE = np.uint64((1 << 28) - 1)
 #: Symbols of a second hash of a string that is independent of the first.
 _OTHER = mix(np.arange(1, 257, dtype=np.uint64))
-_RUNS = {"name": np.uint32, "run": np.uint64, "doc": np.int64, "salt": np.int32, "start": np.int32, "size": np.uint8}
-_WINDOWS = {"name": np.uint64, "check": np.uint32, "doc": np.int64, "salt": np.int32, "start": np.int32}
-_MARKS = {"doc": np.int64, "salt": np.int32, "start": np.int32, "end": np.int32}
+_RUNS = {"name": np.uint32, "run": np.uint64, "doc": np.int64, "salt": np.int64, "start": np.int32, "size": np.uint8}
+_WINDOWS = {"name": np.uint64, "check": np.uint32, "doc": np.int64, "salt": np.int64, "start": np.int32}
+_MARKS = {"doc": np.int64, "salt": np.int64, "start": np.int32, "end": np.int32}
 _SPANS = {"starts": pa.int32(), "ends": pa.int32()}
 _SPAN_SCHEMA = "doc long, salt long, starts array<int>, ends array<int>"
 
@@ -94,9 +94,20 @@ def _by_part(packed: DataFrame, fn: Callable[[bool, dict[str, np.ndarray]], pa.T
     return packed.groupBy("part").applyInArrow(run, out)
 
 
-def repeated_spans(docs: DataFrame, width: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+def salted(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """What tells apart texts that share an identifier: 60 bits of SHA-256, or nothing where no two rows share one.
+
+    A job counts identifiers; where all differ, the column is 0 everywhere and takes no room in what is written.
+    """
+    shared = docs.groupBy(id_key(id_col).alias("doc")).agg(F.count("*").alias("n")).where("n > 1").limit(1)
+    if shared.isEmpty():
+        return F.lit(0).cast("long")
+    return F.conv(F.substring(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256), 1, 15), 16, 10).cast("long")
+
+
+def repeated_spans(docs: DataFrame, width: int, id_col: str, text_col: str, salt: Column, scratch: Scratch) -> DataFrame:
     """``doc``, ``salt``, ``starts``, ``ends``: byte spans to remove. ``salt`` tells apart texts that share an identifier."""
-    keyed = docs.select(id_key(id_col).alias("doc"), F.hash(F.col(text_col).cast("string")).alias("salt"), F.col(text_col).cast("binary").alias("body")).where(F.octet_length("body") >= width)
+    keyed = docs.select(id_key(id_col).alias("doc"), salt.alias("salt"), F.col(text_col).cast("binary").alias("body")).where(F.octet_length("body") >= width)
     ranges = blobs.text_ranges(docs, text_col)
 
     def slices(batch: pa.RecordBatch):
@@ -196,7 +207,7 @@ def suffix_dedup(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text
     document further left. Strings never cross documents; all are judged on the input.
 
     Null text counts as empty; texts shorter than ``width`` stay whole. A null identifier is the largest. Different texts
-    of one identifier are documents in the order of their hash; equal rows are one document and get equal results. Input
+    of one identifier are documents in the order of their hash (60 bits of SHA-256); equal rows are one document and get equal results. Input
     columns named like the new ones are replaced, others pass through. A text of more than 2^28 bytes (268 MB) is refused. An empty table gives an empty table. Strings are
     taken as equal if two independent hashes of them are, of 64 and 32 bits; runs around one gram if 64 bits are.
 
@@ -208,7 +219,8 @@ def suffix_dedup(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text
     if width < GRAM + 1 or width - GRAM + 1 > 255:
         raise ValueError(f"width must be {GRAM + 1} to {GRAM + 254}")
     scratch = Scratch(docs.sparkSession, "suffix_dedup")
-    spans = repeated_spans(docs, width, id_col, text_col, scratch)
+    salt_of = salted(docs, id_col, text_col)
+    spans = repeated_spans(docs, width, id_col, text_col, salt_of, scratch)
     per_doc = spans.groupBy("doc", "salt").agg(F.flatten(F.collect_list("starts")).alias("__starts"), F.flatten(F.collect_list("ends")).alias("__ends"))
 
     @arrow_udf("struct<kept:binary,n_bytes:bigint,n_removed:bigint,n_spans:bigint>")
@@ -226,7 +238,7 @@ def suffix_dedup(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text
         return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, counts))], names=["kept", "n_bytes", "n_removed", "n_spans"])
 
     doc, salt, starts, ends = (fresh(docs.columns, c) for c in ("__doc", "__salt", "__starts", "__ends"))
-    keyed = docs.withColumns({doc: id_key(id_col), salt: F.hash(F.col(text_col).cast("string"))})
+    keyed = docs.withColumns({doc: id_key(id_col), salt: salt_of})
     joined = keyed.join(per_doc.toDF(doc, salt, starts, ends), [doc, salt], "left")
     out = with_fields(joined, cut(F.col(text_col).cast("binary"), F.col(starts), F.col(ends)), ("kept", "n_bytes", "n_removed", "n_spans"))
     return out.drop(doc, salt, starts, ends)
