@@ -102,14 +102,20 @@ def completion(cases: DataFrame, found: DataFrame | None = None, config: Analysi
     own = end_shares(cases).where(F.col("share") >= config.completion_share).select(F.col("last_activity").alias("activity"))
     if found is None:
         return own
-    return own.unionByName(_dominant(found, own).select(F.col("last_activity").alias("activity"))).distinct()
+    return with_dominant(own, first_completed(found, own))
 
 
-def _dominant(found: DataFrame, ends: DataFrame) -> DataFrame:
+def with_dominant(ends: DataFrame, dominant: DataFrame) -> DataFrame:
+    """``ends`` and the last step of the dominant path."""
+    return ends.unionByName(dominant.select(F.col("last_activity").alias("activity"))).distinct()
+
+
+def first_completed(found: DataFrame, ends: DataFrame) -> DataFrame:
+    """The first variant that ends with one of ``ends``, else the first of all: one row, none for an empty log."""
     marked = found.join(F.broadcast(ends.withColumn("done", F.lit(True))), F.col("last_activity") == F.col("activity"), "left")
     return marked.orderBy(F.col("done").isNull(), "rank").limit(1).select(*found.columns)
 
 
 def dominant_path(found: DataFrame, cases: DataFrame, config: AnalysisConfig = DEFAULT) -> DataFrame:
     """The first variant that ends a completed case, else the first of all: one row, none for an empty log."""
-    return _dominant(found, completion(cases, None, config))
+    return first_completed(found, completion(cases, None, config))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark import StorageLevel
@@ -64,15 +65,20 @@ class ProcessLog:
         """Quantiles of waits, gaps and processing by activity, transition and resource: all of them once, or the asked ones."""
         return self._every_spread if self._persist else event_spread(self.frame, kinds, self.size)
 
+    @cached_property
+    def _ends(self) -> DataFrame:
+        """The configured completion activities, or those at which many cases end."""
+        return self._literal(variants.completion(self.cases, None, self.config))
+
     @cached_property
     def dominant(self) -> DataFrame:
         """At most one row."""
-        return self._literal(variants.dominant_path(self.variants, self.cases, self.config))
+        return self._literal(variants.first_completed(self.variants, self._ends))
 
     @cached_property
     def completion(self) -> DataFrame:
         """At most 1 / completion_share rows and one."""
-        return self._literal(variants.completion(self.cases, self.variants, self.config))
+        return self._ends if self.config.completion else self._literal(variants.with_dominant(self._ends, self.dominant))
 
     @cached_property
     def deviations(self) -> DataFrame:
@@ -86,6 +92,13 @@ class ProcessLog:
     def aligned(self) -> DataFrame:
         return self._kept(deviations.aligned_variants(self.variants, self.dominant, self.completion))
 
+    def prepare(self) -> None:
+        """With ``persist``: makes the small tables that most results need, those of events beside those of cases."""
+        _ = self.size, self.cases  # both sides stand on the frame
+        with ThreadPoolExecutor(2) as both:
+            for side in [both.submit(getattr, self, name) for name in ("bottlenecks", "completion")]:
+                side.result()
+
     def conformance(self) -> DataFrame:
         return deviations.conformance(self.aligned, self.dominant)
 
@@ -152,6 +165,7 @@ def run(events: DataFrame, config: AnalysisConfig = DEFAULT) -> dict[str, DataFr
     log = ProcessLog(events, config, persist=True)
     if not log.size:
         raise LogFileError("There are no valid events.")
+    log.prepare()
     return {
         "overview": log.overview(), "nodes": by_frequency(log.nodes(), "activity"), "edges": by_frequency(log.edges(), "source", "target"), "activities": by_frequency(log.activities(), "activity"),
         "transitions": by_frequency(log.transitions(), "source", "target"), "variants": log.variants.orderBy("rank"), "bottlenecks": bottlenecks.ranked(log.bottlenecks), "slow_transitions": log.slow_transitions(),
