@@ -22,14 +22,17 @@ from tracelane.llm.token_counts import length_histogram, suffix_totals
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every text; a null text is encoded as an empty one, equal rows give equal rows, an empty table none."""
     return codec_digests(read_table(spark, sf_dir, "documents"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents by five-word shingles; texts without a word link to nothing, a null identifier is the largest."""
     return jaccard_groups(read_table(spark, sf_dir, "documents"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages by a model of the rows outside the fold; ``und`` for null and letterless texts. Without a labelled row every text is ``und``."""
     docs = read_table(spark, sf_dir, "documents")
     model = language_id.learn(docs.where(language_id.fold("doc_id", 3) != 1))
     out = language_id.identify(docs.select("doc_id", "text"), model)
@@ -37,6 +40,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text as a FLAC stream and back; a null text is one block of blanks, equal texts give equal streams."""
     out = read_media(store_media(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
     return out.select(
         "doc_id", "n_bytes", "payload_bytes", F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"),
@@ -45,31 +49,37 @@ def op4_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities under a model of the rows outside the fold; a null text is the end token alone."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = suffix_tree_lm.score(docs, docs.where(language_id.fold("doc_id", 5) != 1))
     return out.withColumn("held_out", language_id.fold("doc_id", 5) == 1)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each encoded length with its suffix sums; null texts have length 0, an empty table gives no row."""
     return suffix_totals(length_histogram(read_table(spark, sf_dir, "documents")))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents; null and blank items are found nowhere, null texts hold none."""
     return find_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated lines dropped from all but the smallest identifier; a null text is one empty line, rows of one identifier are one document."""
     out = line_dedup(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades by a model of the labelled rows; null texts are graded like empty ones, labels without a document teach nothing."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = ordinal_quality.learn(docs, read_table(spark, sf_dir, "labels"))
     return ordinal_quality.grade(docs, model).select("doc_id", "expected_grade", "tail_prob", "keep")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of strings that start earlier removed; a null text is empty, texts of one identifier stand in the order of their hash."""
     out = suffix_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
