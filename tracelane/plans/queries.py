@@ -389,11 +389,12 @@ def _turns(spark, d):
 def activity_mentions(spark, d):
     """The one activity that each turn of a conversation mentions, word for word or nearly so."""
     known = mentions.labels(adapters.topics(spark, d))
-    return rounded(_turns(spark, d).select("conv_id", "turn", mentions.mention(F.col("text"), known).alias("m")).select("conv_id", "turn", "m.*"))
+    return rounded(mentions.mentioned(_turns(spark, d), ["conv_id", "turn"], known))
 
 
 def activity_mentions_exact(spark, d):
-    return activity_mentions(spark, d).where("how = 'exact'").select("conv_id", "turn", "activity")
+    found = mentions.mentioned(_turns(spark, d), ["conv_id", "turn"], mentions.labels(adapters.topics(spark, d)), exact_only=True)
+    return found.where("how = 'exact'").select("conv_id", "turn", "activity")
 
 
 def activity_candidates(spark, d):
