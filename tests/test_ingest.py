@@ -183,3 +183,10 @@ def test_copies_are_equal_in_every_column(spark):
     marked = ingest.mark(raw, ["case_id", "x", "y"], now=NOW)
     assert {r.source_row: r.issue for r in marked.collect() if r.issue} == {3: "duplicate", 6: "duplicate", 7: "missing_case_id", 8: "missing_case_id"}
     assert marked.columns == [*raw.columns, "parsed_timestamp", "parsed_start", "issue"]
+
+
+def test_large_numbers_keep_all_their_digits(spark):
+    """The JVM's formatter wrote zeros from the 17th digit on."""
+    said = "5294421737731070724 and 83,688,348,825,957,207,214,838.5, 9007199254740993 or 1e5, 0.125 2.675 007 " + "9" * 400
+    got = spark.createDataFrame([(said,), (None,), ("",)], "t string").select(text.numbers_in("t").alias("n")).collect()
+    assert [sorted(r.n) for r in got] == [sorted({"5294421737731070976", "83688348825957200560128", "9007199254740992", "0.12", "1", "2.67", "7", "inf"}), [], []]

@@ -78,26 +78,28 @@ def causal_terms(x: Column | str) -> Column:
     return F.array_sort(F.array_distinct(found))
 
 
-def _plain(number: Column) -> Column:
-    """A number's text with two decimals at most and no trailing zeros, its binary value rounded correctly, ties to even.
+def _plain(numbers: Column) -> Column:
+    """Texts of numbers, each with two decimals at most and no trailing zeros, its binary value rounded correctly, ties to even.
 
-    Hundredths are taken from two halves of the fraction, of which each is exact; formatting would round what is printed.
+    All digits of a large value are written, which the JVM's formatter fills up with zeros from the 17th on.
     """
-    x = F.expr("0D") + number.try_cast("double")
-    part = x - F.floor(x)
-    high = F.floor(part * 2.0**26) / 2.0**26
-    hundredths = F.floor(part * 100)
-    over = (high * 100 - hundredths - 0.5) + (part - high) * 100
-    cents = F.floor(x) * 100 + hundredths + F.when((over > 0) | ((over == 0) & (hundredths % 2 == 1)), 1).otherwise(0)
-    digits = F.lpad((cents % 100).cast("string"), 2, "0")
-    fixed = F.when(x < 1e15, F.concat(F.floor(cents / 100).cast("string"), F.lit("."), digits)).otherwise(F.format_string("%.2f", x))
-    return F.regexp_replace(F.regexp_replace(fixed, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+    @F.arrow_udf("array<string>")
+    def plain(values: pa.Array) -> pa.Array:
+        return pa.array([v if v is None else [n if n is None else _two_decimals(float(n)) for n in v] for v in values.to_pylist()], pa.list_(pa.string()))
+
+    return plain(numbers)
+
+
+def _two_decimals(x: float) -> str:
+    out = f"{x:.2f}"
+    return out.rstrip("0").rstrip(".") if "." in out else out
 
 
 def fact_value(value: Column | str, unit: Column | str) -> Column:
     """A figure for people: thousands separators, two decimals at most without trailing zeros, then its unit; ``%`` without a blank."""
     x, u = _column(value), F.coalesce(_column(unit), F.lit(""))
-    plain = _plain(F.abs(x).cast("string"))
+    plain = F.get(_plain(F.array(F.abs(x).cast("string"))), F.lit(0))
     whole = F.regexp_replace(F.regexp_extract(plain, r"^\d+", 0), r"(?<=\d)(?=(\d{3})+$)", ",")
     shown = F.concat(F.when((x < 0) & (plain != "0"), F.lit("-")).otherwise(F.lit("")), whole, F.regexp_extract(plain, r"\..*$", 0))
     return F.concat(shown, F.when(u.isin("", "%"), u).otherwise(F.concat(F.lit(" "), u)))
@@ -106,7 +108,7 @@ def fact_value(value: Column | str, unit: Column | str) -> Column:
 def numbers_in(x: Column | str) -> Column:
     """Sorted distinct numbers of a text without thousands separators, with two decimals at most."""
     found = F.regexp_extract_all(F.coalesce(_column(x), F.lit("")), F.lit(NUMBER), F.lit(0))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda n: _plain(F.replace(n, F.lit(","), F.lit(""))))))
+    return F.array_sort(F.array_distinct(_plain(F.transform(found, lambda n: F.replace(n, F.lit(","), F.lit(""))))))
 
 
 def unverified_numbers(answer: Column | str, source: Column | str) -> Column:
