@@ -9,6 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelane.functions.size import bounded
 from tracelane.functions.text import activity_key, casefold, likeness
 from tracelane.functions.time import hours, iso_time
 from tracelane.operators import bottlenecks, deviations, findings, ingest, mentions, normalize
@@ -210,7 +211,7 @@ def resource_stats(log: ProcessLog, resource: str | None = None, limit: int = 10
 
 def data_quality(marked: DataFrame, file_facts: DataFrame | None = None) -> dict[str, DataFrame]:
     """``counts`` of rows by issue, ``columns`` of each file, ``warnings``, and ``merges`` of spellings of one activity."""
-    counts = ingest.report(marked)
+    counts = bounded(ingest.report(marked))  # one row, made once for itself and the warnings
     out = {"counts": counts, "warnings": ingest.warnings(file_facts, counts), "merges": normalize.merges(ingest.events(marked))}
     return out if file_facts is None else out | {"columns": file_facts}
 
