@@ -190,3 +190,22 @@ def test_large_numbers_keep_all_their_digits(spark):
     said = "5294421737731070724 and 83,688,348,825,957,207,214,838.5, 9007199254740993 or 1e5, 0.125 2.675 007 " + "9" * 400
     got = spark.createDataFrame([(said,), (None,), ("",)], "t string").select(text.numbers_in("t").alias("n")).collect()
     assert [sorted(r.n) for r in got] == [sorted({"5294421737731070976", "83688348825957200560128", "9007199254740992", "0.12", "1", "2.67", "7", "inf"}), [], []]
+
+
+def test_a_log_is_marked_once_for_its_rejected_rows_and_its_counts(spark):
+    """The log used to be marked again for the names of raw columns, for the places of the sort, and for the warnings."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = [(i, "" if i % 2 else f"c{i}", "A", "2026-01-01", {"Line": str(i)}) for i in range(40)]
+    raw = spark.createDataFrame(rows, "source_row long, case_id string, activity string, timestamp string, raw map<string,string>").repartition(3)
+    marked = ingest.mark(raw.withColumn("activity", counted.asNondeterministic()("activity")), ["case_id"], now=NOW)
+    out = ingest.rejected_export(marked)
+    assert [(r.source_row, r.Line) for r in out.collect()] == [(i, str(i)) for i in range(1, 40, 2)] and seen.value == 40
+    found = tools.data_quality(marked)
+    assert found["counts"].first().total_rows == 40 and seen.value == 80
+    assert found["warnings"].count() == 1 and seen.value == 80

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import weakref
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,8 +74,15 @@ def events(marked: DataFrame) -> DataFrame:
 
 def rejected(marked: DataFrame, issue: str | None = None) -> DataFrame:
     """Rows with an issue (or one of them) and its ``detail``, in the order of files and rows."""
-    rows = marked.where("issue IS NOT NULL" if issue is None else F.col("issue") == issue)
-    return rows.withColumn("detail", detail()).orderBy(*[c for c in ("file", "source_row") if c in marked.columns])
+    return _explained(marked, issue).orderBy(*_order(marked))
+
+
+def _explained(marked: DataFrame, issue: str | None = None) -> DataFrame:
+    return marked.where("issue IS NOT NULL" if issue is None else F.col("issue") == issue).withColumn("detail", detail())
+
+
+def _order(marked: DataFrame) -> list[str]:
+    return [c for c in ("file", "source_row") if c in marked.columns]
 
 
 def rejected_export(marked: DataFrame) -> DataFrame:
@@ -81,15 +90,20 @@ def rejected_export(marked: DataFrame) -> DataFrame:
 
     ``marked`` may have ``raw`` (map of column to text); the columns come in the order in which rows first have them. Of
     malformed rows only ``raw_fields`` is known. The names of all raw columns reach the driver, as column names must.
+
+    The log is marked once: the rejected rows are kept while the result is held, for the names, the places and the sort.
     """
-    rows, order = rejected(marked), [c for c in ("file", "source_row") if c in marked.columns]
+    rows, order = _explained(marked), _order(marked)
     if "raw" not in marked.columns:
-        return rows.select(*order, "issue", "detail")
+        return rows.orderBy(*order).select(*order, "issue", "detail")
+    rows = rows.select(*order, "issue", "detail", "raw").persist(StorageLevel.MEMORY_AND_DISK)
     names = rows.select(F.struct(*order).alias("row"), F.posexplode(F.map_keys("raw")).alias("place", "name")).groupBy("name").agg(F.min(F.struct("row", "place")).alias("first"))
     found = [r.name for r in names.where("name <> 'raw_fields'").orderBy("first").select("name").collect()]
     taken = {c.lower() for c in (*order, "issue", "detail", "raw_fields")}
     own = [F.col("raw")[n].alias(n if n.lower() not in taken else f"raw_{n}") for n in found]
-    return rows.select(*order, "issue", "detail", *own, F.col("raw")["raw_fields"].alias("raw_fields"))
+    out = rows.orderBy(*order).select(*order, "issue", "detail", *own, F.col("raw")["raw_fields"].alias("raw_fields"))
+    weakref.finalize(out, rows.unpersist).atexit = False
+    return out
 
 
 def report(marked: DataFrame) -> DataFrame:
