@@ -140,3 +140,17 @@ def test_sizes_equal_plain_sets():
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
     assert [len(x) for x in shingle_sets(data, offsets)] == [len(plain_set(t)) for t in texts]
+
+
+def test_sizes_travel_with_the_buckets(spark, monkeypatch):
+    """No join fetches the sizes of a bucket's pairs: its rows would grow with the buckets that a group shares."""
+    plans, save = {}, minhash_dedup.Scratch.save
+
+    def seen(self, df, label):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return save(self, df, label)
+
+    monkeypatch.setattr(minhash_dedup.Scratch, "save", seen)
+    rows = near_copies(4, 3, 20, 40, 0.1)
+    assert collected(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert "Join" not in plans["edges"]

@@ -110,10 +110,13 @@ class MinHashDedup:
         self.sets = self.scratch.save(same.withColumn("set", F.monotonically_increasing_id()), "sets")
 
     def met(self) -> DataFrame:
-        """(bucket, set, center, c): members of buckets of two sets and more; the center is the smallest of them."""
-        entries = self.sets.select("set", F.explode("buckets").alias("bucket"))
-        stars = entries.groupBy("bucket").agg(F.min("set").alias("center"), F.count("*").alias("c")).where("c > 1")
-        return self.scratch.save(entries.join(stars, "bucket"), "met")
+        """(bucket, set, n, center, m, c): members of buckets of two sets and more; the center is the smallest of them.
+
+        n and m are the sizes of the set and of its center; they travel with the buckets, so no pair fetches them by a join.
+        """
+        entries = self.sets.select("set", "n", F.explode("buckets").alias("bucket"))
+        stars = entries.groupBy("bucket").agg(F.min(F.struct("set", "n")).alias("least"), F.count("*").alias("c")).where("c > 1")
+        return self.scratch.save(entries.join(stars.select("bucket", F.col("least.set").alias("center"), F.col("least.n").alias("m"), "c"), "bucket"), "met")
 
     def bodies(self, wanted: DataFrame, label: str) -> DataFrame:
         """(set, keys): the shingles of the wanted sets, read from the text of one document each."""
@@ -159,7 +162,7 @@ class MinHashDedup:
         one for each pair of blocks. A task returns only links that join two groups, fewer than it has members.
         """
         percent = self.percent
-        large = met.where("c > 2 AND set <> center").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
+        large = met.where("c > 2 AND set <> center").select("bucket", "set").join(labels, "set", "left").withColumn("label", F.coalesce("label", "set"))
         kinds = large.groupBy("bucket", "label").agg(F.count("*").alias("k"), F.sum(F.xxhash64("set").cast("decimal(20,0)")).alias("h"))
         kinds = kinds.groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("groups"), F.sum("k").alias("k"), F.sum("h").alias("h")).where("groups > 1")
         one = kinds.groupBy("k", "h").agg(F.min_by(F.struct("bucket", "main"), "bucket").alias("b")).select("b.*")
@@ -215,10 +218,8 @@ class MinHashDedup:
         tells of. So each pair that shares a band is compared or known to be in one group.
         """
         met = self.met()
-        edges = met.where("set <> center").groupBy("center", "set").agg(F.count("*").alias("bands"))
-        sized = edges.join(self.sets.select("set", F.col("n").alias("n")), "set").join(self.sets.select(F.col("set").alias("center"), F.col("n").alias("m")), "center")
         fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * self.percent
-        edges = self.scratch.save(sized.where(fits).select("center", "set", "bands"), "edges")
+        edges = self.scratch.save(met.where("set <> center").where(fits).groupBy("center", "set").agg(F.count("*").alias("bands")), "edges")
         pairs = edges.groupBy("set").agg(F.max_by("center", F.struct("bands", "center")).alias("center"))
         links = self.linked(pairs.select(F.col("center").alias("a"), F.col("set").alias("b")), "-best")
         labels = reach(links, self.scratch, "-best")
