@@ -157,6 +157,35 @@ def test_cut_streams_and_wrong_digests_are_noticed():
             flac.decode([bad])
 
 
+def test_streams_of_a_batch_share_the_passes_over_checksums(monkeypatch):
+    """However many streams there are; one that needs following, or is damaged, is still told apart."""
+    passes, crc = [], flac._crc
+    monkeypatch.setattr(flac, "_crc", lambda *a: passes.append(1) or crc(*a))
+    draw = np.random.default_rng(4)
+    payloads = [bytes(draw.integers(0, 256, 192 * int(n), dtype=np.uint8)) for n in draw.integers(1, 5, 60)]
+    streams = flac.encode(payloads)
+    passes.clear()
+    found = flac.decode(streams)
+    assert len(passes) < 10
+    assert [media._bytes(samples) for samples, _ in found] == payloads
+    trap = np.frombuffer(frame(1, np.full(16, 3), constant)[:7], np.int8).astype(np.int64)
+
+    def verbatim(bits, samples, depth):
+        bits.put(2, 8)
+        for s in samples:
+            bits.put(int(s) & 255, 8)
+
+    first = np.concatenate([np.arange(20), trap, np.arange(30)])
+    odd = stream([frame(0, first, verbatim), frame(1, np.full(16, 5), constant)], np.concatenate([first, np.full(16, 5)]), 8)
+    for at in (0, 1, 2):
+        mixed = [*streams[:at], odd, *streams[at:2]]
+        want = [*payloads[:at], media._bytes(np.concatenate([first, np.full(16, 5)])), *payloads[at:2]]
+        assert [media._bytes(samples) for samples, _ in flac.decode(mixed)] == want
+        for bad in (streams[5][:-1], streams[5][:50] + bytes([streams[5][50] ^ 1]) + streams[5][51:], streams[5][:20], odd[:-3]):
+            with pytest.raises(flac.FlacError):
+                flac.decode([*streams[:at], bad, *streams[at:2]])
+
+
 # ---- 9: the ordinal fit -------------------------------------------------------------------------------------------
 
 
