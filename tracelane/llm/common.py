@@ -200,6 +200,11 @@ class RangeHash:
             return np.zeros(0, np.uint64)
         return mix((self._sums[width:] - self._sums[:-width]) * _powers(_INVERSE, n))
 
+    def windows_at(self, width: int, at: np.ndarray) -> np.ndarray:
+        """windows(width)[at], at the cost of these only."""
+        high = _powers(pow(_INVERSE, 1 << _STRIDE_LOG2, 2**64), (len(self._sums) >> _STRIDE_LOG2) + 1)
+        return mix((self._sums[at + width] - self._sums[at]) * _low_powers(_INVERSE)[at & ((1 << _STRIDE_LOG2) - 1)] * high[at >> _STRIDE_LOG2])
+
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE_LUT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, row) of all words ``[^\\x20\\x09-\\x0D]+`` (or of other ``space``, a flag per byte); a row's end also ends a word."""

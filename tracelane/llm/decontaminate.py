@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +25,13 @@ SYMBOLS = 3
 RECALL, AGREEMENT = 0.98, 0.3
 #: Items that are broadcast at a time, and bytes of an item's text that are looked at in one window.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32 << 20
-CHUNK_BYTES, WINDOWS = 500_000, 1_500
-_BITMAP_LOG2 = 22
+CHUNK_BYTES, WINDOWS, VERIFIED = 2_000_000, 1_500, 1_000
+#: Bytes of text that are hashed together, so that their arrays stay in a core's cache.
+PIECE_BYTES = 100_000
+#: Bytes of the grams by which windows are bounded, how often one counts at most, places (log2) that they are hashed to, and
+#: windows that are looked at together.
+BOUND_GRAM, BOUND_TIMES, _PLACES_LOG2, BOUND_WINDOWS = 3, 3, 13, 128
+_BITMAP_LOG2, _BEGINS_LOG2 = 22, 19
 _SPACE = np.arange(256, dtype=np.uint8)
 _SPACE[9:14] = 32
 
@@ -72,6 +78,23 @@ def embed(data: np.ndarray, at: np.ndarray, room: np.ndarray, steps: np.ndarray,
     return back
 
 
+def _places(data: np.ndarray) -> np.ndarray:
+    """A hash of the BOUND_GRAM bytes from each byte on."""
+    wide = np.concatenate([data, np.zeros(BOUND_GRAM, np.uint8)]).astype(np.uint32)
+    name = sum(wide[i : len(data) + i] << np.uint32(8 * i) for i in range(BOUND_GRAM))
+    return ((name * np.uint32(0x9E3779B1)) >> np.uint32(32 - _PLACES_LOG2)).astype(np.uint16)
+
+
+def _gaps(places: np.ndarray) -> list[np.ndarray]:
+    """How far back each value stands last, and for the BOUND_TIMES - 2 times before that; very far for nowhere."""
+    order, out = np.argsort(places, kind="stable").astype(np.int32), []
+    for n in range(1, BOUND_TIMES):
+        gap = np.full(len(places), 1 << 30, np.int32)
+        gap[order[n:]] = np.where(places[order[n:]] == places[order[:-n]], order[n:] - order[:-n], 1 << 30)
+        out.append(gap)
+    return out
+
+
 def best_distances(items: list[bytes], which: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """For each text the smallest edit distance of items[which] to any part of it, and where the first such part ends.
 
@@ -81,14 +104,17 @@ def best_distances(items: list[bytes], which: np.ndarray, texts: list[bytes]) ->
     used, local = np.unique(which, return_inverse=True)
     sizes = np.array([len(items[i]) for i in used], np.int64)
     width = int(-(-sizes.max() // 64))
-    masks = np.zeros((len(used), 257, width), np.uint64)
+    code = np.zeros(256, np.int64)
+    known = np.unique(np.frombuffer(b"".join(items[i] for i in used), np.uint8))
+    code[known] = np.arange(1, len(known) + 1)  # 0 equals no byte of an item
+    masks = np.zeros((len(used), len(known) + 1, width), np.uint64)
     for n, i in enumerate(used):
         place = np.arange(sizes[n])
-        np.bitwise_or.at(masks[n], (np.frombuffer(items[i], np.uint8), place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+        np.bitwise_or.at(masks[n], (code[np.frombuffer(items[i], np.uint8)], place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
     longest = max(map(len, texts), default=0)
-    symbols = np.full((longest, count), 256, np.int64)  # 256 equals no byte
+    symbols = np.zeros((longest, count), np.int64)
     for n, t in enumerate(texts):
-        symbols[: len(t), n] = np.frombuffer(t, np.uint8)
+        symbols[: len(t), n] = code[np.frombuffer(t, np.uint8)]
     one, every = np.uint64(1), np.arange(count)
     top, shift = (sizes[local] - 1) >> 6, ((sizes[local] - 1) & 63).astype(np.uint64)
     plus, minus = np.full((width, count), ~np.uint64(0)), np.zeros((width, count), np.uint64)
@@ -128,12 +154,19 @@ class ItemIndex:
         self.ids, self.bodies = np.array(ids, np.int64), [b.tobytes() for b in bodies]
         self.marks = np.random.default_rng(100).random(repetitions() * SYMBOLS)
         self.gram = np.array([gram_size(n, max_edits) for n in self.sizes.tolist()], np.int64)
+        #: The gram at each byte by its place, and how many like it its item has before it, up to BOUND_TIMES - 1.
+        self.places, back = _places(self.data), np.arange(len(self.data)) - np.repeat(self.offsets[:-1], self.sizes)
+        self.times = np.sum([gap <= back for gap in _gaps(self.places)], axis=0, dtype=np.uint8)
         hashes, self.grams = RangeHash(self.data), []
+        self.least = int(self.gram.min(initial=GRAMS[-1]))
+        #: Where the shortest gram that begins any item's gram is marked; a text is first looked at by these.
+        self.begins = np.zeros(1 << _BEGINS_LOG2, bool)
         for g in np.unique(self.gram).tolist():
             own = np.flatnonzero(self.gram == g)
             item = np.repeat(own, self.sizes[own] - g + 1)
             place = np.concatenate([np.arange(n) for n in self.sizes[own] - g + 1])
             gram = hashes.windows(g)[self.offsets[item] + place]
+            self.begins[(hashes.windows(self.least)[self.offsets[item] + place] >> np.uint64(64 - _BEGINS_LOG2)).astype(np.int64)] = True
             order = np.lexsort((place, item, gram))
             gram, item, place = gram[order], item[order], place[order]
             first = np.append(True, (gram[1:] != gram[:-1]) | (item[1:] != item[:-1]))  # a gram that an item repeats counts once
@@ -144,10 +177,13 @@ class ItemIndex:
     def windows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         """(row, item, start, anchor) of the item-sized windows of the texts; ``anchor`` is where a run of grams in common begins."""
         hashes, found = RangeHash(data), [np.zeros((0, 4), np.int64)]
+        begun = np.flatnonzero(self.begins[(hashes.windows(self.least) >> np.uint64(64 - _BEGINS_LOG2)).astype(np.int64)])
         for g, gram, item, place, bitmap in self.grams:
-            own = hashes.windows(g)
-            at = np.flatnonzero(bitmap[(own >> np.uint64(64 - _BITMAP_LOG2)).astype(np.int64)])
-            low, high = np.searchsorted(gram, own[at], "left"), np.searchsorted(gram, own[at], "right")
+            at = begun[begun + g <= len(data)]
+            own = hashes.windows_at(g, at)
+            some = bitmap[(own >> np.uint64(64 - _BITMAP_LOG2)).astype(np.int64)]
+            at, own = at[some], own[some]
+            low, high = np.searchsorted(gram, own, "left"), np.searchsorted(gram, own, "right")
             row = np.searchsorted(offsets, at, "right") - 1
             some = (high > low) & (at + g <= offsets[row + 1])
             at, low, times, row = at[some], low[some], (high - low)[some], row[some]
@@ -182,9 +218,54 @@ class ItemIndex:
         agreed = both.ravel()[sample].reshape(SYMBOLS, -1, len(row))
         return (right + left == 0) | agreed.all(axis=0).any(axis=0)  # without more bytes the gram is the item
 
-    def candidates(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(row, item, start) of the windows that agree with their item."""
-        found = self.windows(data, offsets)
+    def possible(self, data: np.ndarray, offsets: np.ndarray, found: tuple[np.ndarray, ...], max_edits: float) -> np.ndarray:
+        """Whether a window may hold its item with ``max_edits``; exact, so no window is lost that would be verified.
+
+        An edit alters at most BOUND_GRAM of an item's grams, so all others must occur in what would be verified, as often as
+        in the item (up to BOUND_TIMES). Grams are looked up by a hash, which can only let more windows pass.
+        """
+        row, item, start, _ = found
+        size, g = self.sizes[item], BOUND_GRAM
+        slack = (max_edits * size).astype(np.int64)
+        need = size - g + 1 - slack * g
+        out = np.ones(len(row), bool)
+        begin, stop = np.maximum(offsets[row], start - slack), np.minimum(offsets[row + 1], start + size + slack)
+        order = np.flatnonzero(need > 0)
+        if not len(order):
+            return out
+        order = order[np.argsort(size[order], kind="stable")]
+        longest = int((stop - begin)[order].max())
+        ours, gaps = _places(data), _gaps(_places(data))
+        ours, *gaps = (np.pad(x, (0, longest)) for x in (ours, *gaps))
+        theirs, times = (np.pad(x, (0, int(size.max()))) for x in (self.places, self.times))
+        for a in range(0, len(order), BOUND_WINDOWS):
+            own = order[a : a + BOUND_WINDOWS]
+            lane = np.arange(len(own))[:, None] << _PLACES_LOG2
+            width = int((stop[own] - begin[own]).max()) - g + 1  # bytes beyond a shorter window only let it pass
+            if width > 0:
+                cell = lane | sliding_window_view(ours, width)[begin[own]]
+                seen = np.zeros(len(own) << _PLACES_LOG2, np.uint8)
+                seen[cell] = 1
+                for n, gap in enumerate(gaps, 2):  # the n-th of its kind in the window
+                    seen[cell[sliding_window_view(gap, width)[begin[own]] <= np.arange(width)]] = n
+                count = size[own, None] - g + 1
+                width, first = int(count.max()), self.offsets[item[own]]
+                hit = seen[lane | sliding_window_view(theirs, width)[first]] > sliding_window_view(times, width)[first]
+                out[own] = (hit & (np.arange(width) < count)).sum(axis=1) >= need[own]
+        return out
+
+    def candidates(self, data: np.ndarray, offsets: np.ndarray, max_edits: float | None = None) -> tuple[np.ndarray, ...]:
+        """(row, item, start) of the windows that agree with their item; with ``max_edits`` only of those that may hold it."""
+        parts = [np.zeros((4, 0), np.int64)]
+        for a, b in chunks(offsets, PIECE_BYTES):
+            piece, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            found = self.windows(piece, own)
+            if max_edits is not None:
+                may = self.possible(piece, own, found, max_edits)
+                found = tuple(x[may] for x in found)
+            row, item, start, anchor = found
+            parts.append(np.stack([row + a, item, start + offsets[a], anchor + offsets[a]]))
+        found = tuple(np.concatenate(parts, axis=1))
         order = np.argsort(self.sizes[found[1]], kind="stable")
         hit = np.zeros(len(order), bool)
         for a in range(0, len(order), WINDOWS):
@@ -194,14 +275,14 @@ class ItemIndex:
 
     def matches(self, data: np.ndarray, offsets: np.ndarray, max_edits: float) -> Iterator[tuple[int, int, int, int]]:
         """(row, item, distance, end in the text) of the best verified window of each pair."""
-        row, item, start = self.candidates(data, offsets)
+        row, item, start = self.candidates(data, offsets, max_edits)
         size = self.sizes[item]
         slack = (max_edits * size).astype(np.int64)
         begin, stop = np.maximum(offsets[row], start - slack), np.minimum(offsets[row + 1], start + size + slack)
         best: dict[tuple[int, int], tuple[int, int]] = {}
         order = np.argsort(size, kind="stable")
-        for a in range(0, len(order), 500):
-            own = order[a : a + 500]
+        for a in range(0, len(order), VERIFIED):
+            own = order[a : a + VERIFIED]
             distance, end = best_distances(self.bodies, item[own], [data[i:j].tobytes() for i, j in zip(begin[own], stop[own], strict=True)])
             for n in np.flatnonzero(distance <= slack[own]):
                 k = own[n]
