@@ -187,3 +187,17 @@ def test_stored_events_are_framed_without_an_exchange(spark):
     spark.sql("DROP TABLE test_events")
     for df in logs.values():
         df.unpersist()
+
+
+def test_a_large_order_log_is_dealt_by_its_rows(spark, sf, monkeypatch):
+    """Tasks grow in number with the log, not in size; the frame is the same."""
+    from tracelane.functions import size
+    from tracelane.plans.queries import QUERIES
+
+    key = lambda r: (r.case_id, r.source_row)
+    want = sorted(QUERIES["event_frame_order"](spark, sf).collect(), key=key)
+    for rows in (500, 1000):
+        monkeypatch.setattr(size, "TASK_ROWS", rows)
+        frame = QUERIES["event_frame_order"](spark, sf)
+        assert frame.rdd.getNumPartitions() == -(-len(want) // rows)
+        assert sorted(frame.collect(), key=key) == want

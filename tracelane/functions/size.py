@@ -1,4 +1,4 @@
-"""Tables that are small enough to be constants of a plan."""
+"""Tables that are small enough to be constants of a plan, and rows dealt so that no task holds too many."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 
 #: Rows that a table of constants may have.
 MOST_ROWS = 20_000
+#: Rows that one task should sort.
+TASK_ROWS = 500_000
 
 
 def bounded(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
@@ -16,3 +18,13 @@ def bounded(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     """
     rows = df.limit(most + 1).toArrow()
     return df if rows.num_rows > most else df.sparkSession.createDataFrame(rows, df.schema)
+
+
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """``df``, which has about ``rows`` rows, dealt by ``key`` so that a task holds about TASK_ROWS of them.
+
+    Left to itself, Spark deals a table to a number of tasks that does not grow with it. Up to TASK_ROWS for each core that
+    is left so; what comes then needs no other shuffle by ``key``.
+    """
+    tasks = -(-rows // TASK_ROWS)
+    return df if tasks <= df.sparkSession.sparkContext.defaultParallelism else df.repartition(tasks, key)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracelane.functions.size import dealt
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -51,12 +53,18 @@ def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("turn").alias("source_row"), F.col("conv_id").cast("string").alias("case_id"), activity.alias("activity"), at.alias("timestamp"))
 
 
-def order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lineitem`` and ``orders``: a line is an event of its order, started at the order's date."""
+def order(spark: SparkSession, sf_dir: str, by_case: bool = True) -> DataFrame:
+    """``lineitem`` and ``orders``: a line is an event of its order, started at the order's date.
+
+    Large logs are joined in tasks of bounded size and, ``by_case``, dealt so by case for what frames them.
+    """
     line = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate")
     start = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    rows = line.count()  # from the files' footers
+    line, start = dealt(line, "l_orderkey", rows), dealt(start, "l_orderkey", rows)
     place = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"))
-    return line.join(start, "l_orderkey").select(
+    out = line.join(start, "l_orderkey").select(
         place.cast("long").alias("source_row"), F.col("l_orderkey").cast("string").alias("case_id"), F.col("l_returnflag").alias("activity"), F.col("l_shipdate").alias("timestamp"),
         F.col("o_orderdate").alias("start_timestamp"), F.col("l_suppkey").cast("string").alias("resource"),
     )
+    return dealt(out, "case_id", rows) if by_case else out
