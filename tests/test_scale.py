@@ -201,3 +201,14 @@ def test_a_large_order_log_is_dealt_by_its_rows(spark, sf, monkeypatch):
         frame = QUERIES["event_frame_order"](spark, sf)
         assert frame.rdd.getNumPartitions() == -(-len(want) // rows)
         assert sorted(frame.collect(), key=key) == want
+
+
+def test_copies_in_a_large_log_are_searched_for_in_more_tasks(spark, sf, monkeypatch):
+    from tracelane.functions import size
+    from tracelane.plans.queries import QUERIES
+
+    want = sorted(map(tuple, QUERIES["reject_cascade"](spark, sf).collect()))
+    monkeypatch.setattr(size, "TASK_ROWS", 800)
+    marked = QUERIES["reject_cascade"](spark, sf)
+    assert marked.rdd.getNumPartitions() > 4
+    assert sorted(map(tuple, marked.collect())) == want

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracelane.functions.size import dealt
 from tracelane.functions.text import strip
 from tracelane.functions.timestamps import parse_stripped
 
@@ -18,14 +19,15 @@ ISSUES = ("malformed_row", "missing_case_id", "missing_activity", "invalid_times
 OPTIONAL = ("resource", "department", "status", "customer_id", "location", "priority")
 
 
-def mark(raw: DataFrame, key: list[str], zone: str = "UTC", now: dt.datetime | None = None) -> DataFrame:
+def mark(raw: DataFrame, key: list[str], zone: str = "UTC", now: dt.datetime | None = None, rows: int = 0) -> DataFrame:
     """``raw`` with its texts trimmed, ``parsed_timestamp``, ``parsed_start`` and ``issue``, null for an event.
 
     ``raw``: source_row, case_id, activity, timestamp as text, and if there start_timestamp and malformed (boolean).
     ``key``: the columns that make a duplicate if all are equal; the first row in the order of files (``file``, if there is
     one) and rows stays. Only rows without another issue are compared: by a hash of the key first, then by the key itself, and
     all others are dealt by a hash of their place, so rejected rows are never a hot group. Timestamps before 1970 or over a day after ``now`` are impossible, as is a start after
-    its end; a start that cannot be read is dropped and the event stays.
+    its end; a start that cannot be read is dropped and the event stays. ``rows``: about how many rows ``raw`` has, where that
+    is known without reading it, so that copies in a large log are searched for in tasks of bounded size.
     """
     limit = now or dt.datetime.now(dt.timezone.utc)
     text = raw.withColumns({c: strip(c) for c in ("case_id", "activity", "timestamp", "start_timestamp") if c in raw.columns})
@@ -43,6 +45,7 @@ def mark(raw: DataFrame, key: list[str], zone: str = "UTC", now: dt.datetime | N
     ok, names = F.col("issue").isNull(), [f"__key{i}" for i in range(len(key))]
     flat = [x for c in key for x in (F.coalesce(F.col(c).cast("string"), F.lit("")), F.col(c).isNull())]  # a hash passes over nulls
     keyed = marked.withColumns({"__hash": F.when(ok, F.xxhash64(*flat)).otherwise(F.xxhash64(*order)), **{n: F.when(ok, F.col(c)) for n, c in zip(names, key, strict=True)}})
+    keyed = dealt(keyed, "__hash", rows)
     copies = F.row_number().over(W.partitionBy("__hash", *names).orderBy(*order)) > 1
     return keyed.withColumn("issue", F.when(ok & copies, "duplicate").otherwise(F.col("issue"))).drop("__hash", *names)
 

@@ -217,7 +217,7 @@ def label_merges(spark, d):
 
 def _marked(spark, d):
     """The lines as texts, with gaps and copies: every 13th row twice, some without case or activity, some with a bad time."""
-    o = adapters.order(spark, d)
+    o = adapters.order(spark, d, by_case=False)
     k = F.col("case_id").cast("long") * 10 + F.col("source_row")
     raw = o.select(
         (k * 2).alias("source_row"), F.when(k % 17 == 0, F.lit("  ")).otherwise(F.col("case_id")).alias("case_id"), F.when(k % 19 == 0, F.lit("")).otherwise(F.col("activity")).alias("activity"),
@@ -226,7 +226,7 @@ def _marked(spark, d):
     )
     twice = F.when(F.col("source_row") % 26 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     raw = raw.withColumn("copy", F.explode(twice)).withColumn("source_row", F.col("source_row") + F.col("copy")).drop("copy")
-    return ingest.mark(raw, ["case_id", "activity", "timestamp", "start_timestamp", "resource", "line"], now=NOW)
+    return ingest.mark(raw, ["case_id", "activity", "timestamp", "start_timestamp", "resource", "line"], now=NOW, rows=adapters.order_rows(spark, d))
 
 
 def reject_cascade(spark, d):

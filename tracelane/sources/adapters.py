@@ -53,6 +53,11 @@ def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("turn").alias("source_row"), F.col("conv_id").cast("string").alias("case_id"), activity.alias("activity"), at.alias("timestamp"))
 
 
+def order_rows(spark: SparkSession, sf_dir: str) -> int:
+    """Events of ``order`` at most, by the files' footers."""
+    return _table(spark, sf_dir, "lineitem").count()
+
+
 def order(spark: SparkSession, sf_dir: str, by_case: bool = True) -> DataFrame:
     """``lineitem`` and ``orders``: a line is an event of its order, started at the order's date.
 
@@ -60,7 +65,7 @@ def order(spark: SparkSession, sf_dir: str, by_case: bool = True) -> DataFrame:
     """
     line = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate")
     start = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
-    rows = line.count()  # from the files' footers
+    rows = order_rows(spark, sf_dir)
     line, start = dealt(line, "l_orderkey", rows), dealt(start, "l_orderkey", rows)
     place = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"))
     out = line.join(start, "l_orderkey").select(
