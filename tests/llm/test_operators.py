@@ -1,6 +1,7 @@
 """The text operators against brute force, on small texts that hold the awkward cases."""
 
 import collections
+import functools
 import hashlib
 import random
 import re
@@ -268,6 +269,48 @@ def test_next_token_distribution_sums_to_one(spark, rows):
     assert suffix_tree_lm.score(docs, empty(spark)).first().train_tokens == 0
 
 
+def plain_scores(rows, depth=3, least=4):
+    """The same model by counting all runs in dictionaries."""
+    texts = [[*words(t), None] for _, t in rows]
+    n = collections.Counter(tuple(t[i - k : i]) for t in texts for k in range(1, depth + 2) for i in range(k, len(t) + 1))
+    total, distinct = sum(map(len, texts)), sum(len(r) == 1 for r in n)
+    root = lambda w: (n[(w,)] + 0.5) / (total + 0.5 * (distinct + 1))
+    followers = collections.defaultdict(list)
+    for r in n:
+        if len(r) > 1 and n[r] >= least:
+            followers[r[:-1]].append(r[-1])
+
+    @functools.cache
+    def weight(context):
+        theirs = [p(context[1:], w) for w in followers[context]]
+        share = [n[(*context, w)] / n[context] for w in followers[context]]
+        far, rest = sum(a * np.log(a / b) for a, b in zip(share, theirs)), 1 - sum(share)
+        far += rest * np.log(max(rest, 1e-12) / max(1 - sum(theirs), 1e-12)) if rest > 1e-9 else 0
+        return 1 + n[context] - sum(n[(*context, w)] for w in followers[context]) if far >= 0.05 else None
+
+    @functools.cache
+    def p(context, w):
+        if not context:
+            return root(w)
+        if not followers.get(context) or weight(context) is None:
+            return p(context[1:], w)
+        own = n[(*context, w)] if w in followers[context] else 0
+        return (own + weight(context) * p(context[1:], w)) / (n[context] + 1)
+
+    return {i: sum(np.log10(p(tuple(t[max(0, j - depth) : j]), t[j])) for j in range(len(t))) for (i, _), t in zip(rows, texts)}
+
+
+@pytest.mark.parametrize(("top_words", "top_runs", "bits"), [(1 << 20, 1 << 21, 27), (20, 1 << 21, 27), (20, 10, 8), (1 << 20, 0, 12)])
+def test_no_run_is_lost_to_what_is_broadcast(spark, monkeypatch, top_words, top_runs, bits):
+    """Rare words and runs are joined, and a run counts wherever it is found to occur often enough, in a corpus of any size."""
+    rows = [(i, f"rare{i // 4} word{i // 4} of group {i % 3} and a common line of many words number {i // 4}") for i in range(200)]
+    for name, value in (("TOP_WORDS", top_words), ("TOP_RUNS", top_runs), ("FILTER_LOG2", bits)):
+        monkeypatch.setattr(suffix_tree_lm, name, value)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.score for r in suffix_tree_lm.score(docs, docs.repartition(7)).collect()}
+    assert got == pytest.approx(plain_scores(rows), abs=1e-6)
+
+
 # ---- 6: token counts ------------------------------------------------------------------------------------------
 
 

@@ -9,19 +9,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelane.llm.common import RangeHash, Scratch, byte_view, chunks, lower_ascii, map_batches, mix, word_spans
+from tracelane.llm.common import RangeHash, Scratch, byte_view, chunks, lower_ascii, map_batches, mix, trim, word_spans
 
 #: Longest context, in tokens.
 DEPTH = 3
-#: A run of tokens must make up this share of the training tokens to be kept, so a level has at most 1 / MIN_SHARE runs.
-MIN_SHARE = 4e-7
+#: Runs that occur at least so often in the training rows are in the tree, however large the corpus is.
 LEAST_COUNT = 4
 #: A context is a state if its next-token distribution is at least this far (nats) from that of its suffix.
 DIVERGENCE = 0.05
 #: Weight of the shorter context in the smoothed distribution of a longer one, besides what its rare followers weigh.
 PRIOR = 1.0
-#: Words whose counts are broadcast, the most frequent ones: 2^20 * 12 bytes. The counts of all others are joined.
-TOP_WORDS = 1 << 20
+#: Words and runs whose values are broadcast, the most frequent ones. The values of all others are joined.
+TOP_WORDS, TOP_RUNS = 1 << 20, 1 << 21
+#: Bits of a filter of runs (8 MB), as a power of two; when many runs share bits, more places are looked up than are needed.
+FILTER_LOG2 = 26
 CHUNK_BYTES = 4_000_000
 END_TOKEN = np.uint64(0x8A5CD789635D2DFF)
 _STEP = np.uint64(0x9FB21C651E98DF25)
@@ -39,16 +40,41 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, np.repeat(np.arange(rows), sizes), np.arange(len(out)) - np.repeat(last - sizes, sizes)
 
 
+def joined(prefix: np.ndarray, suffix: np.ndarray, k: int) -> np.ndarray:
+    """Hash of a run of k + 1 tokens from those of its first k and its last k."""
+    return mix(prefix * _STEP + suffix + np.uint64(k))
+
+
 def runs(token: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For k = 1 .. DEPTH + 1 (hash of the k tokens that end at each place, whether there are so many)."""
     out = [(token, np.ones(len(token), bool))]
     for k in range(1, DEPTH + 1):
         longer = np.zeros(len(token), np.uint64)
-        longer[k:] = mix(out[-1][0][k:] * _STEP + token[:-k] + np.uint64(k))
+        longer[k:] = joined(out[-1][0][k - 1 : -1], out[-1][0][k:], k)
         out.append((longer, place >= k))
     return out
 
 
+class Filter:
+    """A bit per hash, for whatever number of hashes: what is not in it did not go in."""
+
+    def __init__(self):
+        self.shift = 64 - FILTER_LOG2
+        self.bits = np.zeros(1 << (FILTER_LOG2 - 6), np.int64)
+
+    def add(self, rows: DataFrame) -> None:
+        """The column ``run`` of ``rows``. The driver gets at most a row for every 64 bits."""
+        slots = rows.selectExpr(f"shiftrightunsigned(run, {self.shift}) AS slot").selectExpr("shiftright(slot, 6) AS at", "shiftleft(1L, CAST(slot & 63 AS INT)) AS bit")
+        found = slots.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+        self.bits[found.column("at").to_numpy()] |= found.column("bits").to_numpy()
+        del found
+        trim()
+
+    def has(self, wanted: np.ndarray) -> np.ndarray:
+        slot = wanted >> np.uint64(self.shift)
+        return (self.bits.view(np.uint64)[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Index in sorted ``keys`` of each wanted one, -1 where it is not there."""
     if not len(keys):
@@ -79,134 +105,159 @@ def count_tokens(training: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.groupBy("run").agg(F.sum("n").alias("n"))
 
 
-def count_longer(training: DataFrame, frequent: np.ndarray, k: int, text_col: str = "text") -> DataFrame:
-    """``run``, ``n``: runs of k tokens whose first and last k - 1 are both in ``frequent`` (sorted), and their counts in the
-    whole corpus. No run that occurs as often as the least frequent of ``frequent`` may is left out. Summed per part first."""
-    shared = training.sparkSession.sparkContext.broadcast(frequent)
+def _grown(own: list[tuple], frequent: Filter, depth: int) -> list[np.ndarray]:
+    """For k = 1 .. ``depth`` the places at which a run of k tokens ends whose parts, itself included, are all in ``frequent``."""
+    places = [np.flatnonzero(frequent.has(own[0][0]))]
+    for k in range(1, depth):
+        at = _extended(places[-1], own[k][1])
+        places.append(at[frequent.has(own[k][0][at])])
+    return places
 
-    def count(batch):
-        for _, _, data, offsets in _parts(batch.column(0)):
-            token, _, place = tokens(data, offsets)
-            own = runs(token, place)
-            known = _find(shared.value, own[k - 2][0]) >= 0
-            known[~own[k - 2][1]] = False
-            at = np.flatnonzero(own[k - 1][1])
-            values, n = np.unique(own[k - 1][0][at[known[at] & known[at - 1]]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([_signed(values), pa.array(n, pa.int64())], ["run", "n"])
 
-    rows = map_batches(training.select(F.col(text_col).cast("string")), count, "run long, n long")
-    return rows.groupBy("run").agg(F.sum("n").alias("n"))
+def _extended(at: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Those of the places ``at`` at which both parts of the next longer run are alive, and which have so many tokens."""
+    follows = np.concatenate([[False], at[1:] == at[:-1] + 1]) if len(at) else np.zeros(0, bool)
+    at = at[follows]
+    return at[there[at]]
+
 
+def count_longer(training: DataFrame, frequent: Filter, k: int, least: int, text_col: str = "text") -> DataFrame:
+    """``run``, ``prefix``, ``suffix``, ``n``: all runs of k tokens that occur at least ``least`` times in the whole corpus.
 
-def count_runs(training: DataFrame, candidates: list[np.ndarray], text_col: str = "text") -> DataFrame:
-    """``k``, ``run``, ``prefix``, ``suffix``, ``n``: exact counts of the candidate runs of 2 tokens or more."""
-    shared = training.sparkSession.sparkContext.broadcast(candidates)
+    Such a run has only parts that do, so places with a part that is not in ``frequent`` (runs of fewer tokens) are left
+    out; what the filter lets through by chance is counted like the rest. Summed per part first.
+    """
+    shared = training.sparkSession.sparkContext.broadcast(frequent)
 
     def count(batch):
         for _, _, data, offsets in _parts(batch.column(0)):
             token, _, place = tokens(data, offsets)
             own = runs(token, place)
-            alive = np.arange(len(token))
-            for k in range(1, DEPTH + 1):
-                run, there = own[k]
-                alive = alive[there[alive]]
-                alive = alive[_find(shared.value[k - 1], run[alive]) >= 0]
-                values, first, n = np.unique(run[alive], return_index=True, return_counts=True)
-                at = alive[first]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k + 1), pa.int32()), _signed(values), _signed(own[k - 1][0][at - 1]), _signed(own[k - 1][0][at]), pa.array(n, pa.int64())], ["k", "run", "prefix", "suffix", "n"])
+            at = _extended(_grown(own, shared.value, k - 1)[-1], own[k - 1][1])
+            _, first, n = np.unique(own[k - 1][0][at], return_index=True, return_counts=True)
+            prefix, suffix = own[k - 2][0][at[first] - 1], own[k - 2][0][at[first]]
+            order = np.argsort(prefix)
+            yield pa.RecordBatch.from_arrays([_signed(prefix[order]), _signed(suffix[order]), pa.array(n[order], pa.int64())], ["prefix", "suffix", "n"])
 
-    rows = map_batches(training.select(F.col(text_col).cast("string")), count, "k int, run long, prefix long, suffix long, n long")
-    return rows.groupBy("k", "run", "prefix", "suffix").agg(F.sum("n").alias("n"))
+    def name(batch):
+        prefix, suffix = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([_signed(joined(prefix, suffix, k - 1)), *batch.columns], ["run", "prefix", "suffix", "n"])
 
+    rows = map_batches(training.select(F.col(text_col).cast("string")), count, "prefix long, suffix long, n long")
+    rows = rows.groupBy("prefix", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return map_batches(rows, name, "run long, prefix long, suffix long, n long")
 
-class SuffixTree:
-    """States by length with the weight of their suffix, and the smoothed probabilities of their frequent followers.
 
-    A context is a state if its next-token distribution diverges from that of the context without its first token, or
-    if a longer state ends with it. A state gives (count + weight * suffix's probability) / (total + PRIOR), where
-    weight is PRIOR plus the count of all followers that are too rare to be listed, so it sums to one.
+def grow(scratch: Scratch, counted: DataFrame, training: DataFrame, total: int, distinct: int, text_col: str = "text") -> tuple[DataFrame, Filter]:
+    """(``run``, ``n``, ``enter``, ``leave``; a filter of all runs of the tree): what each run adds to a text's log10 probability.
+
+    A context is a state if its next-token distribution diverges from that of the context without its first token. A
+    state gives (count + weight * suffix's probability) / (total + PRIOR), where weight is PRIOR plus the count of all
+    followers that are too rare for the tree, so it sums to one; any other context gives what its suffix does.
+
+    In logarithms that is a sum over runs. Whatever follows a state, ``leave`` = log10(weight / (total + PRIOR)) is added to what its
+    suffix gives; where the run of state and follower is in the tree, also ``enter``, the rest. A run may have a row for each.
     """
+    frequent = Filter()
+    context = counted.where(F.col("n") >= LEAST_COUNT).select("run", "n", ((F.col("n") + 0.5) / (total + 0.5 * (distinct + 1))).alias("p"))
+    frequent.add(context)
+    values = []
+    for k in range(2, DEPTH + 2):
+        level = scratch.save(count_longer(training, frequent, k, LEAST_COUNT, text_col), f"level{k}")
+        frequent.add(level)
+        lower = level.join(context.select(F.col("run").alias("suffix"), F.col("p").alias("theirs")), "suffix")
+        followed = lower.groupBy("prefix").agg(F.sum("n").alias("listed"), F.sum("theirs").alias("theirs"), F.sum(F.col("n") * F.log(F.col("n") / F.col("theirs"))).alias("s"))
+        followed = followed.join(context.select(F.col("run").alias("prefix"), F.col("n").alias("total")), "prefix")
+        rest, rest_theirs = F.greatest(1 - F.col("listed") / F.col("total"), F.lit(0.0)), F.greatest(1 - F.col("theirs"), F.lit(1e-12))
+        far = (F.col("s") - F.col("listed") * F.log(F.col("total").cast("double"))) / F.col("total") + F.when(rest > 0, rest * F.log(F.greatest(rest, F.lit(1e-12)) / rest_theirs)).otherwise(0.0)
+        states = followed.where(far >= DIVERGENCE).select("prefix", "total", (PRIOR + F.greatest(F.col("total") - F.col("listed"), F.lit(0))).alias("weight"))
+        states = scratch.save(states.withColumn("leave", F.log10(F.col("weight") / (F.col("total") + PRIOR))), f"states{k}")
+        smoothed = F.coalesce((F.col("n") + F.col("weight") * F.col("theirs")) / (F.col("total") + PRIOR), "theirs")
+        context = lower.join(states, "prefix", "left").select("run", "n", smoothed.alias("p"), F.coalesce(F.log10(smoothed) - F.log10("theirs") - F.col("leave"), F.lit(0.0)).alias("enter"))
+        context = scratch.save(context, f"context{k}")
+        scratch.drop(f"level{k}")
+        values += [context.where("enter <> 0").select("run", "n", "enter", F.lit(0.0).alias("leave")), states.select(F.col("prefix").alias("run"), F.col("total").alias("n"), F.lit(0.0).alias("enter"), "leave")]
+    whole = values[0]
+    for other in values[1:]:
+        whole = whole.unionByName(other)
+    return whole, frequent
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int, levels: list[tuple]):
-        """words: sorted hashes with counts; levels[k]: sorted runs of k + 2 tokens, prefixes, suffixes, counts."""
-        self.words = words
-        self.root = np.log10(counts + 0.5) - math.log10(total + 0.5 * (distinct + 1)) if total else np.zeros(0)
-        context, totals, p = words, counts.astype(np.float64), 10**self.root
-        self.states, self.weights, self.followers, self.logp = [], [], [], []
-        retained, every = [], []
-        for run, prefix, suffix, n in levels:
-            own, low = _find(context, prefix), _find(context, suffix)
-            ok = (own >= 0) & (low >= 0)
-            run, suffix, n, own, low = run[ok], suffix[ok], n[ok], own[ok], low[ok]
-            listed = np.bincount(own, n, len(context))
-            share = n / totals[own]
-            theirs = p[low]
-            rest, rest_theirs = np.maximum(1 - listed / np.maximum(totals, 1), 0), np.maximum(1 - np.bincount(own, theirs, len(context)), 1e-12)
-            far = np.bincount(own, share * np.log(share / theirs), len(context)) + np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-12) / rest_theirs), 0)
-            is_state = (listed > 0) & (far >= DIVERGENCE)
-            weight = PRIOR + np.maximum(totals - listed, 0)
-            smoothed = np.where(is_state[own], (n + weight[own] * theirs) / (totals[own] + PRIOR), theirs)
-            every.append((context, own, run, n, theirs, weight, totals, suffix))
-            retained.append(is_state)
-            context, totals, p = run, n.astype(np.float64), smoothed
-        for k in range(len(retained) - 1, 0, -1):  # suffixes of states are states
-            tails = _find(every[k - 1][0], every[k - 1][7][_find(every[k - 1][2], every[k][0][retained[k]])])
-            retained[k - 1][tails[tails >= 0]] = True
-        p = 10**self.root
-        for (context, own, run, n, _, weight, totals, suffix), is_state in zip(every, retained, strict=True):
-            theirs = p[_find(context, suffix)]
-            p = np.where(is_state[own], (n + weight[own] * theirs) / (totals[own] + PRIOR), theirs)
-            listed = is_state[own]
-            self.states.append(context[is_state])
-            self.weights.append(np.log10(weight[is_state] / (totals[is_state] + PRIOR)))
-            self.followers.append(run[listed])
-            self.logp.append(np.log10(p[listed]))
 
-    def log10(self, token: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 probability of each token, whether its count is known here).
+class SuffixTree:
+    """What words and runs add to a text's log10 probability: the most frequent ones, and a filter of all others."""
+
+    def __init__(self, words: np.ndarray, root: np.ndarray, runs: pa.Table, frequent: Filter, joined: Filter | None):
+        """words: sorted hashes with log10 probabilities; runs: run, enter, leave; joined: those that are not in runs, if any."""
+        self.words, self.root, self.frequent, self.joined = words, root, frequent, joined
+        run, enter, leave = (runs.column(c).to_numpy() for c in ("run", "enter", "leave"))
+        self.runs, at = np.unique(run.view(np.uint64), return_inverse=True)
+        self.enter, self.leave = np.bincount(at, enter, len(self.runs)), np.bincount(at, leave, len(self.runs))
 
-        Where it is not known, what is left to add is the root's log10 probability of the token.
+    def look_up(self, token: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(log10 probability of each token as far as it is known here, the index of its word or -1, keys whose values are to be joined, their places).
+
+        A key that only seems to be in ``joined`` adds nothing.
         """
         at = _find(self.words, token)
-        known = at >= 0
-        out = np.where(known, self.root[np.maximum(at, 0)], 0) if len(self.root) else np.zeros(len(token))
+        out = np.where(at >= 0, self.root[np.maximum(at, 0)], 0) if len(self.root) else np.zeros(len(token))
         own = runs(token, place)
-        alive = np.arange(len(token))
-        for k, (states, weights, followers, logp) in enumerate(zip(self.states, self.weights, self.followers, self.logp, strict=True), 1):
-            alive = alive[place[alive] >= k]
-            at = _find(states, own[k - 1][0][alive - 1])
-            alive, at = alive[at >= 0], at[at >= 0]
-            listed = _find(followers, own[k][0][alive])
-            out[alive] = np.where(listed >= 0, logp[np.maximum(listed, 0)], out[alive] + weights[at]) if len(logp) else out[alive] + weights[at]
-        return out, known
+        keys, where = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for k, here in enumerate(_grown(own, self.frequent, DEPTH + 1)):
+            run = own[k][0][here]
+            found = _find(self.runs, run)
+            if self.joined is not None:
+                rest = (found < 0) & self.joined.has(run)
+                if not k:  # words that are not here are keys themselves
+                    rest &= at[here] >= 0
+                keys.append(run[rest])
+                where.append(here[rest])
+            here, found = here[found >= 0], found[found >= 0]
+            out[here] += self.enter[found]
+            then = np.minimum(here + 1, len(out) - 1)
+            inside = place[then] > place[here]  # nothing follows the end of a row
+            out[then[inside]] += self.leave[found[inside]]
+        return out, at, np.concatenate(keys), np.concatenate(where)
+
+    def log10(self, token: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 probability of each token as far as it is known here, whether its word is)."""
+        out, at, _, _ = self.look_up(token, place)
+        return out, at >= 0
 
 
-def learn(counted: DataFrame, training: DataFrame, text_col: str = "text") -> tuple[SuffixTree, int, int]:
-    """(suffix tree, training tokens, distinct tokens) from ``count_tokens``.
+def broadcast_part(counted: DataFrame, values: DataFrame, frequent: Filter, total: int, distinct: int) -> tuple[SuffixTree, DataFrame | None, DataFrame | None]:
+    """(suffix tree with the TOP_WORDS most frequent words and at most 2 * TOP_RUNS values, counts of all other words, values of all other runs).
 
-    Only frequent words and runs reach the driver: at most TOP_WORDS words, and 1 / MIN_SHARE runs a length. A run
-    of which a word is not among the broadcast ones is never listed. A run can be as frequent as asked only if the runs
-    without its first and without its last token are, so runs are counted length by length, over the whole corpus.
+    Both bounds are of what is broadcast, not of the model. None: there are no others.
     """
-    size = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = counted.orderBy(F.desc("n"), "run").limit(TOP_WORDS).toArrow()
-    word, n = top.column("run").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    least = max(LEAST_COUNT, size.n * MIN_SHARE, 0 if size.v <= TOP_WORDS else int(n.min()) + 1)
-    order = np.argsort(word)
-    word, n = word[order], n[order]
-    candidates, frequent = [], word[n >= least]
-    for k in range(2, DEPTH + 2):
-        some = count_longer(training, frequent, k, text_col).where(F.col("n") >= least).select("run").toArrow()
-        frequent = np.sort(some.column("run").to_numpy().view(np.uint64))
-        candidates.append(frequent)
-    kept = count_runs(training, candidates, text_col).where(F.col("n") >= least).toArrow()
-    columns = [kept.column(c).to_numpy() for c in ("run", "prefix", "suffix", "n")]
-    length, levels = kept.column("k").to_numpy(), []
-    for k in range(2, DEPTH + 2):
-        own = np.flatnonzero(length == k)
-        own = own[np.argsort(columns[0][own].view(np.uint64))]
-        levels.append((*(c[own].view(np.uint64) for c in columns[:3]), columns[3][own]))
-    return SuffixTree(word, n, size.n, size.v, levels), size.n, size.v
+    word, n = top.column("run").to_numpy(), top.column("n").to_numpy()
+    others = counted.where((F.col("n") < int(n[-1])) | ((F.col("n") == int(n[-1])) & (F.col("run") > int(word[-1])))) if distinct > TOP_WORDS else None
+    order = np.argsort(word.view(np.uint64))
+    root = np.log10(n[order] + 0.5) - math.log10(total + 0.5 * (distinct + 1)) if total else np.zeros(0)
+    times = F.least("n", F.lit(1 << 16))
+    sizes = values.groupBy(times.alias("n")).count().toArrow()
+    held, size = sizes.column("n").to_numpy(), sizes.column("count").to_numpy()
+    down = np.argsort(-held)
+    over = down[np.cumsum(size[down]) > 2 * TOP_RUNS]
+    rare = values.where(times <= int(held[over].max())) if len(over) else None
+    some = (values.where(times > int(held[over].max())) if len(over) else values).select("run", "enter", "leave").toArrow()
+    known = None if rare is None else Filter()
+    if known:
+        known.add(rare)
+    return SuffixTree(word.view(np.uint64)[order], root, some, frequent, known), others, rare
+
+
+def _size(counted: DataFrame) -> tuple[int, int]:
+    """(tokens, distinct tokens)."""
+    size = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    return size.n, size.v
+
+
+def learn(counted: DataFrame, training: DataFrame, text_col: str = "text") -> tuple[SuffixTree, int, int]:
+    """(suffix tree, training tokens, distinct tokens) from ``count_tokens``; the tree is whole for a small corpus."""
+    total, distinct = _size(counted)
+    values, frequent = grow(Scratch(training.sparkSession, "suffix_tree_lm"), counted, training, total, distinct, text_col)
+    return broadcast_part(counted, values, frequent, total, distinct)[0], total, distinct
 
 
 def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,14 +271,17 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
     training rows a token costs log10(0.5 / 0.5) = 0. An empty table gives an empty table. Only the identifier and the
     scores are returned, so other columns cannot clash.
 
-    Counts of all words never meet in one place: the TOP_WORDS most frequent are broadcast (bounded), which leaves no
-    hot key, and the tokens of all rarer words are joined with their counts by hash.
+    Words and runs never meet in one place: the most frequent ones are broadcast (bounded), which leaves no hot key, and
+    the values of all others, however many and rare, are joined by hash with the places that have them. A value is a
+    sum's term, so a key that only seemed to be a run of the tree finds nothing and adds nothing.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix_tree_lm")
     counted = scratch.save(count_tokens(training, text_col), "counted")
-    tree, total, distinct = learn(counted, training, text_col)
-    whole = distinct <= TOP_WORDS
+    total, distinct = _size(counted)
+    values, frequent = grow(scratch, counted, training, total, distinct, text_col)
+    tree, others, rare = broadcast_part(counted, values, frequent, total, distinct)
+    whole = others is None
     floor = math.log10(total + 0.5 * (distinct + 1))
     unseen = math.log10(0.5) - floor
     shared = spark.sparkContext.broadcast(tree)
@@ -238,29 +292,42 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
         for start, stop, data, offsets in _parts(batch.column(1)):
             rows = stop - start
             token, row, place = tokens(data, offsets)
-            model, known = tree.log10(token, place)
-            at = _find(tree.words, token[known])
-            settled = known if not whole else np.ones(len(token), bool)
-            base = np.full(len(token), unseen if whole else 0.0)
-            base[known] = tree.root[at]
-            model[~known] += unseen if whole else 0.0
-            size = np.bincount(row, minlength=rows)
-            rare = token[~settled]
-            ends = np.cumsum(np.bincount(row[~settled], minlength=rows))
+            model, at, keys, where = tree.look_up(token, place)
+            known = at >= 0
+            base = np.full(len(token), unseen)
+            base[known] = tree.root[at[known]]
+            model[~known] += unseen
+            if not whole:
+                keys, where = np.concatenate([keys, token[~known]]), np.concatenate([where, np.flatnonzero(~known)])
+            order = np.lexsort([keys, row[where]])
+            keys, where = keys[order], row[where[order]]
+            first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (where[1:] != where[:-1])])) if len(keys) else np.zeros(0, np.int64)
+            times = np.diff(np.append(first, len(keys)))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(where[first], minlength=rows))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [ids[start:stop], pa.array(size, pa.int64()), pa.array(np.bincount(row[known], minlength=rows), pa.int64()), pa.array(np.bincount(row, base, rows)), pa.array(np.bincount(row, model, rows)),
-                 pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), _signed(rare))],
-                ["id", "n_tokens", "n_known", "base", "model", "rare"],
+                [ids[start:stop], pa.array(np.bincount(row, minlength=rows), pa.int64()), pa.array(np.bincount(row[known], minlength=rows), pa.int64()), pa.array(np.bincount(row, base, rows)), pa.array(np.bincount(row, model, rows)),
+                 pa.ListArray.from_arrays(pa.array(ends), _signed(keys[first])), pa.ListArray.from_arrays(pa.array(ends), pa.array(times, pa.int32()))],
+                ["id", "n_tokens", "n_known", "base", "model", "keys", "times"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rated = map_batches(docs.select(id_col, F.col(text_col).cast("string")), rate, f"id {kind}, n_tokens long, n_known long, base double, model double, rare array<long>")
+    rated = map_batches(docs.select(id_col, F.col(text_col).cast("string")), rate, f"id {kind}, n_tokens long, n_known long, base double, model double, keys array<long>, times array<int>")
     rated = scratch.save(rated.withColumn("row", F.monotonically_increasing_id()), "rated")
-    rare = rated.select("row", F.explode("rare").alias("run")).groupBy("row", "run").agg(F.count("*").alias("times"))
-    rare = rare.join(counted, "run", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    sums = rare.groupBy("row").agg(F.sum(F.col("times") * (F.log10(F.col("n") + 0.5) - F.lit(floor))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    more = F.coalesce("more", F.lit(0.0))
-    return rated.join(sums, "row", "left").select(
-        F.col("id").alias(id_col), "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"), (F.col("model") + more).alias("score"),
+    ratings = rated.select("id", "n_tokens", "n_known", "base", "model", "row")
+    more = []
+    if rare is not None:
+        more.append(rare.select("run", (F.col("enter") + F.col("leave")).alias("model"), F.lit(0.0).alias("base"), F.lit(0).alias("known")))
+    if others is not None:
+        word = F.log10(F.col("n") + 0.5) - F.lit(floor + unseen)
+        more.append(others.select("run", word.alias("model"), word.alias("base"), F.lit(1).alias("known")))
+    if more:
+        rest = rated.select("row", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", F.col("x.keys").alias("run"), F.col("x.times").alias("times"))
+        sums = rest.join(more[0].unionByName(more[1]) if more[1:] else more[0], "run").groupBy("row").agg(*[F.sum(F.col("times") * F.col(c)).alias(f"more_{c}") for c in ("base", "model", "known")])
+        ratings = ratings.join(sums, "row", "left")
+    else:
+        ratings = ratings.withColumns({f"more_{c}": F.lit(0) for c in ("base", "model", "known")})
+    plus = lambda c, d: F.col(c) + F.coalesce(d, F.lit(0))
+    return ratings.select(
+        F.col("id").alias(id_col), "n_tokens", plus("n_known", "more_known").cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        plus("base", "more_base").cast("double").alias("base_score"), plus("model", "more_model").cast("double").alias("score"),
     )
