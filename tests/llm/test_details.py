@@ -5,6 +5,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -344,3 +345,16 @@ def test_windows_are_bounded_before_they_are_embedded():
         assert true.any() and not (true & ~may).any()
     chance = row == 2
     assert index.possible(data, offsets, found, 0.05)[chance].mean() < 0.5
+
+
+def test_workers_do_not_keep_the_codec(spark):
+    """A worker that has encoded a partition waits without the vocabulary; else each one of an executor would hold it."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(16)], "doc_id long, text string").repartition(8)
+    coded = byte_bpe.round_trip(docs)
+    assert all(bytes(r.decoded).decode() == r.text for r in coded.collect())
+
+    @F.arrow_udf("bigint")
+    def held(ids: pa.Array) -> pa.Array:
+        return pa.array([byte_bpe.codec.cache_info().currsize] * len(ids))
+
+    assert {r.n for r in docs.select(held("doc_id").alias("n")).collect()} == {0}

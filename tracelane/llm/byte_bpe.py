@@ -5,13 +5,14 @@ from __future__ import annotations
 import base64
 import functools
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelane.llm.common import RangeHash, arrow_udf, byte_view, chunks, list_array, strings, with_columns_last, with_fields
+from tracelane.llm.common import RangeHash, arrow_udf, byte_view, chunks, list_array, strings, trim, with_columns_last, with_fields
 
 #: Slots for encoded units in a worker, tokens that they may hold before all are emptied, and units encoded at a time.
 SLOTS_LOG2, POOL_TOKENS, UNITS = 19, 4_000_000, 5_000
@@ -265,16 +266,26 @@ def decode_column(ids: Column, ranks: str | None = None) -> Column:
 
 
 def round_trip_column(text: Column, ranks: str | None = None, pattern: str | None = None) -> Column:
-    """struct(token_ids, decoded): the identifiers of ``text`` and the bytes that they decode to, in one pass."""
+    """struct(token_ids, decoded): the identifiers of ``text`` and the bytes that they decode to, in one pass.
+
+    The codec goes with its partition: a worker that waits for other work would keep it.
+    """
     ranks, pattern = ranks or default_ranks(), pattern or default_pattern()
 
-    @arrow_udf("struct<token_ids:array<int>,decoded:binary>")
-    def both(texts: pa.Array) -> pa.Array:
-        own = codec(ranks, pattern)
-        ids, sizes = own.encode_column(texts)
-        ends = np.cumsum(sizes)
-        decoded = pa.array([own.decode(ids[e - n : e]) for e, n in zip(ends, sizes, strict=True)], pa.binary())
-        return pa.StructArray.from_arrays([list_array(ids, np.concatenate([[0], ends]), pa.int32()), decoded], names=["token_ids", "decoded"])
+    @F.arrow_udf("struct<token_ids:array<int>,decoded:binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for texts in batches:
+                own = codec(ranks, pattern)
+                ids, sizes = own.encode_column(texts)
+                ends = np.cumsum(sizes)
+                decoded = pa.array([own.decode(ids[e - n : e]) for e, n in zip(ends, sizes, strict=True)], pa.binary())
+                yield pa.StructArray.from_arrays([list_array(ids, np.concatenate([[0], ends]), pa.int32()), decoded], names=["token_ids", "decoded"])
+                del own, ids, sizes, ends, decoded
+                trim()
+        finally:
+            codec.cache_clear()
+            trim()
 
     return both(text.cast("string"))
 

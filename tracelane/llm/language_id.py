@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelane.llm.common import arrow_udf, chunks, map_batches, strings, with_fields
+from tracelane.llm.common import arrow_udf, byte_view, chunks, map_batches, strings, with_fields
 
 #: Hashed character trigrams per language, and the size of the model: with over 2^9 languages each has fewer buckets, so
 #: that it stays within 2^MODEL_LOG2 float32 (134 MB) for any number of them.
@@ -20,7 +20,7 @@ SMOOTHING = 0.1
 EM_ROUNDS, EM_STEP = 50, 1e-3
 #: Price of one more language: this times ln(words).
 PENALTY = 1.5
-CHUNK_CHARS = 400_000
+CHUNK_BYTES = 200_000
 UNDETERMINED = "und"
 
 
@@ -49,9 +49,13 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bucket, first, np.searchsorted(ends, at[first], "right")
 
 
-def _groups(texts: list[str], languages: int = 8) -> Iterator[tuple[int, int]]:
-    """Row ranges of about CHUNK_CHARS characters, of fewer where each has more languages to weigh."""
-    yield from chunks(np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]), CHUNK_CHARS * 8 // max(8, languages))
+def _groups(column: pa.Array, languages: int = 8) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of row ranges of about CHUNK_BYTES, of fewer where each has more languages to weigh.
+
+    Only one range at a time is held as Python strings.
+    """
+    for start, stop in chunks(byte_view(column)[1], CHUNK_BYTES * 8 // max(8, languages)):
+        yield start, strings(column[start:stop])
 
 
 def buckets_log2(languages: int) -> int:
@@ -80,11 +84,11 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            texts, langs = strings(batch.column(0)), np.array(batch.column(1).to_pylist(), object)
-            for start, stop in _groups(texts):
-                bucket, first, row = trigrams(texts[start:stop])
+            langs = np.array(batch.column(1).to_pylist(), object)
+            for start, texts in _groups(batch.column(0)):
+                bucket, first, row = trigrams(texts)
                 spread = np.repeat(row, np.diff(np.append(first, len(bucket))))
-                own = langs[start:stop]
+                own = langs[start : start + len(texts)]
                 for lang in sorted(set(own)):
                     mine = bucket[(own == lang)[spread]] >> shift
                     sums[lang] = sums.get(lang, 0) + np.bincount(mine, minlength=size)
@@ -194,10 +198,10 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
 
     @arrow_udf("struct<lang_pred:string,score:double,mixture:map<string,double>>")
     def predict(column: pa.Array) -> pa.Array:
-        texts, own = strings(column), shared.value
+        own = shared.value
         names, scores, mixtures = [], [], []
-        for start, stop in _groups(texts, len(own.languages)):
-            for share in infer(own, texts[start:stop]):
+        for _, texts in _groups(column, len(own.languages)):
+            for share in infer(own, texts):
                 top = int(share.argmax()) if len(share) else 0
                 found = len(share) > 0 and share[top] > 0
                 names.append(own.languages[top] if found else UNDETERMINED)
