@@ -13,8 +13,10 @@ from tracelane.functions.matching import matching_blocks
 from tracelane.operators import deviations as dv
 from tracelane.operators import variants as vs
 from tracelane.operators.frame import cases, event_frame, segmented_frame
+from tracelane.operators.quantiles import quantiles
 from tracelane.plans import tools
 from tracelane.plans.log import ProcessLog
+from tracelane.sources import adapters
 from tracelane.sources import sinks
 
 SCHEMA = "case_id string, activity string, timestamp timestamp_ntz, start_timestamp timestamp_ntz, source_row long"
@@ -212,3 +214,19 @@ def test_copies_in_a_large_log_are_searched_for_in_more_tasks(spark, sf, monkeyp
     marked = QUERIES["reject_cascade"](spark, sf)
     assert marked.rdd.getNumPartitions() > 4
     assert sorted(map(tuple, marked.collect())) == want
+
+
+def test_quantiles_of_kept_rows_count_cells_first(spark):
+    rows = [(f"k{i % 3}" if i % 7 else None, (i * i * 7919) % (1 << 34) if i % 5 else 12345) for i in range(3000)]
+    kept = spark.createDataFrame(rows, "k string, v long").persist()
+    plain, cells = ({r.k: r.q for r in quantiles(kept, ["k"], "v", kept=k).collect()} for k in (False, True))
+    assert cells == plain and len(plain) == 4
+    kept.unpersist()
+
+
+def test_case_metrics_alone_keep_no_frame(spark, sf):
+    log = ProcessLog(adapters.daily(spark, sf), persist=True)
+    alone = log.case_metrics_alone().first()
+    assert "frame" not in log.__dict__ and "variants" not in log.__dict__
+    assert alone.asDict() == pytest.approx(log.case_metrics().first().asDict())
+    log.release()

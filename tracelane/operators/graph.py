@@ -90,12 +90,12 @@ def transition_metrics(frame: DataFrame, spread: DataFrame | None = None) -> Dat
     return _with_gaps(frame, found, spread).select(F.col("prev_activity").alias("source"), F.col("activity").alias("target"), "frequency", "mean_h", "median_h", "p90_h")
 
 
-def case_metrics(cases: DataFrame, ends: DataFrame, size: int | None = None) -> DataFrame:
-    """One row of totals and durations; ``ends``: the completion activities; ``size``: the number of cases at most, if known."""
+def case_metrics(cases: DataFrame, ends: DataFrame, size: int | None = None, kept: bool = False) -> DataFrame:
+    """One row of totals and durations; ``ends``: the completion activities; ``size``: the number of cases at most, if known; ``kept``: they are persisted."""
     done = cases.join(F.broadcast(ends.select(F.col("activity").alias("last_activity"), F.lit(True).alias("done"))), "last_activity", "left")
     finished = F.when(F.col("done"), F.col("duration_us"))
     both = done.select(F.explode(F.array(F.struct(F.lit("all").alias("kind"), F.col("duration_us").alias("v")), F.struct(F.lit("completed").alias("kind"), finished.alias("v")))).alias("x")).select("x.*")
-    spread = quantiles(both, ["kind"], "v", size=None if size is None else 2 * size)
+    spread = quantiles(both, ["kind"], "v", size=None if size is None else 2 * size, kept=kept)
     found = done.agg(
         F.count("*").alias("total_cases"), F.count("done").alias("completed_cases"), (F.count("*") - F.count("done")).alias("incomplete_cases"),
         mean_hours("duration_us").alias("mean_duration_h"),

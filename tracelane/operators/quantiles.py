@@ -7,10 +7,13 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelane.functions.size import bounded
 from tracelane.functions.time import HOUR_US
 
 #: Width of a cell as a power of two: 2^26 microseconds are 67 seconds.
 CELL_BITS = 26
+#: The same where cells are counted before values: 2^31 microseconds are 36 minutes.
+COARSE_BITS = 31
 #: Rows whose distinct values may be held in one aggregate.
 FEW_ROWS = 5_000_000
 #: The shares that the spreads hold, in this order.
@@ -19,7 +22,7 @@ SHARES = (0.25, 0.5, 0.75, 0.9, 0.95)
 EVENT_KINDS = {"pair": ("gap_us", "prev_activity", "activity"), "wait": ("wait_us", "activity", None), "proc": ("proc_us", "activity", None), "log": ("wait_us", None, None), "resource": ("wait_us", "resource", None)}
 
 
-def quantiles(rows: DataFrame, keys: list[str], value: str, shares: Iterable[float] = SHARES, size: int | None = None) -> DataFrame:
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: Iterable[float] = SHARES, size: int | None = None, kept: bool = False) -> DataFrame:
     """``keys`` and ``q``: for each group the quantiles of a long column, by linear interpolation between neighbours.
 
     Null values do not count; a group without a value has no row. Keys may be null. ``size``: how many rows there are at
@@ -29,6 +32,9 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, shares: Iterable[flo
     Otherwise equal values of a group are counted before anything is shuffled. Counts are summed up within cells of
     2^CELL_BITS and then over the cells of a group, so each wanted rank is found in one cell. Everything is a hash
     aggregate or a sorted running sum, which spill; no task holds a group.
+
+    ``kept``: ``rows`` are persisted, so that they can be read twice. Then rows are counted by cell first, by a job of its
+    own, and only the values of cells that hold a wanted rank are counted and shuffled, if these cells are few.
     """
     shares = [float(s) for s in shares]
     wanted = f"array({', '.join(f'{s!r}D' for s in shares)})"
@@ -36,11 +42,13 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, shares: Iterable[flo
     if size is not None and size <= FEW_ROWS:
         return long.groupBy(*keys).agg(F.expr(f"percentile(__v, {wanted})").alias("q"))
     own = [f"__k{i}" for i in range(len(keys))]  # joins need keys that are never null
-    long = long.select(*[F.struct(k).alias(o) for k, o in zip(keys, own, strict=True)], "__v", F.expr(f"shiftright(__v, {CELL_BITS}) AS __cell"))
+    long = long.select(*[F.struct(k).alias(o) for k, o in zip(keys, own, strict=True)], "__v", F.expr(f"shiftright(__v, {COARSE_BITS if kept else CELL_BITS}) AS __cell"))
     counted = long.groupBy(*own, "__cell", "__v").agg(F.count("*").alias("__n"))
     by, group = ", ".join([*own, "__cell"]), ", ".join(own) or "0"
-    counted = counted.withColumn("__upto", F.expr(f"sum(__n) OVER (PARTITION BY {by} ORDER BY __v ROWS UNBOUNDED PRECEDING)"))
-    cells = counted.groupBy(*own, "__cell").agg(F.sum("__n").alias("__size")).selectExpr(
+    upto = f"sum(__n) OVER (PARTITION BY {by} ORDER BY __v ROWS UNBOUNDED PRECEDING)"
+    counted = counted.withColumn("__upto", F.expr(upto))
+    sized = long.groupBy(*own, "__cell").agg(F.count("*").alias("__size")) if kept else counted.groupBy(*own, "__cell").agg(F.sum("__n").alias("__size"))
+    cells = sized.selectExpr(
         *own, "__cell", f"sum(__size) OVER (PARTITION BY {group} ORDER BY __cell ROWS UNBOUNDED PRECEDING) - __size AS __begin", "__size", f"sum(__size) OVER (PARTITION BY {group}) AS __total"
     )
     place = "s * (__total - 1)"
@@ -48,6 +56,11 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, shares: Iterable[flo
     inside = lambda x, begin, end: f"({x} >= {begin} AND {x} < {end})"
     hit = lambda begin, end: f"filter(__ranks, x -> {inside('x.low', begin, end)} OR {inside('x.high', begin, end)}) AS __ranks"
     cells = cells.selectExpr("*", f"{ranks} AS __ranks").selectExpr(*own, "__cell", "__begin", hit("__begin", "__begin + __size")).where("size(__ranks) > 0")
+    if kept:
+        cells = bounded(cells)
+        wanted_cells = cells.select(*own, "__cell")
+        counted = long.join(wanted_cells, [*own, "__cell"], "left_semi").groupBy(*own, "__cell", "__v").agg(F.count("*").alias("__n"))
+        counted = counted.withColumn("__upto", F.expr(upto))
     found = counted.join(cells, [*own, "__cell"]).selectExpr(*own, "__v", "__begin + __upto - __n AS __low", "__begin + __upto AS __high", "__ranks")
     found = found.selectExpr(*own, "__v", "__low", "__high", hit("__low", "__high")).where("size(__ranks) > 0").selectExpr(*own, "__v", "__low", "__high", "explode(__ranks) AS r")
     at = lambda i, x: f"max(if(r.i = {i} AND {inside(f'r.{x}', '__low', '__high')}, __v, NULL))"
@@ -55,16 +68,16 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, shares: Iterable[flo
     return found.groupBy(*own).agg(F.expr(f"array({q})").alias("q")).select(*[F.col(f"`{o}`.`{k}`").alias(k) for k, o in zip(keys, own, strict=True)], "q")
 
 
-def event_spread(frame: DataFrame, kinds: Iterable[str] = tuple(EVENT_KINDS), size: int | None = None) -> DataFrame:
+def event_spread(frame: DataFrame, kinds: Iterable[str] = tuple(EVENT_KINDS), size: int | None = None, kept: bool = False) -> DataFrame:
     """``kind``, ``a``, ``b``, ``q``: the quantiles of all asked kinds of an event frame, from one pass over it.
 
-    ``size``: how many events there are at most, if that is known.
+    ``size``: how many events there are at most, if that is known; ``kept``: the frame is persisted.
     """
     kinds = [k for k in kinds if k != "resource" or "resource" in frame.columns]
     text = lambda c: "CAST(NULL AS STRING)" if c is None else c
     measures = ", ".join(f"named_struct('kind', '{k}', 'a', {text(a)}, 'b', {text(b)}, 'v', {v})" for k, (v, a, b) in EVENT_KINDS.items() if k in kinds)
     long = frame.selectExpr(f"explode(array({measures})) AS x").selectExpr("x.*").where("v IS NOT NULL AND (a IS NOT NULL OR kind = 'log')")
-    return quantiles(long, ["kind", "a", "b"], "v", size=None if size is None else size * len(kinds))
+    return quantiles(long, ["kind", "a", "b"], "v", size=None if size is None else size * len(kinds), kept=kept)
 
 
 def of_kind(spread: DataFrame, kind: str, names: dict[str, float], a: str | None = None, b: str | None = None) -> DataFrame:

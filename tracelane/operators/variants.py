@@ -116,6 +116,14 @@ def first_completed(found: DataFrame, ends: DataFrame) -> DataFrame:
     return marked.orderBy(F.col("done").isNull(), "rank").limit(1).select(*found.columns)
 
 
+def first_of_cases(cases: DataFrame, ends: DataFrame) -> DataFrame:
+    """``trace`` and ``last_activity`` of ``first_completed``, without ranking all variants."""
+    found = cases.groupBy("trace_id").agg(F.count("*").alias("n"), (F.sum("duration_us") / F.count("*")).alias("mean_us"), F.min("case_id").alias("least_case"), F.first("trace").alias("trace"))
+    found = found.withColumn("last_activity", F.element_at("trace", -1))
+    marked = found.join(F.broadcast(ends.withColumn("done", F.lit(True))), F.col("last_activity") == F.col("activity"), "left")
+    return marked.orderBy(F.col("done").isNull(), F.desc("n"), "mean_us", "least_case").limit(1).select("trace", "last_activity")
+
+
 def dominant_path(found: DataFrame, cases: DataFrame, config: AnalysisConfig = DEFAULT) -> DataFrame:
     """The first variant that ends a completed case, else the first of all: one row, none for an empty log."""
     return first_completed(found, completion(cases, None, config))

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tracelane.config import DEFAULT, ENGINE_VERSION, AnalysisConfig
 from tracelane.functions.size import bounded
 from tracelane.operators import bottlenecks, deviations, graph, ingest, normalize, resources, variants
-from tracelane.operators.frame import cases, event_frame, segmented_frame
-from tracelane.operators.quantiles import event_spread
+from tracelane.operators.frame import cases, event_frame, segmented_frame, steps
+from tracelane.operators.quantiles import EVENT_KINDS, event_spread
 from tracelane.sources.event_csv import LogFileError
 
 
@@ -27,6 +27,7 @@ class ProcessLog:
 
     def __init__(self, events: DataFrame, config: AnalysisConfig = DEFAULT, persist: bool = False, long_cases: bool = False):
         self.events, self.config, self._persist, self._long_cases, self._more = events, config, persist, long_cases, []
+        self._spreads: dict[str, DataFrame] = {}
 
     def _kept(self, df: DataFrame) -> DataFrame:
         return df.persist(StorageLevel.MEMORY_AND_DISK) if self._persist else df
@@ -57,13 +58,18 @@ class ProcessLog:
         """With ``persist`` a small table is read once and stands in later plans as constants."""
         return bounded(df) if self._persist else df
 
-    @cached_property
-    def _every_spread(self) -> DataFrame:
-        return bounded(event_spread(self.frame, size=self.size))
-
     def spread(self, *kinds: str) -> DataFrame:
-        """Quantiles of waits, gaps and processing by activity, transition and resource: all of them once, or the asked ones."""
-        return self._every_spread if self._persist else event_spread(self.frame, kinds, self.size)
+        """Quantiles of waits, gaps and processing by activity, transition and resource, at least the asked kinds; with ``persist``
+        each kind is computed once."""
+        if not self._persist:
+            return event_spread(self.frame, kinds, self.size)
+        lacking = [k for k in kinds if k not in self._spreads]
+        if lacking:
+            self._spreads |= dict.fromkeys(lacking, bounded(event_spread(self.frame, lacking, self.size, kept=True)))
+        first, *others = {id(self._spreads[k]): self._spreads[k] for k in kinds}.values()
+        for other in others:
+            first = first.unionByName(other)
+        return first
 
     @cached_property
     def _ends(self) -> DataFrame:
@@ -96,7 +102,7 @@ class ProcessLog:
         """With ``persist``: makes the small tables that most results need, those of events beside those of cases."""
         _ = self.size, self.cases  # both sides stand on the frame
         with ThreadPoolExecutor(2) as both:
-            for side in [both.submit(getattr, self, name) for name in ("bottlenecks", "completion")]:
+            for side in [both.submit(lambda: (self.spread(*EVENT_KINDS), self.bottlenecks)), both.submit(getattr, self, "completion")]:
                 side.result()
 
     def conformance(self) -> DataFrame:
@@ -112,7 +118,15 @@ class ProcessLog:
         return resources.resources(self.frame, self.cases, self.spread("resource") if "resource" in self.frame.columns else None)
 
     def case_metrics(self) -> DataFrame:
-        return graph.case_metrics(self.cases, self.completion, self.size)
+        return graph.case_metrics(self.cases, self.completion, self.size, self._persist)
+
+    def case_metrics_alone(self) -> DataFrame:
+        """``case_metrics`` of a log of which nothing else is asked: no frame is kept, and no variant is ranked."""
+        own = self._held(cases(steps(self.events)))
+        ends = self._literal(variants.completion(own, None, self.config))
+        if not self.config.completion:
+            ends = self._literal(variants.with_dominant(ends, variants.first_of_cases(own, ends)))
+        return graph.case_metrics(own, ends, self.size, self._persist)
 
     def activities(self) -> DataFrame:
         return graph.activity_metrics(self.frame, self.cases, self.spread("wait", "proc"))

@@ -81,7 +81,7 @@ def dominant_path_conv(spark, d):
 
 def case_metrics(spark, d):
     log = daily(spark, d, keep=True)
-    return held(rounded(log.case_metrics()), log)
+    return held(rounded(log.case_metrics_alone()), log)
 
 
 def dfg_edges(spark, d):
