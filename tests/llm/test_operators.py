@@ -311,6 +311,30 @@ def test_no_run_is_lost_to_what_is_broadcast(spark, monkeypatch, top_words, top_
     assert got == pytest.approx(plain_scores(rows), abs=1e-6)
 
 
+def test_places_that_are_joined_travel_packed(spark, rows, monkeypatch):
+    """No row for each place: the plan neither explodes keys nor joins them one by one."""
+    monkeypatch.setattr(suffix_tree_lm, "TOP_WORDS", 20)
+    monkeypatch.setattr(suffix_tree_lm, "TOP_RUNS", 0)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = suffix_tree_lm.score(docs, docs)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "FlatMapCoGroupsInArrow" in plan
+    assert {r.doc_id: r.score for r in got.collect()} == pytest.approx(plain_scores(rows), abs=1e-5)
+
+
+def test_word_hashes_take_all_bytes():
+    size = [1, 7, 8, 9, 16, 17, 63, 64, 65, 66, 200]
+    one = [bytes(range(1, n + 1)) for n in size]
+    two = [w[:-1] + b"\xff" for w in one] + [w[:-1] + b"\0" for w in one] + [w + b"\0" for w in one]
+    last = np.cumsum([len(w) for w in one + two])
+    starts = np.concatenate([[0], last[:-1]])
+    data = np.frombuffer(b"".join(one + two), np.uint8)
+    got = suffix_tree_lm.word_hashes(data, starts, last)
+    assert len(set(got.tolist())) == len(set(one + two))
+    moved = suffix_tree_lm.word_hashes(np.concatenate([data[:3], data, data[:9]]), starts + 3, last + 3)
+    assert (moved == got).all()
+
+
 # ---- 6: token counts ------------------------------------------------------------------------------------------
 
 

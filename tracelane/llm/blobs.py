@@ -14,10 +14,10 @@ RANGE_BYTES = 6_000_000
 LEAST_RANGES = 16
 
 
-def text_ranges(docs: DataFrame, text_col: str) -> int:
-    """How many hash ranges to deal the parts of all texts to."""
+def text_ranges(docs: DataFrame, text_col: str, size: int = RANGE_BYTES) -> int:
+    """How many hash ranges to deal the parts of all texts to, one for every ``size`` bytes."""
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
-    return max(LEAST_RANGES, -(-total // RANGE_BYTES))
+    return max(LEAST_RANGES, -(-total // size))
 
 
 def schema(columns: dict[str, type]) -> str:

@@ -23,8 +23,6 @@ NULL_ID = 2**63 - 1
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 _SPACE_LUT = np.zeros(256, bool)
 _SPACE_LUT[list(SPACE_BYTES)] = True
-_LOWER_LUT = np.arange(256, dtype=np.uint8)
-_LOWER_LUT[65:91] += 32
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -208,21 +206,20 @@ class RangeHash:
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE_LUT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, row) of all words ``[^\\x20\\x09-\\x0D]+`` (or of other ``space``, a flag per byte); a row's end also ends a word."""
-    inside = ~space[data]
-    first = np.zeros(len(data) + 1, bool)
-    first[offsets[:-1]] = True
-    first = first[:-1]
-    before = np.concatenate([[False], inside[:-1]]) if len(inside) else inside
-    starts = np.flatnonzero(inside & (~before | first))
-    last = np.zeros(len(data) + 1, bool)
-    last[offsets[1:]] = True
-    after = np.concatenate([inside[1:], [False]]) if len(inside) else inside
-    ends = np.flatnonzero(inside & (~after | last[1:])) + 1
-    return starts, ends, np.searchsorted(offsets, starts, "right") - 1
+    if space is _SPACE_LUT:  # the same by arithmetic, several times as fast as a table
+        inside = (data != 32) & ((data - np.uint8(9)) > 4)
+    else:
+        inside = ~space[data]
+    cut = np.zeros(len(data) + 1, bool)  # before a byte that begins a row, or that no byte of a word precedes or follows
+    cut[offsets] = True
+    cut[1:-1] |= inside[1:] != inside[:-1]
+    starts = np.flatnonzero(inside & cut[:-1])
+    ends = np.flatnonzero(inside & cut[1:]) + 1
+    return starts, ends, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
-    return _LOWER_LUT[data]
+    return data + (((data - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))
 
 
 def fresh(taken: Iterable[str], name: str) -> str:
