@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelane.llm.blobs import firsts, pack, part_of, reduce_parts, schema, text_ranges, unpack
+from tracelane.llm.blobs import LEAST_RANGES, firsts, pack, part_of, reduce_parts, schema, text_ranges, unpack
 from tracelane.llm.common import RangeHash, Scratch, byte_view, chunks, lower_ascii, map_batches, mix, trim, word_spans
 
 #: Longest context, in tokens.
@@ -26,8 +26,8 @@ TOP_WORDS, TOP_RUNS = 1 << 20, 1 << 21
 FILTER_LOG2 = 26
 #: Bytes of text whose runs are summed at once, and that are cut into tokens or rated at once, whose arrays fit a core's cache.
 CHUNK_BYTES, SLICE_BYTES = 4_000_000, 1_000_000
-#: Bytes of text per hash range in which runs are counted and joined; the number of ranges grows with the input.
-RANGE_BYTES = 16_000_000
+#: Bytes of text per hash range in which runs are counted, and such ranges to one in which places are joined; the number of ranges grows with the input.
+RANGE_BYTES, JOINED_RANGES = 10_000_000, 3
 #: Bytes of a word that are hashed eight at a time; a longer word is hashed by RangeHash.
 SHORT_WORD = 64
 END_TOKEN = np.uint64(0x8A5CD789635D2DFF)
@@ -87,7 +87,7 @@ def runs(token: np.ndarray, place: np.ndarray, longest: int) -> list[tuple[np.nd
 
 
 class Filter:
-    """A bit per hash, for whatever number of hashes: what is not in it did not go in."""
+    """Two bits per hash, by its first and its last ones, for whatever number of hashes: what is not in it did not go in."""
 
     def __init__(self):
         self.shift = 64 - FILTER_LOG2
@@ -95,14 +95,19 @@ class Filter:
 
     def add(self, rows: DataFrame) -> None:
         """The column ``run`` of ``rows``. The driver gets at most a row for every 64 bits."""
-        slots = rows.selectExpr(f"shiftrightunsigned(run, {self.shift}) AS slot").selectExpr("shiftright(slot, 6) AS at", "shiftleft(1L, CAST(slot & 63 AS INT)) AS bit")
+        slots = rows.selectExpr(f"explode(array(shiftrightunsigned(run, {self.shift}), run & {(1 << FILTER_LOG2) - 1}L)) AS slot").selectExpr("shiftright(slot, 6) AS at", "shiftleft(1L, CAST(slot & 63 AS INT)) AS bit")
         found = slots.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
         self.bits[found.column("at").to_numpy()] |= found.column("bits").to_numpy()
         del found
         trim()
 
     def has(self, wanted: np.ndarray) -> np.ndarray:
-        slot = wanted >> np.uint64(self.shift)
+        out = self._set(wanted >> np.uint64(self.shift))
+        at = np.flatnonzero(out)
+        out[at] = self._set(wanted[at] & np.uint64((1 << (64 - self.shift)) - 1))
+        return out
+
+    def _set(self, slot: np.ndarray) -> np.ndarray:
         return (self.bits.view(np.uint64)[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -456,7 +461,7 @@ def score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col
         word = F.log10(F.col("n") + 0.5) - F.lit(floor + unseen)
         more.append(others.select("run", word.alias("model"), word.alias("base"), F.lit(1).alias("known")))
     if more:
-        sums = join_places(rated, more[0].unionByName(more[1]) if more[1:] else more[0], ranges)
+        sums = join_places(rated, more[0].unionByName(more[1]) if more[1:] else more[0], max(LEAST_RANGES, -(-ranges // JOINED_RANGES)))
         ratings = ratings.join(sums, "row", "left")
     else:
         ratings = ratings.withColumns({f"more_{c}": F.lit(0) for c in ("base", "model", "known")})
